@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import bpe, decontaminate
+from taxloom.llm import bpe, decontaminate, neardup
 from taxloom.llm.shared import table
 
 
@@ -28,12 +28,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_bpe": op8_bpe,
 }
 
