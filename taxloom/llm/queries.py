@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import bpe, decontaminate, neardup
+from taxloom.llm import bpe, decontaminate, neardup, spans
 from taxloom.llm.shared import table
 
 
@@ -36,10 +36,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_bpe": op8_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -136,3 +136,11 @@ def combine(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         inside[at[(at >= 0) & (at < len(acc))]] = False
     at = np.flatnonzero(inside)
     return mix(acc[at]), at
+
+
+def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words start[i]:end[i] for every i, in order."""
+    up, down = powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, dtype=U)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
