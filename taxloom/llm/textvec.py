@@ -74,9 +74,16 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.end[i]]
 
-    def hashes(self, skip_left: np.ndarray | None = None, most: int | None = None) -> np.ndarray:
-        """A 64-bit hash of every word, or of its first `most` bytes."""
-        out = np.empty(len(self.start), dtype=U)
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word."""
+        return self.parts([0])[0]
+
+    def parts(self, sizes: list[int]) -> list[np.ndarray]:
+        """For every size a hash of each word's first `size` bytes (its last ones if negative, all of it if 0).
+
+        A word shorter than a size is hashed whole.
+        """
+        out = [np.empty(len(self.start), dtype=U) for _ in sizes]
         i, n = 0, len(self.start)
         while i < n:
             base = int(self.start[i])
@@ -85,12 +92,13 @@ class Words:
             up, down = powers(end - base + 1)
             sums = np.zeros(end - base + 1, dtype=U)
             np.cumsum((self.buf[base:end].astype(U) + U(1)) * up[: end - base], out=sums[1:])
-            s, e = self.start[i:j] - base, self.end[i:j] - base
-            if most is not None:
-                e = np.minimum(e, s + most)
-            out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93)
+            start, stop = self.start[i:j] - base, self.end[i:j] - base
+            for k, size in enumerate(sizes):
+                s = np.maximum(start, stop + size) if size < 0 else start
+                e = np.minimum(stop, start + size) if size > 0 else stop
+                out[k][i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
             i = j
-        return mix(out)
+        return out
 
 
 def words_of(texts: list[bytes], table: np.ndarray) -> Words:
