@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,8 @@ from taxloom.llm.shared import batched
 
 #: Fixed: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 150_000
+#: Stretches in one of the two generations of a worker's cache.
+CACHED_WORDS = 250_000
 _CHUNK = 2 << 20
 
 
@@ -47,7 +49,6 @@ class Bpe:
             raw = bytes(alphabet[c] for c in text)
             self.bytes_of[i] = raw
             self.id_of[raw] = i
-        self.longest = max(map(len, self.id_of))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for text, i in self.added.items():
             self.bytes_of[i] = text.encode()
@@ -56,15 +57,21 @@ class Bpe:
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.left, self.right = np.full(n, -1), np.full(n, -1)
         self.age = np.zeros(n, dtype=np.int64)
-        self.rank: dict[tuple[int, int], int] = {}
+        #: When the merge of a pair (as one integer) comes, and what it makes.
+        self.rank: dict[int, int] = {}
         pairs, made = [], []
         for k, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             self.left[z], self.right[z], self.age[z] = x, y, k + 1
-            self.rank[x, y] = k + 1
+            self.rank[x << 32 | y] = k + 1
             pairs.append(x << 32 | y)
             made.append(z)
-        self.made = dict(zip(self.rank, made, strict=True))
+        self.made = [-1, *made]
+        #: The longest token that starts with each three bytes.
+        self.reach: dict[bytes, int] = {}
+        for raw in self.id_of:
+            if len(raw) > 2:
+                self.reach[raw[:3]] = max(len(raw), self.reach.get(raw[:3], 0))
         order = np.argsort(pairs)
         self.pair_keys = np.array(pairs)[order]
         self.pair_ages = np.arange(1, len(pairs) + 1)[order]
@@ -75,8 +82,9 @@ class Bpe:
         for t, ok in zip(made, held, strict=True):
             self.sound[t] = ok and self.sound[self.left[t]] and self.sound[self.right[t]]
         self.pattern = regex.compile(PATTERN)
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        #: Verified stretches that start a text, and those that follow a space.
+        self.heads: list[dict[str, bytes | None]] = [{}, {}]
+        self.tails: list[dict[str, bytes | None]] = [{}, {}]
 
     def _survives(self, x: np.ndarray, y: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Whether no merge older than `before` joins the end of x to the start of y.
@@ -102,32 +110,28 @@ class Bpe:
         return ok
 
     def propose(self, word: bytes) -> list[int]:
-        out, at, n, id_of = [], 0, len(word), self.id_of
+        out, at, n, get, reach = [], 0, len(word), self.id_of.get, self.reach.get
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                t = id_of.get(word[at:end])
-                if t is not None:
-                    out.append(t)
-                    at = end
-                    break
+            end = min(n, at + reach(word[at : at + 3], 2))
+            while (t := get(word[at:end])) is None:
+                end -= 1
+            out.append(t)
+            at = end
         return out
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest rank first, leftmost on a tie."""
+        rank, made, never = self.rank.get, self.made, len(self.made)
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        while len(ids) > 1:
-            best = min((self.rank.get(p, 1 << 60) for p in zip(ids, ids[1:], strict=False)), default=1 << 60)
-            if best == 1 << 60:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.rank.get((ids[i], ids[i + 1])) == best:
-                    out.append(self.made[ids[i], ids[i + 1]])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        ranks = [rank(x << 32 | y, never) for x, y in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < never:
+            i = ranks.index(best)
+            ids[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], never)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], never)
         return ids
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
@@ -146,20 +150,27 @@ class Bpe:
             proposed[i] = self.merge(words[i])
         return proposed
 
-    def _learn(self, cache: dict[str, bytes | None], missing: list[str], lead: str) -> None:
-        """Encodes space-free stretches into the cache; None marks those that need their neighbours."""
+    def _learn(self, caches: list[dict[str, bytes | None]], need: set[str], lead: str) -> None:
+        """Makes the first cache hold all of `need`, stretches without spaces; None marks those that need their neighbours.
+
+        A full cache becomes the second one, from which used entries come back.
+        """
+        if len(caches[0]) > CACHED_WORDS:
+            caches[:] = [{}, caches[0]]
+        cache, older = caches
         spans, words = [], {}
-        for part in missing:
-            if not part or part[0].isspace() or part[-1].isspace():
+        for part in need - cache.keys():
+            if part in older:
+                cache[part] = older[part]
+            elif not part or part[0].isspace() or part[-1].isspace():
                 cache[part] = None
-                continue
-            pieces = [p.encode() for p in self.pattern.findall(lead + part)]
-            spans.append((part, pieces))
-            for p in pieces:
-                words.setdefault(p)
-        ids = dict(zip(words, self.encode_words(list(words)), strict=True))
+            else:
+                pieces = [p.encode() for p in self.pattern.findall(lead + part)]
+                spans.append((part, pieces))
+                words.update(dict.fromkeys(pieces))
+        ids = {w: array("I", i).tobytes() for w, i in zip(words, self.encode_words(list(words)), strict=True)}
         for part, pieces in spans:
-            cache[part] = np.array([t for p in pieces for t in ids[p]], dtype="<u4").tobytes()
+            cache[part] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without added tokens, by whole-text pre-tokenization."""
@@ -181,10 +192,6 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         special = [any(a in t for a in self.added) for t in texts]
-        if len(self.later) > CACHED_WORDS:
-            self.later.clear()
-        if len(self.first) > CACHED_WORDS // 4:
-            self.first.clear()
         parts = [None if s else t.split(" ") for t, s in zip(texts, special, strict=True)]
         need: set[str] = set()
         heads: set[str] = set()
@@ -192,14 +199,15 @@ class Bpe:
             if p:
                 heads.add(p[0])
                 need.update(p[1:])
-        self._learn(self.first, [w for w in heads if w not in self.first], "")
-        self._learn(self.later, [w for w in need if w not in self.later], " ")
+        self._learn(self.heads, heads, "")
+        self._learn(self.tails, need, " ")
+        head, tail = self.heads[0], self.tails[0]
         out = []
         for t, p in zip(texts, parts, strict=True):
             if p is None:
                 out.append(self._with_added(t))
                 continue
-            got = [self.first[p[0]], *map(self.later.__getitem__, p[1:])]
+            got = [head[p[0]], *map(tail.__getitem__, p[1:])]
             out.append(self._plain(t) if None in got else b"".join(got))
         return out
 
