@@ -6,6 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxloom.llm.textvec import U
+
+_SLOT_BITS = 20
+NO_SLOTS = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
     """At most per_class texts of each class, none over max_chars, and how many labels of each class there are.
@@ -56,3 +61,43 @@ def class_weights(y: np.ndarray, totals: dict[int, int]) -> np.ndarray:
         if (n := int((y == c).sum())) and totals.get(c):
             w[y == c] = totals[c] / n
     return w / w.mean() if len(w) else w
+
+
+def choose(feats: list[np.ndarray], doc: np.ndarray, y: np.ndarray, most: int, rare: int = 3, least: float = 0.7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, keys, log odds) of the features that tell texts of class 1 from those of class 0 best.
+
+    feats holds hashes, an array for each kind of feature with an entry for
+    each token; doc names the token's text. Features in fewer than `rare` texts
+    or with smaller log odds than `least` are left out.
+    """
+    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    keys, odds, gain = [], [], []
+    for h in feats:
+        order = np.lexsort((doc, h))
+        a, d = h[order], doc[order]
+        one = np.ones(len(a), dtype=bool)
+        one[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+        a, d = a[one], d[one]
+        k, inv = np.unique(a, return_inverse=True)
+        c1 = np.bincount(inv, weights=y[d], minlength=len(k))
+        c0 = np.bincount(inv, minlength=len(k)) - c1
+        lo = np.log((c1 + 0.2) / (n1 + 0.4)) - np.log((c0 + 0.2) / (n0 + 0.4))
+        held = (c1 + c0 >= rare) & (np.abs(lo) > least)
+        keys.append(k[held])
+        odds.append(np.where(c1[held] >= rare, lo[held], np.minimum(lo[held], 0)))
+        gain.append(np.abs(lo[held]) * (c1[held] / n1 + c0[held] / n0))
+    key, lo, g = np.concatenate(keys), np.concatenate(odds), np.concatenate(gain)
+    best = np.argsort(-g, kind="stable")[:most]
+    key, lo = key[best], lo[best]
+    slots = NO_SLOTS.copy()
+    at = (key >> U(64 - _SLOT_BITS)).astype(np.int64)
+    slots[at[::-1]] = np.arange(len(key), dtype=np.int32)[::-1]  # the better one keeps a shared slot
+    return slots, key, lo
+
+
+def index_of(slots: np.ndarray, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Number of each feature among the chosen ones, or -1."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    at = slots[(h >> U(64 - _SLOT_BITS)).astype(np.int64)]
+    return np.where((at >= 0) & (keys[at] == h), at, -1)

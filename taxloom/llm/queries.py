@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import bpe, decontaminate, neardup, spans
-from taxloom.llm.shared import table
+from taxloom.llm import bpe, decontaminate, neardup, quality, spans, toxicity
+from taxloom.llm.shared import bucket_of, table
 
 
 def tokenizer_path() -> str:
@@ -15,6 +15,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Texts count as positive from this score on.
+POSITIVE = 0.3
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of(F.col("id"), 4) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model)
+    doc_id = F.col("row.doc_id")
+    return scored.select(doc_id.alias("doc_id"), (bucket_of(doc_id, 4) == 2).alias("held_out"), "score", (F.col("score") >= POSITIVE).cast("int").alias("predicted"), "spans")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.verdicts(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -36,14 +49,24 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of(F.col("id"), 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    doc_id = F.col("row.doc_id")
+    return quality.score(docs, model).select(doc_id.alias("doc_id"), (bucket_of(doc_id, 5) == 0).alias("held_out"), "score", (F.col("score") >= POSITIVE).cast("int").alias("predicted"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.fit import class_weights, labelled_sample, logistic, sigmoid
+from taxloom.llm.fit import NO_SLOTS, choose, class_weights, index_of, labelled_sample, logistic, sigmoid
 from taxloom.llm.shared import batched
 from taxloom.llm.textvec import ALNUM, U, Words, chunks, mix, words_of
 
@@ -25,7 +25,6 @@ PER_CLASS, MAX_CHARS = 2500, 20_000
 #: Features of a token: the word, its first and its last bytes.
 PARTS = [0, 4, 5, 6, 7, 8, -4, -6]
 FEATURES = 20_000
-_SLOTS = 20
 
 
 @dataclass
@@ -44,41 +43,6 @@ def token_features(words: Words) -> list[np.ndarray]:
     return [mix(h + U(k + 1)) for k, h in enumerate(words.parts(PARTS))]
 
 
-def _index(slots: np.ndarray, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Number of each feature among the chosen ones, or -1."""
-    if not len(keys):
-        return np.full(len(h), -1)
-    at = slots[(h >> U(64 - _SLOTS)).astype(np.int64)]
-    return np.where((at >= 0) & (keys[at] == h), at, -1)
-
-
-def _choose(feats: list[np.ndarray], doc: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots, keys, log odds) of the features that tell toxic texts from clean ones best."""
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    keys, odds, gain = [], [], []
-    for h in feats:
-        order = np.lexsort((doc, h))
-        a, d = h[order], doc[order]
-        one = np.ones(len(a), dtype=bool)
-        one[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-        a, d = a[one], d[one]
-        k, inv = np.unique(a, return_inverse=True)
-        c1 = np.bincount(inv, weights=y[d], minlength=len(k))
-        c0 = np.bincount(inv, minlength=len(k)) - c1
-        lo = np.log((c1 + 0.2) / (n1 + 0.4)) - np.log((c0 + 0.2) / (n0 + 0.4))
-        held = (c1 + c0 >= 3) & (np.abs(lo) > 0.7)
-        keys.append(k[held])
-        odds.append(np.where(c1[held] >= 3, lo[held], np.minimum(lo[held], 0)))
-        gain.append(np.abs(lo[held]) * (c1[held] / n1 + c0[held] / n0))
-    key, lo, g = np.concatenate(keys), np.concatenate(odds), np.concatenate(gain)
-    best = np.argsort(-g, kind="stable")[:most]
-    key, lo = key[best], lo[best]
-    slots = np.full(1 << _SLOTS, -1, dtype=np.int32)
-    at = (key >> U(64 - _SLOTS)).astype(np.int64)
-    slots[at[::-1]] = np.arange(len(key), dtype=np.int32)[::-1]  # the better one keeps a shared slot
-    return slots, key, lo
-
-
 def forward_backward(s: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ratios toxic : clean of the forward and of the backward messages at every token.
 
@@ -166,15 +130,15 @@ def _doc_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def train(sample: list[tuple[str, int]], totals: dict[int, int]) -> Crf:
     """A model from labelled texts; with one class only, it scores that class's share."""
-    empty = Crf(np.full(1 << _SLOTS, -1, dtype=np.int32), np.empty(0, dtype=U), np.empty(0), -6.0, np.zeros((2, 2)), np.zeros(5))
+    empty = Crf(NO_SLOTS, np.empty(0, dtype=U), np.empty(0), -6.0, np.zeros((2, 2)), np.zeros(5))
     y = np.array([c for _, c in sample], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         empty.doc[-1] = 4.0 if totals.get(1) else -4.0
         return empty
     words = words_of([t.encode().lower() for t, _ in sample], ALNUM)
     feats, doc = token_features(words), words.doc
-    slots, keys, odds = _choose(feats, doc, y, FEATURES)
-    index = [_index(slots, keys, h) for h in feats]
+    slots, keys, odds = choose(feats, doc, y, FEATURES)
+    index = [index_of(slots, keys, h) for h in feats]
     padded = np.append(odds, 0.0)
     clue = np.max([padded[i] for i in index], axis=0) if len(doc) else np.zeros(0)
     label = ((clue >= 2.0) & (y[doc] == 1)).astype(np.int64)
@@ -189,7 +153,7 @@ def train(sample: list[tuple[str, int]], totals: dict[int, int]) -> Crf:
 def score_texts(crf: Crf, texts: list[bytes]) -> tuple[np.ndarray, list[list[dict[str, int]]]]:
     """Scores, and code-point offsets of the runs of tokens that are more likely toxic than not."""
     words = words_of([t.lower() for t in texts], ALNUM)
-    index = [_index(crf.slots, crf.keys, h) for h in token_features(words)]
+    index = [index_of(crf.slots, crf.keys, h) for h in token_features(words)]
     p = marginals(_emissions(crf, index), words.first, crf.trans)
     x = _doc_features(p, words.first)
     scores = sigmoid(x @ crf.doc[:-1] + crf.doc[-1])
