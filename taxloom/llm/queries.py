@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import bpe, decontaminate, neardup, quality, spans, toxicity
+from taxloom.llm import bpe, decontaminate, lm, neardup, quality, spans, toxicity
 from taxloom.llm.shared import bucket_of, table
 
 
@@ -41,6 +41,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = bucket_of(F.col("id"), 5) == 1
+    scored = lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,6 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_decontaminate": op3_decontaminate,
+    "op5_language_model": op5_language_model,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
