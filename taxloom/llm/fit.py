@@ -12,24 +12,33 @@ _SLOT_BITS = 20
 NO_SLOTS = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """At most per_class texts of each class, none over max_chars, and how many labels of each class there are.
+def labelled_ids(labels: DataFrame, label: str, keep: Column | None, id_col: str = "doc_id") -> DataFrame:
+    """id and y (0 or 1), a row for each labelled id; an id that is labelled twice has the larger label.
 
-    The sample is fixed by a hash of the id. `keep` limits the labels that may
-    be learned from; rows without an id or a label teach nothing, and an id
-    that is labelled twice has the larger label.
+    `keep` limits the labels that may be learned from; rows without an id or a
+    label teach nothing.
     """
     own = labels.select(labels[id_col].alias("id"), labels[label].cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     if keep is not None:
         own = own.filter(keep)
-    own = own.groupBy("id").agg(F.max("y").alias("y"))
-    totals = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
-    picked = [tuple(r) for y in (0, 1) for r in own.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
-    if not picked:
-        return [], totals
-    chosen = docs.sparkSession.createDataFrame(picked, own.schema)
+    return own.groupBy("id").agg(F.max("y").alias("y"))
+
+
+def labelled_rows(rows: DataFrame, ids: DataFrame, per_class: int) -> DataFrame:
+    """Rows (with an `id`) of at most per_class ids of each class, fixed by a hash of the id, with y.
+
+    What is broadcast is bounded by 2 * per_class ids.
+    """
+    each = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
+    return rows.join(F.broadcast(each[0].unionByName(each[1])), "id")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """At most per_class texts of each class, none over max_chars, and how many labels of each class there are."""
+    ids = labelled_ids(labels, label, keep, id_col)
+    totals = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "y").collect()
+    rows = labelled_rows(texts, ids, per_class).select("id", "text", "y").collect()
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.id, r.text))], totals
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import bpe, decontaminate, lm, neardup, quality, spans, toxicity
+from taxloom.llm import bpe, decontaminate, lm, neardup, quality, rules, spans, toxicity
 from taxloom.llm.shared import bucket_of, table
 
 
@@ -47,6 +47,12 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = rules.fit(docs, table(spark, sf_dir, "labels"))
+    return rules.verdicts(docs, found).drop("rule")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op5_language_model": op5_language_model,
+    "op6_quality_rules": op6_quality_rules,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
