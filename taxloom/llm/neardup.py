@@ -8,10 +8,12 @@ Buckets of a band are handled by size, without ever emitting all pairs of a
 large one:
 
 * small buckets yield their pairs;
-* large buckets yield a star around one member. What the star and the small
-  buckets leave in different components is compared block by block: a task
-  gets two bounded blocks of a bucket, counts all intersections at once and
-  emits only a spanning forest of the links that it finds.
+* of a large bucket, members whose shared shingles are too few for any link
+  leave first, by an exact bound. The rest yields a star around the member
+  with the smallest share of shingles of its own. What stars and small buckets
+  leave outside the component of a bucket's centre is compared with the bucket
+  block by block: a task gets two bounded blocks, counts all intersections at
+  once and emits only a spanning forest of the links that it finds.
 
 Pairs are filtered by the signatures' estimate (five standard errors below the
 threshold) and confirmed on full sets. Components come from alternating
@@ -111,24 +113,36 @@ def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return batched(docs, run, f"id {kind}, n_shingles long, cls binary, bands array<long>, sig binary")
 
 
+def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id is in ids.
+
+    A bitmap of id hashes, 1 MB at most, is broadcast ahead of the join, so
+    that few other texts are shuffled; it only ever lets rows through.
+    """
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 23))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    bits = ids.select(h.alias("h")).select(F.shiftright("h", 6).alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    near = docs.withColumn("h", h).withColumn("w", F.shiftright("h", 6)).join(F.broadcast(bits), "w").filter(F.col("bits").bitwiseAND(bit) != 0)
+    return near.select(*docs.columns).join(ids, "id", "left_semi")
+
+
 def _sets(docs: DataFrame, fingerprints: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """cls and set (sorted 64-bit hashes as bytes) of the wanted classes, from one text of each."""
-    ids = fingerprints.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    nameless = docs.filter("id is null")
-    texts = docs.join(ids.select("id").distinct(), "id", "left_semi").unionByName(nameless)
+    """cls and set (sorted 64-bit hashes) of the wanted classes, from one text of each."""
+    ids = fingerprints.select("id", "cls").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
+    texts = _having(docs, ids.select("id").filter("id is not null").distinct()).unionByName(docs.filter("id is null"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cls, sets = [], []
         for _, part in chunks(batch.column(0)):
             sh, first = shingle_sets(part, words)
             for i in range(len(part)):
-                own = sh[first[i] : first[i + 1]].tobytes()
-                if own:
-                    cls.append(hashlib.blake2b(own, digest_size=16).digest())
-                    sets.append(own)
-        return pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["cls", "set"])
+                own = sh[first[i] : first[i + 1]]
+                if len(own):
+                    cls.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    sets.append(own.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "set"])
 
-    made = batched(texts.select("text"), run, "cls binary, set binary")
+    made = batched(texts.select("text"), run, "cls binary, set array<long>")
     return made.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -147,8 +161,9 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame
     return batched(both, run, "a binary, b binary")
 
 
-def _linked(common: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * common >= percent * (x + y - common)
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, at = column.values.to_numpy().view(U), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,8 +171,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
+        for p, q in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True):
             both = np.concatenate([p, q])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
@@ -192,27 +206,40 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("cls"), F.col("b").alias("comp")).unionByName(ends)
 
 
-def _forest(cls: list[bytes], comp: list[bytes], sets: list[bytes], cross: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links among a task's classes that known components do not imply."""
-    arrays = [np.frombuffer(s, dtype=U) for s in sets]
-    sizes = np.array([len(a) for a in arrays])
-    values, column = np.unique(np.concatenate(arrays), return_inverse=True)
-    row = np.repeat(np.arange(len(arrays)), sizes)
-    shared = np.bincount(column, minlength=len(values)) > 1
-    held = shared[column]
-    row, column = row[held], (np.cumsum(shared) - 1)[column[held]]
-    common = np.zeros((len(arrays), len(arrays)), dtype=np.float32)
-    width = 4096
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for lo in range(0, int(shared.sum()), width):
-        i, j = np.searchsorted(column, [lo, lo + width])
-        dense = np.zeros((len(arrays), width), dtype=np.float32)
-        dense[row[i:j], column[i:j] - lo] = 1
-        common += dense @ dense.T
-    common = common.astype(np.int64)
-    linked = _linked(common, sizes[:, None], sizes[None, :], percent) & cross
-    root = {c: c for c in comp}
+def _common(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets, by products of incidence matrices."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+
+    def cells(values: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        held = np.flatnonzero(shared[at] == values)
+        held = held[np.argsort(at[held], kind="stable")]
+        return row[held], at[held]
+
+    if len(shared):
+        (ra, ca), (rb, cb) = cells(a, left), cells(b, right)
+        for lo in range(0, len(shared), width):
+            dense = []
+            for r, c, n in ((ra, ca, len(left)), (rb, cb, len(right))):
+                i, j = np.searchsorted(c, [lo, lo + width])
+                m = np.zeros((n, width), dtype=np.float32)
+                m[r[i:j], c[i:j] - lo] = 1
+                dense.append(m)
+            out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between two blocks that join components, no more than make a forest."""
+    p, q = ([np.asarray(x).view(U) for x in side["set"]] for side in (left, right))
+    common = _common(p, q)
+    sizes = np.array([len(x) for x in p])[:, None] + np.array([len(x) for x in q])[None, :]
+    linked = 100 * common >= percent * (sizes - common)
+    comp_l, comp_r, cls_l, cls_r = left["comp"].tolist(), right["comp"].tolist(), left["cls"].tolist(), right["cls"].tolist()
+    root = {c: c for c in (*comp_l, *comp_r)}
 
     def find(c: bytes) -> bytes:
         while root[c] != c:
@@ -221,36 +248,57 @@ def _forest(cls: list[bytes], comp: list[bytes], sets: list[bytes], cross: np.nd
         return c
 
     out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1))), strict=True):
-        p, q = find(comp[i]), find(comp[j])
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((cls[i], cls[j]))
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        a, b = find(comp_l[i]), find(comp_r[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((cls_l[i], cls_r[j]))
     return out
 
 
-def _block_links(members: DataFrame, comps: DataFrame, docs: DataFrame, fingerprints: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links between members of large buckets that are still in different components."""
+def _central(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (band, cls) of large buckets that may link there, with the bucket's centre as lead.
+
+    A shingle that no other class has is in no intersection. A text of n
+    shingles, s of them shared, that links with one of m has
+    100 * s >= percent * (n + m - s), and 100 * m >= percent * n.
+    """
+    each = sets.select("cls", F.explode("set").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cls").alias("cls")).filter("n = 1").groupBy("cls").agg(F.count("*").alias("own"))
+    sized = sets.select("cls", F.size("set").alias("size")).join(alone, "cls", "left").select("cls", "size", F.coalesce("own", F.lit(0)).alias("own"))
+    members = large.join(sized, "cls")
+    least = members.groupBy("band").agg(F.min("size").alias("least"))
+    partner = F.greatest(100 * F.col("least"), percent * F.col("size"))
+    shared = F.col("size") - F.col("own")
+    able = members.join(least, "band").filter(10000 * shared >= percent * (100 * (F.col("size") - shared) + partner))
+    lead = able.groupBy("band").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("share"), "cls")).alias("first"), F.count("*").alias("n"))
+    return able.select("band", "cls").join(lead.filter("n > 1").select("band", F.col("first.cls").alias("lead")), "band")
+
+
+def _block_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links that join members of large buckets to others of their bucket, where components still differ.
+
+    Those outside the centre's component are dealt out in blocks, and so is
+    the whole bucket; every block of the former meets every one of the latter.
+    """
     tagged = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    split = tagged.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    rest = cut(tagged.join(split.select("band", "n"), "band"))
+    centre = comps.select(F.col("cls").alias("lead"), F.col("comp").alias("main"))
+    tagged = tagged.join(centre, "lead", "left").withColumn("out", F.col("comp") != F.coalesce("main", "lead"))
+    counts = tagged.groupBy("band").agg(F.count("*").alias("n"), F.count_if("out").alias("n_out")).filter("n_out > 0")
+    rest = cut(tagged.join(counts, "band").select("band", "cls", "comp", "out", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("out_blocks")))
     if rest.isEmpty():
         return None
-    sets = _sets(docs, fingerprints, rest.select("cls").distinct(), words)
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = rest.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp")
+    place = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.filter("out").select("band", "cls", "comp", F.lit(True).alias("left"), place("out_blocks").alias("i"), each("blocks").alias("j"))
+    right = rest.select("band", "cls", "comp", F.lit(False).alias("left"), each("out_blocks").alias("i"), place("blocks").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["comp"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []})
-        own = pdf["own"].to_numpy()
-        cross = (own[:, None] != own[None, :]) | (pdf["i"].iloc[0] == pdf["j"].iloc[0])
-        found = _forest(pdf["cls"].tolist(), pdf["comp"].tolist(), pdf["set"].tolist(), cross, percent)
+        a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
+        found = _forest(a, b, percent) if len(a) and len(b) else []
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.join(sets, "cls").groupBy("band", "i", "j").applyInPandas(run, "a binary, b binary")
+    return left.unionByName(right).join(sets, "cls").groupBy("band", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,20 +318,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, id_co
     classes = prints.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = cut(classes)
     banded = classes.select("cls", F.explode("bands").alias("band"))
-    buckets = cut(banded.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).filter("n > 1"))
+    buckets = cut(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     members = banded.join(buckets, "band")
     small = members.filter(f"n <= {SMALL}").groupBy("band").agg(F.sort_array(F.collect_list("cls")).alias("m"))
     firsts = small.select(F.posexplode("m").alias("k", "a"), "m")
     pairs = firsts.select("a", F.explode(F.expr("slice(m, k + 2, size(m))")).alias("b"))
-    large = members.filter(f"n > {SMALL}").select("band", "cls", "lead")
-    stars = large.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
-    sigs = classes.select("cls", "sig")
-    likely = cut(_estimated(pairs.unionByName(stars).distinct(), sigs, percent / 100))
+    large = members.filter(f"n > {SMALL}").select("band", "cls")
+    any_large = not buckets.filter(f"n > {SMALL}").isEmpty()
+    if any_large:
+        sets = cut(_sets(own, prints, large.select("cls").distinct(), words))
+        large = cut(_central(large, sets, percent))
+        pairs = pairs.unionByName(large.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")))
+    likely = cut(_estimated(pairs.distinct(), classes.select("cls", "sig"), percent / 100))
     wanted = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).distinct()
     edges = cut(_confirmed(likely, _sets(own, prints, wanted, words), percent))
     comps = components(edges)
-    if not buckets.filter(f"n > {SMALL}").isEmpty():
-        more = _block_links(large.select("band", "cls"), comps, own, prints, words, percent)
+    if any_large:
+        more = _block_links(large, comps, sets, percent)
         if more is not None:
             comps = components(edges.unionByName(more))
     named = classes.select("cls", "id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
