@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import bpe, decontaminate, lm, neardup, quality, rules, spans, toxicity
+from taxloom.llm import bpe, decontaminate, lm, neardup, pii, quality, rules, spans, toxicity
 from taxloom.llm.shared import bucket_of, table
 
 
@@ -28,6 +28,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(doc_id.alias("doc_id"), (bucket_of(doc_id, 4) == 2).alias("held_out"), "score", (F.col("score") >= POSITIVE).cast("int").alias("predicted"), "spans")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(k, F.col("base")).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("base"), F.col("terms")).alias("spans"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.verdicts(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -75,6 +81,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op5_language_model": op5_language_model,
     "op6_quality_rules": op6_quality_rules,
