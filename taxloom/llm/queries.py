@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import bpe, decontaminate, lm, neardup, pii, quality, rules, spans, toxicity
+from taxloom.llm import bpe, decontaminate, licenses, lm, neardup, pii, quality, rules, spans, toxicity
 from taxloom.llm.shared import bucket_of, table
 
 
@@ -47,6 +47,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = bucket_of(F.col("id"), 5) == 1
     scored = lm.score(table(spark, sf_dir, "documents"), ~held_out)
@@ -83,6 +87,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
+    "op4_license_scan": op4_license_scan,
     "op5_language_model": op5_language_model,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_duplicates": op7_near_duplicates,
