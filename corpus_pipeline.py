@@ -1,4 +1,71 @@
-"""The corpus pipeline: stages that filter, clean and encode documents, one after another."""
+"""The corpus pipeline: stages that filter, clean and encode documents, one after another.
 
-STAGES: list = []
+Every stage gets all documents that its predecessor kept, reread from Parquet.
+A document id names one document: rows that share it stay or go together.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taxloom.llm import bpe, decontaminate, neardup, pii, toxicity
+from taxloom.llm.shared import shared_folder, table
+
+#: Documents with this score or more are rejected as toxic.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fitted random field does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), None)
+    return toxicity.score(docs, model).filter(F.col("score") < TOXIC).select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that of the smallest id."""
+    gone = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in windows of the benchmark."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.verdicts(found).filter(~F.col("contaminated")).select("row.*")
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and terms that reveal it replaced in the text."""
+    return pii.sanitise(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digest of the text that they decode to."""
+    out = bpe.encode_decode(docs, bpe.default_path())
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", remove_personal_data),
+    ("encoding", encode),
+]
+
+#: SQL cannot express the classifier, the signatures and the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; what each returns is written to the shared folder and reread."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -215,6 +215,13 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
+def default_path() -> str:
+    """The public byte-level vocabulary that is installed beside the library."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Bpe:
     return Bpe(path)
@@ -231,7 +238,7 @@ def _sliced(texts: list[str]):
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids (little-endian unsigned 32-bit, as binary) and decoded, a row for each row.
+    """id_col, n_tokens, ids and decoded, a row for each row.
 
     A null text counts as empty; an empty text has no tokens. Rows with equal
     or null ids stay apart, other columns are not read. `path` names a
@@ -243,10 +250,12 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         ids = [x for part in _sliced(texts) for x in bpe.encode(part)]
         decoded = [bpe.decode(x) for x in ids]
-        counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids", "decoded"])
+        counts = np.array([len(x) // 4 for x in ids])
+        flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), lists, pa.array(decoded, pa.string())], ["id", "n_tokens", "ids", "decoded"])
 
-    return _run(docs, run, id_col, text_col, "n_tokens long, ids binary, decoded string")
+    return _run(docs, run, id_col, text_col, "n_tokens long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

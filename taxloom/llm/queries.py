@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from taxloom.llm import bpe, decontaminate, licenses, lm, neardup, pii, quality, rules, spans, toxicity
 from taxloom.llm.shared import bucket_of, table
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 #: Texts count as positive from this score on.
 POSITIVE = 0.3
 
@@ -68,7 +63,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +79,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,

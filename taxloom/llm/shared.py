@@ -15,16 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the rows are in the shared folder and the lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (local tests) a temporary one is made.
+    Only where that is unset (local tests) a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "taxloom-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: the rows are in the shared folder and the lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
