@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +74,7 @@ def class_weights(y: np.ndarray, totals: dict[int, int]) -> np.ndarray:
     return w / w.mean() if len(w) else w
 
 
-def choose(feats: list[np.ndarray], doc: np.ndarray, y: np.ndarray, most: int, rare: int = 3, least: float = 0.7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def choose(feats: Iterable[np.ndarray], doc: np.ndarray, y: np.ndarray, most: int, rare: int = 3, least: float = 0.7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slots, keys, log odds) of the features that tell texts of class 1 from those of class 0 best.
 
     feats holds hashes, an array for each kind of feature with an entry for

@@ -9,6 +9,7 @@ text's score and give the offsets of offending runs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +44,12 @@ def token_features(words: Words) -> list[np.ndarray]:
     return [mix(h + U(k + 1)) for k, h in enumerate(words.parts(PARTS))]
 
 
+def _each_feature(words: Words) -> Iterator[np.ndarray]:
+    """As token_features, one kind at a time in memory."""
+    for k, size in enumerate(PARTS):
+        yield mix(words.parts([size])[0] + U(k + 1))
+
+
 def forward_backward(s: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ratios toxic : clean of the forward and of the backward messages at every token.
 
@@ -136,9 +143,9 @@ def train(sample: list[tuple[str, int]], totals: dict[int, int]) -> Crf:
         empty.doc[-1] = 4.0 if totals.get(1) else -4.0
         return empty
     words = words_of([t.encode().lower() for t, _ in sample], ALNUM)
-    feats, doc = token_features(words), words.doc
-    slots, keys, odds = choose(feats, doc, y, FEATURES)
-    index = [index_of(slots, keys, h) for h in feats]
+    doc = words.doc
+    slots, keys, odds = choose(_each_feature(words), doc, y, FEATURES)
+    index = [index_of(slots, keys, h).astype(np.int32) for h in _each_feature(words)]
     padded = np.append(odds, 0.0)
     clue = np.max([padded[i] for i in index], axis=0) if len(doc) else np.zeros(0)
     label = ((clue >= 2.0) & (y[doc] == 1)).astype(np.int64)
