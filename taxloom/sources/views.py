@@ -167,3 +167,24 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """Oracle SQL in front of which the named views stand as common table expressions."""
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + " " + sql
+
+_NL = " || CHR(10) || "
+_SUB = f"CAST(FLOOR({_CENTS} * 10 / 11) AS BIGINT)"
+#: Receipt, fuel, invoice, statement and meal texts with what such papers say, made of each order's figures.
+VIEWS["receipts"] = f"""
+SELECT o_orderkey AS doc_id,
+  CASE o_orderkey % 5 WHEN 0 THEN 'business_receipt' WHEN 1 THEN 'fuel_receipt' WHEN 2 THEN 'tax_invoice' WHEN 3 THEN 'bank_statement' ELSE 'meal_receipt' END AS doc_type,
+  CAST((o_custkey * 37 + o_orderkey * 11) % 1001 AS DOUBLE) / 1000 AS compliance_score,
+  o_custkey % 4 = 0 AS highlights_detected,
+  CASE WHEN o_custkey % 3 = 0 THEN 'STORE: ' ELSE 'Supplier: ' END || {_SUPPLIER}{_NL}
+  CASE WHEN o_orderkey % 4 = 0 THEN 'DATE: ' || {_DATE} WHEN o_orderkey % 4 = 1 THEN 'Invoice date ' || {_DATE} WHEN o_orderkey % 4 = 2 THEN 'paid on ' || REPLACE({_DATE}, '/', '-') ELSE 'no day given' END{_NL}
+  CASE WHEN o_custkey % 2 = 0 THEN 'ABN: ' || {_ABN} ELSE 'a.b.n. withheld' END{_NL}
+  CASE o_orderkey % 5 WHEN 0 THEN 'RECEIPT: no #' || CAST(o_orderkey AS STRING) || ' Qty: ' || CAST(o_custkey % 9 AS STRING) || ' items purchase'
+    WHEN 1 THEN 'Pump ' || CAST(o_custkey % 12 AS STRING) || ' ' || CAST(o_orderkey % 60 + 5 AS STRING) || '.5 litres at 18' || CAST(o_custkey % 10 AS STRING) || '.9 c/l Diesel: max'
+    WHEN 2 THEN 'Tax Invoice Invoice Number: INV-' || CAST(o_orderkey AS STRING) || ' professional services consulting customer'
+    WHEN 3 THEN 'Westpac account statement BSB: 03' || CAST(o_custkey % 10 AS STRING) || '-' || LPAD(CAST(o_custkey % 1000 AS STRING), 3, '0') || ' account number: ' || LPAD(CAST(o_custkey AS STRING), 8, '7') || ' opening balance closing balance'
+    ELSE 'Table ' || CAST(o_custkey % 30 AS STRING) || ' cafe lunch covers 2 coffee Sydney' END{_NL}
+  'SUBTOTAL: $' || {_money(_SUB)}{_NL}
+  CASE WHEN o_orderkey % 7 = 0 THEN 'TAX: ' ELSE 'GST: $' END || {_money(f"{_CENTS} - {_SUB}")}{_NL}
+  'TOTAL: $' || {_money(_CENTS)} AS text
+FROM orders"""
