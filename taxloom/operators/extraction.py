@@ -128,16 +128,19 @@ def extract(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     rules = rules or RULES
     text, raw = F.col("text"), {}
     for field in dict.fromkeys(r.field for r in rules):
-        by_type = None
+        alike: dict[tuple[int, ...], list[str]] = {}  # types with the same rules share a branch
         for kind in TYPES:
-            tried = [(rules.index(r), found(text, r)) for r in rules_for(kind, field, rules)]
+            alike.setdefault(tuple(rules.index(r) for r in rules_for(kind, field, rules)), []).append(kind)
+        by_type = None
+        for tried, kinds in alike.items():
             if not tried:
                 continue
+            values = [found(text, rules[k]) for k in tried]
             rule = None
-            for k, v in tried:
+            for k, v in zip(tried, values, strict=True):
                 rule = F.when(v.isNotNull(), k) if rule is None else rule.when(v.isNotNull(), k)
-            both = F.struct(F.coalesce(*[v for _, v in tried]).alias("value"), rule.alias("rule"))
-            by_type = F.when(F.col("doc_type") == kind, both) if by_type is None else by_type.when(F.col("doc_type") == kind, both)
+            both, own = F.struct(F.coalesce(*values).alias("value"), rule.alias("rule")), F.col("doc_type").isin(kinds)
+            by_type = F.when(own, both) if by_type is None else by_type.when(own, both)
         raw[field] = by_type
     read = docs.withColumns(raw)
     done = {f: F.when(F.col(f"{f}.rule").isNotNull(), F.struct(cleaned(f, F.col(f"{f}.value")).alias("value"), confidence(F.col(f"{f}.value"), F.col(f"{f}.rule"), f, text, rules).alias("confidence"))) for f in raw}
