@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taxloom.operators import classification as cl
+from taxloom.operators import compliance as co
 from taxloom.operators import confidence as cf
 from taxloom.operators import extraction as ex
+from taxloom.operators import registry as reg
 from taxloom.plans.result_queries import rounded
 from taxloom.sources.views import view, with_views
 
+#: The year against which dates are checked.
+THIS_YEAR = 2024
 #: Names of rule fields in the confidence model.
 _RENAMED = {"date": "date", "total": "total_amount", "supplier": "supplier_name", "gst": "gst_amount", "abn": "abn", "invoice_number": "invoice_number"}
 
@@ -31,15 +35,34 @@ def confusion(spark, d):
     return cl.classify(view(spark, d, "receipts")).groupBy("doc_type", "predicted").agg(F.count("*").alias("n"))
 
 
+def _fields(spark, d):
+    """Texts with what the rules read, as a map under the names that later steps use."""
+    rows = ex.extract(view(spark, d, "receipts"))
+    names = {f: _RENAMED.get(f, f) for f in ex.FIELDS}
+    both = F.map_from_arrays(F.array(*map(F.lit, names.values())), F.array(*[F.coalesce(F.col(f"{f}.value"), F.lit("")) for f in names]))
+    return rows.select("doc_id", "doc_type", "text", "highlights_detected", both.alias("fields"))
+
+
+def compliance(spark, d):
+    out = co.assess(_fields(spark, d), THIS_YEAR)
+    names = [*co.WEIGHTS, "compliance_score"]
+    return rounded(out.select("doc_id", *names, "n_issues", "passed", F.array_join("advice", ",").alias("advice")), *names)
+
+
+def recognition(spark, d):
+    rows = view(spark, d, "receipts").withColumn("m", reg.best(F.col("text"))).filter("m is not null")
+    return rows.select("doc_id", F.col("m.name").alias("name"), F.round("m.confidence", 6).alias("confidence"), reg.category(F.col("m.industry")).alias("category"))
+
+
 def pipeline(spark, d):
-    """Text to fields to type to grade, as one chain without a shuffle."""
-    rows = cl.classify(ex.extract(view(spark, d, "receipts")))
-    fields = F.map_from_arrays(F.array(*map(F.lit, _RENAMED.values())), F.array(*[F.coalesce(F.col(f"{f}.value"), F.lit("")) for f in _RENAMED]))
+    """Text to fields to compliance to grade, as one chain without a shuffle."""
+    rows = cl.classify(co.assess(_fields(spark, d), THIS_YEAR).withColumnRenamed("advice", "compliance_advice"))
+    fields = F.map_filter("fields", lambda k, _: k.isin(*_RENAMED.values()))
     rows = rows.withColumn("fields", fields)
     rows = rows.withColumns({"extraction": cf.extraction_quality(F.col("fields")), "business": cf.business_recognition(F.col("text"), F.col("fields"), F.col("highlights_detected"))})
-    out = cf.assess(F.col("score"), F.col("extraction"), F.col("compliance_score"), F.col("compliance_score") >= 0.4, F.col("business"), F.col("fields"))
+    out = cf.assess(F.col("score"), F.col("extraction"), F.col("compliance_score"), F.col("passed"), F.col("business"), F.col("fields"))
     flat = {k: F.array_join(c, ",") if k in ("flags", "advice") else c for k, c in out.items()}
-    return rounded(rows.select("doc_id", "predicted", "extraction", "business", *[c.alias(k) for k, c in flat.items()]), "extraction", "business", "overall")
+    return rounded(rows.select("doc_id", "predicted", "extraction", "business", "compliance_score", *[c.alias(k) for k, c in flat.items()]), "extraction", "business", "overall", "compliance_score")
 
 
 def rule_stats(spark, d):
@@ -99,10 +122,28 @@ QUERIES = {
     "g10_field_coverage": field_coverage,
     "c2_classify_documents": classify,
     "c2_confusion": confusion,
+    "j2_business_recognition": recognition,
+    "g22_registry_statistics": lambda s, d: reg.statistics(reg.as_frame(s)),
+    "a1_compliance": compliance,
     "e1_document_pipeline": pipeline,
 }
 
+
+
+def _keyword(b: reg.Business) -> str:
+    parts = []
+    for w in b.keywords:
+        base = 0.9 if len(w) > 15 else 0.85 if len(w) > 10 else 0.8 if len(w) > 6 else 0.75
+        times = f"((LENGTH(low) - LENGTH(REPLACE(low, '{w}', ''))) / {len(w)})"
+        parts.append(f"WHEN CONTAINS(low, '{w}') THEN LEAST({base}E0 + CASE WHEN REGEXP_MATCHES(low, '\\b{w}\\b') THEN 0.15E0 ELSE 0 END + LEAST(0.1E0 * GREATEST({times} - 1, 0), 0.2E0), 1.0E0)")
+    return "CASE " + " ".join(parts) + " END"
+
+
+_MATCHES = " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, '{b.name}' AS name, '{reg.SIMPLE.get(b.industry, b.industry)}' AS category, ROUND({_keyword(b)}, 9) AS confidence FROM low" for k, b in enumerate(reg.DEFAULT))
+
 ORACLES = {
+    "j2_business_recognition": with_views("", "receipts").rstrip() + f", low AS (SELECT doc_id, LOWER(text) AS low FROM receipts), m AS ({_MATCHES}), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) AS place FROM m WHERE confidence IS NOT NULL) SELECT doc_id, name, ROUND(confidence, 6) AS confidence, category FROM r WHERE place = 1",
+    "g22_registry_statistics": "WITH b(industry, kind, states) AS (VALUES " + ", ".join(f"('{b.industry}', '{b.kind}', '{','.join(b.states)}')" for b in reg.DEFAULT) + """) SELECT 'industry' AS "by", industry AS value, COUNT(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'kind', kind, COUNT(*) FROM b GROUP BY 2 UNION ALL SELECT 'state', s, COUNT(*) FROM (SELECT UNNEST(STRING_SPLIT(states, ',')) AS s FROM b) t GROUP BY 2""",
     "x10_rule_statistics": "SELECT field, COUNT(*) AS rules, MAX(priority) AS highest, COUNT(CASE WHEN priority >= 9 THEN 1 END) AS strong FROM (VALUES " + ", ".join(f"('{r.field}', {r.priority})" for r in ex.RULES) + ") t(field, priority) GROUP BY field",
     "g10_field_coverage": _FIELDS + "SELECT doc_type, field, COUNT(*) AS n, COUNT(DISTINCT raw) AS different FROM kept GROUP BY doc_type, field",
     "c2_classify_documents": _CLASS + "SELECT doc_id, predicted, ROUND(score, 6) AS score FROM predicted",
