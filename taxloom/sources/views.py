@@ -125,13 +125,13 @@ SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'fuel_receipt' WHEN 1 THEN 'tax_in
 FROM events"""
 
 _HIGHLIGHTS = """
-SELECT l_orderkey AS image_id, l_linenumber AS ord, CAST(l_partkey * 7 % 600 AS INT) AS x, CAST(l_suppkey * 13 % 900 AS INT) AS y,
+SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey AS ord, CAST(l_partkey * 7 % 600 AS INT) AS x, CAST(l_suppkey * 13 % 900 AS INT) AS y,
   CAST(20 + l_partkey % 380 AS INT) AS width, CAST(10 + l_suppkey % 60 AS INT) AS height,
   CASE l_partkey % 5 WHEN 0 THEN 'yellow' WHEN 1 THEN 'green' WHEN 2 THEN 'pink' WHEN 3 THEN 'blue' ELSE 'orange' END AS color,
   CAST((l_partkey * 3 + l_suppkey) % 101 AS DOUBLE) / 100 AS confidence
 FROM lineitem"""
 _BOXES = """
-SELECT l_orderkey AS image_id, l_linenumber AS ord, CAST(l_suppkey * 7 % 620 AS INT) AS x1, CAST(l_partkey * 11 % 900 AS INT) AS y1,
+SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey AS ord, CAST(l_suppkey * 7 % 620 AS INT) AS x1, CAST(l_partkey * 11 % 900 AS INT) AS y1,
   CAST(l_suppkey * 7 % 620 + 15 + l_partkey % 90 AS INT) AS x2, CAST(l_partkey * 11 % 900 + 8 + l_suppkey % 20 AS INT) AS y2,
   'word' || CAST(l_partkey % 50 AS STRING) AS text, CAST((l_suppkey * 3 + l_partkey) % 101 AS DOUBLE) / 100 AS confidence
 FROM lineitem"""
