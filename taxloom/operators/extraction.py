@@ -37,6 +37,7 @@ RULES = [
     Rule("supplier", 15, r"STORE:\s*(.+?)(?:\n|$)"),
     Rule("total", 15, r"TOTAL:\s*" + _MONEY),
     Rule("total", 20, r"SUBTOTAL:\s*\$[\d,.]+\s*GST[^$]*\$[\d,.]+\s*TOTAL:\s*" + _MONEY, ("business_receipt", "tax_invoice")),
+    Rule("total", 18, r"\$\d{1,3}(?:,\d{3})*(?:\.\d{2})?\s*\$\d{1,2}(?:\.\d{2})?\s*\$(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)\s*SUBTOTAL:\s*GST.*?TOTAL:", ("business_receipt",)),
     Rule("total", 17, r"TOTAL:\s*\$?(\d{3,}(?:\.\d{2})?)", ("business_receipt",)),
     Rule("gst", 15, r"TAX:\s*(\d+(?:\.\d{2})?)"),
     Rule("abn", 15, r"ABN:\s*" + _ABN),

@@ -9,6 +9,7 @@ from taxloom.operators import compliance as co
 from taxloom.operators import confidence as cf
 from taxloom.operators import extraction as ex
 from taxloom.operators import registry as reg
+from taxloom.operators import texts as tx
 from taxloom.plans.result_queries import rounded
 from taxloom.sources.views import view, with_views
 
@@ -54,6 +55,41 @@ def recognition(spark, d):
     return rows.select("doc_id", F.col("m.name").alias("name"), F.round("m.confidence", 6).alias("confidence"), reg.category(F.col("m.industry")).alias("category"))
 
 
+def primary_bank(spark, d):
+    rows = view(spark, d, "receipts").withColumn("b", tx.primary_bank(F.col("text"))).filter("b is not null")
+    return rows.select("doc_id", F.col("b.bank").alias("bank"), F.col("b.category").alias("category"), F.round("b.confidence", 6).alias("confidence"))
+
+
+def cleaned_responses(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    return rows.select("conv_id", "turn", F.length(tx.cleanup(F.coalesce("text", F.lit("")))).alias("length"))
+
+
+def line_items(spark, d):
+    """Lines of orders as invoice text, read back."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    money = lambda c: F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
+    line = F.concat_ws(" ", F.concat(F.lit("Part no"), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("int").cast("string"), money(F.floor(cents / F.col("l_quantity").cast("int"))), money(cents))
+    texts = rows.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("INVOICE\n"), line, F.lit("\nthank you")).alias("text"))
+    out = tx.line_items(texts)
+    return out.groupBy("id").agg(F.count("*").alias("items"), F.sum(F.round(F.col("line_total") * 100).cast("long")).alias("cents"), F.sum("quantity").cast("long").alias("quantity"))
+
+
+def enhanced(spark, d):
+    """Transactions of a statement against the highlights of the same statement."""
+    t = view(spark, d, "bank_txns")
+    txns = t.filter("event_id % 2 = 0").select("statement_id", "ord", "description", F.col("cents").cast("string").alias("amount"), (F.col("event_id") % 90 / 100).alias("work_score"))
+    marks = t.filter("event_id % 50 = 1").select("statement_id", "ord", F.concat(F.col("description"), F.lit(" trip")).alias("description"), F.col("cents").cast("string").alias("amount"), F.when(F.col("event_id") % 3 == 0, "yellow").otherwise("green").alias("color"))
+    out = tx.enhanced(txns, marks, "statement_id")
+    return rounded(out.select("statement_id", "ord", "work_score", "highlighted", "highlight_color"), "work_score")
+
+
+def work_scores(spark, d):
+    rows = view(spark, d, "bank_txns").withColumn("w", tx.work_score(F.col("description")))
+    return rows.select("event_id", F.round("w.score", 6).alias("score"), F.col("w.category").alias("category"), F.array_join("w.indicators", ",").alias("indicators"))
+
+
 def pipeline(spark, d):
     """Text to fields to compliance to grade, as one chain without a shuffle."""
     rows = cl.classify(co.assess(_fields(spark, d), THIS_YEAR).withColumnRenamed("advice", "compliance_advice"))
@@ -124,6 +160,12 @@ QUERIES = {
     "c2_confusion": confusion,
     "j2_business_recognition": recognition,
     "g22_registry_statistics": lambda s, d: reg.statistics(reg.as_frame(s)),
+    "c12_primary_bank": primary_bank,
+    "c17_prompt_routes": lambda s, d: view(s, d, "receipts").groupBy("doc_type", tx.route(F.col("text"), F.col("doc_type")).alias("prompt")).agg(F.count("*").alias("n")),
+    "p21_cleaned_responses": cleaned_responses,
+    "x7_line_items": line_items,
+    "j12_enhanced_transactions": enhanced,
+    "b5_work_scores": work_scores,
     "a1_compliance": compliance,
     "e1_document_pipeline": pipeline,
 }
@@ -141,7 +183,23 @@ def _keyword(b: reg.Business) -> str:
 
 _MATCHES = " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, '{b.name}' AS name, '{reg.SIMPLE.get(b.industry, b.industry)}' AS category, ROUND({_keyword(b)}, 9) AS confidence FROM low" for k, b in enumerate(reg.DEFAULT))
 
+
+def _bank(k: int, name: str, category: str, pattern: str) -> str:
+    hits = f"LIST_DISTINCT(REGEXP_EXTRACT_ALL(low, '{pattern}'))"
+    return f"SELECT doc_id, {k} AS ord, '{name}' AS bank, '{category}' AS category, LEN({hits}) AS n, LEN(LIST_FILTER({hits}, lambda h: LENGTH(h) > 10)) AS long, ctx FROM low"
+
+
+_CTX = " + ".join(f"CASE WHEN CONTAINS(LOWER(text), '{w}') THEN 1 ELSE 0 END" for w in tx.BANK_CONTEXT)
+_BANKS = " UNION ALL ".join(_bank(k, *b) for k, b in enumerate(tx.BANKS))
+_ROUTE = "CASE " + " ".join("WHEN " + " OR ".join(f"CONTAINS(LOWER(text), '{_sql(w)}')" for w in ws.split("|")) + f" THEN '{k}_extraction_prompt'" for k, ws in tx.ROUTES) + " WHEN doc_type IN ('business_receipt', 'fuel_receipt', 'tax_invoice', 'bank_statement') THEN doc_type || '_extraction_prompt' ELSE 'business_receipt_extraction_prompt' END"
+_KINDS = " UNION ALL ".join(f"SELECT event_id, {k} AS ord, '{c}' AS category, ROUND(0.3E0 * ({' + '.join(f'CASE WHEN CONTAINS(d, {chr(39)}{w}{chr(39)}) THEN 1 ELSE 0 END' for w in ws.split())}), 9) AS s FROM t" for k, (c, ws) in enumerate(tx.WORK_CATEGORIES.items()))
+
 ORACLES = {
+    "c12_primary_bank": with_views("", "receipts").rstrip() + f", low AS (SELECT doc_id, LOWER(text) AS low, {_CTX} AS ctx FROM receipts), m AS ({_BANKS}), s AS (SELECT *, ROUND(LEAST(0.6E0 + CASE WHEN long > 0 THEN 0.3E0 ELSE 0 END + CASE WHEN n > 1 THEN 0.1E0 ELSE 0 END + CASE WHEN ctx >= 3 THEN 0.2E0 WHEN ctx >= 1 THEN 0.1E0 ELSE 0 END, 1.0E0), 9) AS confidence FROM m WHERE n > 0), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) AS place FROM s) SELECT doc_id, bank, category, ROUND(confidence, 6) AS confidence FROM r WHERE place = 1 AND confidence >= 0.7",
+    "c17_prompt_routes": with_views(f"SELECT doc_type, {_ROUTE} AS prompt, COUNT(*) AS n FROM receipts GROUP BY 1, 2", "receipts"),
+    "x7_line_items": "SELECT l_orderkey AS id, COUNT(*) AS items, CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(SUM(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY l_orderkey",
+    "j12_enhanced_transactions": with_views("", "bank_txns").rstrip() + ", a AS (SELECT statement_id, ord, description, CAST(cents AS VARCHAR) AS amount, CAST(event_id % 90 AS DOUBLE) / 100 AS work_score FROM bank_txns WHERE event_id % 2 = 0), b AS (SELECT statement_id, ord AS mark, description || ' trip' AS marked, CAST(cents AS VARCHAR) AS marked_amount, CASE WHEN event_id % 3 = 0 THEN 'yellow' ELSE 'green' END AS color FROM bank_txns WHERE event_id % 50 = 1), p AS (SELECT a.statement_id, a.ord, b.mark, b.color, ROW_NUMBER() OVER (PARTITION BY a.statement_id, a.ord ORDER BY b.mark) AS k FROM a JOIN b ON a.statement_id = b.statement_id WHERE LEN(LIST_INTERSECT(LIST_DISTINCT(STRING_SPLIT(LOWER(a.description), ' ')), LIST_DISTINCT(STRING_SPLIT(LOWER(b.marked), ' ')))) >= 2 OR CONTAINS(b.marked_amount, a.amount)) SELECT a.statement_id, a.ord, ROUND(CASE WHEN p.mark IS NOT NULL THEN LEAST(a.work_score + 0.3E0, 1.0E0) ELSE a.work_score END, 6) AS work_score, p.mark IS NOT NULL AS highlighted, p.color AS highlight_color FROM a LEFT JOIN p ON p.statement_id = a.statement_id AND p.ord = a.ord AND p.k = 1",
+    "b5_work_scores": with_views("", "bank_txns").rstrip() + f", t AS (SELECT event_id, LOWER(description) AS d FROM bank_txns), k AS ({_KINDS}), best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY s DESC, ord) AS place FROM k) u WHERE place = 1) SELECT t.event_id, ROUND(LEAST(0.2E0 * ({' + '.join(f'CASE WHEN CONTAINS(d, {chr(39)}{w}{chr(39)}) THEN 1 ELSE 0 END' for w in tx.WORK_WORDS)}) + LEAST(s, 0.6E0), 1.0E0), 6) AS score, CASE WHEN s > 0 THEN category END AS category, CONCAT_WS(',', {', '.join(f'CASE WHEN CONTAINS(d, {chr(39)}{w}{chr(39)}) THEN {chr(39)}{w}{chr(39)} END' for w in tx.WORK_WORDS)}) AS indicators FROM t JOIN best ON best.event_id = t.event_id",
     "j2_business_recognition": with_views("", "receipts").rstrip() + f", low AS (SELECT doc_id, LOWER(text) AS low FROM receipts), m AS ({_MATCHES}), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) AS place FROM m WHERE confidence IS NOT NULL) SELECT doc_id, name, ROUND(confidence, 6) AS confidence, category FROM r WHERE place = 1",
     "g22_registry_statistics": "WITH b(industry, kind, states) AS (VALUES " + ", ".join(f"('{b.industry}', '{b.kind}', '{','.join(b.states)}')" for b in reg.DEFAULT) + """) SELECT 'industry' AS "by", industry AS value, COUNT(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'kind', kind, COUNT(*) FROM b GROUP BY 2 UNION ALL SELECT 'state', s, COUNT(*) FROM (SELECT UNNEST(STRING_SPLIT(states, ',')) AS s FROM b) t GROUP BY 2""",
     "x10_rule_statistics": "SELECT field, COUNT(*) AS rules, MAX(priority) AS highest, COUNT(CASE WHEN priority >= 9 THEN 1 END) AS strong FROM (VALUES " + ", ".join(f"('{r.field}', {r.priority})" for r in ex.RULES) + ") t(field, priority) GROUP BY field",
