@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,12 @@ from taxloom.llm.shared import batched
 from taxloom.llm.textvec import ALNUM, U, Words, chunks, mix, words_of
 
 #: Bounds of the training sample: texts of a class and characters of a text.
-PER_CLASS, MAX_CHARS = 2500, 20_000
+PER_CLASS, MAX_CHARS = 2000, 8_000
 #: Features of a token: the word, its first and its last bytes.
 PARTS = [0, 4, 5, 6, 7, 8, -4, -6]
 FEATURES = 20_000
+#: Log odds, less two standard errors, from which a feature labels tokens of toxic texts.
+CLUE = 1.2
 
 
 @dataclass
@@ -138,25 +141,42 @@ def _doc_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 def train(sample: list[tuple[str, int]], totals: dict[int, int]) -> Crf:
     """A model from labelled texts; with one class only, it scores that class's share."""
     empty = Crf(NO_SLOTS, np.empty(0, dtype=U), np.empty(0), -6.0, np.zeros((2, 2)), np.zeros(5))
-    y = np.array([c for _, c in sample], dtype=np.int64)
+    sample = list(dict.fromkeys(sample))  # copies would lend weight to chance
+    fitted = [t for t in sample if crc32(t[0].encode()) % 4]
+    kept_back = [t for t in sample if crc32(t[0].encode()) % 4 == 0]
+    if any(len({c for _, c in part}) < 2 for part in (fitted, kept_back)):
+        fitted = kept_back = sample
+    y = np.array([c for _, c in fitted], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         empty.doc[-1] = 4.0 if totals.get(1) else -4.0
         return empty
-    words = words_of([t.encode().lower() for t, _ in sample], ALNUM)
+    words = words_of([t.encode().lower() for t, _ in fitted], ALNUM)
     doc = words.doc
     slots, keys, odds = choose(_each_feature(words), doc, y, FEATURES)
     index = [index_of(slots, keys, h).astype(np.int32) for h in _each_feature(words)]
-    padded = np.append(odds, 0.0)
+    padded = np.append(odds, -np.inf)
     clue = np.max([padded[i] for i in index], axis=0) if len(doc) else np.zeros(0)
-    label = ((clue >= 2.0) & (y[doc] == 1)).astype(np.int64)
+    label = ((clue >= CLUE) & (y[doc] == 1)).astype(np.int64)
     rate = max(1e-4, label.mean() if len(label) else 0)
     crf = Crf(slots, keys, np.zeros(len(keys)), float(np.log(rate)), np.zeros((2, 2)), np.zeros(5))
     train_chain(index, words.first, label, crf)
-    p = marginals(_emissions(crf, index), words.first, crf.trans)
-    crf.doc = logistic(_doc_features(p, words.first), y, class_weights(y, totals))
+    del index, words
+    x = np.concatenate([_doc_features(*_marginals_of(crf, part)) for _, part in _parts(kept_back)])
+    y = np.array([c for _, c in kept_back], dtype=np.int64)
+    crf.doc = logistic(x, y, class_weights(y, totals))
     return crf
 
 
+def _parts(sample: list[tuple[str, int]]) -> Iterator[tuple[int, list[bytes]]]:
+    return chunks(pa.array([t for t, _ in sample]))
+
+
+def _marginals_of(crf: Crf, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    words = words_of([t.lower() for t in texts], ALNUM)
+    index = [index_of(crf.slots, crf.keys, h) for h in token_features(words)]
+    return marginals(_emissions(crf, index), words.first, crf.trans), words.first
+
+
 def score_texts(crf: Crf, texts: list[bytes]) -> tuple[np.ndarray, list[list[dict[str, int]]]]:
     """Scores, and code-point offsets of the runs of tokens that are more likely toxic than not."""
     words = words_of([t.lower() for t in texts], ALNUM)
