@@ -38,6 +38,18 @@ def bucket_of(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % n
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package beside the driver's copy, whatever folder the session runs in.
+
+    A cluster without a common path ships the package (--py-files) instead.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def batched(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """df.mapInArrow with a function from one record batch to one."""
 
@@ -46,4 +58,5 @@ def batched(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schem
             if batch.num_rows:
                 yield fn(batch)
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
