@@ -190,7 +190,9 @@ def components(edges: DataFrame) -> DataFrame:
     is tied to the node's smallest neighbour, then every smaller one is.
     """
     ordered = lambda d: d.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = cut(ordered(edges)), None
+    state_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    now = cut(ordered(edges))
+    before = state_of(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -198,7 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a")
         now = cut(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = state_of(now)
         if state == before:
             break
         before = state
@@ -206,6 +208,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("cls"), F.col("b").alias("comp")).unionByName(ends)
 
 
+def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after more links (a, b): the links join whole components, so only these are connected anew."""
+    of = lambda end: comps.select(F.col("cls").alias(end), F.col("comp").alias(f"comp_{end}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    links = cut(ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
+    joined = components(links).select(F.col("cls").alias("old"), F.col("comp").alias("new"))
+    known = comps.join(joined, comps["comp"] == joined["old"], "left").select("cls", F.coalesce("new", "comp").alias("comp"))
+    alone = joined.join(comps, joined["old"] == comps["cls"], "left_anti").select(F.col("old").alias("cls"), F.col("new").alias("comp"))
+    return known.unionByName(alone)
+
+
 def _common(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Sizes of all intersections between two lists of sets, by products of incidence matrices."""
     a, b = np.concatenate(left), np.concatenate(right)
@@ -319,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, id_co
     classes = cut(classes)
     banded = classes.select("cls", F.explode("bands").alias("band"))
     buckets = cut(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = banded.join(buckets, "band")
+    members = cut(banded.join(buckets, "band"))
     small = members.filter(f"n <= {SMALL}").groupBy("band").agg(F.sort_array(F.collect_list("cls")).alias("m"))
     firsts = small.select(F.posexplode("m").alias("k", "a"), "m")
     pairs = firsts.select("a", F.explode(F.expr("slice(m, k + 2, size(m))")).alias("b"))
@@ -336,7 +349,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, id_co
     if any_large:
         more = _block_links(large, comps, sets, percent)
         if more is not None:
-            comps = components(edges.unionByName(more))
+            comps = _merged(comps, more)
     named = classes.select("cls", "id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     by_class = named.join(least, "comp").select("cls", "component_id")
