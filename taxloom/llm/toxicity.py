@@ -23,7 +23,7 @@ from taxloom.llm.shared import batched
 from taxloom.llm.textvec import ALNUM, U, Words, chunks, mix, words_of
 
 #: Bounds of the training sample: texts of a class and characters of a text.
-PER_CLASS, MAX_CHARS = 2000, 8_000
+PER_CLASS, MAX_CHARS = 1200, 5_000
 #: Features of a token: the word, its first and its last bytes.
 PARTS = [0, 4, 5, 6, 7, 8, -4, -6]
 FEATURES = 20_000
@@ -180,8 +180,9 @@ def _marginals_of(crf: Crf, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]
 def score_texts(crf: Crf, texts: list[bytes]) -> tuple[np.ndarray, list[list[dict[str, int]]]]:
     """Scores, and code-point offsets of the runs of tokens that are more likely toxic than not."""
     words = words_of([t.lower() for t in texts], ALNUM)
-    index = [index_of(crf.slots, crf.keys, h) for h in token_features(words)]
+    index = [index_of(crf.slots, crf.keys, h).astype(np.int32) for h in token_features(words)]
     p = marginals(_emissions(crf, index), words.first, crf.trans)
+    del index
     x = _doc_features(p, words.first)
     scores = sigmoid(x @ crf.doc[:-1] + crf.doc[-1])
     runs: list[list[dict[str, int]]] = [[] for _ in texts]
@@ -215,7 +216,7 @@ def score(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores, spans = [], []
-        for _, part in chunks(batch.column(1), 4 << 20):
+        for _, part in chunks(batch.column(1)):
             s, r = score_texts(sent.value, part)
             scores.append(s)
             spans += r
