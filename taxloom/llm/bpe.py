@@ -4,7 +4,7 @@ A sequence of tokens is the BPE encoding of its bytes exactly when every token
 encodes to itself and every adjacent pair survives on its own. So a word is
 first cut by greedy longest match; all adjacent pairs of a batch are then
 verified together in numpy, and only words with a failing pair are merged rank
-by rank. Verified words are kept in a bounded cache per worker.
+by rank. Verified words are kept in a bounded cache while a task lasts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from taxloom.llm.shared import batched
 
 #: Fixed: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Stretches in one of the two generations of a worker's cache.
+#: Stretches in one of the two generations of a task's cache.
 CACHED_WORDS = 250_000
 _CHUNK = 2 << 20
 
@@ -82,6 +82,10 @@ class Bpe:
         for t, ok in zip(made, held, strict=True):
             self.sound[t] = ok and self.sound[self.left[t]] and self.sound[self.right[t]]
         self.pattern = regex.compile(PATTERN)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the caches: Spark reuses its Python workers, so what they keep would weigh on later stages."""
         #: Verified stretches that start a text, and those that follow a space.
         self.heads: list[dict[str, bytes | None]] = [{}, {}]
         self.tails: list[dict[str, bytes | None]] = [{}, {}]
@@ -255,7 +259,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), lists, pa.array(decoded, pa.string())], ["id", "n_tokens", "ids", "decoded"])
 
-    return _run(docs, run, id_col, text_col, "n_tokens long, ids array<int>, decoded string")
+    return _run(docs, run, path, id_col, text_col, "n_tokens long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,10 +276,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 of_text.append(hashlib.sha256(bpe.decode(x).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _run(docs, run, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _run(docs, run, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _run(docs: DataFrame, run, id_col: str, text_col: str, more: str) -> DataFrame:
+def _run(docs: DataFrame, run, path: str, id_col: str, text_col: str, more: str) -> DataFrame:
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return batched(rows, run, f"id {kind}, {more}").withColumnRenamed("id", id_col)
+    return batched(rows, run, f"id {kind}, {more}", done=lambda: vocabulary(path).forget()).withColumnRenamed("id", id_col)

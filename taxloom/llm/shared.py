@@ -50,13 +50,17 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def batched(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """df.mapInArrow with a function from one record batch to one."""
+def batched(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow with a function from one record batch to one; `done` runs when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield fn(batch)
+        finally:
+            if done:
+                done()
 
     importable(df.sparkSession)
     return df.mapInArrow(run, schema)
