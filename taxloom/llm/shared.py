@@ -50,6 +50,10 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+#: Bytes of one Arrow batch; a batch is held by the JVM and, as arrays and lists, by its Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def batched(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """df.mapInArrow with a function from one record batch to one; `done` runs when a task ends."""
 
@@ -63,4 +67,5 @@ def batched(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schem
                 done()
 
     importable(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
