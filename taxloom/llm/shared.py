@@ -28,8 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the rows are in the shared folder and the lineage ends there."""
+    """A reliable checkpoint: the rows are in the shared folder and the lineage ends there.
+
+    Spark deletes shuffle files and old checkpoints only once the driver's JVM
+    has collected what refers to them, so it is asked to before each new one.
+    """
     shared_folder(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
