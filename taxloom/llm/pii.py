@@ -1,19 +1,22 @@
 """Personal data by patterns, and terms that give it away by corpus statistics.
 
 Base spans (e-mail, IP, card and phone numbers) come from regular expressions
-whose possessive quantifiers keep them linear. Around each of them, the terms
-of its line are candidates: with p(t), p(e) and p(t, e) the shares of documents
-that hold a term, an entity and both on a line, a term reveals of the entity
+whose possessive quantifiers keep them linear. All terms of a document that
+holds one are candidates: with p(e) the share of documents that hold an entity
+and p(e | t) its share among those that hold a term, a term reveals of the entity
 
-    PMI(t; e) / IC(e) = log(p(t, e) / (p(t) p(e))) / -log p(e).
+    PMI(t; e) / IC(e) = log(p(e | t) / p(e)) / -log p(e).
 
-Terms that reveal `generalise` or more become a placeholder in documents with
-that entity; from `remove` on they go. Everything is DataFrame expressions.
+p(e | t) is shrunk towards p(e) by PRIOR documents, so entities and terms of
+any number of documents are judged and a chance meeting weighs less. Terms that
+reveal `generalise` or more become a placeholder wherever they stand in
+documents with that entity; from `remove` on they go. Everything is DataFrame
+expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxloom.llm.shared import cut
@@ -21,8 +24,8 @@ from taxloom.llm.shared import cut
 KINDS = ["email", "ip", "card", "phone"]
 #: Shares of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.9, 0.98
-#: Documents that must hold both a term and an entity before their statistics count.
-SUPPORT = 3
+#: Documents of the corpus' average that are added to those that hold a term.
+PRIOR = 1.0
 #: Letters in a term at least.
 TERM = r"\p{L}{4,}+"
 
@@ -94,18 +97,6 @@ def count_of(kind: str, base: Column) -> Column:
     return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
 
 
-def _lines(text: Column) -> Column:
-    """Lines with their code-point offsets."""
-    kind = "array<struct<at:int,line:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("lines"))
-
-    def add(acc: Column, x: Column) -> Column:
-        one = F.array(F.struct(acc["at"].alias("at"), x.alias("line")))
-        return F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["lines"], one).alias("lines"))
-
-    return F.aggregate(F.split(text, "\n"), start, add, lambda acc: acc["lines"])
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     return own.withColumn("key", F.xxhash64("id", "text"))
@@ -118,35 +109,63 @@ def frequencies(texts: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _terms(found: DataFrame) -> DataFrame:
-    """key, id, entity, term and the term's span, for each entity and each term on its line."""
-    lines = found.filter("size(base) > 0").select("key", "id", "base", F.explode("context").alias("c"))
-    inside = F.filter("base", lambda s: (s["start"] >= F.col("c.at")) & (s["end"] <= F.col("c.at") + F.length("c.line")))
-    lines = lines.select("key", "id", F.col("c.at").alias("at"), inside.alias("base"), _placed(F.col("c.line"), TERM, "term").alias("terms"))
-    each = lines.select("key", "id", "at", "base", F.explode("terms").alias("t"))
-    each = each.select("key", "id", "base", F.xxhash64(F.lower("t.value")).alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
-    free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    entity = F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))))
-    return each.filter(free).select("key", "id", entity.alias("entity"), "term", "start", "end")
+def _entities(held: DataFrame) -> DataFrame:
+    """key, id, copies, entity and df_e, a row for each entity of a document.
+
+    Entities of one document only have the same statistics there and count as one.
+    """
+    each = held.select("key", "id", "copies", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entity"))
+    df_e = each.groupBy("entity").agg(F.sum("copies").alias("df_e"))
+    named = each.join(df_e, "entity").withColumn("entity", F.when(F.col("df_e") == 1, F.col("key")).otherwise(F.col("entity")))
+    return named.groupBy("key", "id", "entity").agg(F.first("copies").alias("copies"), F.first("df_e").alias("df_e"))
 
 
-def revealing(found: DataFrame, texts: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
+def revealing(found: DataFrame, texts: DataFrame, generalise: float, remove: float, prior: float = PRIOR) -> DataFrame:
     """key, id and `terms` (spans with what to do) of rows in which terms reveal an entity."""
-    total = F.lit(float(max(1, found.count())))
-    entities = found.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entity"))
-    df_e = entities.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
-    terms = cut(_terms(found).join(df_e, "entity"))
-    pairs = terms.select("key", "id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
-    pairs = pairs.join(df_e, "entity").join(frequencies(texts), "term")
-    bits = F.log(total / F.col("df_e"))
-    share = F.log(F.col("df_te") * total / (F.greatest("df", "df_te") * F.col("df_e"))) / F.greatest(bits, F.lit(1e-9))
-    strong = pairs.withColumn("share", share).filter((bits > 0) & (F.col("share") >= generalise)).select("entity", "term", "share")
-    hits = terms.join(strong, ["entity", "term"]).groupBy("key", "id", "start", "end").agg(F.max("share").alias("share"))
-    span = F.struct("start", "end", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
-    return hits.groupBy("key", "id").agg(F.sort_array(F.collect_list(span)).alias("terms"))
-
-
-def spans(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    n = float(max(1, found.count()))
+    total = F.lit(n)
+    held = cut(found.filter("size(base) > 0").groupBy("key", "id").agg(F.first("base").alias("base"), F.first("text").alias("text"), F.count("*").alias("copies")))
+    entities = cut(_entities(held))
+    df_e, bits = F.col("df_e"), F.log(total / F.col("df_e"))
+    # A term in more documents than this cannot reveal enough, even if all of the entity's hold it.
+    most = (df_e + prior * df_e / total) * F.exp((1 - generalise) * bits) - prior + 1e-6
+    reach = entities.filter(bits > 0).groupBy("key", "id").agg(F.max(most).alias("reach"))
+    widest = reach.agg(F.max("reach")).first()[0]
+    few = frequencies(texts).filter(F.col("df") <= F.lit(widest).cast("double"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+    terms = held.select("key", "id", F.explode(words).alias("term")).join(few, "term")
+    terms = _same(terms, reach).filter(F.col("df") <= F.col("reach")).drop("reach")
+    pairs = cut(_same(terms, entities).filter((bits > 0) & (F.col("df") <= most)))
+    counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("df_te"), F.first("df_e").alias("df_e"), F.first("df").alias("df"))
+    given = (F.col("df_te") + prior * df_e / total) / (F.greatest("df", "df_te") + prior)
+    strong = counted.withColumn("share", 1 + F.log(given) / bits).filter(F.col("share") >= generalise).select("entity", "term", "share")
+    hits = pairs.select("key", "id", "entity", "term").join(strong, ["entity", "term"]).groupBy("key", "id", "term").agg(F.max("share").alias("share"))
+    hits = cut(hits)
+    # Where the terms stand: what lies between them, added up in order.
+    of = hits.select(F.col("key").alias("k1"), F.col("id").alias("k2")).distinct()
+    own = held.join(of, (held["key"] == of["k1"]) & held["id"].eqNullSafe(of["k2"]), "left_semi")
+    pieces = F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("value"))
+    each = own.select("key", "id", F.posexplode(pieces).alias("k", "x")).filter(F.col("x.value").isNotNull())
+    each = each.select("key", "id", "k", F.length("x.gap").alias("gap"), F.length("x.value").alias("size"), F.xxhash64(F.lower("x.value")).alias("term"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("key", "id").orderBy("k")).cast("int")
+    placed = _same(each.withColumn("end", end), hits, "term")
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "end", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
+    rows = _same(placed.groupBy("key", "id").agg(F.sort_array(F.collect_list(span)).alias("terms")), held.select("key", "id", "base"))
+    free = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return rows.select("key", "id", free.alias("terms"))
+
+
+def _same(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+    """left joined with right on key, id (null ids are equal) and `more`."""
+    names = ["key", "id", *more]
+    right = right.withColumnsRenamed({c: f"{c}_" for c in names})
+    on = left["id"].eqNullSafe(right["id_"])
+    for c in ("key", *more):
+        on = (left[c] == right[f"{c}_"]) & on
+    return left.join(right, on).drop(*[f"{c}_" for c in names])
+
+
+def spans(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, id, `base` and `terms` spans of every row of docs (offsets in code points, ends exclusive).
 
     A null text is empty; rows count as documents each, also repeated ones;
@@ -154,10 +173,8 @@ def spans(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = RE
     """
     own = _keyed(docs, id_col, text_col)
     based = own.select("key", "id", "text", base_spans(F.col("text")).alias("base"))
-    touched = F.filter(_lines(F.col("text")), lambda x: F.exists("base", lambda s: (s["start"] >= x["at"]) & (s["end"] <= x["at"] + F.length(x["line"]))))
-    none = F.expr("cast(array() as array<struct<at:int,line:string>>)")
-    found = cut(based.select("key", "id", "base", F.when(F.size("base") > 0, touched).otherwise(none).alias("context")))
-    known = revealing(found, own, generalise, remove, support)
+    found = cut(based.select("key", "id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
+    known = revealing(found, own, generalise, remove, prior)
     known = known.select(F.col("key").alias("k1"), F.col("id").alias("k2"), "terms")
     both = found.join(known, (found["key"] == known["k1"]) & found["id"].eqNullSafe(known["k2"]), "left")
     return both.select("key", "id", "base", F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,end:int,action:string>>)")).alias("terms"))

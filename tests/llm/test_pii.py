@@ -70,3 +70,17 @@ def test_digest(spark):
     df = spark.createDataFrame([(1, t)], "doc_id long, text string")
     s = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(t))
     assert df.select(F.sha2(pii.listed(pii.base_spans(F.col("text"))), 256)).first()[0] == hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_rare_entities_and_whole_documents(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(4))
+    docs = [(k, " ".join(word() for _ in range(4)) + " often plain") for k in range(1500)]
+    docs += [(1500, "Quixotry often\nplain +1 (017) 555-7713 plain quixotry\n\nold QUIXOTRY end"), (None, "xylophonist a@b.com plain")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = {r.id: r for r in pii.spans(df).filter("size(base) > 0").collect()}
+    text = dict(docs)
+    assert [text[1500][s.start : s.end] for s in rows[1500].terms] == ["Quixotry", "quixotry", "QUIXOTRY"]
+    assert [text[None][s.start : s.end] for s in rows[None].terms] == ["xylophonist"]
+    out = pii.sanitise(df).filter("doc_id = 1500").first()
+    assert out.text == "[TERM] often\nplain [PHONE] plain [TERM]\n\nold [TERM] end"
