@@ -142,21 +142,26 @@ def _window(m: Gru, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> t
     return float(loss), grads, h
 
 
-def train(m: Gru, texts: list[np.ndarray], *, epochs: int = 6, streams: int = 64, window: int = 16, rate: float = 0.01) -> float:
-    """Fits m to token sequences (each ends with END); returns the last epoch's loss per token."""
+def train(m: Gru, texts: list[np.ndarray], before: list[int] | None = None, *, epochs: int = 6, streams: int = 64, window: int = 16, rate: float = 0.01, cool: tuple[float, float] = (1.0, 0.2)) -> float:
+    """Fits m to token sequences, whole texts or parts that follow the tokens `before`; returns the last epoch's loss per token.
+
+    The rate falls between the two shares of it in `cool`.
+    """
     if not texts:
         return 0.0
+    follows = [np.append(b, t[:-1]) for b, t in zip(before or [END] * len(texts), texts, strict=True)]
     rng = np.random.default_rng(3)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in m.params()]
     step, mean = 0, 0.0
     for epoch in range(epochs):
-        joined = np.concatenate([texts[i] for i in rng.permutation(len(texts))])
+        order = rng.permutation(len(texts))
+        joined, inputs = (np.concatenate([x[i] for i in order]) for x in (texts, follows))
         b = max(1, min(streams, len(joined) // window))
         length = len(joined) // b
         target = joined[: b * length].reshape(b, length).T
-        source = np.vstack([np.full((1, b), END), target[:-1]])
+        source = inputs[: b * length].reshape(b, length).T
         h, total = np.zeros((b, m.hidden), F32), 0.0
-        lr = rate * (1 - 0.8 * epoch / epochs)
+        lr = rate * (cool[0] + (cool[1] - cool[0]) * epoch / epochs)
         for at in range(0, length, window):
             loss, grads, h = _window(m, source[at : at + window], target[at : at + window], h)
             total += loss

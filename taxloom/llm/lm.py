@@ -7,11 +7,15 @@ list; a word outside its vocabulary has the model's probability of such a word
 times the word's smoothed share among them, so scores are over whole texts.
 
 The counts, and with them the vocabulary and the output biases, cover all
-training texts; the network's weights are fitted on a bounded sample of them.
+training texts. The network's weights are fitted on parts drawn from all of
+them, long ones included: a fixed share of all tokens, so it grows with the
+corpus, and everything where that is little. Shards of these parts are trained
+on side by side and their weights averaged, for some rounds.
 """
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 from math import log, log10
 
@@ -22,13 +26,15 @@ from pyspark.sql import functions as F
 
 from taxloom.llm import gru
 from taxloom.llm.shared import batched, cut
-from taxloom.llm.textvec import SPACED, U, chunks, words_of
+from taxloom.llm.textvec import SPACED, U, chunks, mix, words_of
 
 #: Words whose counts are broadcast, and words of the network's vocabulary.
 HOT, VOCABULARY = 300_000, 2_000
 HIDDEN = 16
-#: Bounds of the sample that the network is fitted on.
-SAMPLE, SAMPLE_CHARS = 1_200, 6_000
+#: Tokens of a part of a text; the share of the parts that is trained on; tokens up to which that is all of them.
+PART, SHARE, ALL = 256, 1 / 16, 1 << 20
+#: Tokens of a shard, about; rounds after each of which the shards' weights are averaged.
+SHARD, ROUNDS = 1 << 18, 2
 END_HASH = 0x2545F4914F6CDD1D
 
 
@@ -107,7 +113,7 @@ class Model:
         return out, cuts
 
 
-def fit(texts: DataFrame, counts: DataFrame, *, hot: int = HOT, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, epochs: int = 6) -> Model:
+def fit(texts: DataFrame, counts: DataFrame, *, hot: int = HOT, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, share: float = SHARE, all_of: int = ALL, shard: int = SHARD, rounds: int = ROUNDS, epochs: int = 6) -> Model:
     """A model from training texts (`key`, `text`) and the counts of all their words."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = counts.filter(F.col("word") != END_HASH)
@@ -121,15 +127,67 @@ def fit(texts: DataFrame, counts: DataFrame, *, hot: int = HOT, vocabulary: int
     order = np.argsort(h)
     n_beyond = max(0, distinct - (ends > 0) - len(inside))
     model = Model(h[order], n[order], token[order], int(total), int(distinct), int(ends), net, beyond + 0.5 * (n_beyond + 1), len(h) + (ends > 0) >= distinct)
-    part = int((1 << 30) * min(1.0, 1.5 * sample / max(1, ends)))
-    short = texts.filter((F.length("text") <= sample_chars) & (F.pmod("key", F.lit(1 << 30)) < part))
-    rows = sorted(short.select("key", "text").collect(), key=lambda r: (r.key, r.text))[:sample]
-    if rows:
-        tokens, first = model.tokens(*_hashes([r.text.encode() for r in rows]))
-        gru.train(net, [tokens[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], epochs=epochs)
+    if total:
+        share = min(1.0, max(share, all_of / int(total)))
+        train(model, texts, share, max(1, round(share * int(total) / shard)), rounds, epochs)
     return model
 
 
+def parts(texts: DataFrame, model: Model, share: float, shards: int) -> DataFrame:
+    """shard, order, before (a token) and tokens of the parts of `texts` (`key`, `text`) that are trained on."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+    most = U(int(share * ((1 << 32) - 1)))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        orders, before, out = [], [], []
+        keys = batch.column(0).to_numpy().view(U)
+        for row, part in chunks(batch.column(1), 4 << 20):
+            tokens, first = sent.value.tokens(*_hashes(part))
+            n = -(-np.diff(first) // PART)
+            doc = np.repeat(np.arange(len(part)), n)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            order = mix(keys[row + doc] + U(0x9E3779B97F4A7C15) * (k + 1).astype(U))
+            for i in np.flatnonzero(order >> U(32) <= most).tolist():
+                lo = int(first[doc[i]]) + PART * int(k[i])
+                out.append(tokens[lo : min(lo + PART, int(first[doc[i] + 1]))].astype(np.int32).tobytes())
+                before.append(gru.END if k[i] == 0 else int(tokens[lo - 1]))
+                orders.append(int(order[i]))
+        o = np.array(orders, dtype=U)
+        # The low half deals the parts out; the high half drew them.
+        shard = ((o & U(0xFFFFFFFF)) % U(shards)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(o.view(np.int64)), pa.array(before, pa.int32()), pa.array(out, pa.binary())], ["shard", "order", "before", "tokens"])
+
+    return batched(texts.select("key", "text"), run, "shard int, order long, before int, tokens binary")
+
+
+def train(model: Model, texts: DataFrame, share: float, shards: int, rounds: int, epochs: int) -> None:
+    """Fits the model's network: in every round each shard goes on from the average of all."""
+    drawn = cut(parts(texts, model, share, shards))
+    each = -(-epochs // rounds)
+    for k in range(rounds):
+        sent = drawn.sparkSession.sparkContext.broadcast(model.net)
+        cool = (1 - 0.8 * k / rounds, 1 - 0.8 * (k + 1) / rounds)
+
+        def run(rows):  # without hints, which Spark would resolve
+            rows = rows.sort_by([("order", "ascending"), ("before", "ascending")])
+            tokens = [np.frombuffer(t.as_py(), dtype=np.int32).astype(np.int64) for t in rows.column("tokens")]
+            net = copy.deepcopy(sent.value)
+            gru.train(net, tokens, rows.column("before").to_pylist(), epochs=each, cool=cool)
+            flat = np.concatenate([p.ravel() for p in net.params()]).astype(np.float64)
+            size = float(sum(map(len, tokens)))
+            return pa.table({"at": np.arange(len(flat), dtype=np.int32), "w": flat * size, "n": np.full(len(flat), size)})
+
+        got = drawn.groupBy("shard").applyInArrow(run, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
+        if not got.num_rows:
+            return
+        flat = np.empty(got.num_rows)
+        flat[got.column("at").to_numpy()] = got.column("w").to_numpy()
+        lo = 0
+        for p in model.net.params():
+            p[...] = flat[lo : lo + p.size].reshape(p.shape)
+            lo += p.size
+
+
 def _part(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
     """key, id, n_tokens, and over words with a known count: n_known, sums of log10(c + 0.5); the rest as lists."""
     ends = log10(model.ends + 0.5)

@@ -73,3 +73,13 @@ def test_empty(spark):
     assert lm.score(df.limit(0), F.lit(True)).count() == 0
     r = lm.score(df, F.lit(False)).first()
     assert r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0
+
+
+def test_long_texts_teach_the_network(spark):
+    rng = random.Random(3)
+    pair = lambda: " ".join(f"a{i} b{i}" for i in (rng.randrange(12) for _ in range(1500)))
+    docs = [(k, pair()) for k in range(6)] + [(9, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert all(len(t) > 6000 for _, t in docs[:6])
+    got = lm.score(df, F.col("id") < 5, epochs=4).filter("doc_id = 5").first()
+    assert got.score > got.base_score + 0.3 * got.n_tokens
