@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from taxloom.llm.textvec import U
 
 _SLOT_BITS = 20
+#: Pieces that stand for a text that is too long for a training sample.
+PIECES = 8
 NO_SLOTS = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
 
 
@@ -35,11 +37,28 @@ def labelled_rows(rows: DataFrame, ids: DataFrame, per_class: int) -> DataFrame:
     return rows.join(F.broadcast(each[0].unionByName(each[1])), "id")
 
 
+def _pieces(text: Column, max_chars: int) -> Column:
+    size = max_chars // PIECES - 1
+    if size < 1:
+        return F.substring(text, 1, max_chars)
+    at = [F.floor((F.length(text) - size) * k / (PIECES - 1)).cast("int") + 1 for k in range(PIECES)]
+    some = F.concat_ws(" ", *[F.substring(text, i, F.lit(size)) for i in at])
+    return F.when(F.length(text) <= max_chars, text).otherwise(F.when(text.isNotNull(), some))
+
+
+def share_only(totals: dict[int, int]) -> float:
+    """Log odds of label 1 where no classes can be told apart: its smoothed share of the labels, low without any."""
+    return float(np.log((totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5))) if sum(totals.values()) else -4.0
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """At most per_class texts of each class, none over max_chars, and how many labels of each class there are."""
+    """At most per_class texts of each class, and how many labels of each class there are.
+
+    Of a text over max_chars there are PIECES pieces, spread from its start to its end, max_chars in all at most.
+    """
     ids = labelled_ids(labels, label, keep, id_col)
     totals = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter(F.length("text") <= max_chars)
+    texts = docs.select(docs[id_col].alias("id"), _pieces(docs[text_col], max_chars).alias("text")).filter("text is not null")
     rows = labelled_rows(texts, ids, per_class).select("id", "text", "y").collect()
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.id, r.text))], totals
 

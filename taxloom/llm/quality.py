@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.fit import NO_SLOTS, choose, class_weights, index_of, labelled_sample, logistic, sigmoid
+from taxloom.llm.fit import NO_SLOTS, choose, class_weights, index_of, labelled_sample, logistic, share_only, sigmoid
 from taxloom.llm.shared import batched
 from taxloom.llm.textvec import SPACED, U, Words, chunks, mix, words_of
 
-#: Bounds of the training sample: texts of a class and characters of a text.
+#: Bounds of the training sample: texts of a class and characters of a text, of which longer ones give pieces.
 PER_CLASS, MAX_CHARS = 2000, 20_000
 FEATURES = 12_000
 
@@ -116,8 +116,7 @@ def train(sample: list[tuple[str, int]], totals: dict[int, int], cost: float = 0
     """A model from labelled texts; with one class only, it scores that class's share."""
     y = np.array([c for _, c in sample], dtype=np.int64)
     if len(set(y.tolist())) < 2:
-        share = 4.0 if totals.get(1) else -4.0
-        return NbSvm(NO_SLOTS, np.empty(0, dtype=U), np.empty(0), 0.0, np.array([0.0, share]))
+        return NbSvm(NO_SLOTS, np.empty(0, dtype=U), np.empty(0), 0.0, np.array([0.0, share_only(totals)]))
     texts = [t.encode() for t, _ in sample]
     feats, words = token_features(texts)
     slots, keys, _ = choose(feats, words.doc, y, FEATURES, least=0.3)

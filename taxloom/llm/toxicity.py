@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.fit import NO_SLOTS, choose, class_weights, index_of, labelled_sample, logistic, sigmoid
+from taxloom.llm.fit import NO_SLOTS, choose, class_weights, index_of, labelled_sample, logistic, share_only, sigmoid
 from taxloom.llm.shared import batched
 from taxloom.llm.textvec import ALNUM, U, Words, chunks, mix, words_of
 
-#: Bounds of the training sample: texts of a class and characters of a text.
+#: Bounds of the training sample: texts of a class and characters of a text, of which longer ones give pieces.
 PER_CLASS, MAX_CHARS = 1200, 5_000
 #: Features of a token: the word, its first and its last bytes.
 PARTS = [0, 4, 5, 6, 7, 8, -4, -6]
@@ -148,7 +148,7 @@ def train(sample: list[tuple[str, int]], totals: dict[int, int]) -> Crf:
         fitted = kept_back = sample
     y = np.array([c for _, c in fitted], dtype=np.int64)
     if len(set(y.tolist())) < 2:
-        empty.doc[-1] = 4.0 if totals.get(1) else -4.0
+        empty.doc[-1] = share_only(totals)
         return empty
     words = words_of([t.encode().lower() for t, _ in fitted], ALNUM)
     doc = words.doc

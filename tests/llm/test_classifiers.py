@@ -71,3 +71,23 @@ def test_sample_is_bounded(spark):
     sample, totals = labelled_sample(docs, labels, "toxic", None, 5, 1000)
     assert len(sample) == 10 and totals == {0: 25, 1: 25}
     assert all(len(t) <= 8 for t, _ in labelled_sample(docs, labels, "toxic", None, 50, 8)[0])
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_long_texts_are_learned_from(spark, module, label):
+    rng = random.Random(8)
+    clean = lambda n: [f"wort{rng.randrange(300)}" for _ in range(n)]
+    mark = lambda w: [x if i % 12 else "vile" for i, x in enumerate(w)]
+    rows = [(k, " ".join(mark(clean(4000)) if k % 3 == 0 else clean(40)), int(k % 3 == 0)) for k in range(120)]
+    assert all(len(t) > module.MAX_CHARS for _, t, y in rows if y)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y, y) for k, _, y in rows if k < 90], "doc_id long, toxic int, quality int")
+    got = {r.row.doc_id: r.score for r in module.score(docs, module.fit(docs, labels, None)).collect()}
+    assert all((got[k] >= 0.5) == bool(y) for k, _, y in rows)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_one_class_scores_its_share(spark, module):
+    model = module.train([("only one class", 0)], {0: 300, 1: 100})
+    scores = module.score_texts(model, [b"any text"])
+    assert abs(float((scores[0] if module is toxicity else scores)[0]) - 0.25) < 0.01
