@@ -61,3 +61,23 @@ def test_long_sentences_and_empty_table(spark):
     assert got[0].n_removed == 0 and got[0].text == docs[0][1]
     assert all(got[k].n_removed >= 3 for k in (1, 2, 3))
     assert s.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_any_fifty_shared_words_hold_a_span():
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+
+    def hashes(text):
+        w = s.words_of([text.encode()], s.SPACED)
+        h = w.hashes()
+        at, first = s.sentences(w, h)
+        return set(s.spans(h, at, first, s.SENTENCES, s.WORDS)[0].tolist())
+
+    for k in range(2000):
+        passage = [word() for _ in range(50)]
+        if k % 4 == 1:
+            passage = [rng.choice(["one", "two"][: 1 + k % 8 // 4]) for _ in range(50)]
+        elif k % 4:
+            passage = [w + "." * (rng.random() < 0.1 * (k % 4 - 1)) for w in passage]
+        a, b = (" ".join([*(word() for _ in range(rng.randrange(30))), *passage, *(word() for _ in range(rng.randrange(30)))]) for _ in range(2))
+        assert hashes(a) & hashes(b), passage
