@@ -1,9 +1,8 @@
 """Highlights and text boxes on a page: scores, overlaps, neighbours and merged regions.
 
 highlights: image_id, ord, x, y, width, height, color, confidence; boxes:
-image_id, ord, x1, y1, x2, y2, text, confidence. Joins have the image as an
-equality key; pages with very many boxes can be dealt out further by the grid
-cells that a highlight's surroundings touch (`cell`).
+image_id, ord, x1, y1, x2, y2, text, confidence. Joins have the image as their
+only equality key: all pairs of a page's highlights and boxes are compared.
 """
 
 from __future__ import annotations
