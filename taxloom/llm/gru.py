@@ -94,18 +94,31 @@ def log_probs(m: Gru, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def _window(m: Gru, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
-    """Loss, gradients and last state over a window of shape (steps, streams)."""
+def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by their number `at`, n in all."""
+    order = np.argsort(at, kind="stable")
+    own = at[order]
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[own[starts]] = np.add.reduceat(rows[order], starts)
+    return out
+
+
+def _window(m: Gru, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """Loss, gradients and last state over a window of shape (steps, streams).
+
+    The state is emptied where `fresh` says so, and at every text's start.
+    """
     k, kept, states = m.hidden, [], []
+    goes_on = inputs != END if fresh is None else (inputs != END) & ~fresh
     for t in range(len(inputs)):
-        h = h * (inputs[t] != END)[:, None]  # every text starts anew
+        h = h * goes_on[t][:, None]
         before = h
         h, z, r, n, gn = _step(m, inputs[t], h)
         kept.append((before, z, r, n, gn))
         states.append(h)
     hs, flat = np.concatenate(states), targets.ravel()
-    grads = [np.zeros_like(p) for p in m.params()]
-    gx, gu, gb, gwc, gbc, gww, gbw = grads
+    gwc, gbc, gww, gbw = (np.zeros_like(p) for p in (m.wc, m.bc, m.ww, m.bw))
     cls = m.class_of[flat]
     logc = _log_softmax(hs @ m.wc + m.bc)
     rows = np.arange(len(flat))
@@ -117,16 +130,18 @@ def _window(m: Gru, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> t
     dh_out = d @ m.wc.T
     for c, at in _by_class(m, flat):
         lo, hi = m.start[c], m.start[c + 1]
-        inner = _log_softmax(hs[at] @ m.ww[lo:hi].T + m.bw[lo:hi])
+        own_h = hs[at]
+        inner = _log_softmax(own_h @ m.ww[lo:hi].T + m.bw[lo:hi])
         own = np.arange(len(at)), flat[at] - lo
         loss -= inner[own].sum()
         d = np.exp(inner)
         d[own] -= 1
-        gww[lo:hi] += d.T @ hs[at]
+        gww[lo:hi] += d.T @ own_h
         gbw[lo:hi] += d.sum(axis=0)
         dh_out[at] += d @ m.ww[lo:hi]
     dh_out = dh_out.reshape(len(inputs), -1, k)
     carry = np.zeros_like(h)
+    das, dgs = [], []
     for t in reversed(range(len(inputs))):
         before, z, r, n, gn = kept[t]
         dh = dh_out[t] + carry
@@ -135,45 +150,58 @@ def _window(m: Gru, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> t
         dr = dn * gn * r * (1 - r)
         da = np.concatenate([dz, dr, dn], axis=1)
         dg = np.concatenate([dz, dr, dn * r], axis=1)
-        np.add.at(gx, inputs[t], da)
-        gb += da.sum(axis=0)
-        gu += before.T @ dg
-        carry = (dh * z + dg @ m.u.T) * (inputs[t] != END)[:, None]
-    return float(loss), grads, h
-
-
-def train(m: Gru, texts: list[np.ndarray], before: list[int] | None = None, *, epochs: int = 6, streams: int = 64, window: int = 16, rate: float = 0.01, cool: tuple[float, float] = (1.0, 0.2)) -> float:
-    """Fits m to token sequences, whole texts or parts that follow the tokens `before`; returns the last epoch's loss per token.
-
-    The rate falls between the two shares of it in `cool`.
-    """
-    if not texts:
-        return 0.0
-    follows = [np.append(b, t[:-1]) for b, t in zip(before or [END] * len(texts), texts, strict=True)]
-    rng = np.random.default_rng(3)
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in m.params()]
-    step, mean = 0, 0.0
-    for epoch in range(epochs):
-        order = rng.permutation(len(texts))
-        joined, inputs = (np.concatenate([x[i] for i in order]) for x in (texts, follows))
-        b = max(1, min(streams, len(joined) // window))
-        length = len(joined) // b
-        target = joined[: b * length].reshape(b, length).T
-        source = inputs[: b * length].reshape(b, length).T
-        h, total = np.zeros((b, m.hidden), F32), 0.0
-        lr = rate * (cool[0] + (cool[1] - cool[0]) * epoch / epochs)
-        for at in range(0, length, window):
-            loss, grads, h = _window(m, source[at : at + window], target[at : at + window], h)
+        das.append(da)
+        dgs.append(dg)
+        carry = (dh * z + dg @ m.u.T) * goes_on[t][:, None]
+    da = np.concatenate(das)
+    gx = _summed(da, inputs[::-1].ravel(), len(m.x))
+    gu = np.concatenate([kept[t][0] for t in reversed(range(len(inputs)))]).T @ np.concatenate(dgs)
+    return float(loss), [gx, gu, da.sum(axis=0), gwc, gbc, gww, gbw], h
+
+
+class Trainer:
+    """Truncated backpropagation with Adam's step sizes; what it is fed teaches m at once."""
+
+    #: Most streams side by side, steps of a window, and windows that a feed should have at least.
+    STREAMS, WINDOW, LEAST = 256, 16, 64
+
+    def __init__(self, m: Gru, rate: float = 0.01):
+        self.m, self.rate, self.step = m, rate, 0
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in m.params()]
+
+    def feed(self, parts: list[np.ndarray], before: list[int]) -> float:
+        """One pass over parts of texts, each behind a token of its own; returns the loss per token.
+
+        Laid end to end, in an order drawn at random, they are cut into streams
+        of equal length; the last stream overlaps the one before it where
+        lengths would differ.
+        """
+        window = self.WINDOW
+        order = np.random.default_rng(3).permutation(len(parts))
+        tokens = np.concatenate([parts[i] for i in order])
+        heads = np.cumsum([0, *(len(parts[i]) for i in order[:-1])])
+        follows = np.append(END, tokens[:-1])
+        follows[heads] = [before[i] for i in order]
+        anew = np.zeros(len(tokens), dtype=bool)
+        anew[heads] = True
+        b = int(np.clip(len(tokens) // (window * self.LEAST), 1, self.STREAMS))
+        length = -(-len(tokens) // b)
+        starts = np.minimum(np.arange(b) * length, len(tokens) - length)
+        at = starts[None, :] + np.arange(length)[:, None]
+        target, source, fresh = tokens[at], follows[at], anew[at]
+        h, total = np.zeros((b, self.m.hidden), F32), 0.0
+        for lo in range(0, length, window):
+            loss, grads, h = _window(self.m, source[lo : lo + window], target[lo : lo + window], h, fresh[lo : lo + window])
             total += loss
-            step += 1
-            n = target[at : at + window].size
-            for p, g, (m1, m2) in zip(m.params(), grads, moments, strict=True):
-                g = np.clip(g / n * window, -1, 1)
-                m1 += 0.1 * (g - m1)
-                m2 += 0.01 * (g * g - m2)
-                p -= lr * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
-        mean = total / (b * length)
-    return mean
+            self.step += 1
+            n = target[lo : lo + window].size
+            up1, up2 = 1 - 0.9**self.step, 1 - 0.99**self.step
+            for p, g, (m1, m2) in zip(self.m.params(), grads, self.moments, strict=True):
+                g = np.clip(g * F32(window / n), -1, 1)
+                m1 += F32(0.1) * (g - m1)
+                m2 += F32(0.01) * (g * g - m2)
+                p -= F32(self.rate / up1) * m1 / (np.sqrt(m2 * F32(1 / up2)) + F32(1e-6))
+        return total / (b * length)
 
 
 def score(m: Gru, tokens: np.ndarray, first: np.ndarray, window: int = 32) -> np.ndarray:

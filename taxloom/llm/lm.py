@@ -7,15 +7,16 @@ list; a word outside its vocabulary has the model's probability of such a word
 times the word's smoothed share among them, so scores are over whole texts.
 
 The counts, and with them the vocabulary and the output biases, cover all
-training texts. The network's weights are fitted on parts drawn from all of
-them, long ones included: a fixed share of all tokens, so it grows with the
-corpus, and everything where that is little. Shards of these parts are trained
-on side by side and their weights averaged, for some rounds.
+training texts, and so do the network's weights: every training token is
+learned from once. In each of ROUNDS rounds the tasks start from the same
+weights, stream through parts of texts by truncated backpropagation, and their
+weights are averaged by the number of tokens.
 """
 
 from __future__ import annotations
 
 import copy
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log10
 
@@ -25,16 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxloom.llm import gru
-from taxloom.llm.shared import batched, cut
+from taxloom.llm.shared import Scratch, batched, cut, streamed
 from taxloom.llm.textvec import SPACED, U, chunks, mix, words_of
 
 #: Words whose counts are broadcast, and words of the network's vocabulary.
 HOT, VOCABULARY = 300_000, 2_000
 HIDDEN = 16
-#: Tokens of a part of a text; the share of the parts that is trained on; tokens up to which that is all of them.
-PART, SHARE, ALL = 256, 1 / 16, 1 << 20
-#: Tokens of a shard, about; rounds after each of which the shards' weights are averaged.
-SHARD, ROUNDS = 1 << 18, 2
+#: Adam's step size in the first round; it falls to a fifth of that.
+RATE = 0.01
+#: Tokens of a part of a text; rounds after each of which the tasks' weights are averaged. Each part belongs to one round.
+PART, ROUNDS = 256, 4
+#: Tokens that a task learns from at least in a round, about, and tokens that it gathers before it goes through them.
+SHARD, FEED = 1 << 18, 1 << 20
 END_HASH = 0x2545F4914F6CDD1D
 
 
@@ -113,7 +116,7 @@ class Model:
         return out, cuts
 
 
-def fit(texts: DataFrame, counts: DataFrame, *, hot: int = HOT, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, share: float = SHARE, all_of: int = ALL, shard: int = SHARD, rounds: int = ROUNDS, epochs: int = 6) -> Model:
+def fit(texts: DataFrame, counts: DataFrame, *, hot: int = HOT, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, rounds: int = ROUNDS, shard: int = SHARD, passes: int = 1) -> Model:
     """A model from training texts (`key`, `text`) and the counts of all their words."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = counts.filter(F.col("word") != END_HASH)
@@ -128,64 +131,80 @@ def fit(texts: DataFrame, counts: DataFrame, *, hot: int = HOT, vocabulary: int
     n_beyond = max(0, distinct - (ends > 0) - len(inside))
     model = Model(h[order], n[order], token[order], int(total), int(distinct), int(ends), net, beyond + 0.5 * (n_beyond + 1), len(h) + (ends > 0) >= distinct)
     if total:
-        share = min(1.0, max(share, all_of / int(total)))
-        train(model, texts, share, max(1, round(share * int(total) / shard)), rounds, epochs)
+        train(model, texts, rounds, shard, passes)
     return model
 
 
-def parts(texts: DataFrame, model: Model, share: float, shards: int) -> DataFrame:
-    """shard, order, before (a token) and tokens of the parts of `texts` (`key`, `text`) that are trained on."""
+def parts(texts: DataFrame, model: Model, rounds: int) -> DataFrame:
+    """round, before (a token) and tokens of all parts of `texts` (`key`, `text`)."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
-    most = U(int(share * ((1 << 32) - 1)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        orders, before, out = [], [], []
+        turn, before, out = [], [], []
         keys = batch.column(0).to_numpy().view(U)
-        for row, part in chunks(batch.column(1), 4 << 20):
+        for row, part in chunks(batch.column(1)):
             tokens, first = sent.value.tokens(*_hashes(part))
             n = -(-np.diff(first) // PART)
             doc = np.repeat(np.arange(len(part)), n)
             k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            order = mix(keys[row + doc] + U(0x9E3779B97F4A7C15) * (k + 1).astype(U))
-            for i in np.flatnonzero(order >> U(32) <= most).tolist():
-                lo = int(first[doc[i]]) + PART * int(k[i])
-                out.append(tokens[lo : min(lo + PART, int(first[doc[i] + 1]))].astype(np.int32).tobytes())
-                before.append(gru.END if k[i] == 0 else int(tokens[lo - 1]))
-                orders.append(int(order[i]))
-        o = np.array(orders, dtype=U)
-        # The low half deals the parts out; the high half drew them.
-        shard = ((o & U(0xFFFFFFFF)) % U(shards)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(o.view(np.int64)), pa.array(before, pa.int32()), pa.array(out, pa.binary())], ["shard", "order", "before", "tokens"])
-
-    return batched(texts.select("key", "text"), run, "shard int, order long, before int, tokens binary")
-
-
-def train(model: Model, texts: DataFrame, share: float, shards: int, rounds: int, epochs: int) -> None:
-    """Fits the model's network: in every round each shard goes on from the average of all."""
-    drawn = cut(parts(texts, model, share, shards))
-    each = -(-epochs // rounds)
+            lo = first[doc] + PART * k
+            hi = np.minimum(lo + PART, first[doc + 1])
+            turn.append((mix(keys[row + doc] + U(0x9E3779B97F4A7C15) * (k + 1).astype(U)) % U(rounds)).astype(np.int32))
+            before.append(np.where(k == 0, gru.END, tokens[lo - 1]).astype(np.int32))
+            raw = tokens.astype(np.int32)
+            out += [raw[i:j].tobytes() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(turn)), pa.array(np.concatenate(before)), pa.array(out, pa.binary())], ["round", "before", "tokens"])
+
+    return batched(texts.select("key", "text"), run, "round int, before int, tokens binary")
+
+
+def train(model: Model, texts: DataFrame, rounds: int, shard: int, passes: int) -> None:
+    """Fits the model's network to all of `texts` (`key`, `text`).
+
+    A task holds one feed of tokens, however much it reads. Tasks are at most
+    twice the cluster's cores, so what is averaged does not grow with the
+    corpus. Which parts a task sees depends on the input's partitions, and
+    with them the weights do a little.
+    """
+    spark = texts.sparkSession
+    scratch = Scratch(spark)
+    drawn = scratch.cut(parts(texts, model, rounds))
+    tasks = int(np.clip(model.total // (rounds * shard), 1, 2 * spark.sparkContext.defaultParallelism))
     for k in range(rounds):
-        sent = drawn.sparkSession.sparkContext.broadcast(model.net)
-        cool = (1 - 0.8 * k / rounds, 1 - 0.8 * (k + 1) / rounds)
-
-        def run(rows):  # without hints, which Spark would resolve
-            rows = rows.sort_by([("order", "ascending"), ("before", "ascending")])
-            tokens = [np.frombuffer(t.as_py(), dtype=np.int32).astype(np.int64) for t in rows.column("tokens")]
-            net = copy.deepcopy(sent.value)
-            gru.train(net, tokens, rows.column("before").to_pylist(), epochs=each, cool=cool)
-            flat = np.concatenate([p.ravel() for p in net.params()]).astype(np.float64)
-            size = float(sum(map(len, tokens)))
-            return pa.table({"at": np.arange(len(flat), dtype=np.int32), "w": flat * size, "n": np.full(len(flat), size)})
-
-        got = drawn.groupBy("shard").applyInArrow(run, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
+        sent = spark.sparkContext.broadcast(model.net)
+        rate = RATE * (1 - 0.8 * k / rounds)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
+            trainer = gru.Trainer(copy.deepcopy(sent.value), rate)
+            held, before, size, seen = [], [], 0, 0
+            for batch in batches:
+                for first, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held.append(np.frombuffer(tokens, dtype=np.int32))
+                    before.append(first)
+                    size += len(held[-1])
+                    if size >= FEED:
+                        for _ in range(passes):
+                            trainer.feed(held, before)
+                        held, before, seen, size = [], [], seen + size, 0
+            if size:
+                for _ in range(passes):
+                    trainer.feed(held, before)
+            if seen + size:
+                flat = np.concatenate([p.ravel() for p in trainer.m.params()]).astype(np.float64)
+                n = float(seen + size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * n), pa.array(np.full(len(flat), n))], ["at", "w", "n"])
+
+        part = drawn.filter(F.col("round") == k).select("before", "tokens")
+        got = streamed(part.coalesce(tasks), run, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
         if not got.num_rows:
-            return
+            continue
         flat = np.empty(got.num_rows)
         flat[got.column("at").to_numpy()] = got.column("w").to_numpy()
         lo = 0
         for p in model.net.params():
             p[...] = flat[lo : lo + p.size].reshape(p.shape)
             lo += p.size
+    scratch.drop(drawn)
 
 
 def _part(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:

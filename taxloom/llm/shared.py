@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,24 +20,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: the session's spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary one is made.
+    In local mode, where one machine is all there is, an unset folder becomes a
+    temporary one; on a cluster it is an error.
     """
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-taxloom-")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "taxloom-checkpoints"))
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the rows are in the shared folder and the lineage ends there.
+@contextmanager
+def _shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go when it is done, not when the driver's JVM collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """df as Parquet under `path`, read back."""
+    spark = df.sparkSession
+    with _shuffles_end_with_their_query(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
 
-    Spark deletes shuffle files and old checkpoints only once the driver's JVM
-    has collected what refers to them, so it is asked to before each new one.
+
+class Scratch:
+    """Tables in the shared folder that cut lineage, each of which can be dropped once nothing reads it any more.
+
+    What a returned DataFrame still reads stays: it is dropped with the folder
+    of its session.
     """
-    shared_folder(df.sparkSession)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/taxloom-{uuid.uuid4().hex}"
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        out = write(df, path)
+        self.paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in self.paths:
+            if any(table is t for t in tables):
+                remove(self.spark, path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to a table in the shared folder, where the lineage ends."""
+    return Scratch(df.sparkSession).cut(df)
 
 
 def bucket_of(id_col: Column, n: int) -> Column:
@@ -59,8 +111,15 @@ def importable(spark: SparkSession) -> None:
 BATCH_BYTES = 8 << 20
 
 
+def streamed(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of BATCH_BYTES at most (a setting of the session, since Spark reads it when a query runs)."""
+    importable(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def batched(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
-    """df.mapInArrow with a function from one record batch to one; `done` runs when a task ends."""
+    """As streamed, with a function from one record batch to one; `done` runs when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -71,6 +130,4 @@ def batched(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schem
             if done:
                 done()
 
-    importable(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return streamed(df, run, schema)

@@ -55,7 +55,7 @@ def test_base_scores(spark, hot):
     docs = [(k, " ".join(rng.choice(vocab[: 20 if k % 2 else 80]) for _ in range(rng.randrange(0, 60)))) for k in range(120)]
     docs += [(None, "w1é new words"), (7, docs[7][1]), (7, docs[7][1]), (200, None), (201, "  "), (202, "W1é " * 30000)]
     df = spark.createDataFrame([(*d, 0.0) for d in docs], "doc_id long, text string, score double").repartition(3)
-    got = lm.score(df, bucket_of(F.col("id"), 5) != 1, hot=hot, vocabulary=8, epochs=2).collect()
+    got = lm.score(df, bucket_of(F.col("id"), 5) != 1, hot=hot, vocabulary=8, passes=2).collect()
     held = lambda d: zlib.crc32(str(d).encode() if d is not None else b"") % 5 == 1
     toks = lambda t: [*(t or "").encode().lower().split(), None]
     c = Counter(w for d, t in docs if not held(d) for w in toks(t))
@@ -81,5 +81,5 @@ def test_long_texts_teach_the_network(spark):
     docs = [(k, pair()) for k in range(6)] + [(9, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert all(len(t) > 6000 for _, t in docs[:6])
-    got = lm.score(df, F.col("id") < 5, epochs=4).filter("doc_id = 5").first()
+    got = lm.score(df, F.col("id") < 5, passes=4).filter("doc_id = 5").first()
     assert got.score > got.base_score + 0.3 * got.n_tokens
