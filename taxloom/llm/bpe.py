@@ -13,6 +13,7 @@ import hashlib
 import json
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from taxloom.llm.shared import batched
 
 #: Fixed: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Stretches in one of the two generations of a task's cache.
-CACHED_WORDS = 250_000
+#: Stretches in one of the two generations of a task's cache, and their characters.
+CACHED_WORDS, CACHED_CHARS = 250_000, 16 << 20
 _CHUNK = 2 << 20
 
 
@@ -89,6 +90,8 @@ class Bpe:
         #: Verified stretches that start a text, and those that follow a space.
         self.heads: list[dict[str, bytes | None]] = [{}, {}]
         self.tails: list[dict[str, bytes | None]] = [{}, {}]
+        #: Characters in the first generation of each.
+        self.weight = {"": 0, " ": 0}
 
     def _survives(self, x: np.ndarray, y: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Whether no merge older than `before` joins the end of x to the start of y.
@@ -124,19 +127,32 @@ class Bpe:
         return out
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the lowest rank first, leftmost on a tie."""
-        rank, made, never = self.rank.get, self.made, len(self.made)
+        """Exact merging: the lowest rank first, leftmost on a tie.
+
+        Pairs wait in a heap, tokens form a linked list, so a word of n bytes
+        takes n log n steps.
+        """
+        rank, made = self.rank.get, self.made
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        ranks = [rank(x << 32 | y, never) for x, y in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) < never:
-            i = ranks.index(best)
-            ids[i : i + 2] = [made[best]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], never)
-            if i < len(ranks):
-                ranks[i] = rank(ids[i] << 32 | ids[i + 1], never)
-        return ids
+        n = len(ids)
+        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1]))]
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank(ids[i] << 32 | ids[j]) != r:
+                continue
+            ids[i], ids[j] = made[r], -1
+            k = after[i] = after[j]
+            if k < n:
+                ahead[k] = i
+                if q := rank(ids[i] << 32 | ids[k]):
+                    heappush(heap, q << 32 | i)
+            if (h := ahead[i]) >= 0 and (q := rank(ids[h] << 32 | ids[i])):
+                heappush(heap, q << 32 | h)
+        return [t for t in ids if t >= 0]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         proposed = [self.propose(w) for w in words]
@@ -159,11 +175,13 @@ class Bpe:
 
         A full cache becomes the second one, from which used entries come back.
         """
-        if len(caches[0]) > CACHED_WORDS:
+        if len(caches[0]) > CACHED_WORDS or self.weight[lead] > CACHED_CHARS:
             caches[:] = [{}, caches[0]]
+            self.weight[lead] = 0
         cache, older = caches
         spans, words = [], {}
         for part in need - cache.keys():
+            self.weight[lead] += len(part)
             if part in older:
                 cache[part] = older[part]
             elif not part or part[0].isspace() or part[-1].isspace():
