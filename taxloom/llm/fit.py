@@ -28,13 +28,14 @@ def labelled_ids(labels: DataFrame, label: str, keep: Column | None, id_col: str
     return own.groupBy("id").agg(F.max("y").alias("y"))
 
 
-def labelled_rows(rows: DataFrame, ids: DataFrame, per_class: int) -> DataFrame:
-    """Rows (with an `id`) of at most per_class ids of each class, fixed by a hash of the id, with y.
+def labelled_texts(texts: DataFrame, ids: DataFrame, per_class: int) -> DataFrame:
+    """id, y and text of at most per_class ids of each class, fixed by a hash of the id.
 
-    What is broadcast is bounded by 2 * per_class ids.
+    What is broadcast is bounded by 2 * per_class ids, and so is what comes
+    out: of the rows of one id the smallest text stands for all.
     """
     each = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    return rows.join(F.broadcast(each[0].unionByName(each[1])), "id")
+    return texts.join(F.broadcast(each[0].unionByName(each[1])), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def _pieces(text: Column, max_chars: int) -> Column:
@@ -55,12 +56,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """At most per_class texts of each class, and how many labels of each class there are.
 
     Of a text over max_chars there are PIECES pieces, spread from its start to its end, max_chars in all at most.
+    Rows of one id count as one, whose text is the smallest.
     """
     ids = labelled_ids(labels, label, keep, id_col)
     totals = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
     texts = docs.select(docs[id_col].alias("id"), _pieces(docs[text_col], max_chars).alias("text")).filter("text is not null")
-    rows = labelled_rows(texts, ids, per_class).select("id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.id, r.text))], totals
+    rows = labelled_texts(texts, ids, per_class).collect()
+    return [(r.text, r.y) for r in sorted(rows, key=lambda r: r.id)], totals
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:

@@ -23,6 +23,7 @@ from taxloom.llm.textvec import SPACED, U, Words, chunks, mix, words_of
 #: Bounds of the training sample: texts of a class and characters of a text, of which longer ones give pieces.
 PER_CLASS, MAX_CHARS = 2000, 20_000
 FEATURES = 12_000
+TEXTS_AT_ONCE = 256
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("A") : ord("Z") + 1] = ord("A")
@@ -71,16 +72,25 @@ def token_features(texts: list[bytes]) -> tuple[list[np.ndarray], Words]:
     return feats, words
 
 
-def _indicators(model_slots: np.ndarray, keys: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """A row of indicators for each text."""
+def margins(model: NbSvm, texts: list[bytes]) -> np.ndarray:
+    """The sum of each text's indicators' weights, and the bias.
+
+    Which (text, feature) pairs occur is marked for some texts at a time, so
+    memory depends neither on how many texts there are nor on their length.
+    """
     feats, words = token_features(texts)
-    doc = words.doc
-    dense = np.zeros((len(texts), len(keys)), dtype=bool)
-    for h in feats:
-        i = index_of(model_slots, keys, h)
-        held = i >= 0
-        dense[doc[held], i[held]] = True
-    return dense
+    size, out = len(model.keys), np.full(len(texts), model.bias)
+    doc, index = words.doc, [index_of(model.slots, model.keys, h) for h in feats]
+    for lo in range(0, len(texts) if size else 0, TEXTS_AT_ONCE):
+        n = min(TEXTS_AT_ONCE, len(texts) - lo)
+        own = slice(int(words.first[lo]), int(words.first[lo + n]))
+        marks = np.zeros(n * size, dtype=bool)
+        for i in index:
+            held = i[own] >= 0
+            marks[(doc[own][held] - lo) * size + i[own][held]] = True
+        pairs = np.flatnonzero(marks)
+        out[lo : lo + n] += np.bincount(pairs // size, weights=model.weight[pairs % size], minlength=n)
+    return out
 
 
 def hinge(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 12) -> np.ndarray:
@@ -148,8 +158,7 @@ def train(sample: list[tuple[str, int]], totals: dict[int, int], cost: float = 0
 
 
 def score_texts(model: NbSvm, texts: list[bytes]) -> np.ndarray:
-    margin = _indicators(model.slots, model.keys, texts) @ model.weight + model.bias
-    return sigmoid(margin * model.scale[0] + model.scale[1])
+    return sigmoid(margins(model, texts) * model.scale[0] + model.scale[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None, *, label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> NbSvm:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.fit import labelled_ids, labelled_rows
+from taxloom.llm.fit import labelled_ids, labelled_texts
 
 #: Bound of the labelled rows learned from, of each class.
 PER_CLASS = 3000
@@ -171,11 +171,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, precision: float = 0.95,
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, *, label: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> list[list[Condition]]:
-    """Rules for texts of label 0, from a bounded sample of labelled rows; none if a class is missing."""
+    """Rules for texts of label 0, from a bounded sample of labelled rows; none if a class is missing.
+
+    Rows of one id count as one, whose text is the smallest.
+    """
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = labelled_rows(own, labelled_ids(labels, label, keep, id_col), per_class)
-    stats = tested(statistics(rows.select("id", "text"), "id")).select("id", *TESTED)
-    taken = labelled_rows(stats, labelled_ids(labels, label, keep, id_col), per_class).select("id", "y", *TESTED).collect()
+    rows = labelled_texts(own, labelled_ids(labels, label, keep, id_col), per_class)
+    taken = tested(statistics(rows.select(F.struct("id", "y").alias("id"), "text"), "id")).select("id.*", *TESTED).collect()
     taken.sort(key=lambda r: (r.id, *r[2:]))
     bad = np.array([r.y == 0 for r in taken], dtype=bool)
     if not bad.any() or bad.all():

@@ -91,3 +91,62 @@ def test_one_class_scores_its_share(spark, module):
     model = module.train([("only one class", 0)], {0: 300, 1: 100})
     scores = module.score_texts(model, [b"any text"])
     assert abs(float((scores[0] if module is toxicity else scores)[0]) - 0.25) < 0.01
+
+
+def test_margins_of_many_texts_are_plain_sums(monkeypatch):
+    rows = corpus(2, 300)
+    model = quality.train([(r[1], r[2]) for r in rows], {0: 1, 1: 1})
+    monkeypatch.setattr(quality, "TEXTS_AT_ONCE", 7)
+    texts = [r[1].encode() for r in rows[:40]] + [b"", b" ", rows[0][1].encode()]
+    feats, words = quality.token_features(texts)
+    for d, got in enumerate(quality.margins(model, texts)):
+        held = {k for h in feats for k in h[words.first[d] : words.first[d + 1]].tolist()}
+        want = model.bias + sum(w for k, w in zip(model.keys.tolist(), model.weight, strict=True) if k in held and quality.index_of(model.slots, model.keys, np.array([k], dtype=np.uint64))[0] >= 0)
+        assert abs(want - got) < 1e-9
+
+
+def test_hinge_against_plain_descent():
+    """The dual solution minimises |w|^2 / 2 + sum of cost * hinge^2."""
+    rng = np.random.default_rng(0)
+    n, f = 40, 6
+    x = (rng.random((n, f)) < 0.4).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=n) * 0.3 > 0.8).astype(np.int64)
+    ratio, cost = rng.normal(size=f), np.full(n, 0.3)
+    w = quality.hinge([np.flatnonzero(r) for r in x], ratio, y, cost, epochs=4000)
+    v, sign = np.column_stack([x * ratio, np.ones(n)]), 2 * y - 1
+    plain = np.zeros(f + 1)
+    for _ in range(40000):
+        slack = np.maximum(0, 1 - sign * (v @ plain))
+        plain -= 0.01 * (plain - 2 * (cost * slack * sign) @ v)
+    assert np.allclose(w, plain, atol=2e-2)
+
+
+def test_rows_of_one_id_count_once(spark):
+    docs = spark.createDataFrame([(1, "b")] * 30 + [(1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", None, 5, 100)[0] == [("a", 1), ("c", 0)]
+
+
+def test_chain_gradient_reaches_the_likelihoods_top():
+    """Weights fitted by forward-backward gradients have no better neighbours."""
+    rng = np.random.default_rng(4)
+    first = np.array([0, 5, 12, 30])
+    index = [rng.integers(-1, 3, 30).astype(np.int32)]
+    label = (rng.random(30) < 0.4).astype(np.int64)
+    crf = toxicity.Crf(np.empty(0), np.empty(3), np.zeros(3), 0.0, np.zeros((2, 2)), np.zeros(5))
+    toxicity.train_chain(index, first, label, crf, steps=600, rate=0.05, ridge=0.0)
+
+    def likelihood(theta, bias, trans):
+        s = bias + np.append(theta, 0.0)[index[0]]
+        total = 0.0
+        for a, b in itertools.pairwise(first):
+            paths = [sum(s[a + i] for i, y in enumerate(p) if y) + sum(trans[x, y] for x, y in itertools.pairwise(p)) for p in (label[a:b],)]
+            z = np.array([0.0, s[a]])
+            for i in range(a + 1, b):
+                z = np.array([np.logaddexp(z[0] + trans[0, y], z[1] + trans[1, y]) + (s[i] if y else 0) for y in (0, 1)])
+            total += paths[0] - np.logaddexp(*z)
+        return total
+
+    best = likelihood(crf.theta, crf.bias, crf.trans)
+    for _ in range(60):
+        assert likelihood(crf.theta + rng.normal(size=3) * 0.1, crf.bias + rng.normal() * 0.1, crf.trans + rng.normal(size=(2, 2)) * 0.1) <= best + 1e-2
