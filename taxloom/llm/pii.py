@@ -16,6 +16,8 @@ expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ GENERALISE, REMOVE = 0.9, 0.98
 PRIOR = 1.0
 #: Letters in a term at least.
 TERM = r"\p{L}{4,}+"
+#: Items that are handled by a growing array at a time.
+STEP = 128
 
 #: A match starts where the last one ended or where the run of its first class starts: so a run is tried once.
 PATTERNS = {
@@ -67,19 +71,49 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """The items in arrays of STEP, in order."""
+    n = F.floor((F.size(items) + (STEP - 1)) / STEP).cast("int")
+    return F.when(F.size(items) == 0, F.slice(F.array(items), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(items, i * STEP + 1, F.lit(STEP))))
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """What all earlier values combine to, for each of an array of ints.
+
+    An array that grows by one is copied each time, so it grows within blocks
+    of STEP values; blocks start from what the blocks before them come to.
+    """
+    none = F.expr("cast(array() as array<int>)")
+
+    def scan(items: Column, start: Column) -> Column:
+        add = lambda acc, v: F.struct(combine(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(items, F.struct(start.alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def all_of(blocks: Column) -> Column:
+        starts = scan(F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero), combine)), F.lit(zero))
+        return F.flatten(F.zip_with(blocks, starts, scan))
+
+    return _let(_blocks(values), all_of)
+
+
 def _placed(text: Column, pattern: str, kind: str) -> Column:
     """All matches with code-point offsets: what splitting leaves between them tells where they stand."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("spans"))
+    size = lambda c: F.length(F.coalesce(c, F.lit("")))
 
-    def add(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        end = at + F.length(F.coalesce(x["value"], F.lit("")))
-        one = F.array(F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.when(x["value"].isNotNull(), one).otherwise(F.expr(f"cast(array() as {_SPAN})"))).alias("spans"))
+    def of(both: Column) -> Column:
+        ends = F.transform(both, lambda x: F.length(x["gap"]) + size(x["value"]))
+        at = _before(ends, lambda a, b: a + b, 0)
+        one = lambda x, a: F.struct(F.lit(kind).alias("kind"), (a + F.length(x["gap"])).alias("start"), (a + F.length(x["gap"]) + size(x["value"])).alias("end"), x["value"].alias("value"))
+        return F.filter(F.zip_with(both, at, one), lambda s: s["value"].isNotNull())
 
-    return F.aggregate(both, start, add, lambda acc: acc["spans"])
+    return _let(both, of)
 
 
 def base_spans(text: Column) -> Column:
@@ -151,8 +185,46 @@ def revealing(found: DataFrame, texts: DataFrame, generalise: float, remove: flo
     placed = _same(each.withColumn("end", end), hits, "term")
     span = F.struct((F.col("end") - F.col("size")).alias("start"), "end", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
     rows = _same(placed.groupBy("key", "id").agg(F.sort_array(F.collect_list(span)).alias("terms")), held.select("key", "id", "base"))
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return rows.select("key", "id", free.alias("terms"))
+    return rows.select("key", "id", _apart(F.col("terms"), F.col("base")).alias("terms"))
+
+
+def _apart(terms: Column, base: Column) -> Column:
+    """The terms that overlap no base span: none before them reaches past their start, none after them starts before their end."""
+    tagged = lambda spans, base: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), F.lit(None).cast("string").alias("action") if base else s["action"].alias("action")))
+
+    def of(spans: Column) -> Column:
+        reach = _before(F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(0)), lambda a, b: F.greatest(a, b), 0)
+        most = (1 << 31) - 1
+        follows = F.reverse(_before(F.reverse(F.transform(spans, lambda s: F.when(s["base"], s["start"]).otherwise(most))), lambda a, b: F.least(a, b), most))
+        each = F.arrays_zip(spans.alias("span"), reach.alias("reach"), follows.alias("follows"))
+        held = F.filter(each, lambda x: ~x["span"]["base"] & (x["reach"] <= x["span"]["start"]) & (x["follows"] >= x["span"]["end"]))
+        return F.transform(held, lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["end"].alias("end"), x["span"]["action"].alias("action")))
+
+    return _let(F.array_sort(F.concat(tagged(base, True), tagged(terms, False))), of)
+
+
+def _edited(text: Column, edits: Column) -> Column:
+    """The text with spans (start, end, to) replaced, the edits sorted by start.
+
+    Where edits overlap, the first puts its text and the next ones only take theirs away.
+    """
+
+    def pieces(edits: Column) -> Column:
+        done = _before(F.transform(edits, lambda e: e["end"]), lambda a, b: F.greatest(a, b), 0)
+        one = lambda e, a: F.struct(a.alias("at"), F.greatest(e["start"], a).alias("upto"), F.greatest(e["end"], a).alias("end"), F.when(e["start"] >= a, e["to"]).otherwise("").alias("to"))
+        return F.filter(F.zip_with(edits, done, one), lambda p: p["end"] > p["at"])
+
+    def block(b: Column) -> Column:
+        # Code points are counted from a string's start, so each block of pieces cuts its own stretch first.
+        first = F.element_at(b, 1)["at"]
+        cut = F.substring(text, first + 1, F.element_at(b, -1)["upto"] - first)
+        return _let(cut, lambda c: F.array_join(F.transform(b, lambda p: F.concat(F.substring(c, p["at"] - first + 1, p["upto"] - p["at"]), p["to"])), ""))
+
+    def joined(all_pieces: Column) -> Column:
+        rest = F.substring(text, F.element_at(all_pieces, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(_blocks(all_pieces), block), ""), rest)
+
+    return _let(_let(edits, pieces), joined)
 
 
 def _same(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
@@ -200,14 +272,5 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
     joined = keyed.join(edits, (keyed["key"] == edits["k1"]) & keyed["id"].eqNullSafe(edits["k2"]), "left")
-    text = F.col("text")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def apply(acc: Column, e: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, F.greatest(e["start"] - acc["at"], F.lit(0)))
-        new = F.when(e["end"] > acc["at"], F.concat(acc["out"], kept, F.when(e["start"] >= acc["at"], e["to"]).otherwise(""))).otherwise(acc["out"])
-        return F.struct(new.alias("out"), F.greatest(acc["at"], e["end"]).alias("at"))
-
-    edited = F.aggregate("edits", start, apply, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = joined.withColumn("new", F.when(F.col("edits").isNull(), text).otherwise(edited))
+    out = joined.withColumn("new", F.when(F.col("edits").isNull(), F.col("text")).otherwise(_edited(F.col("text"), F.col("edits"))))
     return out.select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
