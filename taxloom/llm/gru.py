@@ -1,9 +1,9 @@
 """A gated recurrent language model in numpy, with a class-factored softmax.
 
 Token 0 ends a text, token 1 stands for words outside the vocabulary. Words of
-similar frequency form a class; a token's probability is that of its class
-times that of the token in its class, so a step costs two softmaxes over the
-square root of the vocabulary. Training is truncated backpropagation over
+similar frequency form a class, of few words where they are frequent; a
+token's probability is that of its class times that of the token in its class,
+so a step costs two softmaxes over the square root of the vocabulary. Training is truncated backpropagation over
 parallel streams of texts; scoring carries the state of every text across
 windows to its end.
 """
@@ -48,17 +48,20 @@ def _sigmoid(a: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-a))
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+def _exps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(a), in a's place, and each row's sum; rows of up to some thousand logits below 70 cannot overflow."""
+    np.minimum(a, F32(70), out=a)
+    np.exp(a, out=a)
+    return a, a @ np.ones(a.shape[1], a.dtype)
 
 
 def new(counts: np.ndarray, hidden: int, seed: int = 7) -> Gru:
     """An untrained model that gives every token its share of `counts` (the corpus counts by token)."""
     rng = np.random.default_rng(seed)
     v = len(counts)
-    size = max(1, int(np.ceil(np.sqrt(v))))
-    start = np.append(np.arange(0, v, size), v)
+    # Classes grow with rarity: what is frequent shares its class with few.
+    edges = np.cumsum(np.arange(1, v + 2) * 2 - 1)
+    start = np.append(np.concatenate([[0], edges[edges < v]]), v)
     share = (counts + 0.5) / (counts + 0.5).sum()
     mass = np.add.reduceat(share, start[:-1])
     draw = lambda *shape, s: (rng.normal(size=shape) * s).astype(F32)
@@ -75,22 +78,27 @@ def _step(m: Gru, token: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return n + z * (h - n), z, r, n, g[:, 2 * k :]
 
 
-def _by_class(m: Gru, target: np.ndarray):
-    """(class, positions of the targets in it) for every class that occurs."""
-    cls = m.class_of[target]
+def _by_class(m: Gru, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of targets by their classes, and (class, from, to) in that order for every class that occurs."""
     order = np.argsort(cls, kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(len(m.start)))
-    for c in np.flatnonzero(np.diff(cuts)).tolist():
-        yield c, order[cuts[c] : cuts[c + 1]]
+    return order, [(c, int(cuts[c]), int(cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
 def log_probs(m: Gru, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after state h."""
-    out = _log_softmax(h @ m.wc + m.bc)[np.arange(len(target)), m.class_of[target]]
-    for c, at in _by_class(m, target):
+    cls = m.class_of[target]
+    order, runs = _by_class(m, cls)
+    h, target, cls = h[order], target[order], cls[order]
+    rows = np.arange(len(target))
+    e, total = _exps(h @ m.wc + m.bc)
+    p = e[rows, cls] / total
+    for c, i, j in runs:
         lo, hi = m.start[c], m.start[c + 1]
-        inner = _log_softmax(h[at] @ m.ww[lo:hi].T + m.bw[lo:hi])
-        out[at] += inner[np.arange(len(at)), target[at] - lo]
+        e, total = _exps(h[i:j] @ m.ww[lo:hi].T + m.bw[lo:hi])
+        p[i:j] *= e[rows[: j - i], target[i:j] - lo] / total
+    out = np.empty(len(target))
+    out[order] = np.log(np.maximum(p, np.finfo(p.dtype).tiny))
     return out
 
 
@@ -117,28 +125,31 @@ def _window(m: Gru, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, fres
         h, z, r, n, gn = _step(m, inputs[t], h)
         kept.append((before, z, r, n, gn))
         states.append(h)
-    hs, flat = np.concatenate(states), targets.ravel()
+    flat = targets.ravel()
     gwc, gbc, gww, gbw = (np.zeros_like(p) for p in (m.wc, m.bc, m.ww, m.bw))
     cls = m.class_of[flat]
-    logc = _log_softmax(hs @ m.wc + m.bc)
+    order, runs = _by_class(m, cls)
+    hs, flat, cls = np.concatenate(states)[order], flat[order], cls[order]
     rows = np.arange(len(flat))
-    loss = -logc[rows, cls].sum()
-    d = np.exp(logc)
+    d, total = _exps(hs @ m.wc + m.bc)
+    d /= total[:, None]
+    loss = -np.log(d[rows, cls]).sum()
     d[rows, cls] -= 1
     gwc += hs.T @ d
     gbc += d.sum(axis=0)
-    dh_out = d @ m.wc.T
-    for c, at in _by_class(m, flat):
+    by_class = d @ m.wc.T
+    for c, i, j in runs:
         lo, hi = m.start[c], m.start[c + 1]
-        own_h = hs[at]
-        inner = _log_softmax(own_h @ m.ww[lo:hi].T + m.bw[lo:hi])
-        own = np.arange(len(at)), flat[at] - lo
-        loss -= inner[own].sum()
-        d = np.exp(inner)
+        d, total = _exps(hs[i:j] @ m.ww[lo:hi].T + m.bw[lo:hi])
+        d /= total[:, None]
+        own = rows[: j - i], flat[i:j] - lo
+        loss -= np.log(d[own]).sum()
         d[own] -= 1
-        gww[lo:hi] += d.T @ own_h
+        gww[lo:hi] += d.T @ hs[i:j]
         gbw[lo:hi] += d.sum(axis=0)
-        dh_out[at] += d @ m.ww[lo:hi]
+        by_class[i:j] += d @ m.ww[lo:hi]
+    dh_out = np.empty_like(by_class)
+    dh_out[order] = by_class
     dh_out = dh_out.reshape(len(inputs), -1, k)
     carry = np.zeros_like(h)
     das, dgs = [], []
@@ -163,7 +174,7 @@ class Trainer:
     """Truncated backpropagation with Adam's step sizes; what it is fed teaches m at once."""
 
     #: Most streams side by side, steps of a window, and windows that a feed should have at least.
-    STREAMS, WINDOW, LEAST = 256, 16, 64
+    STREAMS, WINDOW, LEAST = 512, 16, 64
 
     def __init__(self, m: Gru, rate: float = 0.01):
         self.m, self.rate, self.step = m, rate, 0

@@ -16,6 +16,7 @@ weights are averaged by the number of tokens.
 from __future__ import annotations
 
 import copy
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log10
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxloom.llm import gru
-from taxloom.llm.shared import Scratch, batched, cut, streamed
+from taxloom.llm.shared import batched, cut, streamed
 from taxloom.llm.textvec import SPACED, U, chunks, mix, words_of
 
 #: Words whose counts are broadcast, and words of the network's vocabulary.
@@ -116,8 +117,8 @@ class Model:
         return out, cuts
 
 
-def fit(texts: DataFrame, counts: DataFrame, *, hot: int = HOT, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, rounds: int = ROUNDS, shard: int = SHARD, passes: int = 1) -> Model:
-    """A model from training texts (`key`, `text`) and the counts of all their words."""
+def untrained(counts: DataFrame, *, hot: int = HOT, vocabulary: int = VOCABULARY, hidden: int = HIDDEN) -> Model:
+    """A model from the counts of all training words, whose network gives each token its share."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = counts.filter(F.col("word") != END_HASH)
     ends = counts.filter(F.col("word") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -130,72 +131,64 @@ def fit(texts: DataFrame, counts: DataFrame, *, hot: int = HOT, vocabulary: int
     order = np.argsort(h)
     n_beyond = max(0, distinct - (ends > 0) - len(inside))
     model = Model(h[order], n[order], token[order], int(total), int(distinct), int(ends), net, beyond + 0.5 * (n_beyond + 1), len(h) + (ends > 0) >= distinct)
-    if total:
-        train(model, texts, rounds, shard, passes)
     return model
 
 
-def parts(texts: DataFrame, model: Model, rounds: int) -> DataFrame:
-    """round, before (a token) and tokens of all parts of `texts` (`key`, `text`)."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
+def _drawn(tokens: list[bytes], keys: np.ndarray, rounds: int, turn: int) -> tuple[list[np.ndarray], list[int]]:
+    """The parts of texts whose turn it is, and the token before each."""
+    flat = np.frombuffer(b"".join(tokens), dtype=np.uint16)
+    size = np.array([len(t) // 2 for t in tokens])
+    first = np.cumsum(size) - size
+    n = -(-size // PART)
+    doc = np.repeat(np.arange(len(tokens)), n)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    own = mix(keys[doc] + U(0x9E3779B97F4A7C15) * (k + 1).astype(U)) % U(rounds) == turn
+    doc, k = doc[own], k[own]
+    lo = first[doc] + PART * k
+    hi = np.minimum(lo + PART, first[doc] + size[doc])
+    return [flat[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], np.where(k == 0, gru.END, flat[lo - 1]).tolist()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        turn, before, out = [], [], []
-        keys = batch.column(0).to_numpy().view(U)
-        for row, part in chunks(batch.column(1)):
-            tokens, first = sent.value.tokens(*_hashes(part))
-            n = -(-np.diff(first) // PART)
-            doc = np.repeat(np.arange(len(part)), n)
-            k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            lo = first[doc] + PART * k
-            hi = np.minimum(lo + PART, first[doc + 1])
-            turn.append((mix(keys[row + doc] + U(0x9E3779B97F4A7C15) * (k + 1).astype(U)) % U(rounds)).astype(np.int32))
-            before.append(np.where(k == 0, gru.END, tokens[lo - 1]).astype(np.int32))
-            raw = tokens.astype(np.int32)
-            out += [raw[i:j].tobytes() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(turn)), pa.array(np.concatenate(before)), pa.array(out, pa.binary())], ["round", "before", "tokens"])
-
-    return batched(texts.select("key", "text"), run, "round int, before int, tokens binary")
-
-
-def train(model: Model, texts: DataFrame, rounds: int, shard: int, passes: int) -> None:
-    """Fits the model's network to all of `texts` (`key`, `text`).
+
+def train(model: Model, rows: DataFrame, *, rounds: int = ROUNDS, shard: int = SHARD, passes: int = 1) -> None:
+    """Fits the model's network to all of `rows` (`key`, and `tokens` as 16-bit integers).
 
     A task holds one feed of tokens, however much it reads. Tasks are at most
     twice the cluster's cores, so what is averaged does not grow with the
     corpus. Which parts a task sees depends on the input's partitions, and
     with them the weights do a little.
     """
-    spark = texts.sparkSession
-    scratch = Scratch(spark)
-    drawn = scratch.cut(parts(texts, model, rounds))
-    tasks = int(np.clip(model.total // (rounds * shard), 1, 2 * spark.sparkContext.defaultParallelism))
-    for k in range(rounds):
-        sent = spark.sparkContext.broadcast(model.net)
-        rate = RATE * (1 - 0.8 * k / rounds)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
+    context = rows.sparkSession.sparkContext
+    tasks = int(np.clip(model.total // (rounds * shard), 1, 2 * context.defaultParallelism))
+    for turn in range(rounds):
+        sent = context.broadcast(model.net)
+        rate = RATE * (1 - 0.8 * turn / rounds)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
             trainer = gru.Trainer(copy.deepcopy(sent.value), rate)
             held, before, size, seen = [], [], 0, 0
-            for batch in batches:
-                for first, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    held.append(np.frombuffer(tokens, dtype=np.int32))
-                    before.append(first)
-                    size += len(held[-1])
-                    if size >= FEED:
-                        for _ in range(passes):
-                            trainer.feed(held, before)
-                        held, before, seen, size = [], [], seen + size, 0
-            if size:
+
+            def learn() -> None:
                 for _ in range(passes):
                     trainer.feed(held, before)
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                more, ahead = _drawn(batch.column(1).to_pylist(), batch.column(0).to_numpy().view(U), rounds, turn)
+                held += more
+                before += ahead
+                size += sum(map(len, more))
+                if size >= FEED:
+                    learn()
+                    held, before, seen, size = [], [], seen + size, 0
+            if size:
+                learn()
             if seen + size:
                 flat = np.concatenate([p.ravel() for p in trainer.m.params()]).astype(np.float64)
                 n = float(seen + size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * n), pa.array(np.full(len(flat), n))], ["at", "w", "n"])
 
-        part = drawn.filter(F.col("round") == k).select("before", "tokens")
-        got = streamed(part.coalesce(tasks), run, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
+        got = streamed(rows.select("key", "tokens").coalesce(tasks), run, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
         if not got.num_rows:
             continue
         flat = np.empty(got.num_rows)
@@ -204,14 +197,13 @@ def train(model: Model, texts: DataFrame, rounds: int, shard: int, passes: int)
         for p in model.net.params():
             p[...] = flat[lo : lo + p.size].reshape(p.shape)
             lo += p.size
-    scratch.drop(drawn)
 
 
 def _part(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
-    """key, id, n_tokens, and over words with a known count: n_known, sums of log10(c + 0.5); the rest as lists."""
+    """key, id, learn, n_tokens, and over words with a known count: n_known, sums of log10(c + 0.5); the rest as lists; tokens."""
     ends = log10(model.ends + 0.5)
-    n_tokens, n_known, base, outer, tail_h, tail_n, tail_len, tokens, lengths = [], [], [], [], [], [], [], [], []
-    for _, texts in chunks(batch.column(2), 4 << 20):
+    n_tokens, n_known, base, outer, n_unk, tail_h, tail_n, tail_len, tokens = [], [], [], [], [], [], [], [], []
+    for _, texts in chunks(batch.column(3)):
         h, first = _hashes(texts)
         known, at = model.lookup(h)
         c = np.where(known, model.counts[at] if len(model.hot) else 0, 0)
@@ -225,6 +217,7 @@ def _part(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
         n_known.append(np.bincount(doc, weights=c > 0, minlength=size).astype(np.int64) + (model.ends > 0))
         base.append(np.bincount(doc, weights=logs, minlength=size) + ends)
         outer.append(np.bincount(doc, weights=logs * unk, minlength=size))
+        n_unk.append(np.bincount(doc, weights=unk, minlength=size).astype(np.int64))
         order = np.flatnonzero(~sure)
         d, x = doc[order], h[order]
         by = np.lexsort((x, d))
@@ -235,38 +228,51 @@ def _part(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
         tail_h.append(x[here].view(np.int64))
         tail_n.append(np.diff(np.append(here, len(d))))
         tail_len.append(np.bincount(d[here], minlength=size))
-        tokens.append(t.astype(np.int32))
-        lengths.append(np.diff(cuts))
-    cuts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-    flat = np.concatenate(tokens)
-    lp = gru.score(model.net, flat, cuts) / log(10)
-    n_unk = np.add.reduceat((flat == gru.UNK).astype(np.int64), cuts[:-1])
+        raw = t.astype(np.uint16)
+        tokens += [raw[i:j].tobytes() for i, j in itertools.pairwise(cuts.tolist())]
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(tail_len))]).astype(np.int32))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int64))) for x in (tail_h, tail_n)]
-    columns = [batch.column(0), batch.column(1), *(pa.array(np.concatenate(x)) for x in (n_tokens, n_known, base, outer)), pa.array(lp), pa.array(n_unk), *lists]
-    return pa.RecordBatch.from_arrays(columns, ["key", "id", "n_tokens", "n_known", "base", "outer", "lp", "n_unk", "tail", "times"])
+    columns = [*batch.columns[:3], *(pa.array(np.concatenate(x)) for x in (n_tokens, n_known, base, outer, n_unk)), *lists, pa.array(tokens, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["key", "id", "learn", "n_tokens", "n_known", "base", "outer", "n_unk", "tail", "times", "tokens"])
+
+
+def _with_network(rows: DataFrame, net: gru.Gru) -> DataFrame:
+    """rows with lp, the network's log10 probability of their tokens, in place of these."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+    kept = [c for c in rows.columns if c != "tokens"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = batch.column(len(kept)).to_pylist()
+        cuts = np.cumsum([0, *(len(t) // 2 for t in tokens)])
+        lp = gru.score(sent.value, np.frombuffer(b"".join(tokens), dtype=np.uint16), cuts) / log(10)
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lp)], [*kept, "lp"])
+
+    shape = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return batched(rows.select(*kept, "tokens"), run, f"{shape}, lp double")
 
 
-def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, **training) -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score and score, a row for each row of docs.
 
     `learn` is a condition on `id` that marks the training rows. Texts are
     lower-cased in ASCII and cut at white space; null texts are empty, and an
     empty text still has its end. Repeated rows count each time, null ids are
     ids of their own text. Without training rows every probability is that of
-    an unseen word.
+    an unseen word. The vocabulary has less than 65,000 words.
     """
+    spark = docs.sparkSession
     own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    own = own.select(F.xxhash64("id", "text").alias("key"), "id", "text")
-    training = own.filter(learn)
-    counts = cut(word_counts(training))
-    model = fit(training, counts, **parameters)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    own = own.select(F.xxhash64("id", "text").alias("key"), "id", F.coalesce(learn, F.lit(False)).alias("learn"), "text")
+    counts = cut(word_counts(own.filter("learn")))
+    model = untrained(counts, hot=hot, vocabulary=vocabulary, hidden=hidden)
+    sent = spark.sparkContext.broadcast(model)
     kind = own.schema["id"].dataType.simpleString()
-    rows = batched(own, lambda b: _part(b, sent.value), f"key long, id {kind}, n_tokens long, n_known long, base double, outer double, lp double, n_unk long, tail array<long>, times array<long>")
+    shape = f"key long, id {kind}, learn boolean, n_tokens long, n_known long, base double, outer double, n_unk long, tail array<long>, times array<long>, tokens binary"
+    rows = cut(batched(own, lambda b: _part(b, sent.value), shape))
+    train(model, rows.filter("learn"), **training)
+    scored = _with_network(rows.drop("tail", "times"), model.net)
     add = F.lit(0.0).alias("logs"), F.lit(0).cast("long").alias("known")
     if not model.whole:
-        rows = cut(rows)
         each = rows.filter("size(tail) > 0").select("key", "id", F.posexplode(F.arrays_zip("tail", "times")).alias("k", "w"))
         each = each.select("key", "id", F.col("w.tail").alias("word"), F.col("w.times").alias("times"), (F.col("k") == 0).cast("long").alias("copies"))
         c = F.coalesce("n", F.lit(0))
@@ -274,9 +280,9 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
         sums = met.groupBy("key", "id").agg(F.sum("logs").alias("s"), F.sum("known").alias("k"), F.sum("copies").alias("copies"))
         # Copies of a row share a key: each has its part of the sum.
         sums = sums.select(F.col("key").alias("k1"), F.col("id").alias("k2"), (F.col("s") / F.col("copies")).alias("s"), F.expr("k div copies").alias("k"))
-        rows = rows.join(sums, (rows["key"] == sums["k1"]) & rows["id"].eqNullSafe(sums["k2"]), "left")
+        scored = scored.join(sums, (scored["key"] == sums["k1"]) & scored["id"].eqNullSafe(sums["k2"]), "left")
         add = F.coalesce("s", F.lit(0.0)).alias("logs"), F.coalesce("k", F.lit(0)).cast("long").alias("known")
-    rows = rows.select("*", *add)
+    rows = scored.select("*", *add)
     norm = log10(model.total + 0.5 * (model.distinct + 1))
     base = F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(norm)
     lm = F.col("lp") + F.col("outer") + F.col("logs") - F.col("n_unk") * F.lit(log10(model.outside))
