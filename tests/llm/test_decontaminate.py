@@ -39,8 +39,8 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(*r, "n") for r in docs], "doc_id long, text string, n_words string")
     tests = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute(docs, items, 4), key=str)
-    for size in (1 << 20, 200):
-        got = d.verdicts(d.contamination(df, tests, window=4, block_bytes=size)).collect()
+    for size in (1 << 20, 60):
+        got = d.verdicts(d.contamination(df, tests, window=4, pass_bytes=size)).collect()
         assert sorted(((r.row.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got), key=str) == want
 
 
@@ -49,3 +49,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit, r.contaminated) for r in d.verdicts(d.contamination(docs, none)).collect()] == [(3, 0, False)]
     assert d.contamination(docs.limit(0), none).count() == 0
+
+
+def test_alike_windows_share_buckets(spark):
+    """Windows with the same first and last words, and items that are copies."""
+    items = [(k, f"a b {m} y z") for k, m in enumerate(["one", "two", "three", "one"])] + [(9, "a b one y z tail")]
+    docs = [(1, "A b two, y z!"), (2, "a b four y z"), (3, "x a b one y z tail"), (4, "b one y z")]
+    df = spark.createDataFrame([(k, "other", t) for k, t in docs], "doc_id long, text string, body string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items, 5)
+    for size in (1 << 20, 20):
+        got = d.verdicts(d.contamination(df, tests, window=5, doc_text_col="body", pass_bytes=size)).collect()
+        assert sorted((r.row.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got) == want
