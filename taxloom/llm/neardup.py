@@ -7,6 +7,8 @@ class first; signatures are banded for class representatives only.
 Buckets of a band are handled by size, without ever emitting all pairs of a
 large one:
 
+* rows of hot bands, classes and components stay where they are: what they are
+  joined with is small, and that of the hottest ones is broadcast;
 * small buckets yield their pairs;
 * of a large bucket, members whose shared shingles are too few for any link
   leave first, by an exact bound. The rest yields a star around the member
@@ -31,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.shared import batched, cut
+from taxloom.llm.shared import Scratch, batched, join_counted
 from taxloom.llm.textvec import SPACED, U, chunks, combine, mix, words_of
 
 PERMUTATIONS = 64
 BANDS, ROWS = 30, 3
 #: Buckets up to this size yield all their pairs: at most (SMALL - 1) / 2 for each member.
 SMALL = 24
-#: Members in one block of a large bucket, on average.
-BLOCK = 256
+#: Members in one block of a large bucket, on average, and shingles of all of them.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Pairs of a bucket's centre that share a copy of its shingles.
+STAR = 512
 
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << U(1)) | U(1)
@@ -113,23 +117,29 @@ def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return batched(docs, run, f"id {kind}, n_shingles long, cls binary, bands array<long>, sig binary")
 
 
-def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in ids.
+def _by_bitmap(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose id may be in ids, and those whose id is not, null ids among them.
 
-    A bitmap of id hashes, 1 MB at most, is broadcast ahead of the join, so
-    that few other texts are shuffled; it only ever lets rows through.
+    A bitmap of id hashes, 1 MB at most, is broadcast, so that few other texts
+    are shuffled when the former are joined.
     """
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 23))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    bits = ids.select(h.alias("h")).select(F.shiftright("h", 6).alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    near = docs.withColumn("h", h).withColumn("w", F.shiftright("h", 6)).join(F.broadcast(bits), "w").filter(F.col("bits").bitwiseAND(bit) != 0)
-    return near.select(*docs.columns).join(ids, "id", "left_semi")
+    bits = ids.filter("id is not null").select(h.alias("h")).select(F.shiftright("h", 6).alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    marked = docs.withColumn("h", h).withColumn("w", F.shiftright("h", 6)).join(F.broadcast(bits), "w", "left")
+    held = F.col("id").isNotNull() & F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.filter(held).select(*docs.columns), marked.filter(~held).select(*docs.columns)
+
+
+def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id is in ids."""
+    return _by_bitmap(docs, ids)[0].join(ids, "id", "left_semi")
 
 
-def _sets(docs: DataFrame, fingerprints: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """cls and set (sorted 64-bit hashes) of the wanted classes, from one text of each."""
-    ids = fingerprints.select("id", "cls").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    texts = _having(docs, ids.select("id").filter("id is not null").distinct()).unionByName(docs.filter("id is null"))
+    ids = classes.select("id", "cls").join(wanted, "cls", "left_semi").select("id")
+    texts = _having(docs, ids.filter("id is not null").distinct()).unionByName(docs.filter("id is null"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cls, sets = [], []
@@ -146,19 +156,26 @@ def _sets(docs: DataFrame, fingerprints: DataFrame, wanted: DataFrame, words: in
     return made.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
+def _with_ends(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """a, b and the value of each from `table` (a row for each cls).
+
+    Pairs (a, b, salt) of a centre are many: each of its salts has a copy of its value.
+    """
+    a = pairs.select("a", "salt").distinct().join(table.select(F.col("cls").alias("a"), F.col(value).alias(f"{value}_a")), "a")
+    b = table.select(F.col("cls").alias("b"), F.col(value).alias(f"{value}_b"))
+    return pairs.join(a, ["a", "salt"]).join(b, "b").select("a", "b", "salt", f"{value}_a", f"{value}_b")
+
+
 def _estimated(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose signatures do not rule the threshold out."""
     n = 2 * PERMUTATIONS
     least = n * (threshold - 5 * (threshold * (1 - threshold) / n) ** 0.5)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, n) for k in (2, 3))
-        return batch.filter(pa.array((x == y).sum(axis=1) >= least)).select(["a", "b"])
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, n) for k in (3, 4))
+        return batch.filter(pa.array((x == y).sum(axis=1) >= least)).select(["a", "b", "salt"])
 
-    a = sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a"))
-    b = sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
-    return batched(both, run, "a binary, b binary")
+    return batched(_with_ends(pairs, sigs, "sig"), run, "a binary, b binary, salt int")
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -178,12 +195,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep.append(100 * common >= percent * (len(p) + len(q) - common))
         return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    a = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
-    return batched(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), run, "a binary, b binary")
+    return batched(_with_ends(pairs, sets, "set").drop("salt"), run, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """cls and comp (the smallest cls reachable) of every end of an edge (a, b).
 
     Alternates two steps until neither changes an edge: every larger neighbour
@@ -191,7 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ordered = lambda d: d.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    now = cut(ordered(edges))
+    now = scratch.cut(ordered(edges))
     before = state_of(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -199,7 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = ordered(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a")
-        now = cut(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
+        last, now = now, scratch.cut(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct())
+        scratch.drop(last)
         state = state_of(now)
         if state == before:
             break
@@ -208,12 +224,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("cls"), F.col("b").alias("comp")).unionByName(ends)
 
 
-def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
+def _merged(comps: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
     """Components after more links (a, b): the links join whole components, so only these are connected anew."""
     of = lambda end: comps.select(F.col("cls").alias(end), F.col("comp").alias(f"comp_{end}"))
     ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    links = cut(ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
-    joined = components(links).select(F.col("cls").alias("old"), F.col("comp").alias("new"))
+    links = scratch.cut(ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
+    joined = components(links, scratch).select(F.col("cls").alias("old"), F.col("comp").alias("new"))
     known = comps.join(joined, comps["comp"] == joined["old"], "left").select("cls", F.coalesce("new", "comp").alias("comp"))
     alone = joined.join(comps, joined["old"] == comps["cls"], "left_anti").select(F.col("old").alias("cls"), F.col("new").alias("comp"))
     return known.unionByName(alone)
@@ -269,8 +285,8 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple
     return out
 
 
-def _central(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members (band, cls) of large buckets that may link there, with the bucket's centre as lead.
+def _central(large: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Members (band, cls) of large buckets that may link there, with the bucket's centre as lead and its members left, n.
 
     A shingle that no other class has is in no intersection. A text of n
     shingles, s of them shared, that links with one of m has
@@ -279,26 +295,35 @@ def _central(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each = sets.select("cls", F.explode("set").alias("shingle"))
     alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cls").alias("cls")).filter("n = 1").groupBy("cls").agg(F.count("*").alias("own"))
     sized = sets.select("cls", F.size("set").alias("size")).join(alone, "cls", "left").select("cls", "size", F.coalesce("own", F.lit(0)).alias("own"))
-    members = large.join(sized, "cls")
-    least = members.groupBy("band").agg(F.min("size").alias("least"))
+    members = scratch.cut(large.join(sized, "cls"))
+    least = members.groupBy("band").agg(F.min("size").alias("least"), F.count("*").alias("n"))
     partner = F.greatest(100 * F.col("least"), percent * F.col("size"))
     shared = F.col("size") - F.col("own")
-    able = members.join(least, "band").filter(10000 * shared >= percent * (100 * (F.col("size") - shared) + partner))
+    able = scratch.cut(join_counted(members, least, "band").filter(10000 * shared >= percent * (100 * (F.col("size") - shared) + partner)).drop("n"))
     lead = able.groupBy("band").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("share"), "cls")).alias("first"), F.count("*").alias("n"))
-    return able.select("band", "cls").join(lead.filter("n > 1").select("band", F.col("first.cls").alias("lead")), "band")
+    lead = lead.filter("n > 1").select("band", F.col("first.cls").alias("lead"), "n")
+    out = scratch.cut(join_counted(able.select("band", "cls"), lead, "band"))
+    scratch.drop(members, able)
+    return out
 
 
-def _block_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _block_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
     """Links that join members of large buckets to others of their bucket, where components still differ.
 
     Those outside the centre's component are dealt out in blocks, and so is
     the whole bucket; every block of the former meets every one of the latter.
+    Blocks are bounded by members and by shingles.
     """
-    tagged = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    sized = sets.select("cls", F.size("set").cast("long").alias("size"))
+    tagged = members.drop("n").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).join(sized, "cls")
     centre = comps.select(F.col("cls").alias("lead"), F.col("comp").alias("main"))
-    tagged = tagged.join(centre, "lead", "left").withColumn("out", F.col("comp") != F.coalesce("main", "lead"))
-    counts = tagged.groupBy("band").agg(F.count("*").alias("n"), F.count_if("out").alias("n_out")).filter("n_out > 0")
-    rest = cut(tagged.join(counts, "band").select("band", "cls", "comp", "out", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("out_blocks")))
+    leads = members.groupBy("lead").agg(F.count("*").alias("n")).join(centre, "lead", "left")
+    tagged = scratch.cut(join_counted(scratch.cut(tagged), leads, "lead").drop("n").withColumn("out", F.col("comp") != F.coalesce("main", "lead")))
+    out = F.when(F.col("out"), F.col("size")).otherwise(0)
+    counts = tagged.groupBy("band").agg(F.count("*").alias("n"), F.count_if("out").alias("n_out"), F.sum("size").alias("size"), F.sum(out).alias("size_out")).filter("n_out > 0")
+    blocks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_SHINGLES)).cast("int")
+    counts = counts.select("band", "n", blocks("n", "size").alias("blocks"), blocks("n_out", "size_out").alias("out_blocks"))
+    rest = scratch.cut(join_counted(tagged, counts, "band").select("band", "cls", "comp", "out", "blocks", "out_blocks"))
     if rest.isEmpty():
         return None
     place = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
@@ -326,33 +351,62 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, id_co
 
     A link at the threshold itself escapes all bands with probability 1e-7.
     """
+    scratch = Scratch(docs.sparkSession)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    prints = cut(_fingerprints(own, words))
-    classes = prints.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = cut(classes)
+    prints = scratch.cut(_fingerprints(own, words))
+    classes = scratch.cut(prints.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     banded = classes.select("cls", F.explode("bands").alias("band"))
-    buckets = cut(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = cut(banded.join(buckets, "band"))
+    buckets = scratch.cut(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = scratch.cut(join_counted(banded, buckets, "band"))
     small = members.filter(f"n <= {SMALL}").groupBy("band").agg(F.sort_array(F.collect_list("cls")).alias("m"))
     firsts = small.select(F.posexplode("m").alias("k", "a"), "m")
-    pairs = firsts.select("a", F.explode(F.expr("slice(m, k + 2, size(m))")).alias("b"))
+    pairs = firsts.select("a", F.explode(F.expr("slice(m, k + 2, size(m))")).alias("b"), F.lit(0).alias("salt"))
     large = members.filter(f"n > {SMALL}").select("band", "cls")
     any_large = not buckets.filter(f"n > {SMALL}").isEmpty()
     if any_large:
-        sets = cut(_sets(own, prints, large.select("cls").distinct(), words))
-        large = cut(_central(large, sets, percent))
-        pairs = pairs.unionByName(large.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")))
-    likely = cut(_estimated(pairs.distinct(), classes.select("cls", "sig"), percent / 100))
+        sets = scratch.cut(_sets(own, classes, large.select("cls").distinct(), words))
+        large = _central(large, sets, percent, scratch)
+        salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / STAR)).cast("int")
+        pairs = pairs.unionByName(large.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"), salt.alias("salt")))
+    pairs = pairs.groupBy("a", "b").agg(F.min("salt").alias("salt"))
+    likely = scratch.cut(_estimated(pairs, classes.select("cls", "sig"), percent / 100))
+    scratch.drop(buckets, members)
     wanted = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).distinct()
-    edges = cut(_confirmed(likely, _sets(own, prints, wanted, words), percent))
-    comps = components(edges)
     if any_large:
-        more = _block_links(large, comps, sets, percent)
+        wanted = wanted.join(sets.select("cls"), "cls", "left_anti")
+        of_likely = sets.unionByName(_sets(own, classes, wanted, words))
+    else:
+        of_likely = _sets(own, classes, wanted, words)
+    edges = scratch.cut(_confirmed(likely, of_likely, percent))
+    comps = components(edges, scratch)
+    scratch.drop(likely, edges)
+    if any_large:
+        more = _block_links(large, comps, sets, percent, scratch)
         if more is not None:
-            comps = _merged(comps, more)
-    named = classes.select("cls", "id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    by_class = named.join(least, "comp").select("cls", "component_id")
-    out = prints.select("id", "n_shingles", "cls").join(by_class, "cls", "left")
-    reached = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", reached.alias("component_id"), F.col("id").eqNullSafe(reached).alias("kept"))
+            comps = _merged(comps, more, scratch)
+    named = scratch.cut(classes.select("cls", "id", "n").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    if any_large:
+        scratch.drop(sets, large)
+    least = named.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    by_class = scratch.cut(join_counted(named.withColumnRenamed("n", "rows"), least, "comp").select("cls", F.col("rows").alias("n"), "component_id"))
+    scratch.drop(classes, named)
+    worded = join_counted(prints.filter("cls is not null").select("id", "n_shingles", "cls"), by_class, "cls").select("id", "n_shingles", "component_id")
+    out = worded.unionByName(prints.filter("cls is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """docs with one document of each near-duplicate group, that of the smallest id, with the same columns.
+
+    A document is an id and a text: other texts of its id are documents of
+    their own, of equal ones the smaller hash of the text stays, rows that
+    repeat both stay or go together. Documents without an id come after all
+    others. Texts without words are nobody's copies and stay.
+    """
+    text = docs[text_col]
+    own = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+    rows = docs.select(own.alias("id"), text.alias("text"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    gone = near_duplicates(rows.select("id", "text"), id_col="id", **parameters).filter("not kept").select("id").distinct()
+    gone = Scratch(docs.sparkSession).cut(gone)
+    near, far = _by_bitmap(rows.select("id", "row"), gone)
+    return near.join(gone, "id", "left_anti").unionByName(far).select("row.*")

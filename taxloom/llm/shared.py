@@ -61,17 +61,35 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are made inside go at the end; what is built on them must have been written by then."""
+    folders: list[str] = []
+    _open.append(folders)
+    try:
+        yield
+    finally:
+        _open.pop()
+        for f in folders:
+            remove(spark, f)
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage, each of which can be dropped once nothing reads it any more.
 
-    What a returned DataFrame still reads stays: it is dropped with the folder
-    of its session.
+    What a returned DataFrame still reads stays, within `temporary` until its
+    end, and else as long as the session's folder.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/taxloom-{uuid.uuid4().hex}"
         self.paths: list[tuple[DataFrame, str]] = []
+        if _open:
+            _open[-1].append(self.folder)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
@@ -90,6 +108,24 @@ def cut(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).cut(df)
 
 
+#: Values of a key that are joined by broadcast at most.
+HOT_KEYS = 4096
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """left joined with right, which has one small row for each value of `on` and in `n` how many rows of left have it.
+
+    Values that hold more than a HOT_KEYS-th of all rows are no more than
+    HOT_KEYS, so these go by broadcast, and rows of a hot value stay where they
+    are; the rest is shuffled. Both are read twice: they should be tables.
+    """
+    total = right.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = right.filter(F.col("n") * HOT_KEYS > F.lit(total))
+    cold = right.filter(F.col("n") * HOT_KEYS <= F.lit(total))
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
 def bucket_of(id_col: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % n

@@ -61,3 +61,25 @@ def test_against_brute_force(spark, monkeypatch, small, block, copies):
 
 def test_empty_table(spark):
     assert n.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, words(1)), (2, words(1)), (2, words(2)), (None, words(2) + " more"), (None, words(3)), (3, None), (4, ""), (4, " "), (5, words(5)), (5, words(5)), (None, words(3))]
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, cls string, id int").repartition(3)
+    got = n.drop_copies(df)
+    assert got.columns == df.columns
+    want = [(1, words(1)), (2, words(2)), (None, words(3)), (None, words(3)), (3, None), (4, ""), (4, " "), (5, words(5)), (5, words(5))]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert n.drop_copies(df.limit(0)).count() == 0
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from taxloom.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_KEYS", 4)
+    rows = [(k % 3 if k % 2 else 9, k) for k in range(400)]
+    left = spark.createDataFrame(rows, "k int, v int")
+    right = left.groupBy("k").count().selectExpr("k", "count as n", "k * 10 as w")
+    got = sorted((r.k, r.v, r.w) for r in shared.join_counted(left, right, "k").collect())
+    assert got == sorted((k, v, k * 10) for k, v in rows)
