@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.shared import Scratch, batched
+from taxloom.llm.shared import Scratch, batched, by_bitmap
 from taxloom.llm.textvec import ALNUM, U, Words, chunks, mix, words_of
 
 WINDOW = 13
@@ -247,15 +247,11 @@ def _merged(rows: DataFrame, place: int, found: DataFrame, out: str) -> DataFram
     scratch = Scratch(rows.sparkSession)
     found = scratch.cut(found)
     text = F.col("row")[rows.schema["row"].dataType.names[place]]
-    h = F.pmod(F.col("k1"), F.lit(1 << 23))
-    bit = F.expr("shiftleft(1L, cast(pmod(k1, 8388608) & 63 as int))")
-    bits = found.select(F.shiftright(h, 6).alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    keyed = rows.select("row", *_keys(text)).withColumn("w", F.shiftright(h, 6)).join(F.broadcast(bits), "w", "left")
-    near = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    near, far = by_bitmap(rows.select("row", *_keys(text)), found, "k1")
     none = F.expr(f"cast(array() as {_HITS})").alias("hits"), F.expr("cast(array() as array<string>)").alias("items")
-    far = keyed.filter(~near).select("row", *none)
+    far = far.select("row", *none)
     # Rows of one text may be many: they are dealt out by their partitions.
-    salted = keyed.filter(near).withColumn("salt", F.spark_partition_id() % _SALTS)
+    salted = near.withColumn("salt", F.spark_partition_id() % _SALTS)
     copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     met = salted.join(copies, ["k1", "k2", "salt"], "left").select("row", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items"))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.shared import Scratch, batched, join_counted
+from taxloom.llm.shared import Scratch, batched, by_bitmap, join_counted
 from taxloom.llm.textvec import SPACED, U, chunks, combine, mix, words_of
 
 PERMUTATIONS = 64
@@ -117,23 +117,9 @@ def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return batched(docs, run, f"id {kind}, n_shingles long, cls binary, bands array<long>, sig binary")
 
 
-def _by_bitmap(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs whose id may be in ids, and those whose id is not, null ids among them.
-
-    A bitmap of id hashes, 1 MB at most, is broadcast, so that few other texts
-    are shuffled when the former are joined.
-    """
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 23))
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    bits = ids.filter("id is not null").select(h.alias("h")).select(F.shiftright("h", 6).alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    marked = docs.withColumn("h", h).withColumn("w", F.shiftright("h", 6)).join(F.broadcast(bits), "w", "left")
-    held = F.col("id").isNotNull() & F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
-    return marked.filter(held).select(*docs.columns), marked.filter(~held).select(*docs.columns)
-
-
 def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose id is in ids."""
-    return _by_bitmap(docs, ids)[0].join(ids, "id", "left_semi")
+    return by_bitmap(docs, ids, "id")[0].join(ids, "id", "left_semi")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -408,5 +394,5 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(own.alias("id"), text.alias("text"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     gone = near_duplicates(rows.select("id", "text"), id_col="id", **parameters).filter("not kept").select("id").distinct()
     gone = Scratch(docs.sparkSession).cut(gone)
-    near, far = _by_bitmap(rows.select("id", "row"), gone)
+    near, far = by_bitmap(rows.select("id", "row"), gone, "id")
     return near.join(gone, "id", "left_anti").unionByName(far).select("row.*")

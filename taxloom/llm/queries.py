@@ -75,7 +75,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.remove_repeats(table(spark, sf_dir, "documents"))
+    return spans.remove_repeats(table(spark, sf_dir, "documents"), longest=spans.LONGEST)
 
 
 QUERIES = {

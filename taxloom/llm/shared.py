@@ -126,6 +126,20 @@ def join_counted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
 
 
+def by_bitmap(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose `on` may be among that of keys, and rows whose `on` is not, nulls among them.
+
+    A bitmap of hashes, 1 MB at most, is broadcast, so that where few rows have
+    a partner, few are shuffled when the former are joined.
+    """
+    h = F.pmod(F.xxhash64(on), F.lit(1 << 23))
+    bit = F.expr("shiftleft(1L, cast(bitmap_hash & 63 as int))")
+    bits = keys.filter(F.col(on).isNotNull()).select(h.alias("bitmap_hash")).select(F.shiftright("bitmap_hash", 6).alias("bitmap_word"), bit.alias("bit")).groupBy("bitmap_word").agg(F.bit_or("bit").alias("bitmap_bits"))
+    marked = df.withColumn("bitmap_hash", h).withColumn("bitmap_word", F.shiftright("bitmap_hash", 6)).join(F.broadcast(bits), "bitmap_word", "left")
+    held = F.col(on).isNotNull() & F.coalesce(F.col("bitmap_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.filter(held).select(*df.columns), marked.filter(~held).select(*df.columns)
+
+
 def bucket_of(id_col: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % n

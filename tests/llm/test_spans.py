@@ -5,7 +5,7 @@ from taxloom.llm import spans as s
 
 
 def brute(docs, n_sentences, n_words):
-    """Spans from a plain splitter; texts have no sentence over LONG words."""
+    """Spans from a plain splitter; texts have no sentence over LONGEST words."""
     cut = {}
     for i, (d, t) in enumerate(docs):
         cut[i] = re.findall(r"\s*\S[^.!?\n]*[.!?\n]?(?:[.!?]*)\s*", t or "")
@@ -57,9 +57,10 @@ def test_long_sentences_and_empty_table(spark):
     passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))
     docs = [(k, " ".join(f"a{rng.randrange(10**6)}" for _ in range(30)) + " " + passage + " " + " ".join(f"b{rng.randrange(10**6)}" for _ in range(30))) for k in range(4)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r for r in s.remove_repeats(df).collect()}
+    got = {r.doc_id: r for r in s.remove_repeats(df, longest=s.LONGEST).collect()}
     assert got[0].n_removed == 0 and got[0].text == docs[0][1]
     assert all(got[k].n_removed >= 3 for k in (1, 2, 3))
+    assert all(r.n_sentences == 1 and r.n_removed == 0 for r in s.remove_repeats(df).collect())
     assert s.remove_repeats(df.limit(0)).count() == 0
 
 
@@ -70,7 +71,7 @@ def test_any_fifty_shared_words_hold_a_span():
     def hashes(text):
         w = s.words_of([text.encode()], s.SPACED)
         h = w.hashes()
-        at, first = s.sentences(w, h)
+        at, first = s.sentences(w, h, s.LONGEST)
         return set(s.spans(h, at, first, s.SENTENCES, s.WORDS)[0].tolist())
 
     for k in range(2000):
