@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.shared import Scratch, batched, by_bitmap
+from taxloom.llm.shared import Scratch, batched, by_bitmap, keep
 from taxloom.llm.textvec import ALNUM, U, Words, chunks, mix, words_of
 
 WINDOW = 13
@@ -223,29 +223,27 @@ def _keys(text: Column) -> list[Column]:
 
 def _found_in_passes(docs: DataFrame, each: Iterator[list[tuple[str, str]]], window: int, text_col: str) -> DataFrame:
     """k1, k2 (hashes of a text), hits and items of texts with hits, one pass over the documents after the other."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    context = docs.sparkSession.sparkContext
     text = docs[text_col]
     texts = docs.filter(text.isNotNull()).select(*_keys(text), text.alias("text"))
     found = []
-    for items in each:
-        sent = spark.sparkContext.broadcast(searchers(items, window))
+    with Scratch(docs.sparkSession) as scratch:
+        for items in each:
+            sent = context.broadcast(searchers(items, window))
 
-        def run(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            _, hits, ids = _searched(batch.column(2), sent.value)
-            return pa.RecordBatch.from_arrays([*batch.columns[:2], hits, ids], ["k1", "k2", "hits", "items"])
+            def run(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+                _, hits, ids = _searched(batch.column(2), sent.value)
+                return pa.RecordBatch.from_arrays([*batch.columns[:2], hits, ids], ["k1", "k2", "hits", "items"])
 
-        hit = batched(texts, run, f"k1 long, k2 long, hits {_HITS}, items array<string>").filter("size(items) > 0")
-        found.append(scratch.cut(hit.dropDuplicates(["k1", "k2"])))
-        sent.destroy()
-    both = reduce(DataFrame.unionByName, found)
-    return both.groupBy("k1", "k2").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            hit = batched(texts, run, f"k1 long, k2 long, hits {_HITS}, items array<string>").filter("size(items) > 0")
+            found.append(scratch.cut(hit.dropDuplicates(["k1", "k2"])))
+            sent.destroy()
+        items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        return keep(reduce(DataFrame.unionByName, found).groupBy("k1", "k2").agg(F.flatten(F.collect_list("hits")).alias("hits"), items))
 
 
 def _merged(rows: DataFrame, place: int, found: DataFrame, out: str) -> DataFrame:
     """Rows with what the passes found in their texts; only rows that a bitmap of 1 MB lets through are shuffled."""
-    scratch = Scratch(rows.sparkSession)
-    found = scratch.cut(found)
     text = F.col("row")[rows.schema["row"].dataType.names[place]]
     near, far = by_bitmap(rows.select("row", *_keys(text)), found, "k1")
     none = F.expr(f"cast(array() as {_HITS})").alias("hits"), F.expr("cast(array() as array<string>)").alias("items")

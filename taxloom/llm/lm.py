@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxloom.llm import gru
-from taxloom.llm.shared import batched, cut, streamed
+from taxloom.llm.shared import Scratch, batched, keep, streamed
 from taxloom.llm.textvec import SPACED, U, chunks, mix, words_of
 
 #: Words whose counts are broadcast, and words of the network's vocabulary.
@@ -263,27 +263,28 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     own = own.select(F.xxhash64("id", "text").alias("key"), "id", F.coalesce(learn, F.lit(False)).alias("learn"), "text")
-    counts = cut(word_counts(own.filter("learn")))
-    model = untrained(counts, hot=hot, vocabulary=vocabulary, hidden=hidden)
-    sent = spark.sparkContext.broadcast(model)
-    kind = own.schema["id"].dataType.simpleString()
-    shape = f"key long, id {kind}, learn boolean, n_tokens long, n_known long, base double, outer double, n_unk long, tail array<long>, times array<long>, tokens binary"
-    rows = cut(batched(own, lambda b: _part(b, sent.value), shape))
-    train(model, rows.filter("learn"), **training)
-    scored = _with_network(rows.drop("tail", "times"), model.net)
-    add = F.lit(0.0).alias("logs"), F.lit(0).cast("long").alias("known")
-    if not model.whole:
-        each = rows.filter("size(tail) > 0").select("key", "id", F.posexplode(F.arrays_zip("tail", "times")).alias("k", "w"))
-        each = each.select("key", "id", F.col("w.tail").alias("word"), F.col("w.times").alias("times"), (F.col("k") == 0).cast("long").alias("copies"))
-        c = F.coalesce("n", F.lit(0))
-        met = each.join(counts, "word", "left").select("key", "id", "copies", (F.col("times") * F.log10(c + 0.5)).alias("logs"), F.when(c > 0, F.col("times")).otherwise(0).alias("known"))
-        sums = met.groupBy("key", "id").agg(F.sum("logs").alias("s"), F.sum("known").alias("k"), F.sum("copies").alias("copies"))
-        # Copies of a row share a key: each has its part of the sum.
-        sums = sums.select(F.col("key").alias("k1"), F.col("id").alias("k2"), (F.col("s") / F.col("copies")).alias("s"), F.expr("k div copies").alias("k"))
-        scored = scored.join(sums, (scored["key"] == sums["k1"]) & scored["id"].eqNullSafe(sums["k2"]), "left")
-        add = F.coalesce("s", F.lit(0.0)).alias("logs"), F.coalesce("k", F.lit(0)).cast("long").alias("known")
-    rows = scored.select("*", *add)
-    norm = log10(model.total + 0.5 * (model.distinct + 1))
-    base = F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(norm)
-    lm = F.col("lp") + F.col("outer") + F.col("logs") - F.col("n_unk") * F.lit(log10(model.outside))
-    return rows.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), lm.alias("score"))
+    with Scratch(spark) as scratch:
+        counts = scratch.cut(word_counts(own.filter("learn")))
+        model = untrained(counts, hot=hot, vocabulary=vocabulary, hidden=hidden)
+        sent = spark.sparkContext.broadcast(model)
+        kind = own.schema["id"].dataType.simpleString()
+        shape = f"key long, id {kind}, learn boolean, n_tokens long, n_known long, base double, outer double, n_unk long, tail array<long>, times array<long>, tokens binary"
+        rows = scratch.cut(batched(own, lambda b: _part(b, sent.value), shape))
+        train(model, rows.filter("learn"), **training)
+        scored = _with_network(rows.drop("tail", "times"), model.net)
+        add = F.lit(0.0).alias("logs"), F.lit(0).cast("long").alias("known")
+        if not model.whole:
+            each = rows.filter("size(tail) > 0").select("key", "id", F.posexplode(F.arrays_zip("tail", "times")).alias("k", "w"))
+            each = each.select("key", "id", F.col("w.tail").alias("word"), F.col("w.times").alias("times"), (F.col("k") == 0).cast("long").alias("copies"))
+            c = F.coalesce("n", F.lit(0))
+            met = each.join(counts, "word", "left").select("key", "id", "copies", (F.col("times") * F.log10(c + 0.5)).alias("logs"), F.when(c > 0, F.col("times")).otherwise(0).alias("known"))
+            sums = met.groupBy("key", "id").agg(F.sum("logs").alias("s"), F.sum("known").alias("k"), F.sum("copies").alias("copies"))
+            # Copies of a row share a key: each has its part of the sum.
+            sums = sums.select(F.col("key").alias("k1"), F.col("id").alias("k2"), (F.col("s") / F.col("copies")).alias("s"), F.expr("k div copies").alias("k"))
+            scored = scored.join(sums, (scored["key"] == sums["k1"]) & scored["id"].eqNullSafe(sums["k2"]), "left")
+            add = F.coalesce("s", F.lit(0.0)).alias("logs"), F.coalesce("k", F.lit(0)).cast("long").alias("known")
+        rows = scored.select("*", *add)
+        norm = log10(model.total + 0.5 * (model.distinct + 1))
+        base = F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(norm)
+        lm = F.col("lp") + F.col("outer") + F.col("logs") - F.col("n_unk") * F.lit(log10(model.outside))
+        return keep(rows.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), lm.alias("score")))

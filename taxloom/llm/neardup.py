@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.shared import Scratch, batched, by_bitmap, join_counted
+from taxloom.llm.shared import Scratch, batched, by_bitmap, join_counted, keep
 from taxloom.llm.textvec import SPACED, U, chunks, combine, mix, words_of
 
 PERMUTATIONS = 64
@@ -337,48 +337,49 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, id_co
 
     A link at the threshold itself escapes all bands with probability 1e-7.
     """
-    scratch = Scratch(docs.sparkSession)
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    prints = scratch.cut(_fingerprints(own, words))
-    classes = scratch.cut(prints.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    banded = classes.select("cls", F.explode("bands").alias("band"))
-    buckets = scratch.cut(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = scratch.cut(join_counted(banded, buckets, "band"))
-    small = members.filter(f"n <= {SMALL}").groupBy("band").agg(F.sort_array(F.collect_list("cls")).alias("m"))
-    firsts = small.select(F.posexplode("m").alias("k", "a"), "m")
-    pairs = firsts.select("a", F.explode(F.expr("slice(m, k + 2, size(m))")).alias("b"), F.lit(0).alias("salt"))
-    large = members.filter(f"n > {SMALL}").select("band", "cls")
-    any_large = not buckets.filter(f"n > {SMALL}").isEmpty()
-    if any_large:
-        sets = scratch.cut(_sets(own, classes, large.select("cls").distinct(), words))
-        large = _central(large, sets, percent, scratch)
-        salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / STAR)).cast("int")
-        pairs = pairs.unionByName(large.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"), salt.alias("salt")))
-    pairs = pairs.groupBy("a", "b").agg(F.min("salt").alias("salt"))
-    likely = scratch.cut(_estimated(pairs, classes.select("cls", "sig"), percent / 100))
-    scratch.drop(buckets, members)
-    wanted = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).distinct()
-    if any_large:
-        wanted = wanted.join(sets.select("cls"), "cls", "left_anti")
-        of_likely = sets.unionByName(_sets(own, classes, wanted, words))
-    else:
-        of_likely = _sets(own, classes, wanted, words)
-    edges = scratch.cut(_confirmed(likely, of_likely, percent))
-    comps = components(edges, scratch)
-    scratch.drop(likely, edges)
-    if any_large:
-        more = _block_links(large, comps, sets, percent, scratch)
-        if more is not None:
-            comps = _merged(comps, more, scratch)
-    named = scratch.cut(classes.select("cls", "id", "n").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-    if any_large:
-        scratch.drop(sets, large)
-    least = named.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
-    by_class = scratch.cut(join_counted(named.withColumnRenamed("n", "rows"), least, "comp").select("cls", F.col("rows").alias("n"), "component_id"))
-    scratch.drop(classes, named)
-    worded = join_counted(prints.filter("cls is not null").select("id", "n_shingles", "cls"), by_class, "cls").select("id", "n_shingles", "component_id")
-    out = worded.unionByName(prints.filter("cls is null").select("id", "n_shingles", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    with Scratch(docs.sparkSession) as scratch:
+        own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+        prints = scratch.cut(_fingerprints(own, words))
+        classes = scratch.cut(prints.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+        # Signatures and bands are kept for classes only.
+        rows = scratch.cut(prints.select("id", "n_shingles", "cls"))
+        scratch.drop(prints)
+        banded = classes.select("cls", F.explode("bands").alias("band"))
+        buckets = scratch.cut(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+        members = scratch.cut(join_counted(banded, buckets, "band"))
+        small = members.filter(f"n <= {SMALL}").groupBy("band").agg(F.sort_array(F.collect_list("cls")).alias("m"))
+        firsts = small.select(F.posexplode("m").alias("k", "a"), "m")
+        pairs = firsts.select("a", F.explode(F.expr("slice(m, k + 2, size(m))")).alias("b"), F.lit(0).alias("salt"))
+        large = members.filter(f"n > {SMALL}").select("band", "cls")
+        any_large = not buckets.filter(f"n > {SMALL}").isEmpty()
+        if any_large:
+            sets = scratch.cut(_sets(own, classes, large.select("cls").distinct(), words))
+            large = _central(large, sets, percent, scratch)
+            salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / STAR)).cast("int")
+            pairs = pairs.unionByName(large.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"), salt.alias("salt")))
+        pairs = pairs.groupBy("a", "b").agg(F.min("salt").alias("salt"))
+        likely = scratch.cut(_estimated(pairs, classes.select("cls", "sig"), percent / 100))
+        scratch.drop(buckets, members)
+        wanted = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).distinct()
+        if any_large:
+            wanted = wanted.join(sets.select("cls"), "cls", "left_anti")
+        more_sets = scratch.cut(_sets(own, classes, wanted, words))
+        edges = scratch.cut(_confirmed(likely, sets.unionByName(more_sets) if any_large else more_sets, percent))
+        comps = components(edges, scratch)
+        scratch.drop(likely, more_sets, edges)
+        if any_large:
+            more = _block_links(large, comps, sets, percent, scratch)
+            if more is not None:
+                comps = _merged(comps, more, scratch)
+        named = scratch.cut(classes.select("cls", "id", "n").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+        if any_large:
+            scratch.drop(sets, large)
+        least = named.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+        by_class = scratch.cut(join_counted(named.withColumnRenamed("n", "rows"), least, "comp").select("cls", F.col("rows").alias("n"), "component_id"))
+        scratch.drop(classes, named)
+        worded = join_counted(rows.filter("cls is not null"), by_class, "cls").select("id", "n_shingles", "component_id")
+        out = worded.unionByName(rows.filter("cls is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+        return keep(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
@@ -393,6 +394,6 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     own = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     rows = docs.select(own.alias("id"), text.alias("text"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     gone = near_duplicates(rows.select("id", "text"), id_col="id", **parameters).filter("not kept").select("id").distinct()
-    gone = Scratch(docs.sparkSession).cut(gone)
+    gone = keep(gone)
     near, far = by_bitmap(rows.select("id", "row"), gone, "id")
     return near.join(gone, "id", "left_anti").unionByName(far).select("row.*")

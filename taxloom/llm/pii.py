@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxloom.llm.shared import cut
+from taxloom.llm.shared import Scratch, by_bitmap, keep
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Shares of an entity's information from which a term is generalised, and removed.
@@ -154,12 +154,12 @@ def _entities(held: DataFrame) -> DataFrame:
     return named.groupBy("key", "id", "entity").agg(F.first("copies").alias("copies"), F.first("df_e").alias("df_e"))
 
 
-def revealing(found: DataFrame, texts: DataFrame, generalise: float, remove: float, prior: float = PRIOR) -> DataFrame:
+def revealing(found: DataFrame, texts: DataFrame, scratch: Scratch, generalise: float, remove: float, prior: float = PRIOR) -> DataFrame:
     """key, id and `terms` (spans with what to do) of rows in which terms reveal an entity."""
     n = float(max(1, found.count()))
     total = F.lit(n)
-    held = cut(found.filter("size(base) > 0").groupBy("key", "id").agg(F.first("base").alias("base"), F.first("text").alias("text"), F.count("*").alias("copies")))
-    entities = cut(_entities(held))
+    held = scratch.cut(found.filter("size(base) > 0").groupBy("key", "id").agg(F.first("base").alias("base"), F.first("text").alias("text"), F.count("*").alias("copies")))
+    entities = scratch.cut(_entities(held))
     df_e, bits = F.col("df_e"), F.log(total / F.col("df_e"))
     # A term in more documents than this cannot reveal enough, even if all of the entity's hold it.
     most = (df_e + prior * df_e / total) * F.exp((1 - generalise) * bits) - prior + 1e-6
@@ -169,12 +169,13 @@ def revealing(found: DataFrame, texts: DataFrame, generalise: float, remove: flo
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
     terms = held.select("key", "id", F.explode(words).alias("term")).join(few, "term")
     terms = _same(terms, reach).filter(F.col("df") <= F.col("reach")).drop("reach")
-    pairs = cut(_same(terms, entities).filter((bits > 0) & (F.col("df") <= most)))
+    pairs = scratch.cut(_same(terms, entities).filter((bits > 0) & (F.col("df") <= most)))
     counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("df_te"), F.first("df_e").alias("df_e"), F.first("df").alias("df"))
     given = (F.col("df_te") + prior * df_e / total) / (F.greatest("df", "df_te") + prior)
     strong = counted.withColumn("share", 1 + F.log(given) / bits).filter(F.col("share") >= generalise).select("entity", "term", "share")
     hits = pairs.select("key", "id", "entity", "term").join(strong, ["entity", "term"]).groupBy("key", "id", "term").agg(F.max("share").alias("share"))
-    hits = cut(hits)
+    hits = scratch.cut(hits)
+    scratch.drop(entities, pairs)
     # Where the terms stand: what lies between them, added up in order.
     of = hits.select(F.col("key").alias("k1"), F.col("id").alias("k2")).distinct()
     own = held.join(of, (held["key"] == of["k1"]) & held["id"].eqNullSafe(of["k2"]), "left_semi")
@@ -243,12 +244,17 @@ def spans(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = RE
     A null text is empty; rows count as documents each, also repeated ones;
     null ids are ids of their own text. `terms` never overlap `base`.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return keep(_found(docs, scratch, generalise, remove, prior, id_col, text_col))
+
+
+def _found(docs: DataFrame, scratch: Scratch, generalise: float, remove: float, prior: float, id_col: str, text_col: str) -> DataFrame:
     own = _keyed(docs, id_col, text_col)
     based = own.select("key", "id", "text", base_spans(F.col("text")).alias("base"))
-    found = cut(based.select("key", "id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
-    known = revealing(found, own, generalise, remove, prior)
+    found = scratch.cut(based.select("key", "id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
+    known = revealing(found, own, scratch, generalise, remove, prior)
     known = known.select(F.col("key").alias("k1"), F.col("id").alias("k2"), "terms")
-    both = found.join(known, (found["key"] == known["k1"]) & found["id"].eqNullSafe(known["k2"]), "left")
+    both = found.select("key", "id", "base").join(known, (F.col("key") == F.col("k1")) & F.col("id").eqNullSafe(F.col("k2")), "left")
     return both.select("key", "id", "base", F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,end:int,action:string>>)")).alias("terms"))
 
 
@@ -260,17 +266,20 @@ def listed(base: Column, terms: Column | None = None) -> Column:
     return F.array_join(text, ",")
 
 
-def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+def sanitise(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the same columns; in the text, base spans become [EMAIL] and so on, terms [TERM] or nothing.
 
     Texts without spans stay as they are; a null text stays null.
     """
-    found = spans(docs, id_col=id_col, text_col=text_col, **parameters)
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("to")))
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("to")))
-    edits = found.filter("size(base) + size(terms) > 0").select(F.col("key").alias("k1"), F.col("id").alias("k2"), F.array_sort(F.concat(base, terms)).alias("edits")).dropDuplicates(["k1", "k2"])
+    with Scratch(docs.sparkSession) as scratch:
+        found = _found(docs, scratch, generalise, remove, prior, id_col, text_col).filter("size(base) + size(terms) > 0")
+        edits = keep(found.select(F.col("key").alias("k1"), F.col("id").alias("k2"), F.array_sort(F.concat(base, terms)).alias("edits")).dropDuplicates(["k1", "k2"]))
     keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
-    joined = keyed.join(edits, (keyed["key"] == edits["k1"]) & keyed["id"].eqNullSafe(edits["k2"]), "left")
+    near, far = by_bitmap(keyed, edits.withColumnRenamed("k1", "key"), "key")
+    near = near.join(edits, (near["key"] == edits["k1"]) & near["id"].eqNullSafe(edits["k2"]), "left").select(*keyed.columns, "edits")
+    joined = near.unionByName(far, allowMissingColumns=True)
     out = joined.withColumn("new", F.when(F.col("edits").isNull(), F.col("text")).otherwise(_edited(F.col("text"), F.col("edits"))))
     return out.select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -61,35 +61,23 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
-_open: list[list[str]] = []
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Scratch tables that are made inside go at the end; what is built on them must have been written by then."""
-    folders: list[str] = []
-    _open.append(folders)
-    try:
-        yield
-    finally:
-        _open.pop()
-        for f in folders:
-            remove(spark, f)
-
-
 class Scratch:
-    """Tables in the shared folder that cut lineage, each of which can be dropped once nothing reads it any more.
+    """Tables in the shared folder that cut lineage, within a `with` block.
 
-    What a returned DataFrame still reads stays, within `temporary` until its
-    end, and else as long as the session's folder.
+    A table goes when `drop` names it, and all go with the block: what an
+    operator returns is therefore kept by `keep` before the block ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/taxloom-{uuid.uuid4().hex}"
         self.paths: list[tuple[DataFrame, str]] = []
-        if _open:
-            _open[-1].append(self.folder)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.folder)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
@@ -103,9 +91,15 @@ class Scratch:
                 remove(self.spark, path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to a table in the shared folder, where the lineage ends."""
-    return Scratch(df.sparkSession).cut(df)
+def keep(df: DataFrame) -> DataFrame:
+    """A checkpoint, for what a result goes on reading.
+
+    Spark deletes it with the session's folder, or sooner where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    shared_folder(df.sparkSession)
+    with _shuffles_end_with_their_query(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 #: Values of a key that are joined by broadcast at most.

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.shared import Scratch, batched, by_bitmap, join_counted
+from taxloom.llm.shared import Scratch, batched, by_bitmap, join_counted, keep
 from taxloom.llm.textvec import SPACED, U, Words, chunks, span_hashes, words_of
 
 #: A span is the shortest run of at least so many sentences and so many words.
@@ -123,15 +123,14 @@ def remove_repeats(docs: DataFrame, *, n_sentences: int = SENTENCES, n_words: in
     With `longest`, longer sentences count as several, cut by their words, so
     that passages with few or no sentence ends are found too.
     """
-    scratch = Scratch(docs.sparkSession)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     own = own.select(F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit(1), "id", "text").alias("k2"), "id", "text")
-    lists = scratch.cut(_span_lists(own, n_sentences, n_words, longest).filter("size(spans) > 0"))
-    each = lists.select("k1", "k2", "id", F.explode("spans").alias("span"))
-    repeated = scratch.cut(each.groupBy("span").agg(F.min("id").alias("origin"), F.count("*").alias("n")).filter("n > 1"))
-    gone = join_counted(each, repeated, "span").filter(~F.col("id").eqNullSafe(F.col("origin")))
-    known = scratch.cut(gone.groupBy("k1", "k2").agg(F.collect_set("span").alias("known")))
-    scratch.drop(lists, repeated)
+    with Scratch(docs.sparkSession) as scratch:
+        lists = scratch.cut(_span_lists(own, n_sentences, n_words, longest).filter("size(spans) > 0"))
+        each = lists.select("k1", "k2", "id", F.explode("spans").alias("span"))
+        repeated = scratch.cut(each.groupBy("span").agg(F.min("id").alias("origin"), F.count("*").alias("n")).filter("n > 1"))
+        gone = join_counted(each, repeated, "span").filter(~F.col("id").eqNullSafe(F.col("origin")))
+        known = keep(gone.groupBy("k1", "k2").agg(F.collect_set("span").alias("known")))
     near, far = by_bitmap(own, known, "k1")
     rows = near.join(known, ["k1", "k2"], "left").select("id", "text", "known").unionByName(far.select("id", "text", F.lit(None).cast("array<bigint>").alias("known")))
     kind = own.schema["id"].dataType.simpleString()
