@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxloom.llm import bpe, decontaminate, neardup, pii, toxicity
-from taxloom.llm.shared import remove, shared_folder, table, temporary, write
+from taxloom.llm.shared import remove, shared_folder, table, write
 
 #: Documents with this score or more are rejected as toxic, as the operator's query calls them.
 TOXIC = 0.3
@@ -67,14 +67,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; what each returns is written to the shared folder and reread.
 
-    A stage's output and scratch tables go when the next stage's output has
-    been written. The last stage is not run here, so what it reads stays.
+    A stage's output goes when the next one's has been written. The last stage
+    is not run here, so what it reads stays.
     """
     docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        with temporary(spark):
-            docs = write(stage(spark, docs, sf_dir), f"{folder}/{k}")
+        docs = write(stage(spark, docs, sf_dir), f"{folder}/{k}")
         if before:
             remove(spark, before)
         before = f"{folder}/{k}"
