@@ -22,9 +22,9 @@ CATEGORIES = [
 ]
 OTHER = "Other business expenses"
 #: Words that make an expense likelier to be for work.
-BUSINESS_WORDS = "business company pty ltd enterprise corporate office work professional commercial industrial client customer project contract invoice meeting conference training workshop seminar subscription license software service maintenance".split()
+BUSINESS_WORDS = ["business", "company", "pty", "ltd", "enterprise", "corporate", "office", "work", "professional", "commercial", "industrial", "client", "customer", "project", "contract", "invoice", "meeting", "conference", "training", "workshop", "seminar", "subscription", "license", "software", "service", "maintenance"]
 #: Words that mark a transaction of interest in a statement.
-PATTERN_WORDS = "uber taxi fuel parking toll hotel flight restaurant cafe office supplies equipment".split()
+PATTERN_WORDS = ["uber", "taxi", "fuel", "parking", "toll", "hotel", "flight", "restaurant", "cafe", "office", "supplies", "equipment"]
 LINE = r"^(\d{1,2}/\d{1,2}(?:/\d{2,4})?)\s+(.{5,50}?)\s+([\-\+]?\$?\d+(?:\.\d{2})?)\s*$"
 
 

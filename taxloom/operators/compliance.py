@@ -6,6 +6,8 @@ formats (.25), business (.20), tax sums (.15) and the type's own demands (.10).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,16 @@ from taxloom.operators import registry as reg
 
 #: Required and optional fields of each type, and whether GST and ABN must be there.
 REQUIRED = {
-    "tax_invoice": ("date total_amount supplier_name abn", "gst_amount invoice_number customer_name", True),
-    "business_receipt": ("date total_amount supplier_name", "gst_amount receipt_number", False),
-    "fuel_receipt": ("date total_amount supplier_name fuel_type", "litres price_per_litre gst_amount", False),
-    "bank_statement": ("date account_number bsb", "statement_period opening_balance closing_balance", False),
-    "meal_receipt": ("date total_amount supplier_name", "gst_amount receipt_number", False),
-    "accommodation": ("date total_amount supplier_name", "check_in_date check_out_date nights gst_amount", False),
-    "travel_document": ("date total_amount supplier_name", "flight_number passenger_name gst_amount", False),
-    "parking_toll": ("date total_amount", "location duration vehicle_registration", False),
-    "professional_services": ("date total_amount supplier_name description", "hours rate gst_amount abn", True),
-    "equipment_supplies": ("date total_amount supplier_name description", "quantity unit_price gst_amount abn", False),
+    "tax_invoice": (["date", "total_amount", "supplier_name", "abn"], ["gst_amount", "invoice_number", "customer_name"], True),
+    "business_receipt": (["date", "total_amount", "supplier_name"], ["gst_amount", "receipt_number"], False),
+    "fuel_receipt": (["date", "total_amount", "supplier_name", "fuel_type"], ["litres", "price_per_litre", "gst_amount"], False),
+    "bank_statement": (["date", "account_number", "bsb"], ["statement_period", "opening_balance", "closing_balance"], False),
+    "meal_receipt": (["date", "total_amount", "supplier_name"], ["gst_amount", "receipt_number"], False),
+    "accommodation": (["date", "total_amount", "supplier_name"], ["check_in_date", "check_out_date", "nights", "gst_amount"], False),
+    "travel_document": (["date", "total_amount", "supplier_name"], ["flight_number", "passenger_name", "gst_amount"], False),
+    "parking_toll": (["date", "total_amount"], ["location", "duration", "vehicle_registration"], False),
+    "professional_services": (["date", "total_amount", "supplier_name", "description"], ["hours", "rate", "gst_amount", "abn"], True),
+    "equipment_supplies": (["date", "total_amount", "supplier_name", "description"], ["quantity", "unit_price", "gst_amount", "abn"], False),
 }
 DATES = ["date", "check_in_date", "check_out_date", "invoice_date"]
 AMOUNTS = ["total_amount", "subtotal", "gst_amount", "unit_price"]
@@ -39,29 +41,41 @@ def _number(fields: Column, name: str) -> Column:
     return F.regexp_replace(fields[name], "[$,]", "").try_cast("double")
 
 
-def _by_type(doc_type: Column, pick, other: Column) -> Column:
+def _listed(names: list[str]) -> Column:
+    return F.array(*map(F.lit, names)) if names else F.expr("cast(array() as array<string>)")
+
+
+def _by_type(doc_type: Column, pick: Callable[..., Column], other: Column) -> Column:
     out = None
     for kind, spec in REQUIRED.items():
-        value = pick(*spec)
-        out = F.when(doc_type == kind, value) if out is None else out.when(doc_type == kind, value)
+        out = F.when(doc_type == kind, pick(*spec)) if out is None else out.when(doc_type == kind, pick(*spec))
     return out.otherwise(other)
 
 
-def _count(fields: Column, names: str) -> Column:
-    return sum((_has(fields, n).cast("int") for n in names.split()), F.lit(0))
+def _present(fields: Column, names: Column) -> Column:
+    return F.size(F.filter(names, lambda n: F.coalesce(F.trim(fields[n]) != "", F.lit(False))))
 
 
 def completeness(fields: Column, doc_type: Column) -> Column:
-    """Share of required fields, and up to a fifth more for optional ones."""
-    return _by_type(doc_type, lambda req, opt, _: F.least(_count(fields, req) / len(req.split()) + _count(fields, opt) / len(opt.split()) * 0.2, F.lit(1.0)), F.lit(0.5))
+    """Share of required fields, and up to a fifth more for optional ones; half for a type without any."""
+    spec = _by_type(doc_type, lambda req, opt, _: F.struct(_listed(req).alias("req"), _listed(opt).alias("opt")), F.lit(None))
+    of = lambda s: F.least(_present(fields, s["req"]) / F.size(s["req"]) + _present(fields, s["opt"]) / F.size(s["opt"]) * 0.2, F.lit(1.0))
+    return F.element_at(F.transform(F.array(spec), lambda s: F.when(s.isNull(), 0.5).otherwise(of(s))), 1)
+
+
+def lacking(fields: Column, doc_type: Column) -> Column:
+    """Whether a required field is missing, or the type is unknown."""
+    required = _by_type(doc_type, lambda req, _, __: _listed(req), F.lit(None))
+    return F.coalesce(_present(fields, required) < F.size(required), F.lit(True))
 
 
 def format_checks(fields: Column, this_year: int) -> Column:
     """Whether each ABN, BSB, date and amount that is there is well formed."""
-    checks = [F.when(_has(fields, "abn"), v.abn_issue(fields["abn"]).isNull()), F.when(_has(fields, "bsb"), (F.length(v.digits(fields["bsb"])) == 6) & v.bank_of(v.bsb_prefix(fields["bsb"])).isNotNull())]
-    checks += [F.when(_has(fields, d), v.date_issue(fields[d], this_year).isNull()) for d in DATES]
-    checks += [F.when(_has(fields, a), F.coalesce(_number(fields, a) >= 0, F.lit(False))) for a in AMOUNTS]
-    return F.filter(F.array(*checks), lambda c: c.isNotNull())
+    there = lambda names: F.filter(_listed(names), lambda n: F.coalesce(F.trim(fields[n]) != "", F.lit(False)))
+    one = lambda names, check: F.transform(F.transform(there(names), lambda n: fields[n]), check)
+    bsb = lambda x: (F.length(v.digits(x)) == 6) & v.bank_of(v.bsb_prefix(x)).isNotNull()
+    amount = lambda x: F.coalesce(F.regexp_replace(x, "[$,]", "").try_cast("double") >= 0, F.lit(False))
+    return F.concat(one(["abn"], lambda x: v.abn_issue(x).isNull()), one(["bsb"], bsb), one(DATES, lambda x: v.date_issue(x, this_year).isNull()), one(AMOUNTS, amount))
 
 
 def tax(fields: Column) -> Column:
@@ -83,27 +97,44 @@ def specific(fields: Column, doc_type: Column) -> Column:
     return F.greatest(1.0 - loss, F.lit(0.0))
 
 
-def assess(docs: DataFrame, this_year: int, registry: list[reg.Business] | None = None) -> DataFrame:
-    """Adds the components, compliance_score, n_issues, passed and advice to doc_type, text, fields rows."""
+def assess(docs: DataFrame, this_year: int, registry: tuple[reg.Business, ...] | None = None) -> DataFrame:
+    """Adds the components, compliance_score, n_issues, passed and advice to doc_type, text, fields rows.
+
+    Each step is a column that the next ones refer to, so nothing is computed twice.
+    """
     fields, kind = F.col("fields"), F.col("doc_type")
-    rows = docs.withColumns({"seen": F.coalesce(reg.best(F.col("text"), registry), reg.best(F.coalesce(fields["supplier_name"], F.lit("")), registry)), "checks": format_checks(fields, this_year)})
-    suits = reg.context_valid(F.col("seen.industry"), kind, fields)
+    supplier = F.coalesce(fields["supplier_name"], F.lit(""))
+    rows = docs.withColumn("seen", reg.best(F.col("text"), registry))
+    rows = rows.withColumns({
+        "seen": F.when(F.col("seen").isNull() & (supplier != ""), reg.best(supplier, registry)).otherwise(F.col("seen")),
+        "checks": format_checks(fields, this_year),
+        "context": reg.context_issues(supplier, kind, fields, registry),
+    })
+    suits = F.size("context") == 0
     business = F.when(F.col("seen").isNotNull(), F.col("seen.confidence") * F.when(suits, 1.0).otherwise(0.5)).when(_has(fields, "supplier_name"), 0.3).otherwise(0.0)
     wrong = F.size(F.filter("checks", lambda c: ~c))
     rows = rows.withColumns({
         "completeness": completeness(fields, kind),
         "formats": F.when(F.size("checks") > 0, 1.0 - wrong / F.size("checks")).otherwise(1.0),
+        "n_wrong": wrong,
         "business_score": business,
         "tax": tax(fields),
         "specific": specific(fields, kind),
-        "lacking": F.coalesce(_by_type(kind, lambda req, _, __: _count(fields, req) < len(req.split()), F.lit(True)), F.lit(True)),
-        "unsuited": F.coalesce(~suits, F.lit(True)),
+        "lacking": lacking(fields, kind),
+        "unsuited": F.when(F.col("seen").isNotNull(), F.size("context")).otherwise(1),
     })
     score = F.lit(0.0)
     for name, weight in WEIGHTS.items():
         score = score + F.col(name) * weight
-    issues = F.col("lacking").cast("int") + wrong + F.col("unsuited").cast("int") + F.col("tax").isin(0.2, 0.3, 0.5).cast("int") + (F.col("specific") < 1).cast("int")
+    issues = F.col("lacking").cast("int") + F.col("n_wrong") + F.col("unsuited") + F.col("tax").isin(0.2, 0.3, 0.5).cast("int") + (F.col("specific") < 1).cast("int")
     rows = rows.withColumns({"compliance_score": score, "n_issues": issues})
-    passed = (F.round("compliance_score", 9) >= PASS) & (F.col("n_issues") <= MOST_ISSUES)
-    advice = F.array(F.when(F.col("compliance_score") < 0.3, "significant manual review").when(F.col("compliance_score") < 0.6, "additional validation"), F.when(~v.abn_issue(fields["abn"]).isNull() & _has(fields, "abn"), "verify the ABN"), F.when(F.col("tax") < 0.5, "check the GST sums"), F.when(F.col("seen").isNull(), "verify the supplier"))
-    return rows.withColumns({"passed": passed, "advice": F.when(passed, F.expr("cast(array() as array<string>)")).otherwise(F.filter(advice, lambda a: a.isNotNull()))}).drop("checks", "lacking", "unsuited")
+    rows = rows.withColumn("passed", (F.round("compliance_score", 9) >= PASS) & (F.col("n_issues") <= MOST_ISSUES))
+    score = F.round("compliance_score", 9)
+    advice = F.array(
+        F.when(score < 0.3, "significant manual review").when(score < 0.6, "additional validation"),
+        F.when(_has(fields, "abn") & v.abn_issue(fields["abn"]).isNotNull(), "verify the ABN"),
+        F.when(F.col("tax") < 0.5, "check the GST sums"),
+        F.when(F.col("seen").isNull(), "verify the supplier"),
+    )
+    none = F.expr("cast(array() as array<string>)")
+    return rows.withColumn("advice", F.when(F.col("passed"), none).otherwise(F.filter(advice, lambda a: a.isNotNull()))).drop("checks", "context", "lacking", "unsuited", "n_wrong")

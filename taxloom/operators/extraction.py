@@ -2,8 +2,8 @@
 
 A rule is a pattern for one field of some document types. For each type and
 field the rules are tried from the highest priority down, in listed order on a
-tie; all of it is one coalesce under a condition on the type, so no row is
-multiplied and nothing is shuffled.
+tie. All rules are columns of one row, so no row is multiplied and nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -110,42 +110,38 @@ def title(value: Column) -> Column:
     return F.array_join(F.transform(letters, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
 
 
-def confidence(value: Column, rule: Column, field: str, text: Column, rules: list[Rule]) -> Column:
-    """Credibility of a value: its rule's priority and validation, the value's length and words in the text."""
+def confidence(value: Column, points: Column, field: str, low: Column) -> Column:
+    """Credibility of a value: its rule's points for priority and validation, the value's length and words in the text."""
     n = F.length(value)
-    base = None
-    for k, r in enumerate(rules):
-        if r.field == field:
-            points = r.priority / 10 * 0.4 + (0.2 if r.valid else 0.0)
-            base = F.when(rule == k, points) if base is None else base.when(rule == k, points)
-    score = base + F.when(n > 1, 0.2).otherwise(0.0) + F.when(n > 5, 0.1).otherwise(0.0)
+    score = points + F.when(n > 1, 0.2).otherwise(0.0) + F.when(n > 5, 0.1).otherwise(0.0)
     for word in CONTEXT.get(field, []):
-        score = score + F.when(F.lower(text).contains(word), 0.05).otherwise(0.0)
+        score = score + F.when(low.contains(word), 0.05).otherwise(0.0)
     return F.least(score, F.lit(1.0))
 
 
+def points(rule: Rule) -> float:
+    return rule.priority / 10 * 0.4 + (0.2 if rule.valid else 0.0)
+
+
 def extract(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Adds a struct of value and confidence for each field of doc_type, text rows; null where no rule reads anything."""
+    """Adds a struct of value and confidence for each field of doc_type, text rows; null where no rule reads anything.
+
+    Every rule is tried once, into one array; a field then takes the first of
+    its rules that read anything. A rule that is not for a row's type reads
+    nothing there, so one order of a field's rules serves all types.
+    """
     rules = rules or RULES
-    text, raw = F.col("text"), {}
-    for field in dict.fromkeys(r.field for r in rules):
-        alike: dict[tuple[int, ...], list[str]] = {}  # types with the same rules share a branch
-        for kind in TYPES:
-            alike.setdefault(tuple(rules.index(r) for r in rules_for(kind, field, rules)), []).append(kind)
-        by_type = None
-        for tried, kinds in alike.items():
-            if not tried:
-                continue
-            values = [found(text, rules[k]) for k in tried]
-            rule = None
-            for k, v in zip(tried, values, strict=True):
-                rule = F.when(v.isNotNull(), k) if rule is None else rule.when(v.isNotNull(), k)
-            both, own = F.struct(F.coalesce(*values).alias("value"), rule.alias("rule")), F.col("doc_type").isin(kinds)
-            by_type = F.when(own, both) if by_type is None else by_type.when(own, both)
-        raw[field] = by_type
-    read = docs.withColumns(raw)
-    done = {f: F.when(F.col(f"{f}.rule").isNotNull(), F.struct(cleaned(f, F.col(f"{f}.value")).alias("value"), confidence(F.col(f"{f}.value"), F.col(f"{f}.rule"), f, text, rules).alias("confidence"))) for f in raw}
-    return read.withColumns(done)
+    read = [F.when(F.col("doc_type").isin(*r.types), found(F.col("text"), r)) if set(r.types) != set(TYPES) else found(F.col("text"), r) for r in rules]
+    rows = docs.withColumns({"read": F.array(*read), "low": F.lower("text")})
+    fields = list(dict.fromkeys(r.field for r in rules))
+    first = {}
+    for field in fields:
+        tried = sorted((k for k, r in enumerate(rules) if r.field == field), key=lambda k: -rules[k].priority)
+        each = F.array(*[F.struct(F.col("read")[k].alias("value"), F.lit(points(rules[k])).alias("points")) for k in tried])
+        first[field] = F.get(F.filter(each, lambda x: x["value"].isNotNull()), 0)
+    rows = rows.withColumns(first)
+    done = {f: F.when(F.col(f).isNotNull(), F.struct(cleaned(f, F.col(f)["value"]).alias("value"), confidence(F.col(f)["value"], F.col(f)["points"], f, F.col("low")).alias("confidence"))) for f in fields}
+    return rows.withColumns(done).drop("read", "low")
 
 
 def long_form(extracted: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,79 +1,187 @@
 """Recognition of businesses in text against a registry, and lookups in it.
 
-The registry is a parameter: a short list of well-known names is built in, a
-full one is read with `read`. Its rows become a literal array in the plan, so
-recognition is an expression on each row, without a join.
+The registry is a parameter; the one that is built in is read from the
+package's data files, which hold fixed values. What recognition needs of it
+becomes a literal array in the plan that is walked for each row, so there is
+no join and the generated code does not grow with the registry.
 """
 
 from __future__ import annotations
 
-import re
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxloom.functions.validators import digits
 
+#: Most businesses that `read` takes: a registry is part of the plan.
+MOST = 20_000
+
 
 @dataclass(frozen=True)
 class Business:
+    key: str
     name: str
     industry: str
     kind: str
     keywords: tuple[str, ...]
-    states: tuple[str, ...] = ("all",)
+    states: tuple[str, ...] = ()
     abn: str = ""
 
 
-#: Well-known names with the words that give them away.
-DEFAULT = [
-    Business("Woolworths", "retail_supermarket", "major_retailer", ("woolworths", "woolworth")),
-    Business("Coles", "retail_supermarket", "major_retailer", ("coles",)),
-    Business("ALDI", "retail_supermarket", "major_retailer", ("aldi",), ("nsw", "vic", "qld", "wa", "sa")),
-    Business("Bunnings Warehouse", "retail_hardware", "major_retailer", ("bunnings warehouse", "bunnings")),
-    Business("Kmart", "retail_department", "major_retailer", ("kmart",)),
-    Business("Target", "retail_department", "major_retailer", ("target",)),
-    Business("JB Hi-Fi", "retail_electronics", "major_retailer", ("jb hi-fi", "jb hifi")),
-    Business("Officeworks", "retail_office", "major_retailer", ("officeworks",)),
-    Business("Shell", "fuel_retail", "fuel", ("shell",)),
-    Business("BP", "fuel_retail", "fuel", ("bp",)),
-    Business("Westpac", "banking", "bank", ("westpac",)),
-    Business("ING", "banking", "bank", ("ing",)),
-    Business("Qantas", "airline", "airline", ("qantas",)),
-    Business("Hilton", "accommodation", "hotel", ("hilton",)),
-]
-EXPECTED = {"fuel_retail": ["fuel_receipt", "business_receipt"], "banking": ["bank_statement"], "airline": ["travel_document", "tax_invoice"], "accommodation": ["accommodation", "tax_invoice"], "food_fast": ["meal_receipt", "business_receipt"], "food_cafe": ["meal_receipt", "business_receipt"]}
-#: Fields that a paper of an industry should show.
-NEEDED = {"fuel_retail": ["litres", "fuel_type", "price_per_litre"], "banking": ["account_number", "bsb"], "airline": ["passenger_name", "flight_number"]}
-SIMPLE = {"retail_supermarket": "supermarket", "retail_hardware": "hardware", "retail_electronics": "electronics", "fuel_retail": "fuel", "retail_department": "department_store"}
-
-
-def read(spark: SparkSession, path: str) -> list[Business]:
-    """A registry from JSON rows with the fields of Business."""
-    rows = spark.read.json(path).collect()
-    return [Business(r.name, r.industry, r.kind, tuple(r.keywords), tuple(r.states), r.abn) for r in rows]
-
-
-def keyword_confidence(text: Column, word: str) -> Column:
-    """By the keyword's length, whether it stands as a word, and how often it occurs."""
-    base = 0.9 if len(word) > 15 else 0.85 if len(word) > 10 else 0.8 if len(word) > 6 else 0.75
-    times = F.regexp_count(text, F.lit(re.escape(word)))
-    score = F.lit(base) + F.when(text.rlike(rf"\b{re.escape(word)}\b"), 0.15).otherwise(0.0) + F.least(0.1 * F.greatest(times - 1, F.lit(0)), F.lit(0.2))
-    return F.when(text.contains(word), F.least(score, F.lit(1.0)))
-
-
-def matches(text: Column, registry: list[Business] | None = None) -> Column:
-    """An array of (confidence, -order, name, industry) of all businesses whose first matching keyword is in the text, best first."""
-    low = F.lower(text)
-    found = [F.struct(F.round(F.coalesce(*[keyword_confidence(low, w) for w in b.keywords]), 9).alias("confidence"), F.lit(-k).alias("ord"), F.lit(b.name).alias("name"), F.lit(b.industry).alias("industry")) for k, b in enumerate(registry or DEFAULT)]
-    return F.sort_array(F.filter(F.array(*found), lambda m: m["confidence"].isNotNull()), asc=False)
-
-
-def best(text: Column, registry: list[Business] | None = None) -> Column:
+def _data(name: str) -> list[dict]:
+    return [json.loads(line) for line in files("taxloom.sources").joinpath("data", name).read_text().splitlines()]
+
+
+@cache
+def default() -> tuple[Business, ...]:
+    """The built-in registry, in its order."""
+    return tuple(Business(r["key"], r["name"], r["industry"], r["kind"], tuple(r["keywords"]), tuple(r["states"]), r["abn"]) for r in _data("businesses.jsonl"))
+
+
+@cache
+def industry_words() -> dict[str, list[str]]:
+    return {r["industry"]: r["words"] for r in _data("industries.jsonl")}
+
+
+@cache
+def aliases() -> dict[str, list[str]]:
+    return {r["key"]: r["aliases"] for r in _data("aliases.jsonl")}
+
+
+#: Names under which some businesses are reported in place of their official ones.
+SHORT = {
+    "woolworths": "Woolworths",
+    "coles": "Coles",
+    "jb_hi_fi": "JB Hi-Fi",
+    "harvey_norman": "Harvey Norman",
+    "big_w": "Big W",
+    "bunnings": "Bunnings Warehouse",
+    "kmart": "Kmart",
+    "target": "Target",
+    "officeworks": "Officeworks",
+    "chemist_warehouse": "Chemist Warehouse",
+}
+#: Types of documents that an industry issues; others issue OTHER_TYPES.
+EXPECTED = {
+    "retail_supermarket": ["business_receipt", "tax_invoice"],
+    "retail_department": ["business_receipt", "tax_invoice"],
+    "retail_hardware": ["business_receipt", "tax_invoice"],
+    "retail_electronics": ["business_receipt", "tax_invoice"],
+    "fuel_retail": ["fuel_receipt", "business_receipt"],
+    "banking": ["bank_statement"],
+    "airline": ["travel_document", "tax_invoice"],
+    "accommodation": ["accommodation", "tax_invoice"],
+    "food_fast": ["meal_receipt", "business_receipt"],
+    "food_cafe": ["meal_receipt", "business_receipt"],
+}
+OTHER_TYPES = ["business_receipt", "tax_invoice"]
+#: What the documents of an industry should show, and how what is missing is called.
+NEEDED = {
+    "fuel_retail": ("fuel-specific", ["litres", "fuel_type", "price_per_litre"]),
+    "banking": ("banking", ["account_number", "bsb"]),
+    "airline": ("travel", ["passenger_name", "flight_number"]),
+}
+#: Plain names of industries; others keep their own.
+SIMPLE = {
+    "retail_supermarket": "supermarket",
+    "retail_electronics": "electronics",
+    "retail_furniture": "furniture_electronics",
+    "fuel_retail": "fuel_station",
+    "food_fast": "restaurant",
+}
+
+
+def read(spark: SparkSession, path: str) -> tuple[Business, ...]:
+    """A registry of at most MOST businesses from JSON rows with the fields of Business."""
+    rows = spark.read.json(path).limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"a registry in the plan has at most {MOST} businesses; join larger ones with by_abn and by_keyword")
+    return tuple(Business(r.key, r.name, r.industry, r.kind, tuple(r.keywords), tuple(r.states), r.abn) for r in rows)
+
+
+def _quoted(value: str | float) -> str:
+    if not isinstance(value, str):
+        return repr(value) + ("D" if isinstance(value, float) else "")
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal(rows: list[dict]) -> Column:
+    """Rows as one constant array of structs."""
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {_quoted(v)}" for k, v in r.items()) + ")" for r in rows) + ")")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def base_confidence(word: str) -> float:
+    """Longer keywords are more specific."""
+    return 0.9 if len(word) > 15 else 0.85 if len(word) > 10 else 0.8 if len(word) > 6 else 0.75
+
+
+def short_name(b: Business) -> str:
+    return SHORT.get(b.key, b.name)
+
+
+def matches(text: Column, registry: tuple[Business, ...] | None = None) -> Column:
+    """An array of (confidence, ord, name, industry, abn) of all businesses in the text, the surest first, on a tie the first registered.
+
+    A business counts by its first keyword that occurs: by the keyword's
+    length, whether it stands as a word, and how often it occurs. `ord` is the
+    negative place in the registry.
+    """
+    known = registry or default()
+    words = literal([{"ord": -k, "word": w.lower(), "base": base_confidence(w)} for k, b in enumerate(known) for w in b.keywords])
+    names = literal([{"name": short_name(b), "industry": b.industry, "abn": b.abn} for b in known])
+
+    def score(low: Column, t: Column) -> Column:
+        word = t["word"]
+        times = (F.length(low) - F.length(F.replace(low, word, F.lit("")))) / F.length(word)
+        whole = F.when(F.rlike(low, F.concat(F.lit(r"\b\Q"), word, F.lit(r"\E\b"))), 0.15).otherwise(0.0)
+        sure = F.least(t["base"] + whole + F.when(times > 1, F.least(0.1 * (times - 1), F.lit(0.2))).otherwise(0.0), F.lit(1.0))
+        return F.struct(F.round(sure, 9).alias("confidence"), t["ord"].alias("ord"))
+
+    def ranked(low: Column) -> Column:
+        hits = F.filter(words, lambda t: low.contains(t["word"]))
+        first = _let(hits, lambda h: F.filter(h, lambda t, i: (i == 0) | (F.get(h, i - 1)["ord"] != t["ord"])))
+        return F.sort_array(F.transform(first, lambda t: score(low, t)), asc=False)
+
+    def named(m: Column) -> Column:
+        b = F.element_at(names, 1 - m["ord"])
+        return F.struct(m["confidence"].alias("confidence"), m["ord"].alias("ord"), b["name"].alias("name"), b["industry"].alias("industry"), b["abn"].alias("abn"))
+
+    return F.transform(_let(F.lower(text), ranked), named)
+
+
+def best(text: Column, registry: tuple[Business, ...] | None = None) -> Column:
     return F.get(matches(text, registry), 0)
 
 
+def by_name(name: Column, registry: tuple[Business, ...] | None = None) -> Column:
+    """(ord, name, industry, abn) of the first business of which the whole name is a keyword, or null."""
+    first: dict[str, int] = {}
+    for k, b in enumerate(registry or default()):
+        for w in b.keywords:
+            first.setdefault(w.lower(), k)
+    known = registry or default()
+    table = literal([{"word": w, "ord": k, "name": known[k].name, "industry": known[k].industry, "abn": known[k].abn} for w, k in first.items()])
+    return _let(F.lower(name), lambda low: F.get(F.filter(table, lambda t: t["word"] == low), 0))
+
+
+def by_contained(name: Column, registry: tuple[Business, ...] | None = None) -> Column:
+    """category, confidence and industry of the first business of which a keyword is in the name; `unknown` and 0 without any."""
+    words = literal([{"word": w.lower(), "industry": b.industry} for b in registry or default() for w in b.keywords])
+    hit = _let(F.lower(F.coalesce(name, F.lit(""))), lambda low: F.get(F.filter(words, lambda t: low.contains(t["word"])), 0))
+    return _let(hit, lambda h: F.struct(F.coalesce(category(h["industry"]), F.lit("unknown")).alias("category"), F.when(h.isNull(), 0.0).otherwise(0.9).alias("confidence"), F.coalesce(h["industry"], F.lit("")).alias("industry")))
+
+
 def category(industry: Column) -> Column:
     """A plain name for an industry."""
     out = None
@@ -83,30 +191,47 @@ def category(industry: Column) -> Column:
 
 
 def expected_types(industry: Column) -> Column:
+    listed = lambda names: F.array(*map(F.lit, names))
     out = None
     for k, v in EXPECTED.items():
-        out = F.when(industry == k, F.array(*map(F.lit, v))) if out is None else out.when(industry == k, F.array(*map(F.lit, v)))
-    return out.otherwise(F.array(F.lit("business_receipt"), F.lit("tax_invoice")))
+        out = F.when(industry == k, listed(v)) if out is None else out.when(industry == k, listed(v))
+    return out.otherwise(listed(OTHER_TYPES))
+
+
+def missing(industry: Column, fields: Column) -> Column:
+    """What is said of fields that an industry's documents should show and this one does not; null if none is missing."""
+    out = None
+    for k, (kind, names) in NEEDED.items():
+        lacking = F.filter(F.array(*map(F.lit, names)), lambda n: F.coalesce(fields[n], F.lit("")) == "")
+        said = F.when(F.size(lacking) > 0, F.concat(F.lit(f"Missing {kind} fields: "), F.array_join(lacking, ", ")))
+        out = F.when(industry == k, said) if out is None else out.when(industry == k, said)
+    return out
+
+
+def context_issues(name: Column, doc_type: Column, fields: Column, registry: tuple[Business, ...] | None = None) -> Column:
+    """What does not suit the named business, an array: an unknown name, an unusual type, another ABN, missing fields."""
 
+    def of(b: Column) -> Column:
+        unusual = F.when(~F.array_contains(expected_types(b["industry"]), doc_type), F.concat(F.lit("Document type '"), doc_type, F.lit("' unusual for "), b["industry"], F.lit(" business")))
+        abn = F.coalesce(fields["abn"], F.lit(""))
+        other = F.when((abn != "") & (b["abn"] != "") & (digits(abn) != digits(b["abn"])), F.concat(F.lit("ABN mismatch: extracted "), abn, F.lit(" vs registered "), b["abn"]))
+        known = F.filter(F.array(unusual, other, missing(b["industry"], fields)), lambda x: x.isNotNull())
+        return F.when(b.isNull(), F.array(F.concat(F.lit("Business '"), F.coalesce(name, F.lit("")), F.lit("' not found in Australian business registry")))).otherwise(known)
 
-def context_valid(industry: Column, doc_type: Column, fields: Column) -> Column:
-    """Whether the type suits the industry and the industry's own fields are there."""
-    complete = F.lit(True)
-    for k, names in NEEDED.items():
-        for n in names:
-            complete = complete & ((industry != k) | F.coalesce(fields[n] != "", F.lit(False)))
-    return F.array_contains(expected_types(industry), doc_type) & complete
+    return _let(by_name(F.coalesce(name, F.lit("")), registry), of)
 
 
 def by_abn(rows: DataFrame, registry: DataFrame, abn_col: str = "abn") -> DataFrame:
-    """The registered name of each row's ABN, digits only on both sides; the first one registered."""
-    known = registry.select(digits(F.col("abn")).alias("abn_digits"), "ord", "name").filter("abn_digits <> ''").groupBy("abn_digits").agg(F.min(F.struct("ord", "name"))["name"].alias("registered_name"))
+    """rows with the registered name and industry of their ABN, digits only on both sides; the first one registered."""
+    first = F.min(F.struct("ord", "name", "industry"))
+    known = registry.select(digits(F.col("abn")).alias("abn_digits"), "ord", "name", "industry").filter("abn_digits <> ''").groupBy("abn_digits").agg(first.alias("first"))
+    known = known.select("abn_digits", F.col("first.name").alias("registered_name"), F.col("first.industry").alias("registered_industry"))
     return rows.withColumn("abn_digits", digits(F.col(abn_col))).join(known, "abn_digits", "left").drop("abn_digits")
 
 
-def as_frame(spark: SparkSession, registry: list[Business] | None = None) -> DataFrame:
-    rows = [(k, b.name, b.industry, b.kind, list(b.keywords), list(b.states), b.abn) for k, b in enumerate(registry or DEFAULT)]
-    return spark.createDataFrame(rows, "ord int, name string, industry string, kind string, keywords array<string>, states array<string>, abn string")
+def as_frame(spark: SparkSession, registry: tuple[Business, ...] | None = None) -> DataFrame:
+    rows = [(k, b.key, b.name, b.industry, b.kind, list(b.keywords), list(b.states), b.abn) for k, b in enumerate(registry or default())]
+    return spark.createDataFrame(rows, "ord int, key string, name string, industry string, kind string, keywords array<string>, states array<string>, abn string")
 
 
 def statistics(registry: DataFrame) -> DataFrame:

@@ -22,17 +22,23 @@ BANKS = [
 BANK_CONTEXT = ["statement", "account", "balance", "transaction", "bsb", "deposit", "withdrawal", "banking"]
 #: What a response says, in the order asked, and the prompt that it leads to.
 ROUTES = [
-    ("fuel_receipt", "costco|bp|shell|caltex|ampol|mobil|7-eleven|united petroleum|ulp|unleaded|diesel|e10|u91|u95|u98|premium|litre| l |.l |price/l|per litre|fuel|petrol|gasoline"),
-    ("business_receipt", "woolworths|coles|aldi|target|kmart|bunnings|officeworks|harvey norman|jb hi-fi|big w|myer|ikea"),
-    ("accommodation", "hotel|motel|resort|accommodation|booking|reservation|hilton|marriott|hyatt|ibis|mercure|novotel|crowne plaza|check-in|check-out|guest|room|nights|rate per night"),
-    ("professional_services", "tax invoice|invoice|consulting|legal|accounting|professional services|deloitte|pwc|kpmg|ey|bdo|law firm|solicitor|barrister|chartered accountant|tax agent|legal advice|consultation"),
-    ("meal_receipt", "restaurant|cafe|coffee|dining|meal|lunch|dinner|breakfast|mcdonald's|kfc|subway|domino's|pizza hut|hungry jack's|menu|table|covers|service charge|gratuity"),
-    ("parking_toll", "parking|toll|secure parking|wilson parking|care park|parking fee|hourly rate|entry time|exit time|vehicle|registration"),
-    ("equipment_supplies", "computer|laptop|equipment|supplies|software|hardware|printer|scanner|monitor|keyboard|mouse|cable|electronics"),
+    ("fuel_receipt", ["costco", "bp", "shell", "caltex", "ampol", "mobil", "7-eleven", "united petroleum", "ulp", "unleaded", "diesel", "e10", "u91", "u95", "u98", "premium", "litre", " l ", ".l ", "price/l", "per litre", "fuel", "petrol", "gasoline"]),
+    ("business_receipt", ["woolworths", "coles", "aldi", "target", "kmart", "bunnings", "officeworks", "harvey norman", "jb hi-fi", "big w", "myer", "ikea"]),
+    ("accommodation", ["hotel", "motel", "resort", "accommodation", "booking", "reservation", "hilton", "marriott", "hyatt", "ibis", "mercure", "novotel", "crowne plaza", "check-in", "check-out", "guest", "room", "nights", "rate per night"]),
+    ("professional_services", ["tax invoice", "invoice", "consulting", "legal", "accounting", "professional services", "deloitte", "pwc", "kpmg", "ey", "bdo", "law firm", "solicitor", "barrister", "chartered accountant", "tax agent", "legal advice", "consultation"]),
+    ("meal_receipt", ["restaurant", "cafe", "coffee", "dining", "meal", "lunch", "dinner", "breakfast", "mcdonald's", "kfc", "subway", "domino's", "pizza hut", "hungry jack's", "menu", "table", "covers", "service charge", "gratuity"]),
+    ("parking_toll", ["parking", "toll", "secure parking", "wilson parking", "care park", "parking fee", "hourly rate", "entry time", "exit time", "vehicle", "registration"]),
+    ("equipment_supplies", ["computer", "laptop", "equipment", "supplies", "software", "hardware", "printer", "scanner", "monitor", "keyboard", "mouse", "cable", "electronics"]),
 ]
 #: Words that tie a highlight to work, and words of its categories.
-WORK_WORDS = "business|office|work|professional|corporate|fuel|parking|toll|taxi|uber|hotel|restaurant|software|equipment|supplies|training|conference|legal|accounting|consulting|insurance|bank fee".split("|")
-WORK_CATEGORIES = {"fuel": "bp shell caltex ampol fuel petrol", "parking": "parking wilson secure", "transport": "uber taxi train bus", "meals": "restaurant cafe lunch dinner", "office": "officeworks supplies equipment"}
+WORK_WORDS = ["business", "office", "work", "professional", "corporate", "fuel", "parking", "toll", "taxi", "uber", "hotel", "restaurant", "software", "equipment", "supplies", "training", "conference", "legal", "accounting", "consulting", "insurance", "bank fee"]
+WORK_CATEGORIES = {
+    "fuel": ["bp", "shell", "caltex", "ampol", "fuel", "petrol"],
+    "parking": ["parking", "wilson", "secure"],
+    "transport": ["uber", "taxi", "train", "bus"],
+    "meals": ["restaurant", "cafe", "lunch", "dinner"],
+    "office": ["officeworks", "supplies", "equipment"],
+}
 _STOPS = [r"(?is)Thank you.*$", r"(?is)Visit.*costco\.au.*$", r"(?is)Member #\d+.*$", r"(?is)\d{2}/\d{2}/\d{4}.*Thank.*$"]
 
 
@@ -52,14 +58,17 @@ def cleanup(text: Column, most: int = 1000) -> Column:
 def banks(text: Column) -> Column:
     """An array of (confidence, -order, bank, category) of the banks that a text names, the surest first."""
     low = F.lower(text)
-    context = sum((low.contains(w).cast("int") for w in BANK_CONTEXT), F.lit(0))
-    around = F.when(context >= 3, 0.2).when(context >= 1, 0.1).otherwise(0.0)
-    found = []
-    for k, (name, category, pattern) in enumerate(BANKS):
-        hits = F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)))
-        score = F.lit(0.6) + F.when(F.exists(hits, lambda h: F.length(h) > 10), 0.3).otherwise(0.0) + F.when(F.size(hits) > 1, 0.1).otherwise(0.0) + around
-        found.append(F.when(F.size(hits) > 0, F.struct(F.round(F.least(score, F.lit(1.0)), 9).alias("confidence"), F.lit(-k).alias("ord"), F.lit(name).alias("bank"), F.lit(category).alias("category"))))
-    return F.sort_array(F.filter(F.array(*found), lambda b: b.isNotNull()), asc=False)
+    context = F.size(F.filter(F.array(*map(F.lit, BANK_CONTEXT)), lambda w: low.contains(w)))
+    found = F.array(*[F.struct(F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(0))).alias("hits"), F.lit(-k).alias("ord"), F.lit(name).alias("bank"), F.lit(category).alias("category")) for k, (name, category, pattern) in enumerate(BANKS)])
+
+    def one(b: Column, near: Column) -> Column:
+        around = F.when(near >= 3, 0.2).when(near >= 1, 0.1).otherwise(0.0)
+        score = F.lit(0.6) + F.when(F.exists(b["hits"], lambda h: F.length(h) > 10), 0.3).otherwise(0.0) + F.when(F.size(b["hits"]) > 1, 0.1).otherwise(0.0) + around
+        return F.struct(F.round(F.least(score, F.lit(1.0)), 9).alias("confidence"), b["ord"].alias("ord"), b["bank"].alias("bank"), b["category"].alias("category"))
+
+    named = F.filter(found, lambda b: F.size(b["hits"]) > 0)
+    # The context is counted once, for texts that name a bank.
+    return F.flatten(F.transform(F.array(context), lambda near: F.sort_array(F.transform(named, lambda b: one(b, near)), asc=False)))
 
 
 def primary_bank(text: Column, least: float = 0.7) -> Column:
@@ -73,7 +82,7 @@ def route(response: Column, doc_type: Column) -> Column:
     out = None
     for kind, words in ROUTES:
         hit = F.lit(False)
-        for w in words.split("|"):
+        for w in words:
             hit = hit | low.contains(w)
         out = F.when(hit, f"{kind}_extraction_prompt") if out is None else out.when(hit, f"{kind}_extraction_prompt")
     known = doc_type.isin("business_receipt", "fuel_receipt", "tax_invoice", "bank_statement")
@@ -101,7 +110,7 @@ def work_score(text: Column) -> Column:
     """score, category and indicators of a highlight's text."""
     low = F.lower(text)
     words = F.filter(F.array(*[F.when(low.contains(w), w) for w in WORK_WORDS]), lambda w: w.isNotNull())
-    kinds = F.array(*[F.struct(F.round(0.3 * sum((low.contains(w).cast("int") for w in ws.split()), F.lit(0)), 9).alias("s"), F.lit(-k).alias("ord"), F.lit(c).alias("c")) for k, (c, ws) in enumerate(WORK_CATEGORIES.items())])
+    kinds = F.array(*[F.struct(F.round(0.3 * sum((low.contains(w).cast("int") for w in ws), F.lit(0)), 9).alias("s"), F.lit(-k).alias("ord"), F.lit(c).alias("c")) for k, (c, ws) in enumerate(WORK_CATEGORIES.items())])
     best = F.array_max(kinds)
     score = F.least(0.2 * F.size(words) + F.least(best["s"], F.lit(0.6)), F.lit(1.0))
     return F.struct(score.alias("score"), F.when(best["s"] > 0, best["c"]).alias("category"), words.alias("indicators"))

@@ -55,6 +55,39 @@ def recognition(spark, d):
     return rows.select("doc_id", F.col("m.name").alias("name"), F.round("m.confidence", 6).alias("confidence"), reg.category(F.col("m.industry")).alias("category"))
 
 
+def keyword_lookup(spark, d):
+    """Suppliers as they were read whose whole name is a keyword."""
+    rows = view(spark, d, "extractions").filter("field = 'supplier_name'").withColumn("b", reg.by_name(F.col("value"))).filter("b is not null")
+    return rows.select("model", "doc_id", F.col("b.name").alias("name"), F.col("b.industry").alias("industry"), F.col("b.abn").alias("abn"))
+
+
+def abn_lookup(spark, d):
+    """Registered names of the suppliers' ABNs, and of ABNs that are registered, in several forms."""
+    own, known = view(spark, d, "abn_inputs"), reg.as_frame(spark)
+    shaped = own.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).join(F.broadcast(known.select("ord", F.col("abn").alias("plain"))), F.col("id") % known.count() == F.col("ord"))
+    form = F.when(F.col("s") == 0, F.replace("plain", F.lit(" "), F.lit(""))).otherwise(F.concat(F.lit("ABN "), F.replace("plain", F.lit(" "), F.lit("-"))))
+    rows = own.select("id", "abn").unionByName(shaped.select((1000000 + F.col("id") * 2 + F.col("s")).alias("id"), form.alias("abn")))
+    return reg.by_abn(rows, known).select("id", "abn", "registered_name", "registered_industry")
+
+
+def business_categories(spark, d):
+    names = view(spark, d, "extractions").filter("field = 'supplier_name'").select(F.col("value").alias("name")).distinct()
+    return names.withColumn("c", reg.by_contained(F.col("name"))).select("name", "c.*")
+
+
+def industry_words(spark, d):
+    """How many texts of each type hold a word of each industry, counted once for each word."""
+    words = reg.literal([{"industry": i, "word": w} for i, ws in reg.industry_words().items() for w in ws])
+    rows = view(spark, d, "receipts").select("doc_type", F.lower("text").alias("low"))
+    hits = rows.select("doc_type", F.explode(F.filter(words, lambda t: F.col("low").contains(t["word"]))).alias("t"))
+    return hits.groupBy("doc_type", F.col("t.industry").alias("industry")).agg(F.count("*").alias("n"))
+
+
+def alias_table(spark, d):
+    rows = [(k, j, a) for k, names in reg.aliases().items() for j, a in enumerate(names)]
+    return spark.createDataFrame(rows, "key string, nth int, alias string")
+
+
 def primary_bank(spark, d):
     rows = view(spark, d, "receipts").withColumn("b", tx.primary_bank(F.col("text"))).filter("b is not null")
     return rows.select("doc_id", F.col("b.bank").alias("bank"), F.col("b.category").alias("category"), F.round("b.confidence", 6).alias("confidence"))
@@ -129,7 +162,21 @@ def _raw_fields() -> str:
     return " UNION ALL ".join(parts)
 
 
-_TITLE = "(SELECT STRING_AGG(UPPER(SUBSTR(w, 1, 1)) || LOWER(SUBSTR(w, 2)), '' ORDER BY i) FROM (SELECT UNNEST(STRING_SPLIT(REGEXP_REPLACE(v, '([^A-Za-z])([A-Za-z])', '\\1|\\2', 'g'), '|')) AS w, GENERATE_SUBSCRIPTS(STRING_SPLIT(REGEXP_REPLACE(v, '([^A-Za-z])([A-Za-z])', '\\1|\\2', 'g'), '|'), 1) AS i) u)"
+def _titled(v: str) -> str:
+    parts = f"STRING_SPLIT(REGEXP_REPLACE({v}, '([^A-Za-z])([A-Za-z])', '\\1|\\2', 'g'), '|')"
+    return f"ARRAY_TO_STRING(LIST_TRANSFORM({parts}, lambda w: UPPER(SUBSTR(w, 1, 1)) || LOWER(SUBSTR(w, 2))), '')"
+
+
+_DIGITS = "REGEXP_REPLACE(raw, '[^0-9]', '', 'g')"
+_PLAIN = "REGEXP_REPLACE(raw, '[$,\\s]', '', 'g')"
+_CLEAN = f"""CASE
+  WHEN field IN ('total', 'subtotal', 'amount') THEN CASE WHEN TRY_CAST({_PLAIN} AS DOUBLE) IS NOT NULL THEN {_PLAIN} ELSE raw END
+  WHEN field = 'abn' THEN CASE WHEN LENGTH({_DIGITS}) = 11 THEN SUBSTR({_DIGITS}, 1, 2) || ' ' || SUBSTR({_DIGITS}, 3, 3) || ' ' || SUBSTR({_DIGITS}, 6, 3) || ' ' || SUBSTR({_DIGITS}, 9, 3) ELSE {_DIGITS} END
+  WHEN field = 'bsb' THEN CASE WHEN LENGTH({_DIGITS}) = 6 THEN SUBSTR({_DIGITS}, 1, 3) || '-' || SUBSTR({_DIGITS}, 4, 3) ELSE raw END
+  WHEN field IN ('supplier', 'customer') THEN {_titled("REGEXP_REPLACE(raw, '\\s+', ' ', 'g')")}
+  WHEN field = 'fuel_type' THEN {_titled("raw")}
+  WHEN field IN ('litres', 'price_per_litre') THEN PRINTF('%.2f', TRY_CAST(raw AS DOUBLE))
+  ELSE raw END"""
 _FIELDS = with_views("", "receipts").rstrip() + f", raw AS ({_raw_fields()}), kept AS (SELECT * FROM raw WHERE raw IS NOT NULL) "
 _BASE = "CASE rule " + " ".join(f"WHEN {k} THEN {r.priority / 10 * 0.4 + (0.2 if r.valid else 0.0)!r}E0" for k, r in enumerate(ex.RULES)) + " END"
 _WORDS = "CASE field " + " ".join(f"WHEN '{f}' THEN " + " + ".join(f"CASE WHEN LOWER(text) LIKE '%{w}%' THEN 0.05E0 ELSE 0 END" for w in ws) for f, ws in ex.CONTEXT.items()) + " ELSE 0 END"
@@ -137,7 +184,7 @@ _CONF = f"LEAST({_BASE} + CASE WHEN LENGTH(raw) > 1 THEN 0.2E0 ELSE 0 END + CASE
 
 
 def _score(kind: str) -> str:
-    words = [w for w in cl.KEYWORDS[kind].split("|") if w]
+    words = cl.KEYWORDS[kind]
     biz = "LEAST(0.3E0 * (" + " + ".join(f"CASE WHEN CONTAINS(low, '{_sql(b)}') THEN 1 ELSE 0 END" for b in cl.BUSINESSES) + "), 1.0E0) * 0.2E0"
     total, most = biz, 0.2
     if words:
@@ -159,9 +206,14 @@ QUERIES = {
     "c2_classify_documents": classify,
     "c2_confusion": confusion,
     "j2_business_recognition": recognition,
+    "j3_keyword_lookup": keyword_lookup,
+    "j4_abn_lookup": abn_lookup,
+    "j5_business_categories": business_categories,
+    "s9_industry_words": industry_words,
+    "s10_aliases": alias_table,
     "g22_registry_statistics": lambda s, d: reg.statistics(reg.as_frame(s)),
     "c12_primary_bank": primary_bank,
-    "c17_prompt_routes": lambda s, d: view(s, d, "receipts").groupBy("doc_type", tx.route(F.col("text"), F.col("doc_type")).alias("prompt")).agg(F.count("*").alias("n")),
+    "c17_prompt_routes": lambda s, d: view(s, d, "receipts").select("doc_id", "doc_type", tx.route(F.col("text"), F.col("doc_type")).alias("prompt")),
     "p21_cleaned_responses": cleaned_responses,
     "x7_line_items": line_items,
     "j12_enhanced_transactions": enhanced,
@@ -172,16 +224,18 @@ QUERIES = {
 
 
 
-def _keyword(b: reg.Business) -> str:
-    parts = []
-    for w in b.keywords:
-        base = 0.9 if len(w) > 15 else 0.85 if len(w) > 10 else 0.8 if len(w) > 6 else 0.75
-        times = f"((LENGTH(low) - LENGTH(REPLACE(low, '{w}', ''))) / {len(w)})"
-        parts.append(f"WHEN CONTAINS(low, '{w}') THEN LEAST({base}E0 + CASE WHEN REGEXP_MATCHES(low, '\\b{w}\\b') THEN 0.15E0 ELSE 0 END + LEAST(0.1E0 * GREATEST({times} - 1, 0), 0.2E0), 1.0E0)")
-    return "CASE " + " ".join(parts) + " END"
+#: The registry's keywords, and its businesses, as rows.
+_KEYWORDS = ", ".join(f"({k}, {j}, '{_sql(w.lower())}', {reg.base_confidence(w)}E0)" for k, b in enumerate(reg.default()) for j, w in enumerate(b.keywords))
+_KNOWN = ", ".join(f"({k}, '{_sql(reg.short_name(b))}', '{_sql(b.name)}', '{b.industry}', '{b.kind}', '{b.abn}', '{reg.SIMPLE.get(b.industry, b.industry)}')" for k, b in enumerate(reg.default()))
+_REGISTRY = f"kw(biz, j, word, base) AS (VALUES {_KEYWORDS}), known(biz, name, official, industry, kind, abn, category) AS (VALUES {_KNOWN})"
 
 
-_MATCHES = " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, '{b.name}' AS name, '{reg.SIMPLE.get(b.industry, b.industry)}' AS category, ROUND({_keyword(b)}, 9) AS confidence FROM low" for k, b in enumerate(reg.DEFAULT))
+def _recognised(texts: str) -> str:
+    """Common table expressions up to `best`: (id, biz, confidence) of the surest business in each (id, low) of `texts`."""
+    return f"""{_REGISTRY},
+hits AS (SELECT t.id, t.low, kw.*, ROW_NUMBER() OVER (PARTITION BY t.id, kw.biz ORDER BY kw.j) AS nth FROM {texts} t JOIN kw ON CONTAINS(t.low, kw.word)),
+sure AS (SELECT id, biz, ROUND(LEAST(base + CASE WHEN REGEXP_MATCHES(low, '\\b' || REGEXP_ESCAPE(word) || '\\b') THEN 0.15E0 ELSE 0 END + LEAST(0.1E0 * GREATEST((LENGTH(low) - LENGTH(REPLACE(low, word, ''))) / LENGTH(word) - 1, 0), 0.2E0), 1.0E0), 9) AS confidence FROM hits WHERE nth = 1),
+best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY confidence DESC, biz) AS place FROM sure) u WHERE place = 1)"""
 
 
 def _bank(k: int, name: str, category: str, pattern: str) -> str:
@@ -191,19 +245,28 @@ def _bank(k: int, name: str, category: str, pattern: str) -> str:
 
 _CTX = " + ".join(f"CASE WHEN CONTAINS(LOWER(text), '{w}') THEN 1 ELSE 0 END" for w in tx.BANK_CONTEXT)
 _BANKS = " UNION ALL ".join(_bank(k, *b) for k, b in enumerate(tx.BANKS))
-_ROUTE = "CASE " + " ".join("WHEN " + " OR ".join(f"CONTAINS(LOWER(text), '{_sql(w)}')" for w in ws.split("|")) + f" THEN '{k}_extraction_prompt'" for k, ws in tx.ROUTES) + " WHEN doc_type IN ('business_receipt', 'fuel_receipt', 'tax_invoice', 'bank_statement') THEN doc_type || '_extraction_prompt' ELSE 'business_receipt_extraction_prompt' END"
-_KINDS = " UNION ALL ".join(f"SELECT event_id, {k} AS ord, '{c}' AS category, ROUND(0.3E0 * ({' + '.join(f'CASE WHEN CONTAINS(d, {chr(39)}{w}{chr(39)}) THEN 1 ELSE 0 END' for w in ws.split())}), 9) AS s FROM t" for k, (c, ws) in enumerate(tx.WORK_CATEGORIES.items()))
+_ROUTE = "CASE " + " ".join("WHEN " + " OR ".join(f"CONTAINS(LOWER(text), '{_sql(w)}')" for w in ws) + f" THEN '{k}_extraction_prompt'" for k, ws in tx.ROUTES) + " WHEN doc_type IN ('business_receipt', 'fuel_receipt', 'tax_invoice', 'bank_statement') THEN doc_type || '_extraction_prompt' ELSE 'business_receipt_extraction_prompt' END"
+_KINDS = " UNION ALL ".join(f"SELECT event_id, {k} AS ord, '{c}' AS category, ROUND(0.3E0 * ({' + '.join(f'CASE WHEN CONTAINS(d, {chr(39)}{w}{chr(39)}) THEN 1 ELSE 0 END' for w in ws)}), 9) AS s FROM t" for k, (c, ws) in enumerate(tx.WORK_CATEGORIES.items()))
+
+#: Registered ABNs in several forms beside the suppliers' own.
+_ABN_ROWS = with_views("", "abn_inputs").strip().removeprefix("WITH ") + f", r AS (SELECT id, abn FROM abn_inputs UNION ALL SELECT 1000000 + id * 2 + s, CASE s WHEN 0 THEN REPLACE(k.abn, ' ', '') ELSE 'ABN ' || REPLACE(k.abn, ' ', '-') END FROM (SELECT id, 0 AS s FROM abn_inputs UNION ALL SELECT id, 1 FROM abn_inputs) a JOIN (SELECT biz, abn FROM known) k ON k.biz = a.id % {len(reg.default())})"
 
 ORACLES = {
     "c12_primary_bank": with_views("", "receipts").rstrip() + f", low AS (SELECT doc_id, LOWER(text) AS low, {_CTX} AS ctx FROM receipts), m AS ({_BANKS}), s AS (SELECT *, ROUND(LEAST(0.6E0 + CASE WHEN long > 0 THEN 0.3E0 ELSE 0 END + CASE WHEN n > 1 THEN 0.1E0 ELSE 0 END + CASE WHEN ctx >= 3 THEN 0.2E0 WHEN ctx >= 1 THEN 0.1E0 ELSE 0 END, 1.0E0), 9) AS confidence FROM m WHERE n > 0), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) AS place FROM s) SELECT doc_id, bank, category, ROUND(confidence, 6) AS confidence FROM r WHERE place = 1 AND confidence >= 0.7",
-    "c17_prompt_routes": with_views(f"SELECT doc_type, {_ROUTE} AS prompt, COUNT(*) AS n FROM receipts GROUP BY 1, 2", "receipts"),
+    "c17_prompt_routes": with_views(f"SELECT doc_id, doc_type, {_ROUTE} AS prompt FROM receipts", "receipts"),
     "x7_line_items": "SELECT l_orderkey AS id, COUNT(*) AS items, CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(SUM(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY l_orderkey",
     "j12_enhanced_transactions": with_views("", "bank_txns").rstrip() + ", a AS (SELECT statement_id, ord, description, CAST(cents AS VARCHAR) AS amount, CAST(event_id % 90 AS DOUBLE) / 100 AS work_score FROM bank_txns WHERE event_id % 2 = 0), b AS (SELECT statement_id, ord AS mark, description || ' trip' AS marked, CAST(cents AS VARCHAR) AS marked_amount, CASE WHEN event_id % 3 = 0 THEN 'yellow' ELSE 'green' END AS color FROM bank_txns WHERE event_id % 50 = 1), p AS (SELECT a.statement_id, a.ord, b.mark, b.color, ROW_NUMBER() OVER (PARTITION BY a.statement_id, a.ord ORDER BY b.mark) AS k FROM a JOIN b ON a.statement_id = b.statement_id WHERE LEN(LIST_INTERSECT(LIST_DISTINCT(STRING_SPLIT(LOWER(a.description), ' ')), LIST_DISTINCT(STRING_SPLIT(LOWER(b.marked), ' ')))) >= 2 OR CONTAINS(b.marked_amount, a.amount)) SELECT a.statement_id, a.ord, ROUND(CASE WHEN p.mark IS NOT NULL THEN LEAST(a.work_score + 0.3E0, 1.0E0) ELSE a.work_score END, 6) AS work_score, p.mark IS NOT NULL AS highlighted, p.color AS highlight_color FROM a LEFT JOIN p ON p.statement_id = a.statement_id AND p.ord = a.ord AND p.k = 1",
     "b5_work_scores": with_views("", "bank_txns").rstrip() + f", t AS (SELECT event_id, LOWER(description) AS d FROM bank_txns), k AS ({_KINDS}), best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY s DESC, ord) AS place FROM k) u WHERE place = 1) SELECT t.event_id, ROUND(LEAST(0.2E0 * ({' + '.join(f'CASE WHEN CONTAINS(d, {chr(39)}{w}{chr(39)}) THEN 1 ELSE 0 END' for w in tx.WORK_WORDS)}) + LEAST(s, 0.6E0), 1.0E0), 6) AS score, CASE WHEN s > 0 THEN category END AS category, CONCAT_WS(',', {', '.join(f'CASE WHEN CONTAINS(d, {chr(39)}{w}{chr(39)}) THEN {chr(39)}{w}{chr(39)} END' for w in tx.WORK_WORDS)}) AS indicators FROM t JOIN best ON best.event_id = t.event_id",
-    "j2_business_recognition": with_views("", "receipts").rstrip() + f", low AS (SELECT doc_id, LOWER(text) AS low FROM receipts), m AS ({_MATCHES}), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) AS place FROM m WHERE confidence IS NOT NULL) SELECT doc_id, name, ROUND(confidence, 6) AS confidence, category FROM r WHERE place = 1",
-    "g22_registry_statistics": "WITH b(industry, kind, states) AS (VALUES " + ", ".join(f"('{b.industry}', '{b.kind}', '{','.join(b.states)}')" for b in reg.DEFAULT) + """) SELECT 'industry' AS "by", industry AS value, COUNT(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'kind', kind, COUNT(*) FROM b GROUP BY 2 UNION ALL SELECT 'state', s, COUNT(*) FROM (SELECT UNNEST(STRING_SPLIT(states, ',')) AS s FROM b) t GROUP BY 2""",
+    "j2_business_recognition": with_views("", "receipts").rstrip() + f", low AS (SELECT doc_id AS id, LOWER(text) AS low FROM receipts), {_recognised('low')} SELECT best.id AS doc_id, known.name AS name, ROUND(confidence, 6) AS confidence, known.category AS category FROM best JOIN known ON known.biz = best.biz",
+    "j3_keyword_lookup": with_views("", "extractions").rstrip() + f", {_REGISTRY}, f AS (SELECT word, MIN(biz) AS biz FROM kw GROUP BY word) SELECT e.model, e.doc_id, k.official AS name, k.industry AS industry, k.abn AS abn FROM extractions e JOIN f ON f.word = LOWER(e.value) JOIN known k ON k.biz = f.biz WHERE e.field = 'supplier_name'",
+    "j4_abn_lookup": f"WITH {_REGISTRY}, {_ABN_ROWS}, k AS (SELECT REPLACE(abn, ' ', '') AS digits, MIN(biz) AS biz FROM known GROUP BY 1) SELECT r.id, r.abn, known.official AS registered_name, known.industry AS registered_industry FROM r LEFT JOIN k ON k.digits = REGEXP_REPLACE(r.abn, '[^0-9]', '', 'g') LEFT JOIN known ON known.biz = k.biz",
+    "j5_business_categories": with_views("", "extractions").rstrip() + f", {_REGISTRY}, n AS (SELECT DISTINCT value FROM extractions WHERE field = 'supplier_name'), h AS (SELECT n.value, MIN(kw.biz) AS biz FROM n JOIN kw ON CONTAINS(LOWER(n.value), kw.word) GROUP BY n.value) SELECT n.value AS name, COALESCE(known.category, 'unknown') AS category, CASE WHEN known.biz IS NULL THEN 0.0E0 ELSE 0.9E0 END AS confidence, COALESCE(known.industry, '') AS industry FROM n LEFT JOIN h ON h.value = n.value LEFT JOIN known ON known.biz = h.biz",
+    "s9_industry_words": with_views("", "receipts").rstrip() + ", w(industry, word) AS (VALUES " + ", ".join(f"('{i}', '{_sql(x)}')" for i, ws in reg.industry_words().items() for x in ws) + ") SELECT doc_type, industry, COUNT(*) AS n FROM receipts r JOIN w ON CONTAINS(LOWER(r.text), w.word) GROUP BY doc_type, industry",
+    "s10_aliases": "SELECT * FROM (VALUES " + ", ".join(f"('{_sql(k)}', {j}, '{_sql(x)}')" for k, xs in reg.aliases().items() for j, x in enumerate(xs)) + ") t(key, nth, alias)",
+    "g22_registry_statistics": "WITH b(industry, kind, states) AS (VALUES " + ", ".join(f"('{b.industry}', '{b.kind}', '{','.join(b.states)}')" for b in reg.default()) + """) SELECT 'industry' AS "by", industry AS value, COUNT(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'kind', kind, COUNT(*) FROM b GROUP BY 2 UNION ALL SELECT 'state', s, COUNT(*) FROM (SELECT UNNEST(STRING_SPLIT(states, ',')) AS s FROM b) t GROUP BY 2""",
     "x10_rule_statistics": "SELECT field, COUNT(*) AS rules, MAX(priority) AS highest, COUNT(CASE WHEN priority >= 9 THEN 1 END) AS strong FROM (VALUES " + ", ".join(f"('{r.field}', {r.priority})" for r in ex.RULES) + ") t(field, priority) GROUP BY field",
-    "g10_field_coverage": _FIELDS + "SELECT doc_type, field, COUNT(*) AS n, COUNT(DISTINCT raw) AS different FROM kept GROUP BY doc_type, field",
+    "x3_rules_extract": _FIELDS + f"SELECT doc_id, doc_type, field, {_CLEAN} AS value, ROUND({_CONF}, 6) AS confidence FROM kept",
+    "g10_field_coverage": _FIELDS + f"SELECT doc_type, field, COUNT(*) AS n, COUNT(DISTINCT {_CLEAN}) AS different FROM kept GROUP BY doc_type, field",
     "c2_classify_documents": _CLASS + "SELECT doc_id, predicted, ROUND(score, 6) AS score FROM predicted",
     "c2_confusion": _CLASS + "SELECT doc_type, predicted, COUNT(*) AS n FROM predicted GROUP BY doc_type, predicted",
 }
