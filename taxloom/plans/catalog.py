@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxloom.plans import bank_queries, document_queries, page_queries, result_queries, value_queries
+from taxloom.plans import bank_queries, document_queries, handler_queries, page_queries, result_queries, value_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "g12_batch_summary"
 
-for _module in (result_queries, value_queries, bank_queries, page_queries, document_queries):
+for _module in (result_queries, value_queries, bank_queries, page_queries, document_queries, handler_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

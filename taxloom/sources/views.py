@@ -188,3 +188,82 @@ SELECT o_orderkey AS doc_id,
   CASE WHEN o_orderkey % 7 = 0 THEN 'TAX: ' ELSE 'GST: $' END || {_money(f"{_CENTS} - {_SUB}")}{_NL}
   'TOTAL: $' || {_money(_CENTS)} AS text
 FROM orders"""
+
+
+def _pick(by: str, *values: str) -> str:
+    """One of the SQL values, by a number."""
+    return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values[:-1])) + f" ELSE {values[-1]} END"
+
+
+_TOTAL = _money(_CENTS)
+_NET, _TAX = _money(_SUB), _money(f"{_CENTS} - {_SUB}")
+_DAY = "LPAD(CAST(o_custkey % 28 + 1 AS STRING), 2, '0')"
+_STATEMENT = _NL.join([
+    _pick("o_custkey", "'Westpac Banking Corporation'", "'ANZ'", "'CommBank everyday'", "'My Local Bank Ltd'", "'Statement of Account'", "'National Australia Bank'"),
+    _pick("o_orderkey", "'Account holder: John Smith'", "'Customer: Li'", "'Mr Alan Jones'", "'holder unknown'"),
+    _pick("o_custkey + o_orderkey", "'BSB: 032-' || LPAD(CAST(o_custkey % 1000 AS STRING), 3, '0')", "'bsb 732' || LPAD(CAST(o_custkey % 1000 AS STRING), 3, '0')", "'branch details on request'"),
+    _pick("o_orderkey", "'Account number: ' || LPAD(CAST(o_custkey AS STRING), 8, '1')", "'Acc ' || LPAD(CAST(o_custkey AS STRING), 6, '2')", "'no account'"),
+    _pick("o_custkey", f"'Statement period: 01/03/2024 to ' || {_DAY} || '/04/2024'", f"'From 1/2/2024' || CHR(10) || 'end: ' || {_DAY} || '/02/2024'", "'quarterly'"),
+    _pick("o_orderkey + 1", f"'Opening balance: $' || {_TOTAL}", "'Balance brought forward 1,234.50'", "'Previous: -88.10'", "'n/a'"),
+    f"{_DAY} || '/03/2024 ' || " + _pick("o_custkey", "'BP Fuel Station 12'", "'Officeworks office supplies'", "'Uber Trip to Airport'", "'Salary from Acme'", "'Training conference travel'") + f" || ' -$' || {_money('o_orderkey * 7919 % 99990 + 10')}",
+    f"'05/03/2024 ' || " + _pick("o_orderkey", "'Coffee meeting lunch'", "'Interest earned'", "'Hotel Sydney'") + f" || ' ' || CASE WHEN o_custkey % 2 = 0 THEN '-' ELSE '' END || {_money('o_custkey * 31 % 9999 + 100')}",
+    f"'Closing balance $' || CASE WHEN o_custkey % 9 = 0 THEN '1,200,000.00' ELSE {_NET} END",
+    _pick("o_custkey", "'Account type: Savings'", "'business account'", "'-'"),
+])
+_FUEL = _NL.join([
+    _pick("o_custkey", "'BP Connect'", "'Shell Coles Express'", "'Caltex'", "'Corner Fuel Depot'", "'12'", "'United Petroleum'"),
+    _pick("o_orderkey", "'12 Main St Richmond VIC 3121'", "'Sydney NSW'", "'postcode 4000'", "'no address'"),
+    _pick("o_custkey + o_orderkey", f"'DATE: ' || {_DATE}", f"'on ' || REPLACE({_DATE}, '/', '-')", f"'Date: ' || REPLACE({_DATE}, '/', '.')", "'undated'"),
+    _pick("o_custkey", "'Unleaded 91'", "'Premium 98'", "'Diesel'", "'E10'", "'octane 95 grade'"),
+    "CAST(o_orderkey % 70 + 1 AS STRING) || '.5 L @ $1.' || CAST(o_custkey % 90 + 10 AS STRING) || ' per litre'",
+    _pick("o_orderkey + 2", "'Pump 4'", "'pump no 11'", "'self service'"),
+    _pick("o_custkey", "'odometer: ' || CAST(o_orderkey % 900000 AS STRING)", "'rego: abc' || CAST(o_custkey % 1000 AS STRING)", "'XYZ 12A'", "'-'"),
+    _pick("o_orderkey", f"'TOTAL: $' || {_money('o_orderkey * 7919 % 20000 + 100')}", "'TOTAL: 1.50'", "'paid'"),
+    _pick("o_custkey + 1", f"'GST: $' || {_TAX}", "'abn 51 004 085 616'", "'12345678901'"),
+])
+_SHOP = _NL.join([
+    _pick("o_custkey", "'WOOLWORTHS METRO'", "'** RECEIPT **'", "'JB HI-FI'", "'The Pen Shop'", "'mart 24'", "'Bunnings Warehouse'"),
+    _pick("o_orderkey", "'Sydney store'", "'Store no 42 Box Hill'", "'ACT 2600'", "'7 King Street'", "'online'"),
+    _pick("o_custkey + o_orderkey", f"'Date: ' || {_DATE}", f"REPLACE({_DATE}, '/', '-')", "'today'"),
+    "'Blue pen pack ' || CAST(o_custkey % 20 + 1 AS STRING) || '.50'",
+    _pick("o_orderkey", "'USB cable $19.95'", "'Coffee and biscuits 7.25'", "'Safety gloves $12'", "'Mystery thing 3.10'"),
+    _pick("o_custkey", f"'Subtotal: $' || {_NET}", "'net amount 10.00'", "'-'"),
+    _pick("o_orderkey", f"'GST: $' || {_TAX}", "'tax 1.00'", "'tax free'"),
+    _pick("o_custkey", f"'TOTAL: $' || {_TOTAL}", f"'Total: ' || {_money('o_orderkey * 31 % 3000 + 50')}", "'see above'"),
+    _pick("o_custkey + 3", "'paid by EFTPOS'", "'Payment: cash'", "'gift card 99'", "'Visa debit'", "'tender: zip'", "'account'"),
+    _pick("o_orderkey + 1", "'Receipt no: R-' || CAST(o_orderkey AS STRING)", "'txn # T' || CAST(o_custkey AS STRING)", "'-'"),
+    _pick("o_custkey", "'flybuys: 60141'", "'Everyday Rewards card: 93' || CAST(o_custkey AS STRING)", "'served by Anna'", "'till 7'", "'-'"),
+    _pick("o_orderkey", "'savings: $2.50'", "'-$1.00 off'", "'-'"),
+])
+_INVOICE = _NL.join([
+    _pick("o_custkey", "'TAX INVOICE'", "'Smith & Co Lawyers'", "'2024 invoice'", "'Acme Consulting Pty Ltd'"),
+    _pick("o_orderkey", "'Level 2'", "'Brown Accountants'", "'1'"),
+    _pick("o_custkey + o_orderkey", "'12 Hill Rd, Perth WA 6000'", "'PO Box 5'", "'phone 9999 1234'"),
+    _pick("o_custkey", f"'ABN: ' || {_ABN}", "'ABN 51 004 085 616'", "'A.B.N. 88-000-014-675'", "'abn: 123'"),
+    _pick("o_orderkey + 1", "'Invoice No: INV-' || CAST(o_orderkey AS STRING)", "'Invoice: A' || CAST(o_custkey AS STRING)", "'ref 1'"),
+    _pick("o_custkey", f"'Invoice date: ' || {_DATE}", f"'issued ' || {_DATE}", "'undated'"),
+    _pick("o_orderkey", "'Bill to: Jane Doe & Sons'", "'Customer: Big Client'", "'attn sales'"),
+    _pick("o_custkey + 1", "'Description: web design, hosting.'", "'Services: legal advice'", "'misc'"),
+    _pick("o_orderkey", f"'Subtotal: $' || {_NET}", f"'amount before gst ' || {_NET}", "'-'"),
+    _pick("o_custkey", f"'GST: $' || {_TAX}", "'GST: $5.00'", "'-'"),
+    _pick("o_orderkey + 2", f"'TOTAL: $' || {_TOTAL}", f"'Total: ' || {_TOTAL}", "'-'"),
+    _pick("o_custkey", f"'Due date: ' || {_DATE}", f"'payable by ' || {_DATE}", "'-'"),
+    _pick("o_orderkey", "'Payment terms: strictly monthly'", "'net 30 days'", "'Payment due on receipt'", "'due in 14 day'"),
+])
+_PAPER_TEXTS = {"bank_statement": _STATEMENT, "fuel_receipt": _FUEL, "business_receipt": _SHOP, "tax_invoice": _INVOICE}
+#: Statements, fuel and shop receipts and invoices in the words that their handlers look for.
+VIEWS["papers"] = "SELECT o_orderkey AS doc_id, " + _pick("o_orderkey", *[f"'{k}'" for k in _PAPER_TEXTS]) + " AS doc_type, " + _pick("o_orderkey", *_PAPER_TEXTS.values()) + " AS text FROM orders"
+#: Up to three highlights of a paper.
+VIEWS["paper_highlights"] = "SELECT o_orderkey AS doc_id, CAST(s.ord AS BIGINT) AS ord, " + _pick("o_orderkey", *[f"'{k}'" for k in _PAPER_TEXTS]) + " AS doc_type, CAST((o_custkey * 3 + o_orderkey + s.ord * 37) % 101 AS DOUBLE) / 100 AS confidence, " + _pick(
+    "(o_orderkey * 2 + o_custkey + s.ord)",
+    f"'Total: $' || {_TOTAL}",
+    f"'GST $' || {_TAX}",
+    f"'Subtotal ' || {_NET}",
+    "'$45.60 sub'",
+    "'Opening balance 900.00 closing balance 950.50'",
+    f"'Tax Invoice' || CHR(10) || 'Invoice No: H' || CAST(o_orderkey AS STRING) || ' Date ' || {_DATE}",
+    "'Diesel 40.5 L @ $1.85 per litre'",
+    "'Coles receipt no R9 paid cash'",
+    "'Pump 9'",
+    "'nothing'",
+) + " AS text FROM orders CROSS JOIN (SELECT 0 AS ord UNION ALL SELECT 1 AS ord UNION ALL SELECT 2 AS ord) s WHERE (o_custkey + s.ord) % 2 = 0"
