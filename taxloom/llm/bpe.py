@@ -25,8 +25,11 @@ from taxloom.llm.shared import batched
 #: Fixed: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stretches in one of the two generations of a task's cache, and their characters.
-CACHED_WORDS, CACHED_CHARS = 250_000, 16 << 20
+CACHED_WORDS, CACHED_CHARS = 150_000, 16 << 20
 _CHUNK = 2 << 20
+#: Longest words that are merged side by side, and how many of them at a time.
+_SHORT, _SIDE_BY_SIDE = 40, 2048
+_NEVER = 1 << 60
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -68,6 +71,8 @@ class Bpe:
             pairs.append(x << 32 | y)
             made.append(z)
         self.made = [-1, *made]
+        self.made_array = np.array(self.made)
+        self.of_byte = np.array([self.id_of.get(bytes([b]), -1) for b in range(256)])
         #: The longest token that starts with each three bytes.
         self.reach: dict[bytes, int] = {}
         for raw in self.id_of:
@@ -154,6 +159,64 @@ class Bpe:
                 heappush(heap, q << 32 | h)
         return [t for t in ids if t >= 0]
 
+    def _ages(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """When the merge of each pair comes; _NEVER if none does."""
+        key = x << 32 | y
+        k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[k] == key, self.pair_ages[k], _NEVER)
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """As merge, for many words at once: in every step each word that still can makes its next merge.
+
+        Words of like length share an array; those over _SHORT bytes go one by one.
+        """
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted((i for i, w in enumerate(words) if len(w) <= _SHORT), key=lambda i: len(words[i]))
+        for lo in range(0, len(order), _SIDE_BY_SIDE):
+            part = order[lo : lo + _SIDE_BY_SIDE]
+            for i, ids in zip(part, self._side_by_side([words[i] for i in part]), strict=True):
+                out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > _SHORT:
+                out[i] = self.merge(w)
+        return out
+
+    def _side_by_side(self, words: list[bytes]) -> list[list[int]]:
+        n, longest = len(words), max(map(len, words))
+        size = np.fromiter(map(len, words), dtype=np.int64, count=n)
+        held = np.arange(longest)[None, :] < size[:, None]
+        ids = np.full((n, longest + 1), -1)
+        ids[:, :longest][held] = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ages = np.full((n, longest + 1), _NEVER)
+        pairs = held[:, 1:]
+        ages[:, : longest - 1][pairs] = self._ages(ids[:, : longest - 1][pairs], ids[:, 1:longest][pairs])
+        going, column = np.arange(n), np.arange(longest)
+        done = ids.copy()
+        while len(going):
+            rows = np.arange(len(going))
+            at = ages.argmin(axis=1)
+            best = ages[rows, at]
+            stop = best == _NEVER
+            if stop.any():
+                done[going[stop], : ids.shape[1]] = ids[stop]
+                done[going[stop], ids.shape[1] :] = -1
+                go = ~stop
+                going, ids, ages, at, best = going[go], ids[go], ages[go], at[go], best[go]
+                if not len(going):
+                    break
+                rows = np.arange(len(going))
+            # What follows the merged pair moves up by one.
+            source = column + (column > at[:, None])
+            ids, ages = np.take_along_axis(ids, source, 1), np.take_along_axis(ages, source, 1)
+            ids[rows, at] = self.made_array[best]
+            after = np.where(at + 1 < ids.shape[1], ids[rows, np.minimum(at + 1, ids.shape[1] - 1)], -1)
+            ages[rows, at] = np.where(after >= 0, self._ages(ids[rows, at], after), _NEVER)
+            inner = at > 0
+            ages[rows[inner], at[inner] - 1] = self._ages(ids[rows[inner], at[inner] - 1], ids[rows[inner], at[inner]])
+            column = column[:-1]
+        counts = (done >= 0).sum(axis=1).tolist()
+        return [row[:k] for row, k in zip(done.tolist(), counts, strict=True)]
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         proposed = [self.propose(w) for w in words]
         sizes = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
@@ -166,8 +229,9 @@ class Bpe:
         never = np.full(len(pairs), 1 << 60)
         fine = self._survives(pairs >> 32, pairs & 0xFFFFFFFF, never)
         bad[owner[inner[~fine[back]]]] = True
-        for i in np.flatnonzero(bad):
-            proposed[i] = self.merge(words[i])
+        failing = np.flatnonzero(bad).tolist()
+        for i, ids in zip(failing, self.merge_many([words[i] for i in failing]), strict=True):
+            proposed[i] = ids
         return proposed
 
     def _learn(self, caches: list[dict[str, bytes | None]], need: set[str], lead: str) -> None:
