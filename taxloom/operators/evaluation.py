@@ -132,3 +132,81 @@ def standardized(extractions: DataFrame, aliases: dict[str, list[str]]) -> DataF
     rank = F.create_map(*[F.lit(x) for a, (_, k) in order.items() for x in (a, k)])[F.col("field")]
     rows = extractions.filter("value <> ''").select("model", "doc_id", name.alias("name"), rank.alias("rank"), "value").filter("name is not null")
     return rows.groupBy("model", "doc_id", "name").agg(F.min(F.struct("rank", "value"))["value"].alias("value"))
+
+
+#: Forms of dates and amounts that count as well written.
+DATE_FORMS = [r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$", r"^\d{1,2}\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4}$"]
+AMOUNT_FORM = r"^\$?\d{1,3}(?:,\d{3})*(?:\.\d{2})?$"
+
+
+def abn_form(value: Column) -> Column:
+    return F.coalesce(F.regexp_replace(value, r"\s", "").rlike(r"^\d{11}$"), F.lit(False))
+
+
+def date_form(value: Column) -> Column:
+    t = F.trim(value)
+    return F.coalesce(t.rlike(DATE_FORMS[0]) | t.rlike(DATE_FORMS[1]), F.lit(False))
+
+
+def amount_form(value: Column) -> Column:
+    return F.coalesce(F.trim(value).rlike(AMOUNT_FORM), F.lit(False))
+
+
+def gst_adds_up(total: Column, subtotal: Column) -> Column:
+    """Whether a total is its subtotal and a tenth, to the cent."""
+    number = lambda v: F.regexp_replace(v, r"[$,\s]", "").try_cast("double")
+    return F.coalesce(F.abs(number(total) - (number(subtotal) + number(subtotal) * 0.1)) <= 0.01, F.lit(False))
+
+
+def ato_scores(extractions: DataFrame, truth: DataFrame) -> DataFrame:
+    """The share of tax office checks that each document's reading passes; only what the truth has is checked.
+
+    An ABN that is badly written but equal to a well-written true one counts 0.8.
+    """
+    pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
+    names = ["abn", "date", "total_amount", "subtotal", "gst_amount"]
+    pairs = extractions.select("model", "doc_id", "field", "value")
+    due = pairs.select("model", "doc_id").distinct().join(truth.select("doc_id", "field", F.col("value").alias("true_value")), "doc_id")
+    true = due.groupBy("model", "doc_id").agg(*[pick(f, "true_value").alias(f"t_{f}") for f in names])
+    read = pairs.groupBy("model", "doc_id").agg(*[pick(f, "value").alias(f"r_{f}") for f in names])
+    rows = true.join(read, ["model", "doc_id"])
+    t, r = (lambda f: F.col(f"t_{f}")), (lambda f: F.col(f"r_{f}"))
+    abn = F.when(abn_form(r("abn")), 1.0).when(abn_form(t("abn")) & F.coalesce(r("abn") == t("abn"), F.lit(False)), 0.8).otherwise(0.0)
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    checks = [
+        (t("abn").isNotNull(), abn),
+        (t("gst_amount").isNotNull() & t("total_amount").isNotNull(), one(gst_adds_up(r("total_amount"), r("subtotal")))),
+        (t("date").isNotNull(), one(date_form(r("date")))),
+        *[(t(f).isNotNull(), one(amount_form(r(f)))) for f in ("total_amount", "subtotal", "gst_amount")],
+    ]
+    n = sum((c.cast("int") for c, _ in checks), F.lit(0))
+    points = sum((F.when(c, p).otherwise(0.0) for c, p in checks), F.lit(0.0))
+    return rows.select("model", "doc_id", n.alias("checks"), F.when(n > 0, points / n).otherwise(0.0).alias("ato_score"))
+
+
+def benchmark_overall(results: DataFrame) -> DataFrame:
+    """Of each model's documents (success, f1_score, processing_time): mean F1, success rate and times, over the successful ones."""
+    good = lambda c: F.when(F.col("success"), F.col(c))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return results.groupBy("model").agg(
+        zero(F.avg(good("f1_score"))).alias("average_f1"),
+        F.avg(F.col("success").cast("int")).alias("success_rate"),
+        F.count("*").alias("total_documents"),
+        F.count_if("success").alias("successful_documents"),
+        zero(F.avg(good("processing_time"))).alias("avg_processing_time"),
+        zero(F.min(good("processing_time"))).alias("min_processing_time"),
+        zero(F.max(good("processing_time"))).alias("max_processing_time"),
+        zero(F.sum(good("processing_time"))).alias("total_processing_time"),
+    )
+
+
+def benchmark_summary(overall: DataFrame) -> DataFrame:
+    """Best, worst and mean over the models of benchmark_overall."""
+    return overall.agg(
+        F.count("*").alias("num_models"),
+        F.max("average_f1").alias("best_f1_score"),
+        F.min("average_f1").alias("worst_f1_score"),
+        F.avg("average_f1").alias("average_f1_score"),
+        F.min("avg_processing_time").alias("fastest_avg_time"),
+        F.max("avg_processing_time").alias("slowest_avg_time"),
+    )

@@ -154,9 +154,3 @@ def long_form(extracted: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def rule_statistics() -> dict[str, dict[str, int]]:
     """How many rules there are for each field and each type."""
     return {"field": {f: sum(r.field == f for r in RULES) for f in FIELDS}, "type": {t: sum(t in r.types for r in RULES) for t in TYPES}}
-
-
-def insufficient(fields: Column, least: int = 3) -> Column:
-    """Whether a map of fields is too poor to go without the fallback rules."""
-    full = F.map_filter(fields, lambda _, x: x.isNotNull() & (x != ""))
-    return F.size(full) < least

@@ -15,7 +15,7 @@ def by_strategy(runs: DataFrame) -> DataFrame:
     return composite(runs).groupBy("doc_type", "strategy").agg(F.count("*").alias("samples"), F.avg("performance").alias("average"), F.min("performance").alias("least"), F.max("performance").alias("most"))
 
 
-def optimal(strategies: DataFrame, samples: int = 10, average: float = 0.5) -> DataFrame:
+def optimal(strategies: DataFrame, samples: int = 10, average: float = 0.7) -> DataFrame:
     """The best strategy of each type among those with enough samples and performance."""
     w = Window.partitionBy("doc_type").orderBy(F.desc(F.round("average", 9)), "strategy")
     held = strategies.filter((F.col("samples") >= samples) & (F.col("average") >= average))

@@ -142,3 +142,178 @@ def best_engine(readings: DataFrame) -> DataFrame:
     """For each box the reading of the surest engine; the first name on a tie."""
     w = Window.partitionBy("image_id", "ord").orderBy(F.desc("confidence"), F.desc("engine"))
     return readings.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
+
+#: Words in a model's answer that show fuel, and a bank.
+FUEL_SIGNS = ["13ulp", "ulp", "unleaded", "diesel", "litre", " l ", ".l ", "price/l", "per litre", "fuel"]
+BANK_SIGNS = ["account", "balance", "transaction", "deposit", "withdrawal", "bsb", "opening balance", "closing balance", "statement period", "account number", "sort code", "debit", "credit", "available balance", "current balance"]
+FUEL_QUANTITY = r"\d+\.\d{2,3}\s*l\b|\d+\s*litre"
+BANK_ACCOUNT = r"\d{3}-\d{3}\s+\d{4,10}|\bbsb\b|\baccount\s+number\b"
+BUSINESS_PAPERS = ["receipt", "tax_invoice", "fuel_receipt", "bank_statement", "invoice"]
+
+
+def _any(low: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w))
+
+
+def _verdict(kinds: list[tuple[Column, str, float]]) -> Column:
+    """document_type, confidence and is_business_document by the first condition that holds, else unknown at a half."""
+    out = None
+    for when, kind, confidence in kinds:
+        value = F.struct(F.lit(kind).alias("document_type"), F.lit(confidence).alias("confidence"), F.lit(kind in BUSINESS_PAPERS and confidence > 0.7).alias("is_business_document"))
+        out = F.when(when, value) if out is None else out.when(when, value)
+    return out.otherwise(F.struct(F.lit("unknown").alias("document_type"), F.lit(0.5).alias("confidence"), F.lit(False).alias("is_business_document")))
+
+
+def classify_answer(text: Column) -> Column:
+    """The type that a model's answer names; signs of fuel and of a bank in it count more than what it says."""
+    low = F.lower(text)
+    says = lambda *words: _any(low, list(words))
+    return _verdict([
+        (says("fuel_receipt", "fuel receipt"), "fuel_receipt", 0.90),
+        (_any(low, FUEL_SIGNS) | low.rlike(FUEL_QUANTITY), "fuel_receipt", 0.95),
+        (says("fuel", "petrol"), "fuel_receipt", 0.85),
+        (says("tax_invoice", "tax invoice"), "tax_invoice", 0.85),
+        (low.contains("tax") & low.contains("invoice"), "tax_invoice", 0.80),
+        (says("bank_statement", "bank statement"), "bank_statement", 0.90),
+        (_any(low, BANK_SIGNS) | low.rlike(BANK_ACCOUNT), "bank_statement", 0.95),
+        (low.contains("bank"), "bank_statement", 0.75),
+        (low.contains("receipt"), "receipt", 0.75),
+        (low.contains("invoice"), "tax_invoice", 0.70),
+    ])
+
+
+def classify_answer_plainly(text: Column) -> Column:
+    """The type that a model's answer names, and nothing else."""
+    low = F.lower(text)
+    says = lambda *words: _any(low, list(words))
+    return _verdict([
+        (says("fuel_receipt", "fuel receipt"), "fuel_receipt", 0.90),
+        (says("tax_invoice", "tax invoice"), "tax_invoice", 0.85),
+        (says("bank_statement", "bank statement"), "bank_statement", 0.85),
+        (low.contains("receipt"), "receipt", 0.75),
+        (low.contains("invoice"), "tax_invoice", 0.70),
+    ])
+
+
+def valid_text(text: Column) -> Column:
+    """Whether recognised text is worth keeping: 2 to 200 characters with a letter or digit among them."""
+    t = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    return F.coalesce(F.length(t).between(2, 200) & t.rlike("[a-zA-Z0-9]"), F.lit(False))
+
+
+#: What a line of a statement holds.
+DAY_FORMS = [r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", r"\b\d{1,2}\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{2,4}\b"]
+AMOUNT_FORM = r"\$?\d{1,3}(?:,\d{3})*(?:\.\d{2})?"
+REFERENCE_FORM = r"(?:ref|reference)[\s:]*([a-zA-Z0-9-]+)"
+BSB_FORM, ACCOUNT_FORM = r"\b\d{3}[-\s]?\d{3}\b", r"\b\d{6,12}\b"
+HOLDER_FORM = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+LAST_AMOUNT_FORM, FIRST_DAY_FORM = r"\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)", r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
+READ_BSB, READ_ACCOUNT = r"(\d{3}-\d{3})", r"(?i)(?:account|acc)[\s:]*(\d{6,12})"
+READ_BALANCE = r"(?i)(?:balance|bal)[\s:]*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)"
+
+
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _single_spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def line_transaction(text: Column) -> Column:
+    """date, description, amount, reference and type of a line by its largest amount; null without an amount."""
+    bare = lambda a: F.regexp_replace(a, "[$,]", "").try_cast("double")
+    amount = F.array_max(F.transform(_all(text, AMOUNT_FORM), bare))
+    date = F.coalesce(*[F.nullif(F.regexp_extract(text, "(?i)" + p, 0), F.lit("")) for p in DAY_FORMS])
+    reference = F.nullif(F.regexp_extract(text, "(?i)" + REFERENCE_FORM, 1), F.lit(""))
+    rest = F.when(date.isNotNull(), F.regexp_replace(F.regexp_replace(text, DAY_FORMS[0], ""), "(?i)" + DAY_FORMS[1], "")).otherwise(text)
+    rest = F.when(reference.isNotNull(), F.regexp_replace(rest, "(?i)" + REFERENCE_FORM, "")).otherwise(rest)
+    rest = _single_spaced(F.regexp_replace(rest, AMOUNT_FORM, ""))
+    described = F.when(rest == "", "Transaction").otherwise(rest)
+    return F.when(amount.isNotNull(), F.struct(date.alias("date"), described.alias("description"), F.abs(amount).alias("amount"), reference.alias("reference"), F.when(amount < 0, "debit").otherwise("credit").alias("type")))
+
+
+def account_text(text: Column) -> Column:
+    """bsb, account_number (the longest run of 6 to 12 digits) and account_holder (the first capitalised name of 10 to 50 letters)."""
+    numbers = _all(text, ACCOUNT_FORM)
+    longest = F.array_max(F.transform(numbers, lambda n, i: F.struct(F.length(n).alias("size"), (-i).alias("place"), n.alias("n"))))["n"]
+    names = F.filter(_all(text, HOLDER_FORM), lambda n: F.length(n).between(10, 50))
+    return F.struct(F.nullif(F.regexp_extract(text, BSB_FORM, 0), F.lit("")).alias("bsb"), longest.alias("account_number"), F.get(names, 0).alias("account_holder"))
+
+
+def read_transaction(text: Column) -> Column:
+    """amount (the last one), date (the first one) and description of recognised text; null without an amount."""
+    amounts, days = _all(text, LAST_AMOUNT_FORM, 1), _all(text, FIRST_DAY_FORM, 1)
+    rest = F.aggregate(amounts, text, lambda acc, a: F.replace(F.replace(acc, F.concat(F.lit("$"), a), F.lit("")), a, F.lit("")))
+    rest = F.aggregate(days, rest, lambda acc, d: F.replace(acc, d, F.lit("")))
+    return F.when(F.size(amounts) > 0, F.struct(last_amount(text).alias("amount"), F.get(days, 0).alias("date"), F.trim(rest).alias("description")))
+
+
+def read_account(text: Column) -> Column:
+    """bsb, account_number and balance in recognised text."""
+    got = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    return F.struct(got(READ_BSB).alias("bsb"), got(READ_ACCOUNT).alias("account_number"), F.replace(got(READ_BALANCE), F.lit(","), F.lit("")).try_cast("double").alias("balance"))
+
+
+def statement_roll_up(readings: DataFrame, by: str = "statement_id") -> DataFrame:
+    """Of recognised texts (`by`, ord, text): transactions, their sum, and the last account details told."""
+    rows = readings.filter(valid_text(F.col("text"))).withColumns({"t": read_transaction(F.col("text")), "a": read_account(F.col("text"))})
+    last = [F.max_by(f"a.{k}", F.when(F.col(f"a.{k}").isNotNull(), F.col("ord"))).alias(k) for k in ("bsb", "account_number", "balance")]
+    return rows.groupBy(by).agg(F.count("*").alias("texts"), F.count("t").alias("transactions"), F.sum(F.round(F.col("t.amount") * 100).cast("long")).alias("cents"), *last)
+
+
+#: Names under which banks are known; a bank's own name comes with its category in BANKS.
+BANK_NAMES = {
+    "ANZ Bank": ["ANZ", "Australia and New Zealand"],
+    "Commonwealth Bank of Australia": ["CBA", "CommBank", "Commonwealth"],
+    "Westpac Banking Corporation": ["Westpac", "WBC"],
+    "NAB Bank": ["NAB", "National Australia Bank"],
+    "ING Australia": ["ING", "ING Direct"],
+    "Macquarie Bank": ["Macquarie", "Macquarie Bank"],
+    "Bendigo and Adelaide Bank": ["Bendigo", "Bendigo Bank"],
+    "Suncorp Bank": ["Suncorp", "Suncorp Bank"],
+    "Bank of Queensland": ["BOQ", "Bank of Queensland"],
+    "HSBC Bank Australia": ["HSBC"],
+    "Citibank Australia": ["Citi", "Citibank"],
+}
+#: Prefix ranges by bank, as text.
+NAMED_RANGES = {
+    "ANZ Bank": "10-19,70-79,550-559",
+    "Commonwealth Bank of Australia": "60-69,730-739",
+    "Westpac Banking Corporation": "30-39,340-349,730-789",
+    "NAB Bank": "80-89,300-319",
+    "ING Australia": "923-923",
+    "Macquarie Bank": "182-182",
+    "Bendigo and Adelaide Bank": "630-639",
+    "Suncorp Bank": "484-484,640-649",
+    "Bank of Queensland": "140-149",
+    "HSBC Bank Australia": "342-342",
+    "Citibank Australia": "243-243",
+}
+
+
+def bank_category(name: Column) -> Column:
+    """Category of the first bank whose own name this is, or one of whose names it holds."""
+    low, out = F.lower(name), None
+    for bank, category, _ in BANKS:
+        hit = (low == bank.lower()) | _any(low, [n.lower() for n in BANK_NAMES[bank]])
+        out = F.when(hit, category) if out is None else out.when(hit, category)
+    return out
+
+
+def is_big_four(name: Column) -> Column:
+    """As bank_category, among the four big banks only."""
+    low, out = F.lower(name), F.lit(False)
+    for bank, category, _ in BANKS:
+        if category == "big_four":
+            out = out | (low == bank.lower()) | _any(low, [n.lower() for n in BANK_NAMES[bank]])
+    return out
+
+
+def bank_ranges(name: Column) -> Column:
+    """Prefix ranges of the first bank whose own name holds this one, or one of whose names is in it."""
+    low, out = F.lower(name), None
+    for bank, ranges in NAMED_RANGES.items():
+        hit = F.lit(bank.lower()).contains(low) | _any(low, [n.lower() for n in BANK_NAMES[bank]])
+        out = F.when(hit, ranges) if out is None else out.when(hit, ranges)
+    return out.otherwise("")

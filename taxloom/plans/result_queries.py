@@ -172,7 +172,7 @@ ORACLES = {
     "r10_best_model": _with(_MODELS, "SELECT model, ROUND(average_f1, 6) AS average_f1 FROM models ORDER BY average_f1 DESC, model LIMIT 1"),
     "d6_first_failures": with_views("SELECT model, place, doc_id, SPLIT_PART(COALESCE(error, 'Unknown error'), ':', 1) AS error_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY model ORDER BY position) AS place FROM results WHERE NOT success) t WHERE place <= 5", "results"),
     "g27_strategies": _PROMPT + "SELECT doc_type, strategy, samples, ROUND(average, 9) AS average, ROUND(least, 9) AS least, ROUND(most, 9) AS most FROM strategies",
-    "r9_optimal_strategy": _PROMPT + "SELECT doc_type, strategy, samples, ROUND(average, 6) AS average, ROUND(least, 6) AS least, ROUND(most, 6) AS most FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_type ORDER BY ROUND(average, 9) DESC, strategy) AS place FROM strategies WHERE samples >= 10 AND average >= 0.5) t WHERE place = 1",
+    "r9_optimal_strategy": _PROMPT + "SELECT doc_type, strategy, samples, ROUND(average, 6) AS average, ROUND(least, 6) AS least, ROUND(most, 6) AS most FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_type ORDER BY ROUND(average, 9) DESC, strategy) AS place FROM strategies WHERE samples >= 10 AND average >= 0.7) t WHERE place = 1",
     "g28_prompt_summary": with_views("SELECT COUNT(DISTINCT doc_type) AS doc_types, COUNT(DISTINCT strategy) AS strategies, COUNT(*) AS samples, (SELECT strategy FROM prompt_runs GROUP BY strategy ORDER BY COUNT(*) DESC, strategy LIMIT 1) AS most_used FROM prompt_runs", "prompt_runs"),
     "d11_strategy_comparison": _PROMPT + "SELECT doc_type, ROUND(a, 6) AS average_a, ROUND(b, 6) AS average_b, CASE WHEN a >= b THEN 'detailed' ELSE 'concise' END AS winner, ROUND(LEAST(ABS(a - b) * 5, 1.0), 6) AS certainty, CASE WHEN LEAST(ABS(a - b) * 5, 1.0) > 0.8 THEN 'strong' WHEN LEAST(ABS(a - b) * 5, 1.0) > 0.5 THEN 'moderate' ELSE 'weak' END AS band FROM (SELECT doc_type, MAX(CASE WHEN strategy = 'detailed' THEN average END) AS a, MAX(CASE WHEN strategy = 'concise' THEN average END) AS b FROM strategies GROUP BY doc_type) t WHERE a IS NOT NULL AND b IS NOT NULL",
     "d12_prompt_advice": _PROMPT + ", per AS (SELECT doc_type, SUM(samples) AS samples, MAX(average) AS best, MIN(average) AS worst FROM strategies GROUP BY doc_type) SELECT doc_type, 'prefer the best strategy' AS advice FROM per WHERE best - worst > 0.2 UNION ALL SELECT doc_type, 'collect more samples' FROM per WHERE samples < 10 UNION ALL SELECT doc_type, 'improve the prompts' FROM per WHERE best < 0.7",

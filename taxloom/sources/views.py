@@ -121,7 +121,8 @@ FROM ({_LINES}) l"""
 _PROMPTS = """
 SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'fuel_receipt' WHEN 1 THEN 'tax_invoice' WHEN 2 THEN 'bank_statement' ELSE 'business_receipt' END AS doc_type,
   CASE event_type WHEN 'signup' THEN 'detailed' WHEN 'purchase' THEN 'step_by_step' WHEN 'view' THEN 'concise' WHEN 'click' THEN 'example_based' ELSE 'structured' END AS strategy,
-  CAST((event_id * 13 + user_id) % 101 AS DOUBLE) / 100 AS confidence, CAST((event_id * 7 + user_id * 3) % 101 AS DOUBLE) / 100 AS accuracy
+  CASE WHEN event_type IN ('signup', 'view') AND user_id % 4 < 3 THEN CAST((event_id * 13 + user_id) % 51 + 50 AS DOUBLE) / 100 ELSE CAST((event_id * 13 + user_id) % 101 AS DOUBLE) / 100 END AS confidence,
+  CASE WHEN event_type IN ('signup', 'view') AND user_id % 4 < 3 THEN CAST((event_id * 7 + user_id * 3) % 51 + 50 AS DOUBLE) / 100 ELSE CAST((event_id * 7 + user_id * 3) % 101 AS DOUBLE) / 100 END AS accuracy
 FROM events"""
 
 _HIGHLIGHTS = """
@@ -267,3 +268,33 @@ VIEWS["paper_highlights"] = "SELECT o_orderkey AS doc_id, CAST(s.ord AS BIGINT)
     "'Pump 9'",
     "'nothing'",
 ) + " AS text FROM orders CROSS JOIN (SELECT 0 AS ord UNION ALL SELECT 1 AS ord UNION ALL SELECT 2 AS ord) s WHERE (o_custkey + s.ord) % 2 = 0"
+
+
+#: What models answer when asked for a paper's type, and pieces of statements as they are recognised.
+VIEWS["answers"] = "SELECT o_orderkey AS doc_id, " + _pick(
+    "(o_orderkey + o_custkey)",
+    "'fuel_receipt'",
+    "'It is a Tax Invoice.'",
+    "'tax document, an invoice'",
+    "'Bank Statement'",
+    "'RECEIPT'",
+    "'invoice'",
+    "'from the bank'",
+    "'cannot tell'",
+    "'12.50 L of Diesel'",
+    "'012-345 12345678'",
+    "'petrol bill'",
+    "'Opening Balance 12'",
+    "'40 litres'",
+) + " AS text FROM orders"
+VIEWS["statement_readings"] = "SELECT user_id AS statement_id, event_id AS ord, " + _pick(
+    "event_id",
+    "'03/04/2024 Uber Trip $' || CAST(event_id % 900 + 10 AS STRING) || '.50 ref: U' || CAST(event_id AS STRING)",
+    "'7 Mar 2024 BP Fuel 1,234.00 balance 99.10'",
+    "'Account: ' || LPAD(CAST(user_id AS STRING), 8, '3') || ' 032-' || LPAD(CAST(event_id % 1000 AS STRING), 3, '0') || ' John Citizen Smith'",
+    "'Balance: $' || CAST(event_id % 9000 AS STRING) || '.25'",
+    "'--'",
+    "'Client lunch'",
+    "' x '",
+    "'12-05-24 Officeworks paper 45.95 reference INV-9'",
+) + " AS text FROM events"
