@@ -1,8 +1,9 @@
 """Highlights and text boxes on a page: scores, overlaps, neighbours and merged regions.
 
 highlights: image_id, ord, x, y, width, height, color, confidence; boxes:
-image_id, ord, x1, y1, x2, y2, text, confidence. Joins have the image as their
-only equality key: all pairs of a page's highlights and boxes are compared.
+image_id, ord, x1, y1, x2, y2, text, confidence. Joins are on the image and a
+grid cell: a box stands in the cell of its centre, a highlight in all cells
+that it reaches, so only what is near is compared.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 MAX_AREA, BEST_AREA = 50_000, 1_000
 RADIUS, NEIGHBOURS, MERGE_WITHIN = 100, 10, 10
+#: Side of a grid cell.
+CELL = 256
 COLOR_BONUS = {"yellow": 0.2, "green": 0.15, "pink": 0.1, "blue": 0.05}
 
 
@@ -62,24 +65,33 @@ def _overlap() -> tuple[Column, Column]:
     return touch, w * h
 
 
-def _pairs(highlights: DataFrame, boxes: DataFrame) -> DataFrame:
+def _centre() -> tuple[Column, Column]:
+    return F.floor((F.col("x1") + F.col("x2")) / 2), F.floor((F.col("y1") + F.col("y2")) / 2)
+
+
+def _pairs(highlights: DataFrame, boxes: DataFrame, reach: int, cell: int = CELL) -> DataFrame:
+    """Highlights and the boxes whose centre is at most `reach` outside them; some others may be among them."""
+    place = lambda c: F.floor(c / cell).cast("int")
+    over = lambda lo, size: F.explode(F.sequence(place(F.col(lo) - reach), place(F.col(lo) + F.col(size) + reach)))
     h = highlights.select("image_id", F.col("ord").alias("h_ord"), "x", "y", "width", "height")
-    b = boxes.select("image_id", F.col("ord").alias("b_ord"), "x1", "y1", "x2", "y2", "text", F.col("confidence").alias("b_confidence"))
-    return h.join(b, "image_id")
+    h = h.withColumn("gx", over("x", "width")).withColumn("gy", over("y", "height"))
+    cx, cy = _centre()
+    b = boxes.select("image_id", F.col("ord").alias("b_ord"), "x1", "y1", "x2", "y2", "text", F.col("confidence").alias("b_confidence"), place(cx).alias("gx"), place(cy).alias("gy"))
+    return h.join(b, ["image_id", "gx", "gy"]).drop("gx", "gy")
 
 
 def text_inside(highlights: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The first box of which more than half lies in a highlight, for each highlight that has one."""
+    """The first box of which more than half lies in a highlight, for each highlight that has one; such a box has its centre there."""
     touch, shared = _overlap()
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    rows = _pairs(highlights, boxes).filter(touch & (area > 0) & (shared > 0.5 * area))
+    rows = _pairs(highlights, boxes, 1).filter(touch & (area > 0) & (shared > 0.5 * area))
     return rows.groupBy("image_id", "h_ord").agg(F.min(F.struct("b_ord", "text")).alias("first")).select("image_id", "h_ord", F.col("first.text").alias("text"))
 
 
 def neighbours(highlights: DataFrame, boxes: DataFrame, radius: int = RADIUS, most: int = NEIGHBOURS) -> DataFrame:
     """The nearest boxes whose centre lies around a highlight that they do not touch, with where they lie."""
     touch, _ = _overlap()
-    cx, cy = F.floor((F.col("x1") + F.col("x2")) / 2), F.floor((F.col("y1") + F.col("y2")) / 2)
+    cx, cy = _centre()
     hx2, hy2 = F.col("x") + F.col("width"), F.col("y") + F.col("height")
     near = cx.between(F.greatest(F.col("x") - radius, F.lit(0)), hx2 + radius) & cy.between(F.greatest(F.col("y") - radius, F.lit(0)), hy2 + radius)
     hcx, hcy = F.floor(F.col("x") + F.col("width") / 2), F.floor(F.col("y") + F.col("height") / 2)
@@ -87,12 +99,33 @@ def neighbours(highlights: DataFrame, boxes: DataFrame, radius: int = RADIUS, mo
     side = F.when(cy < F.col("y"), "above").when(cy > hy2, "below").when(cx < F.col("x"), "left").when(cx > hx2, "right").otherwise("overlapping")
     h_share = F.greatest(F.least(hx2, F.col("x2")) - F.greatest(F.col("x"), F.col("x1")), F.lit(0)) / F.greatest("width", F.col("x2") - F.col("x1"))
     v_share = F.greatest(F.least(hy2, F.col("y2")) - F.greatest(F.col("y"), F.col("y1")), F.lit(0)) / F.greatest("height", F.col("y2") - F.col("y1"))
-    rows = _pairs(highlights, boxes).filter(~touch & near)
+    rows = _pairs(highlights, boxes, radius).filter(~touch & near)
     rows = rows.select("*", square.alias("square"), side.alias("side"), ((h_share + v_share) / 2).alias("alignment"))
     w = Window.partitionBy("image_id", "h_ord").orderBy("square", "b_ord")
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 
 
+def context(near: DataFrame, least: float = 0.3) -> DataFrame:
+    """What stands around each highlight, by side, of rows as neighbours returns them: sure texts, or the three nearest if none is."""
+    rows = near.select("image_id", "h_ord", F.struct("place", "side", "text", "b_confidence").alias("b"))
+    listed = rows.groupBy("image_id", "h_ord").agg(F.sort_array(F.collect_list("b")).alias("b"))  # at most `most` of neighbours
+    sure = F.filter("b", lambda b: b["b_confidence"] >= least)
+    kept = listed.withColumn("b", F.when(F.size(sure) > 0, sure).otherwise(F.slice("b", 1, 3)))
+
+    def part(side: str) -> Column:
+        own = F.transform(F.filter("b", lambda b: b["side"] == side), lambda b: b["text"])
+        return F.when(F.size(own) > 0, F.concat(F.lit(f"{side.upper()}: "), F.array_join(own, " ")))
+
+    return kept.select("image_id", "h_ord", F.concat_ws(" | ", *map(part, ("above", "left", "right", "below"))).alias("context"))
+
+
+def full_context(inside: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The text in a highlight and the one around it, as one line."""
+    rows = inside.join(contexts, ["image_id", "h_ord"], "full")
+    told = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c))
+    return rows.select("image_id", "h_ord", F.concat_ws(" | ", told("HIGHLIGHTED", F.col("text")), told("CONTEXT", F.col("context"))).alias("full_context"))
+
+
 def correlations(highlights: DataFrame, boxes: DataFrame) -> DataFrame:
     """How well each highlight goes with its text and neighbours, 1 at most."""
     area, box = F.col("width") * F.col("height"), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
@@ -120,12 +153,12 @@ def summary(highlights: DataFrame) -> DataFrame:
 
 
 def merged(highlights: DataFrame, within: int = MERGE_WITHIN) -> DataFrame:
-    """Regions from a greedy merge on each image: largest first, each free one near or over the seed joins it.
+    """Regions from a greedy merge on each image: largest first, each free one near or over the seed joins it; with the modal colour.
 
     A fold over the image's highlights, sorted by area and then by order; it
     stays inside the plan, and its work is bounded by one image's highlights.
     """
-    row = F.struct((-F.col("width") * F.col("height")).alias("rank"), "ord", "x", "y", (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"), "confidence", F.floor(F.col("x") + F.col("width") / 2).cast("int").alias("cx"), F.floor(F.col("y") + F.col("height") / 2).cast("int").alias("cy"))
+    row = F.struct((-F.col("width") * F.col("height")).alias("rank"), "ord", "x", "y", (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"), "confidence", "color", F.floor(F.col("x") + F.col("width") / 2).cast("int").alias("cx"), F.floor(F.col("y") + F.col("height") / 2).cast("int").alias("cy"))
     images = highlights.groupBy("image_id").agg(F.sort_array(F.collect_list(row)).alias("h"))
     kind = images.schema["h"].dataType.elementType.simpleString()
     empty = F.expr(f"cast(array() as array<{kind}>)")
@@ -140,4 +173,4 @@ def merged(highlights: DataFrame, within: int = MERGE_WITHIN) -> DataFrame:
     dealt = rows.select("image_id", "seeds", F.explode("h").alias("one"))
     place = F.array_min(F.filter(F.transform("seeds", lambda s, i: F.when(joins(s, F.col("one")), i)), lambda i: i.isNotNull()))
     groups = dealt.select("image_id", place.alias("region"), "one").groupBy("image_id", "region")
-    return groups.agg(F.count("*").alias("members"), F.min("one.x").alias("x"), F.min("one.y").alias("y"), F.max("one.x2").alias("x2"), F.max("one.y2").alias("y2"), F.sum(-F.col("one.rank")).alias("area"), F.avg("one.confidence").alias("confidence"))
+    return groups.agg(F.count("*").alias("members"), F.min("one.x").alias("x"), F.min("one.y").alias("y"), F.max("one.x2").alias("x2"), F.max("one.y2").alias("y2"), F.sum(-F.col("one.rank")).alias("area"), F.avg("one.confidence").alias("confidence"), F.mode("one.color", True).alias("color"))

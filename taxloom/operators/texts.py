@@ -116,18 +116,35 @@ def work_score(text: Column) -> Column:
     return F.struct(score.alias("score"), F.when(best["s"] > 0, best["c"]).alias("category"), words.alias("indicators"))
 
 
+def _two_of(words: Column) -> Column:
+    """Every two of the words, joined."""
+    return F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.concat(a, F.lit(" "), b))))
+
+
+def _parts_of(amount: Column) -> Column:
+    """Every part of an amount's text, marked as one."""
+    n = F.length(amount)
+    starts = F.sequence(F.lit(1), n)
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.concat(F.lit("="), F.substring(amount, i, k))))))
+
+
 def enhanced(txns: DataFrame, marks: DataFrame, by: str) -> DataFrame:
     """Transactions with the first highlight of the same statement that matches, and the score that it lifts.
 
-    A highlight matches if two words of the descriptions agree, or if it holds
-    the transaction's amount; `by` is the equality key of the join.
+    A highlight matches if two words of the descriptions agree, or if its
+    amount's text holds the transaction's. Both are equality joins within `by`,
+    and highlights are reduced to the first for each key before they are joined.
     """
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
+    words = lambda c: F.array_sort(F.array_distinct(F.split(F.lower(c), r"\s+")))
     left = txns.select(by, "ord", "description", "amount", "work_score")
-    right = marks.select(by, F.col("ord").alias("mark"), F.col("description").alias("marked"), F.col("amount").alias("marked_amount"), "color")
-    same = (F.size(F.array_intersect(words("description"), words("marked"))) >= 2) | F.coalesce(F.col("marked_amount").contains(F.col("amount")), F.lit(False))
-    first = left.join(right, by).filter(same).groupBy(by, "ord").agg(F.min(F.struct("mark", "color")).alias("m"))
-    out = left.join(first, [by, "ord"], "left")
+    first = F.min(F.struct(F.col("ord").alias("mark"), "color")).alias("m")
+    # What agrees becomes a key: two words of a description, or an amount and each part of a longer one that could be it.
+    told = marks.filter("description is not null").select(by, "ord", "color", F.explode(_two_of(words("description"))).alias("sign"))
+    shown = marks.filter("amount is not null").select(by, "ord", "color", F.explode(_parts_of(F.col("amount"))).alias("sign"))
+    signs = told.unionByName(shown).groupBy(by, "sign").agg(first)
+    asked = left.select(by, "ord", F.explode(F.concat(F.coalesce(_two_of(words("description")), F.expr("cast(array() as array<string>)")), F.array(F.concat(F.lit("="), F.col("amount"))))).alias("sign")).filter("sign is not null")
+    met = asked.join(signs, [by, "sign"]).groupBy(by, "ord").agg(F.min("m").alias("m"))
+    out = left.join(met, [by, "ord"], "left")
     lifted = F.when(F.col("m").isNotNull(), F.least(F.col("work_score") + 0.3, F.lit(1.0))).otherwise(F.col("work_score"))
     return out.select(by, "ord", "description", lifted.alias("work_score"), F.col("m").isNotNull().alias("highlighted"), F.col("m.color").alias("highlight_color"))
 

@@ -95,7 +95,7 @@ def primary_bank(spark, d):
 
 def cleaned_responses(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet")
-    return rows.select("conv_id", "turn", F.length(tx.cleanup(F.coalesce("text", F.lit("")))).alias("length"))
+    return rows.select("conv_id", "turn", F.sha2(tx.cleanup(F.coalesce("text", F.lit(""))), 256).alias("cleaned_sha256"))
 
 
 def line_items(spark, d):
@@ -112,8 +112,8 @@ def line_items(spark, d):
 def enhanced(spark, d):
     """Transactions of a statement against the highlights of the same statement."""
     t = view(spark, d, "bank_txns")
-    txns = t.filter("event_id % 2 = 0").select("statement_id", "ord", "description", F.col("cents").cast("string").alias("amount"), (F.col("event_id") % 90 / 100).alias("work_score"))
-    marks = t.filter("event_id % 50 = 1").select("statement_id", "ord", F.concat(F.col("description"), F.lit(" trip")).alias("description"), F.col("cents").cast("string").alias("amount"), F.when(F.col("event_id") % 3 == 0, "yellow").otherwise("green").alias("color"))
+    txns = t.select("statement_id", "ord", "description", F.col("cents").cast("string").alias("amount"), (F.col("event_id") % 90 / 100).alias("work_score"))
+    marks = view(spark, d, "statement_marks")
     out = tx.enhanced(txns, marks, "statement_id")
     return rounded(out.select("statement_id", "ord", "work_score", "highlighted", "highlight_color"), "work_score")
 
@@ -255,7 +255,7 @@ ORACLES = {
     "c12_primary_bank": with_views("", "receipts").rstrip() + f", low AS (SELECT doc_id, LOWER(text) AS low, {_CTX} AS ctx FROM receipts), m AS ({_BANKS}), s AS (SELECT *, ROUND(LEAST(0.6E0 + CASE WHEN long > 0 THEN 0.3E0 ELSE 0 END + CASE WHEN n > 1 THEN 0.1E0 ELSE 0 END + CASE WHEN ctx >= 3 THEN 0.2E0 WHEN ctx >= 1 THEN 0.1E0 ELSE 0 END, 1.0E0), 9) AS confidence FROM m WHERE n > 0), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) AS place FROM s) SELECT doc_id, bank, category, ROUND(confidence, 6) AS confidence FROM r WHERE place = 1 AND confidence >= 0.7",
     "c17_prompt_routes": with_views(f"SELECT doc_id, doc_type, {_ROUTE} AS prompt FROM receipts", "receipts"),
     "x7_line_items": "SELECT l_orderkey AS id, COUNT(*) AS items, CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(SUM(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY l_orderkey",
-    "j12_enhanced_transactions": with_views("", "bank_txns").rstrip() + ", a AS (SELECT statement_id, ord, description, CAST(cents AS VARCHAR) AS amount, CAST(event_id % 90 AS DOUBLE) / 100 AS work_score FROM bank_txns WHERE event_id % 2 = 0), b AS (SELECT statement_id, ord AS mark, description || ' trip' AS marked, CAST(cents AS VARCHAR) AS marked_amount, CASE WHEN event_id % 3 = 0 THEN 'yellow' ELSE 'green' END AS color FROM bank_txns WHERE event_id % 50 = 1), p AS (SELECT a.statement_id, a.ord, b.mark, b.color, ROW_NUMBER() OVER (PARTITION BY a.statement_id, a.ord ORDER BY b.mark) AS k FROM a JOIN b ON a.statement_id = b.statement_id WHERE LEN(LIST_INTERSECT(LIST_DISTINCT(STRING_SPLIT(LOWER(a.description), ' ')), LIST_DISTINCT(STRING_SPLIT(LOWER(b.marked), ' ')))) >= 2 OR CONTAINS(b.marked_amount, a.amount)) SELECT a.statement_id, a.ord, ROUND(CASE WHEN p.mark IS NOT NULL THEN LEAST(a.work_score + 0.3E0, 1.0E0) ELSE a.work_score END, 6) AS work_score, p.mark IS NOT NULL AS highlighted, p.color AS highlight_color FROM a LEFT JOIN p ON p.statement_id = a.statement_id AND p.ord = a.ord AND p.k = 1",
+    "j12_enhanced_transactions": with_views("", "bank_txns", "statement_marks").rstrip() + ", a AS (SELECT statement_id, ord, description, CAST(cents AS VARCHAR) AS amount, CAST(event_id % 90 AS DOUBLE) / 100 AS work_score FROM bank_txns), b AS (SELECT statement_id, ord AS mark, description AS marked, amount AS marked_amount, color FROM statement_marks), p AS (SELECT a.statement_id, a.ord, b.mark, b.color, ROW_NUMBER() OVER (PARTITION BY a.statement_id, a.ord ORDER BY b.mark) AS k FROM a JOIN b ON a.statement_id = b.statement_id WHERE LEN(LIST_INTERSECT(LIST_DISTINCT(STRING_SPLIT(LOWER(a.description), ' ')), LIST_DISTINCT(STRING_SPLIT(LOWER(b.marked), ' ')))) >= 2 OR CONTAINS(b.marked_amount, a.amount)) SELECT a.statement_id, a.ord, ROUND(CASE WHEN p.mark IS NOT NULL THEN LEAST(a.work_score + 0.3E0, 1.0E0) ELSE a.work_score END, 6) AS work_score, p.mark IS NOT NULL AS highlighted, p.color AS highlight_color FROM a LEFT JOIN p ON p.statement_id = a.statement_id AND p.ord = a.ord AND p.k = 1",
     "b5_work_scores": with_views("", "bank_txns").rstrip() + f", t AS (SELECT event_id, LOWER(description) AS d FROM bank_txns), k AS ({_KINDS}), best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY s DESC, ord) AS place FROM k) u WHERE place = 1) SELECT t.event_id, ROUND(LEAST(0.2E0 * ({' + '.join(f'CASE WHEN CONTAINS(d, {chr(39)}{w}{chr(39)}) THEN 1 ELSE 0 END' for w in tx.WORK_WORDS)}) + LEAST(s, 0.6E0), 1.0E0), 6) AS score, CASE WHEN s > 0 THEN category END AS category, CONCAT_WS(',', {', '.join(f'CASE WHEN CONTAINS(d, {chr(39)}{w}{chr(39)}) THEN {chr(39)}{w}{chr(39)} END' for w in tx.WORK_WORDS)}) AS indicators FROM t JOIN best ON best.event_id = t.event_id",
     "j2_business_recognition": with_views("", "receipts").rstrip() + f", low AS (SELECT doc_id AS id, LOWER(text) AS low FROM receipts), {_recognised('low')} SELECT best.id AS doc_id, known.name AS name, ROUND(confidence, 6) AS confidence, known.category AS category FROM best JOIN known ON known.biz = best.biz",
     "j3_keyword_lookup": with_views("", "extractions").rstrip() + f", {_REGISTRY}, f AS (SELECT word, MIN(biz) AS biz FROM kw GROUP BY word) SELECT e.model, e.doc_id, k.official AS name, k.industry AS industry, k.abn AS abn FROM extractions e JOIN f ON f.word = LOWER(e.value) JOIN known k ON k.biz = f.biz WHERE e.field = 'supplier_name'",

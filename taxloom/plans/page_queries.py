@@ -23,6 +23,11 @@ def neighbours(spark, d):
     return rounded(out, "alignment")
 
 
+def context(spark, d):
+    h, b = _page(spark, d)
+    return sp.full_context(sp.text_inside(h, b), sp.context(sp.neighbours(h, b)))
+
+
 def correlations(spark, d):
     return rounded(sp.correlations(*_page(spark, d)), "correlation")
 
@@ -47,12 +52,22 @@ _PAIRS = with_views("", "highlights", "ocr_boxes").rstrip() + """, pairs AS (SEL
  scores AS (SELECT h.image_id, h.ord AS h_ord, i.text, COALESCE(a.regions, 0) AS regions, LEAST((CASE WHEN i.text IS NOT NULL THEN 0.3E0 ELSE 0 END) + COALESCE(proximity * 0.4E0, 0) + COALESCE(aligned * 0.3E0, 0) + COALESCE(size * 0.2E0, 0) + COALESCE(quality * 0.1E0, 0), 1.0E0) AS correlation
   FROM highlights h LEFT JOIN inside i ON i.image_id = h.image_id AND i.h_ord = h.ord LEFT JOIN around a ON a.image_id = h.image_id AND a.h_ord = h.ord) """
 
+_JOINS = "((s.cx - {0}.cx) * (s.cx - {0}.cx) + (s.cy - {0}.cy) * (s.cy - {0}.cy) < 100 OR NOT (s.x2 < {0}.x OR {0}.x2 < s.x OR s.y2 < {0}.y OR {0}.y2 < s.y))"
+_MERGED = with_views("", "highlights").rstrip() + f""", e AS (SELECT image_id, {{'rank': -width * height, 'ord': ord, 'x': x, 'y': y, 'x2': x + width, 'y2': y + height, 'confidence': confidence, 'color': color, 'cx': CAST(FLOOR(x + width / 2.0) AS INT), 'cy': CAST(FLOOR(y + height / 2.0) AS INT)}} AS o FROM highlights),
+ img AS (SELECT image_id, LIST(o ORDER BY o) AS h FROM e GROUP BY image_id),
+ seeded AS (SELECT image_id, h, LIST_REDUCE(LIST_TRANSFORM(h, lambda o: [o]), lambda acc, n: CASE WHEN LEN(LIST_FILTER(acc, lambda s: {_JOINS.format('n[1]')})) > 0 THEN acc ELSE LIST_CONCAT(acc, n) END) AS seeds FROM img),
+ dealt AS (SELECT image_id, seeds, UNNEST(h) AS o FROM seeded),
+ placed AS (SELECT image_id, o, CAST(LIST_POSITION(LIST_TRANSFORM(seeds, lambda s: {_JOINS.format('o')}), TRUE) - 1 AS INT) AS region FROM dealt),
+ modal AS (SELECT image_id, region, color FROM (SELECT image_id, region, o.color AS color, ROW_NUMBER() OVER (PARTITION BY image_id, region ORDER BY COUNT(*) DESC, o.color) AS k FROM placed GROUP BY image_id, region, o.color) t WHERE k = 1)
+ SELECT p.image_id, p.region, COUNT(*) AS members, MIN(o.x) AS x, MIN(o.y) AS y, MAX(o.x2) AS x2, MAX(o.y2) AS y2, CAST(SUM(-o.rank) AS BIGINT) AS area, ROUND(AVG(o.confidence), 6) AS confidence, MIN(m.color) AS color FROM placed p JOIN modal m ON m.image_id = p.image_id AND m.region = p.region GROUP BY p.image_id, p.region"""
+
 QUERIES = {
     "b22_highlight_scores": scored,
     "b17_transaction_rows": lambda s, d: sp.transaction_rows(view(s, d, "highlights")).select("image_id", "ord", "x", "y", "width", "height"),
-    "b18_statement_highlights": lambda s, d: sp.statement_highlights(view(s, d, "highlights")).groupBy("color").agg(F.count("*").alias("n")),
+    "b18_statement_highlights": lambda s, d: sp.statement_highlights(view(s, d, "highlights")).select("image_id", "ord", "color"),
     "j9_text_inside": lambda s, d: sp.text_inside(*_page(s, d)),
     "j10_neighbours": neighbours,
+    "p23_context": context,
     "b28_correlations": correlations,
     "g26_correlation_report": report,
     "g20_highlight_summary": lambda s, d: rounded(sp.summary(view(s, d, "highlights")), "average_confidence"),
@@ -60,11 +75,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "b19_merged_regions": _MERGED,
     "b22_highlight_scores": with_views(f"SELECT image_id, ord, ROUND(score, 6) AS score, ROUND(bonus, 6) AS bonus FROM (SELECT image_id, ord, LEAST(GREATEST({_SCORE}, 0), 1) AS score, (CASE color WHEN 'yellow' THEN 0.2E0 WHEN 'green' THEN 0.15E0 WHEN 'pink' THEN 0.1E0 WHEN 'blue' THEN 0.05E0 ELSE 0 END) + (CASE WHEN confidence > 0.8 THEN 0.1E0 WHEN confidence > 0.6 THEN 0.05E0 ELSE 0 END) AS bonus FROM highlights) t WHERE ROUND(score, 9) >= 0.4", "highlights"),
     "b17_transaction_rows": with_views("SELECT image_id, ord, x, y, width, height FROM highlights WHERE width >= 200 AND height BETWEEN 20 AND 100 AND CAST(width AS DOUBLE) / height BETWEEN 3 AND 25 AND y >= 200 AND confidence >= 0.4", "highlights"),
-    "b18_statement_highlights": with_views("SELECT color, COUNT(*) AS n FROM highlights WHERE CAST(width AS DOUBLE) / height BETWEEN 1.5 AND 20 GROUP BY color", "highlights"),
+    "b18_statement_highlights": with_views("SELECT image_id, ord, color FROM highlights WHERE CAST(width AS DOUBLE) / height BETWEEN 1.5 AND 20", "highlights"),
     "j9_text_inside": _PAIRS + "SELECT image_id, h_ord, text FROM inside",
     "j10_neighbours": _PAIRS + "SELECT image_id, h_ord, b_ord, side, ROUND(alignment, 6) AS alignment, place FROM near WHERE place <= 10",
+    "p23_context": _PAIRS + ", n AS (SELECT image_id, h_ord, place, side, text, bc AS b_confidence, MAX(CASE WHEN bc >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, h_ord) AS any_sure FROM near WHERE place <= 10), k AS (SELECT * FROM n WHERE b_confidence >= 0.3 OR (any_sure = 0 AND place <= 3)), s AS (SELECT image_id, h_ord, side, UPPER(side) || ': ' || STRING_AGG(text, ' ' ORDER BY place) AS part FROM k GROUP BY image_id, h_ord, side), c AS (SELECT image_id, h_ord, STRING_AGG(part, ' | ' ORDER BY CASE side WHEN 'above' THEN 0 WHEN 'left' THEN 1 WHEN 'right' THEN 2 ELSE 3 END) FILTER (side <> 'overlapping') AS context FROM s GROUP BY image_id, h_ord) SELECT COALESCE(i.image_id, c.image_id) AS image_id, COALESCE(i.h_ord, c.h_ord) AS h_ord, CONCAT_WS(' | ', CASE WHEN i.text <> '' THEN 'HIGHLIGHTED: ' || i.text END, CASE WHEN c.context <> '' THEN 'CONTEXT: ' || c.context END) AS full_context FROM inside i FULL JOIN c ON c.image_id = i.image_id AND c.h_ord = i.h_ord",
     "b28_correlations": _PAIRS + "SELECT image_id, h_ord, text, regions, ROUND(correlation, 6) AS correlation FROM scores",
     "g26_correlation_report": _PAIRS + "SELECT COUNT(*) AS n, COUNT(CASE WHEN correlation > 0.7 THEN 1 END) AS high, COUNT(CASE WHEN correlation BETWEEN 0.4 AND 0.7 THEN 1 END) AS medium, COUNT(CASE WHEN correlation < 0.4 THEN 1 END) AS low, ROUND(AVG(correlation), 6) AS average, COUNT(text) AS with_text FROM scores",
     "g20_highlight_summary": with_views("SELECT NULL AS color, COUNT(*) AS n, COUNT(CASE WHEN confidence >= 0.6 THEN 1 END) AS confident, ROUND(AVG(confidence), 6) AS average_confidence FROM highlights UNION ALL SELECT color, COUNT(*), COUNT(CASE WHEN confidence >= 0.6 THEN 1 END), ROUND(AVG(confidence), 6) FROM highlights GROUP BY color", "highlights"),

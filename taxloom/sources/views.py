@@ -298,3 +298,5 @@ VIEWS["statement_readings"] = "SELECT user_id AS statement_id, event_id AS ord,
     "' x '",
     "'12-05-24 Officeworks paper 45.95 reference INV-9'",
 ) + " AS text FROM events"
+#: Highlights of statements: what a marker left of the orders of the same customer.
+VIEWS["statement_marks"] = "SELECT o_custkey AS statement_id, o_orderkey AS ord, " + _pick("(o_orderkey + o_custkey)", "'uber trip home'", "'Wilson Parking Flinders'", "'Telstra Phone'", "'bank'", "'Hotel bill Sydney'") + f" AS description, CAST(CAST(ROUND(o_totalprice * 100) AS BIGINT) AS STRING) AS amount, CASE WHEN o_orderkey % 3 = 0 THEN 'yellow' ELSE 'green' END AS color FROM orders"
