@@ -9,6 +9,7 @@ by rank. Verified words are kept in a bounded cache while a task lasts.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from array import array
@@ -26,7 +27,7 @@ from taxloom.llm.shared import batched
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stretches in one of the two generations of a task's cache, and their characters.
 CACHED_WORDS, CACHED_CHARS = 150_000, 16 << 20
-_CHUNK = 2 << 20
+_CHUNK = 4 << 20
 #: Longest words that are merged side by side, and how many of them at a time.
 _SHORT, _SIDE_BY_SIDE = 40, 2048
 _NEVER = 1 << 60
@@ -122,9 +123,15 @@ class Bpe:
         return ok
 
     def propose(self, word: bytes) -> list[int]:
-        out, at, n, get, reach = [], 0, len(word), self.id_of.get, self.reach.get
+        """Greedy longest match."""
+        get = self.id_of.get
+        if (t := get(word)) is not None:
+            return [t]
+        out, at, n, reach = [], 0, len(word), self.reach.get
         while at < n:
-            end = min(n, at + reach(word[at : at + 3], 2))
+            end = at + reach(word[at : at + 3], 2)
+            if end > n:
+                end = n
             while (t := get(word[at:end])) is None:
                 end -= 1
             out.append(t)
@@ -243,20 +250,22 @@ class Bpe:
             caches[:] = [{}, caches[0]]
             self.weight[lead] = 0
         cache, older = caches
-        spans, words = [], {}
-        for part in need - cache.keys():
-            self.weight[lead] += len(part)
-            if part in older:
-                cache[part] = older[part]
-            elif not part or part[0].isspace() or part[-1].isspace():
-                cache[part] = None
-            else:
-                pieces = [p.encode() for p in self.pattern.findall(lead + part)]
-                spans.append((part, pieces))
-                words.update(dict.fromkeys(pieces))
-        ids = {w: array("I", i).tobytes() for w, i in zip(words, self.encode_words(list(words)), strict=True)}
-        for part, pieces in spans:
-            cache[part] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
+        new = need - cache.keys()
+        self.weight[lead] += sum(map(len, new))
+        again = new & older.keys()
+        cache.update((part, older[part]) for part in again)
+        new -= again
+        # Letters only are one piece; all else is for the pattern to cut.
+        plain = [part for part in new if part.isalpha()]
+        mixed = [(part, None if not part or part[0].isspace() or part[-1].isspace() else [p.encode() for p in self.pattern.findall(lead + part)]) for part in new.difference(plain)]
+        words = dict.fromkeys((lead + part).encode() for part in plain)
+        for _, pieces in mixed:
+            words.update(dict.fromkeys(pieces or ()))
+        ids = dict(zip(words, self.encode_words(list(words)), strict=True))
+        for part in plain:
+            cache[part] = array("I", ids[(lead + part).encode()]).tobytes()
+        for part, pieces in mixed:
+            cache[part] = None if pieces is None else array("I", [t for p in pieces for t in ids[p]]).tobytes()
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without added tokens, by whole-text pre-tokenization."""
@@ -276,7 +285,20 @@ class Bpe:
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit integers."""
+        """Ids of every text as little-endian unsigned 32-bit integers.
+
+        Nothing here refers to itself, so the search for such garbage, which
+        would go through all caches again and again, rests meanwhile.
+        """
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         special = [any(a in t for a in self.added) for t in texts]
         parts = [None if s else t.split(" ") for t, s in zip(texts, special, strict=True)]
         need: set[str] = set()

@@ -79,7 +79,14 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        """Drops the tables, and lets Spark drop what their queries left in the executors' memory.
+
+        Broadcasts of finished queries, file readers' settings among them, stay
+        there until the driver's JVM has collected what refers to them, which
+        Spark itself sees to every half hour (spark.cleaner.periodicGC.interval).
+        """
         remove(self.spark, self.folder)
+        self.spark.sparkContext._jvm.System.gc()
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
