@@ -26,8 +26,8 @@ from taxloom.llm.shared import batched
 #: Fixed: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stretches in one of the two generations of a task's cache, and their characters.
-CACHED_WORDS, CACHED_CHARS = 150_000, 16 << 20
-_CHUNK = 4 << 20
+CACHED_WORDS, CACHED_CHARS = 100_000, 8 << 20
+_CHUNK = 2 << 20
 #: Longest words that are merged side by side, and how many of them at a time.
 _SHORT, _SIDE_BY_SIDE = 40, 2048
 _NEVER = 1 << 60

@@ -48,11 +48,21 @@ def _shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Rows of one batch of the Parquet reader, and bytes of a row group: texts and sets of shingles are long rows.
+READ_ROWS, ROW_GROUP = 256, 16 << 20
+
+
+def _read_few_rows_at_a_time(spark: SparkSession) -> None:
+    """A column's batch is one array in the heap; 4,096 long rows make it a huge one. A setting of the session, since Spark reads it when a query runs."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+
+
 def write(df: DataFrame, path: str) -> DataFrame:
     """df as Parquet under `path`, read back."""
     spark = df.sparkSession
+    _read_few_rows_at_a_time(spark)
     with _shuffles_end_with_their_query(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -161,7 +171,7 @@ def importable(spark: SparkSession) -> None:
 
 
 #: Bytes of one Arrow batch; a batch is held by the JVM and, as arrays and lists, by its Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _hand_back() -> None:
@@ -182,6 +192,7 @@ def streamed(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             _hand_back()
 
     importable(df.sparkSession)
+    _read_few_rows_at_a_time(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
