@@ -79,3 +79,29 @@ def classify(docs: DataFrame) -> DataFrame:
     """Adds predicted (the best type, `other` below 0.3; the first type on a tie) and its score."""
     rows = scored(docs).withColumn("best", F.array_max("scores")).drop("scores")
     return rows.withColumns({"predicted": F.when(F.col("best.score") < 0.3, "other").otherwise(F.col("best.type")), "score": F.col("best.score")}).drop("best")
+
+
+def evidence(docs: DataFrame) -> DataFrame:
+    """classify's columns with evidence (why, for the best type), confident and production_ready.
+
+    Evidence is the three heaviest words, the number of layout signs, and the
+    first two business names. A type below 0.3 has no evidence but that.
+    """
+    low = F.lower("text")
+    rows = classify(docs)
+    words, shapes = None, None
+    for kind, own in KEYWORDS.items():
+        table = F.array(*[F.struct(F.lit(-keyword_weight(w)).alias("weight"), F.lit(k).alias("place"), F.lit(w).alias("word")) for k, w in enumerate(own)]) if own else None
+        hits = F.transform(F.slice(F.array_sort(F.filter(table, lambda t: low.contains(t["word"]))), 1, 3), lambda t: t["word"]) if own else F.expr("cast(array() as array<string>)")
+        shown = sum((_shows(low, p).cast("int") for p in FORMATS.get(kind, [])), F.lit(0))
+        words = F.when(F.col("predicted") == kind, hits) if words is None else words.when(F.col("predicted") == kind, hits)
+        shapes = F.when(F.col("predicted") == kind, shown) if shapes is None else shapes.when(F.col("predicted") == kind, shown)
+    rows = rows.withColumns({"words": words, "shapes": shapes, "names": F.slice(F.filter(F.array(*map(F.lit, BUSINESSES)), lambda b: low.contains(b)), 1, 2)})
+    why = F.array(
+        F.when(F.size("words") > 0, F.concat(F.lit("Keywords: "), F.array_join("words", ", "))),
+        F.when(F.col("shapes") > 0, F.concat(F.lit("Format patterns: "), F.col("shapes").cast("string"))),
+        F.when(F.size("names") > 0, F.concat(F.lit("Australian businesses: "), F.array_join(F.transform("names", lambda b: F.concat(b, F.lit(" (0.80)"))), ", "))),
+    )
+    told = F.when(F.col("score") < 0.3, F.array(F.lit("Low confidence classification"))).otherwise(F.filter(why, lambda w: w.isNotNull()))
+    ready = (F.col("score") >= 0.8) & ~F.col("predicted").isin("unknown", "other")
+    return rows.withColumns({"evidence": told, "confident": F.col("score") >= 0.7, "production_ready": ready}).drop("words", "shapes", "names")

@@ -6,7 +6,7 @@ see as many rows as there are models.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of the ranks in the overall score.
@@ -78,3 +78,17 @@ def recommendations(models: DataFrame) -> DataFrame:
         F.when(F.col("average_f1") < 0.8, "low F1 score"),
     )
     return models.select("model", F.explode(F.filter(advice, lambda x: x.isNotNull())).alias("advice"))
+
+
+def metric_winners(models: DataFrame, a: str, b: str) -> DataFrame:
+    """metric, a, b and winner of two models' figures; less is better for processing_time."""
+    names = [c for c in models.columns if c != "model"]
+    each = models.select("model", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select("model", "m.*")
+    pick = lambda name: F.max(F.when(F.col("model") == name, F.col("value")))
+    rows = each.groupBy("metric").agg(pick(a).alias("a"), pick(b).alias("b"))
+    first = (F.col("metric") == "processing_time") == (F.col("a") < F.col("b"))
+    return rows.withColumn("winner", F.when(F.col("a") == F.col("b"), "tie").when(first, a).otherwise(b))
+
+
+def production_grade(rate: Column) -> Column:
+    return F.when(rate >= 0.9, "excellent").when(rate >= 0.7, "good").when(rate >= 0.5, "fair").otherwise("poor")

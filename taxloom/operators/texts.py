@@ -334,3 +334,40 @@ def bank_ranges(name: Column) -> Column:
         hit = F.lit(bank.lower()).contains(low) | _any(low, [n.lower() for n in BANK_NAMES[bank]])
         out = F.when(hit, ranges) if out is None else out.when(hit, ranges)
     return out.otherwise("")
+
+
+#: What the content of a highlight is, by the first list of which a word occurs.
+CONTENTS = {
+    "transaction": ["$", "debit", "credit", "payment"],
+    "account_info": ["account", "bsb", "balance"],
+    "header": ["statement", "period", "from", "to"],
+}
+FUEL_WORDS = ["costco", "ulp", "unleaded", "diesel", "litre", "fuel", "petrol"]
+#: Transactions with a balance, wherever they stand; a pump, a place and an odometer.
+BALANCED = r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\s+(.+?)\s+\$?(\d+(?:\.\d{2})?)\s+\$?(\d+(?:\.\d{2})?)"
+FUEL_DETAILS = {"pump_number": r"(?i)pump\s+(\d+)", "location": r"(?i)location[:\s]+(.+?)(?:\n|$)", "odometer": r"(?i)odometer[:\s]+(\d+)"}
+
+
+def content(text: Column) -> Column:
+    """What a highlight holds; without a word that tells, an amount makes it a transaction."""
+    low = F.lower(text)
+    out = F.when(F.coalesce(text, F.lit("")) == "", "unknown")
+    for kind, words in CONTENTS.items():
+        out = out.when(_any(low, words), kind)
+    return out.when(low.rlike(r"\d+\.\d{2}"), "transaction").otherwise("unknown")
+
+
+def fuel_after_all(answer: Column) -> Column:
+    """Whether an answer that says tax invoice tells of fuel."""
+    return _any(F.lower(answer), FUEL_WORDS)
+
+
+def balanced_transactions(texts: DataFrame) -> DataFrame:
+    """id, nth, date, description, amount and balance of all transactions of a text, several on a line included."""
+    part = lambda k: _all(F.col("text"), BALANCED, k)
+    rows = texts.select("id", F.posexplode(F.arrays_zip(*[part(k).alias(n) for k, n in ((1, "date"), (2, "description"), (3, "amount"), (4, "balance"))])).alias("nth", "t"))
+    return rows.select("id", "nth", "t.date", F.trim("t.description").alias("description"), "t.amount", "t.balance")
+
+
+def fuel_details(text: Column) -> Column:
+    return F.struct(*[F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")).alias(k) for k, p in FUEL_DETAILS.items()])

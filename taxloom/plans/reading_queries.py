@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from taxloom.operators import banking, batch, spatial
+from taxloom.operators import classification as cl
+from taxloom.operators import comparison as cmp
 from taxloom.operators import evaluation as ev
 from taxloom.operators import fallback as fb
 from taxloom.operators import texts as tx
+from taxloom.plans.document_queries import _CLASS
 from taxloom.plans.handler_queries import _q
+from taxloom.plans.page_queries import _PAIRS
 from taxloom.plans.result_queries import rounded
 from taxloom.sources.views import view, with_views
 
@@ -75,6 +81,68 @@ def ranked_with_benchmark(spark, d):
     return rounded(rank.join(bench, "model", "left"), "confidence", "average_f1", "success_rate")
 
 
+def evidence(spark, d):
+    rows = cl.evidence(view(spark, d, "receipts"))
+    return rows.select("doc_id", "predicted", F.array_join("evidence", "; ").alias("evidence"), "confident", "production_ready")
+
+
+def highlight_contents(spark, d):
+    rows = view(spark, d, "statement_readings")
+    return rows.select("ord", tx.content(F.col("text")).alias("content"), tx.fuel_after_all(F.col("text")).alias("fuel"))
+
+
+def balanced_transactions(spark, d):
+    """Statement readings two on a line, each with a balance behind it, read back."""
+    line = lambda c: F.concat("date", F.lit(" "), "description", F.lit(" $"), c, F.lit(" "), F.lit("1"), c)
+    cents = F.concat(F.pmod("cents", F.lit(977)).cast("string"), F.lit(".25"))
+    rows = view(spark, d, "bank_txns").select(F.col("event_id").alias("id"), F.concat(line(cents), F.lit(" ; "), line(cents), F.lit("\n"), F.lit("end")).alias("text"))
+    return tx.balanced_transactions(rows)
+
+
+def fuel_details(spark, d):
+    rows = view(spark, d, "papers").filter("doc_type = 'fuel_receipt'")
+    return rows.select("doc_id", tx.fuel_details(F.concat("text", F.lit("\nLocation: Depot "), F.col("doc_id").cast("string"))).alias("d")).select("doc_id", "d.*")
+
+
+def metric_winners(spark, d):
+    """Which of two models does better on each document's figures."""
+    rows = view(spark, d, "results").groupBy("model").agg(F.avg("confidence_score").alias("confidence_score"), F.avg("processing_time").alias("processing_time"), F.avg("ato_compliance_score").alias("ato_compliance_score"), F.avg(F.col("production_ready").cast("int")).alias("production_ready"))
+    return rounded(cmp.metric_winners(rows, "internvl3", "llama32_vision"), "a", "b")
+
+
+def model_grades(spark, d):
+    return batch.dataset_metrics(view(spark, d, "results")).select("model", cmp.production_grade(F.col("production_ready_rate")).alias("grade"))
+
+
+def ordered_expenses(spark, d):
+    """Work expenses without duplicates in the order of their confidence."""
+    t = view(spark, d, "bank_txns").withColumn("amount", F.col("cents") / 100).drop("confidence")
+    out = banking.deduplicated(banking.categorized(t), ["statement_id"])
+    place = F.row_number().over(Window.partitionBy("statement_id").orderBy(F.desc(F.round("confidence", 9)), "ord"))
+    return out.select("statement_id", "ord", "category", place.alias("place"))
+
+
+def submission_order(spark, d):
+    """Results with the place at which they were asked for, among those of their model."""
+    w = Window.partitionBy("model").orderBy("position")
+    return view(spark, d, "results").select("model", "doc_id", "success", F.row_number().over(w).alias("place"))
+
+
+def rows_from_the_top(spark, d):
+    """Transaction rows of each page from top to bottom, and where they stand on a page of 1000 by 1000."""
+    rows = spatial.transaction_rows(view(spark, d, "highlights"))
+    w = Window.partitionBy("image_id").orderBy("y", "ord")
+    part = lambda c: (F.col(c) / 1000).alias(f"relative_{c}")
+    return rows.select("image_id", "ord", F.row_number().over(w).alias("place"), *map(part, ("x", "y", "width", "height")))
+
+
+def ordered_correlations(spark, d):
+    """The highlights of each page in the order of how well they go with their text."""
+    rows = spatial.correlations(view(spark, d, "highlights"), view(spark, d, "ocr_boxes"))
+    w = Window.partitionBy("image_id").orderBy(F.desc(F.round("correlation", 9)), "h_ord")
+    return rows.select("image_id", "h_ord", F.row_number().over(w).alias("place"))
+
+
 _WRITTEN = ["ANZ Bank", "anz", "Commonwealth Bank of Australia", "CBA Sydney", "WBC", "Westpac Banking Corporation", "NAB", "National Australia Bank Ltd", "ING Direct", "Macquarie", "Bendigo", "suncorp", "BOQ", "Bank of Queensland", "HSBC", "Citi", "Citibank Australia", "Local Credit Union", "Bank"]
 
 QUERIES = {
@@ -90,6 +158,16 @@ QUERIES = {
     "g17_benchmark_overall": benchmark_overall,
     "r2_benchmark_summary": benchmark_summary,
     "j15_ranking_with_benchmark": ranked_with_benchmark,
+    "c3_evidence": evidence,
+    "c16_highlight_contents": highlight_contents,
+    "x8_balanced_transactions": balanced_transactions,
+    "x9_fuel_details": fuel_details,
+    "j14_metric_winners": metric_winners,
+    "d5_model_grades": model_grades,
+    "r3_ordered_expenses": ordered_expenses,
+    "r8_submission_order": submission_order,
+    "r6_rows_from_the_top": rows_from_the_top,
+    "r12_ordered_correlations": ordered_correlations,
 }
 
 
@@ -160,3 +238,22 @@ ORACLES = {
     "r2_benchmark_summary": with_views("SELECT COUNT(*) AS num_models, ROUND(MAX(f), 6) AS best_f1_score, ROUND(MIN(f), 6) AS worst_f1_score, ROUND(AVG(f), 6) AS average_f1_score, ROUND(MIN(t), 6) AS fastest_avg_time, ROUND(MAX(t), 6) AS slowest_avg_time FROM (SELECT model, AVG(CASE WHEN success THEN f1_score END) AS f, AVG(CASE WHEN success THEN processing_time END) AS t FROM results GROUP BY model) m", "results"),
     "j15_ranking_with_benchmark": with_views("SELECT model, ROUND(c, 6) AS confidence, ROUND(CASE WHEN s > 0.91 THEN f END, 6) AS average_f1, ROUND(CASE WHEN s > 0.91 THEN s END, 6) AS success_rate FROM (SELECT model, AVG(confidence_score) AS c, AVG(CASE WHEN success THEN f1_score END) AS f, AVG(CASE WHEN success THEN 1.0E0 ELSE 0.0E0 END) AS s FROM results GROUP BY model) m", "results"),
 }
+
+_TOP3 = "CASE predicted " + " ".join(f"WHEN '{k}' THEN ARRAY_TO_STRING(LIST_TRANSFORM(LIST_SORT(LIST_FILTER([" + ", ".join(f"{{'w': {-cl.keyword_weight(w)}, 'k': {j}, 't': {_q(w)}}}" for j, w in enumerate(ws)) + "], lambda t: CONTAINS(low, t.t)))[1:3], lambda t: t.t), ', ')" for k, ws in cl.KEYWORDS.items() if ws) + " ELSE '' END"
+_SHOWN = "CASE predicted " + " ".join(f"WHEN '{k}' THEN " + " + ".join(f"CASE WHEN REGEXP_MATCHES(low, {_q(p)}) THEN 1 ELSE 0 END" for p in ps) for k, ps in cl.FORMATS.items()) + " ELSE 0 END"
+_NAMED = "ARRAY_TO_STRING(LIST_TRANSFORM(LIST_FILTER([" + ", ".join(map(_q, cl.BUSINESSES)) + "], lambda b: CONTAINS(low, b))[1:2], lambda b: b || ' (0.80)'), ', ')"
+_CONTENT = "CASE WHEN COALESCE(text, '') = '' THEN 'unknown' " + " ".join(f"WHEN {_any('LOWER(text)', ws)} THEN '{k}'" for k, ws in tx.CONTENTS.items()) + " WHEN REGEXP_MATCHES(text, '[0-9]+\\.[0-9]{2}') THEN 'transaction' ELSE 'unknown' END"
+_METRICS = {"confidence_score": "confidence_score", "processing_time": "processing_time", "ato_compliance_score": "ato_compliance_score", "production_ready": "CASE WHEN production_ready THEN 1.0E0 ELSE 0.0E0 END"}
+_MEANS = "m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS metric, AVG(CASE WHEN model = 'internvl3' THEN {e} END) AS a, AVG(CASE WHEN model = 'llama32_vision' THEN {e} END) AS b FROM results" for k, e in _METRICS.items()) + ")"
+_TEXT = "date || ' ' || description || ' $' || c || ' 1' || c || ' ; ' || date || ' ' || description || ' $' || c || ' 1' || c"
+ORACLES |= {
+    "c3_evidence": _CLASS.rstrip() + f", e AS (SELECT p.*, low FROM predicted p JOIN low ON low.doc_id = p.doc_id), w AS (SELECT *, {_TOP3} AS words, {_SHOWN} AS shown, {_NAMED} AS names FROM e) SELECT doc_id, predicted, CASE WHEN score < 0.3 THEN 'Low confidence classification' ELSE CONCAT_WS('; ', CASE WHEN words <> '' THEN 'Keywords: ' || words END, CASE WHEN shown > 0 THEN 'Format patterns: ' || CAST(shown AS VARCHAR) END, CASE WHEN names <> '' THEN 'Australian businesses: ' || names END) END AS evidence, score >= 0.7 AS confident, score >= 0.8 AND predicted NOT IN ('unknown', 'other') AS production_ready FROM w",
+    "c16_highlight_contents": with_views(f"SELECT ord, {_CONTENT} AS content, {_any('LOWER(text)', tx.FUEL_WORDS)} AS fuel FROM statement_readings", "statement_readings"),
+    "x8_balanced_transactions": with_views(f"SELECT id, CAST(nth AS INT) AS nth, date, description, c AS amount, '1' || c AS balance FROM (SELECT event_id AS id, date, TRIM(description) AS description, CAST(((cents % 977) + 977) % 977 AS VARCHAR) || '.25' AS c FROM bank_txns) t CROSS JOIN (SELECT 0 AS nth UNION ALL SELECT 1) n", "bank_txns"),
+    "x9_fuel_details": with_views("SELECT doc_id, NULLIF(REGEXP_EXTRACT(text, '(?i)pump\\s+([0-9]+)', 1), '') AS pump_number, 'Depot ' || CAST(doc_id AS VARCHAR) AS location, NULLIF(REGEXP_EXTRACT(text, '(?i)odometer[:\\s]+([0-9]+)', 1), '') AS odometer FROM papers WHERE doc_type = 'fuel_receipt'", "papers"),
+    "j14_metric_winners": with_views("", "results").rstrip() + f", {_MEANS} SELECT metric, ROUND(a, 6) AS a, ROUND(b, 6) AS b, CASE WHEN a = b THEN 'tie' WHEN (metric = 'processing_time') = (a < b) THEN 'internvl3' ELSE 'llama32_vision' END AS winner FROM m",
+    "d5_model_grades": with_views("SELECT model, CASE WHEN r >= 0.9 THEN 'excellent' WHEN r >= 0.7 THEN 'good' WHEN r >= 0.5 THEN 'fair' ELSE 'poor' END AS grade FROM (SELECT model, AVG(CASE WHEN success THEN CASE WHEN production_ready THEN 1.0E0 ELSE 0.0E0 END END) AS r FROM results GROUP BY model) m", "results"),
+    "r8_submission_order": with_views("SELECT model, doc_id, success, CAST(ROW_NUMBER() OVER (PARTITION BY model ORDER BY position) AS INT) AS place FROM results", "results"),
+    "r6_rows_from_the_top": with_views("SELECT image_id, ord, CAST(ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY y, ord) AS INT) AS place, CAST(x AS DOUBLE) / 1000 AS relative_x, CAST(y AS DOUBLE) / 1000 AS relative_y, CAST(width AS DOUBLE) / 1000 AS relative_width, CAST(height AS DOUBLE) / 1000 AS relative_height FROM highlights WHERE width >= 200 AND height BETWEEN 20 AND 100 AND CAST(width AS DOUBLE) / height BETWEEN 3 AND 25 AND y >= 200 AND confidence >= 0.4", "highlights"),
+    "r12_ordered_correlations": _PAIRS + "SELECT image_id, h_ord, CAST(ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY ROUND(correlation, 9) DESC, h_ord) AS INT) AS place FROM scores",
+}
