@@ -11,6 +11,7 @@ from taxloom.operators import comparison as cmp
 from taxloom.operators import evaluation as ev
 from taxloom.operators import fallback as fb
 from taxloom.operators import texts as tx
+from taxloom.plans.bank_queries import _EXP
 from taxloom.plans.document_queries import _CLASS
 from taxloom.plans.handler_queries import _q
 from taxloom.plans.page_queries import _PAIRS
@@ -253,6 +254,7 @@ ORACLES |= {
     "x9_fuel_details": with_views("SELECT doc_id, NULLIF(REGEXP_EXTRACT(text, '(?i)pump\\s+([0-9]+)', 1), '') AS pump_number, 'Depot ' || CAST(doc_id AS VARCHAR) AS location, NULLIF(REGEXP_EXTRACT(text, '(?i)odometer[:\\s]+([0-9]+)', 1), '') AS odometer FROM papers WHERE doc_type = 'fuel_receipt'", "papers"),
     "j14_metric_winners": with_views("", "results").rstrip() + f", {_MEANS} SELECT metric, ROUND(a, 6) AS a, ROUND(b, 6) AS b, CASE WHEN a = b THEN 'tie' WHEN (metric = 'processing_time') = (a < b) THEN 'internvl3' ELSE 'llama32_vision' END AS winner FROM m",
     "d5_model_grades": with_views("SELECT model, CASE WHEN r >= 0.9 THEN 'excellent' WHEN r >= 0.7 THEN 'good' WHEN r >= 0.5 THEN 'fair' ELSE 'poor' END AS grade FROM (SELECT model, AVG(CASE WHEN success THEN CASE WHEN production_ready THEN 1.0E0 ELSE 0.0E0 END END) AS r FROM results GROUP BY model) m", "results"),
+    "r3_ordered_expenses": _EXP + "SELECT statement_id, ord, category, CAST(ROW_NUMBER() OVER (PARTITION BY statement_id ORDER BY ROUND(confidence, 9) DESC, ord) AS INT) AS place FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY statement_id, date, SUBSTR(description, 1, 20), ABS(amount) ORDER BY ord) AS copy FROM expenses) u WHERE copy = 1",
     "r8_submission_order": with_views("SELECT model, doc_id, success, CAST(ROW_NUMBER() OVER (PARTITION BY model ORDER BY position) AS INT) AS place FROM results", "results"),
     "r6_rows_from_the_top": with_views("SELECT image_id, ord, CAST(ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY y, ord) AS INT) AS place, CAST(x AS DOUBLE) / 1000 AS relative_x, CAST(y AS DOUBLE) / 1000 AS relative_y, CAST(width AS DOUBLE) / 1000 AS relative_width, CAST(height AS DOUBLE) / 1000 AS relative_height FROM highlights WHERE width >= 200 AND height BETWEEN 20 AND 100 AND CAST(width AS DOUBLE) / height BETWEEN 3 AND 25 AND y >= 200 AND confidence >= 0.4", "highlights"),
     "r12_ordered_correlations": _PAIRS + "SELECT image_id, h_ord, CAST(ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY ROUND(correlation, 9) DESC, h_ord) AS INT) AS place FROM scores",
