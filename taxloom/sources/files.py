@@ -46,6 +46,29 @@ def write_report(results: DataFrame, summary: DataFrame, folder: str) -> None:
     summary.write.mode("overwrite").json(f"{folder}/analysis")
 
 
+def simple_images(spark: SparkSession, folder: str, first: int) -> DataFrame:
+    """The first images of a folder: all .jpg before all .png, each by path."""
+    found = images(spark, folder, pattern="*.{jpg,png}")
+    return found.orderBy(F.col("path").endswith(".png"), "path").limit(first)
+
+
+def write_list(results: DataFrame, folder: str) -> None:
+    """All results as JSON lines with the export's columns; failed ones have nulls."""
+    results.select(*EXPORT).write.mode("overwrite").json(folder)
+
+
+def as_json(results: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id_col and `document`: each result as one JSON object, nulls included."""
+    return results.select(id_col, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_comparison(ranking: DataFrame, pairs: DataFrame, folder: str) -> None:
+    """One JSON document with the ranking of the models and their differences; there are few models."""
+    rows = lambda df, name: df.agg(F.collect_list(F.struct("*")).alias(name))
+    both = rows(ranking, "ranking").join(F.broadcast(rows(pairs, "differences")))
+    both.coalesce(1).write.mode("overwrite").json(folder)
+
+
 def write_csv(results: DataFrame, folder: str) -> None:
     """Successful results with the export's columns and a header."""
     results.filter("success").select(*EXPORT).write.mode("overwrite").option("header", True).csv(folder)

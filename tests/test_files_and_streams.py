@@ -73,3 +73,22 @@ def test_model_seam(spark):
             yield f.assign(raw_text="seen " + f["doc_id"].astype(str))
 
     assert files.model(spark.range(3).withColumnRenamed("id", "doc_id"), answer, "doc_id long, raw_text string").filter("raw_text = 'seen 2'").count() == 1
+
+
+def test_lists_documents_and_comparisons(spark, tmp_path):
+    import json
+
+    from taxloom.sources import files
+
+    names = files.EXPORT
+    rows = spark.createDataFrame([(1, "m", True, 0.5, 0.6, 1.0, True, False, 2), (2, "m", False, None, None, 0.1, False, False, 0)], "doc_id int, model string, success boolean, confidence_score double, ato_compliance_score double, processing_time double, production_ready boolean, awk_fallback_used boolean, highlights_detected int")
+    files.write_list(rows, f"{tmp_path}/list")
+    assert spark.read.json(f"{tmp_path}/list").count() == 2
+    got = json.loads(files.as_json(rows).filter("doc_id = 2").first().document)
+    assert list(got) == names and got["confidence_score"] is None
+    files.write_comparison(rows.select("model", "confidence_score"), rows.select("doc_id"), f"{tmp_path}/cmp")
+    r = spark.read.json(f"{tmp_path}/cmp").first()
+    assert len(r.ranking) == 2 and len(r.differences) == 2
+    for n in ("b.png", "a.png", "z.jpg", "c.jpg", "x.txt"):
+        (tmp_path / n).write_bytes(b"x")
+    assert [x.stem for x in files.simple_images(spark, str(tmp_path), 3).collect()] == ["c", "z", "a"]
