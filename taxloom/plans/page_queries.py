@@ -70,7 +70,7 @@ QUERIES = {
     "p23_context": context,
     "b28_correlations": correlations,
     "g26_correlation_report": report,
-    "g20_highlight_summary": lambda s, d: rounded(sp.summary(view(s, d, "highlights")), "average_confidence"),
+    "g20_highlight_summary": lambda s, d: rounded(sp.summary(view(s, d, "highlights")), "average_confidence", places=4),
     "b19_merged_regions": lambda s, d: rounded(sp.merged(view(s, d, "highlights")), "confidence"),
 }
 
@@ -84,5 +84,5 @@ ORACLES = {
     "p23_context": _PAIRS + ", n AS (SELECT image_id, h_ord, place, side, text, bc AS b_confidence, MAX(CASE WHEN bc >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, h_ord) AS any_sure FROM near WHERE place <= 10), k AS (SELECT * FROM n WHERE b_confidence >= 0.3 OR (any_sure = 0 AND place <= 3)), s AS (SELECT image_id, h_ord, side, UPPER(side) || ': ' || STRING_AGG(text, ' ' ORDER BY place) AS part FROM k GROUP BY image_id, h_ord, side), c AS (SELECT image_id, h_ord, STRING_AGG(part, ' | ' ORDER BY CASE side WHEN 'above' THEN 0 WHEN 'left' THEN 1 WHEN 'right' THEN 2 ELSE 3 END) FILTER (side <> 'overlapping') AS context FROM s GROUP BY image_id, h_ord) SELECT COALESCE(i.image_id, c.image_id) AS image_id, COALESCE(i.h_ord, c.h_ord) AS h_ord, CONCAT_WS(' | ', CASE WHEN i.text <> '' THEN 'HIGHLIGHTED: ' || i.text END, CASE WHEN c.context <> '' THEN 'CONTEXT: ' || c.context END) AS full_context FROM inside i FULL JOIN c ON c.image_id = i.image_id AND c.h_ord = i.h_ord",
     "b28_correlations": _PAIRS + "SELECT image_id, h_ord, text, regions, ROUND(correlation, 6) AS correlation FROM scores",
     "g26_correlation_report": _PAIRS + "SELECT COUNT(*) AS n, COUNT(CASE WHEN correlation > 0.7 THEN 1 END) AS high, COUNT(CASE WHEN correlation BETWEEN 0.4 AND 0.7 THEN 1 END) AS medium, COUNT(CASE WHEN correlation < 0.4 THEN 1 END) AS low, ROUND(AVG(correlation), 6) AS average, COUNT(text) AS with_text FROM scores",
-    "g20_highlight_summary": with_views("SELECT NULL AS color, COUNT(*) AS n, COUNT(CASE WHEN confidence >= 0.6 THEN 1 END) AS confident, ROUND(AVG(confidence), 6) AS average_confidence FROM highlights UNION ALL SELECT color, COUNT(*), COUNT(CASE WHEN confidence >= 0.6 THEN 1 END), ROUND(AVG(confidence), 6) FROM highlights GROUP BY color", "highlights"),
+    "g20_highlight_summary": with_views("SELECT NULL AS color, COUNT(*) AS n, COUNT(CASE WHEN confidence >= 0.6 THEN 1 END) AS confident, ROUND(AVG(confidence), 4) AS average_confidence FROM highlights UNION ALL SELECT color, COUNT(*), COUNT(CASE WHEN confidence >= 0.6 THEN 1 END), ROUND(AVG(confidence), 4) FROM highlights GROUP BY color", "highlights"),
 }
