@@ -341,3 +341,72 @@ def _checks_sql(kind: str) -> str:
 
 
 ORACLES |= {"v19_statement_checks": _checks_sql("bank_statement"), "v20_fuel_checks": _checks_sql("fuel_receipt"), "v21_receipt_checks": _checks_sql("business_receipt"), "v22_invoice_checks": _checks_sql("tax_invoice")}
+
+
+def _amounts(patterns: dict[str, str]) -> dict[str, str]:
+    """The field that a highlight's amount belongs to, by the first pattern that matches or what the text says."""
+    low = "LOWER(text)"
+    told = f"CASE WHEN CONTAINS({low}, 'total') THEN 'total_amount' WHEN CONTAINS({low}, 'gst') OR CONTAINS({low}, 'tax') THEN 'gst_amount' WHEN CONTAINS({low}, 'sub') THEN 'subtotal' ELSE 'highlight_amount' END"
+    kind = "CASE " + " ".join(f"WHEN {_ex('text', p)} <> '' THEN '{f}'" for f, p in patterns.items()) + f" WHEN {_ex('text', h.ANY_AMOUNT, 1, '')} <> '' THEN {told} END"
+    value = "TRY_CAST(COALESCE(" + ", ".join([*(f"NULLIF({_ex('text', p)}, '')" for p in patterns.values()), f"NULLIF({_ex('text', h.ANY_AMOUNT, 1, '')}, '')"]) + ") AS DOUBLE)"
+    return {f: f"NULLIF(CASE WHEN {kind} = '{f}' THEN {value} END, 0)" for f in patterns} | {"highlight_amount": f"CASE WHEN {kind} = 'highlight_amount' THEN {value} END"}
+
+
+_SHOP_TOLD, _INVOICE_TOLD = _amounts(h.RECEIPT_HIGHLIGHT), _amounts(h.INVOICE_HIGHLIGHT)
+_TOLD = {
+    "bank_statement": {"opening_balance": _number("text", h.OPENING), "closing_balance": _number("text", h.CLOSING)},
+    "fuel_receipt": {"fuel_type": _strip("LOWER(" + _first("text", h.FUEL_TYPES, 0) + ")"), "total_amount": _number("text", h.FUEL_HIGHLIGHT), "date": _first("text", h.DATES)} | {k: _SQL_OWN["fuel_receipt"][k] for k in ("litres", "price_per_litre", "pump_number")},
+    "business_receipt": {"business_name": f"COALESCE({_named('text', h.CHAINS)}, {_first_line(3, 2, h.NO_NAME)})", "date": _first("text", h.DATES), "abn": _first("text", h.ABNS)} | {k: _SQL_OWN["business_receipt"][k] for k in ("receipt_number", "payment_method")} | _SHOP_TOLD,
+    "tax_invoice": {"supplier_name": _first_line(5, 3, h.NO_SUPPLIER), "supplier_abn": _OWN_ABN} | {k: _SQL_OWN["tax_invoice"][k] for k in ("invoice_number", "invoice_date", "description", "customer_name")} | {k: v for k, v in _INVOICE_TOLD.items() if k != "highlight_amount"},
+}
+_GAP = "(ABS(total_amount - subtotal - gst_amount) > 0.10E0 AND total_amount - subtotal > 0 AND ABS(total_amount - subtotal - subtotal * 0.10E0) < ABS(gst_amount - subtotal * 0.10E0))"
+_BOTH, _G0, _T0, _S0 = "(COALESCE(subtotal <> 0, FALSE) AND COALESCE(total_amount <> 0, FALSE))", "COALESCE(gst_amount <> 0, FALSE)", "COALESCE(total_amount <> 0, FALSE)", "COALESCE(subtotal <> 0, FALSE)"
+_DERIVED = f"CASE WHEN {_BOTH} AND NOT {_G0}{{more}} THEN 'calculated_gst' WHEN {_BOTH} AND {_G0} AND {_GAP} THEN 'corrected_gst' WHEN NOT {_BOTH} AND {_S0} AND {_G0} AND NOT {_T0} THEN 'calculated_total'{{last}} END"
+_WHY = {
+    "fuel_receipt": "CASE WHEN litres * price_per_litre IS NOT NULL AND COALESCE(total_amount, 0) = 0 THEN 'calculated_total' WHEN COALESCE(total_amount, 0) <> 0 AND ABS(litres * price_per_litre - total_amount) > 2 AND litres * price_per_litre BETWEEN 5 AND 500 THEN 'corrected_from_calculation' END",
+    "business_receipt": _DERIVED.format(more=" AND total_amount - subtotal > 0", last=f" WHEN NOT {_T0} AND listed IS NOT NULL AND NOT ({_S0} AND {_G0}) THEN 'estimated_from_items'"),
+    "tax_invoice": _DERIVED.format(more="", last=""),
+}
+_MENDED = {
+    "fuel_receipt": {"total_amount": "CASE WHEN correction IS NOT NULL THEN litres * price_per_litre ELSE total_amount END"},
+    "business_receipt": {"gst_amount": "CASE WHEN correction IN ('calculated_gst', 'corrected_gst') THEN total_amount - subtotal ELSE gst_amount END", "total_amount": "CASE correction WHEN 'calculated_total' THEN subtotal + gst_amount WHEN 'estimated_from_items' THEN listed * 1.10E0 ELSE total_amount END"},
+}
+_MENDED["tax_invoice"] = _MENDED["business_receipt"] | {"total_amount": "CASE WHEN correction = 'calculated_total' THEN subtotal + gst_amount ELSE total_amount END"}
+
+
+def _enriched_sql(kind: str, names: list[str]) -> str:
+    told = _TOLD[kind]
+    last = "{0} IS NOT NULL" if kind == "bank_statement" else "{0} IS NOT NULL AND confidence > 0.7"
+    picks = ", ".join(f"ARG_MIN({k}, ord) FILTER ({k} IS NOT NULL) AS first_{k}, ARG_MAX({k}, ord) FILTER ({last.format(k)}) AS last_{k}" for k in told)
+    fields = []
+    for k in told:
+        priority = k in h.PRIORITY.get(kind, [])
+        if k == "highlight_amount":
+            fields.append(f"first_{k} AS {k}")
+        elif kind == "bank_statement":
+            fields.append(f"COALESCE(last_{k}, {k}) AS {k}")
+        else:
+            kept = f"CASE WHEN {_is_there(k)} THEN {k} ELSE first_{k} END"
+            fields.append(f"COALESCE(last_{k}, {kept}) AS {k}" if priority else f"{kept} AS {k}")
+    shown = "MAX(CASE WHEN CONTAINS(LOWER(text), 'tax invoice') OR CONTAINS(LOWER(text), 'gst invoice') THEN TRUE END) AS tax_invoice_indicator"
+    more = ["tax_invoice_indicator"] if kind == "tax_invoice" else ["listed"] if kind == "business_receipt" else []
+    why = f", e AS (SELECT *, {_WHY[kind]} AS correction FROM d)" if kind in _WHY else ", e AS (SELECT * FROM d)"
+    out = []
+    for n in names:
+        e = _MENDED.get(kind, {}).get(n, n)
+        out.append(f"ROUND({e}, 6) AS {n}" if n in _FIGURES or n == "highlight_amount" else f"{e} AS {n}")
+    return (
+        with_views("", "papers", "paper_highlights").rstrip()
+        + f", {_raw(kind)}, t AS (SELECT doc_id, ord, confidence, text, {', '.join(f'{e} AS {k}' for k, e in told.items())} FROM paper_highlights WHERE doc_type = '{kind}'),"
+        + f" g AS (SELECT doc_id, {picks}, {shown} FROM t GROUP BY doc_id),"
+        + f" d AS (SELECT r.doc_id, {', '.join([*fields, *more])} FROM r LEFT JOIN g ON g.doc_id = r.doc_id){why}"
+        + f" SELECT doc_id, {', '.join(out)} FROM e"
+    )
+
+
+ORACLES |= {
+    "x70_statement_highlights": _enriched_sql("bank_statement", _ENRICHED["bank_statement"]),
+    "x67_fuel_highlights": _enriched_sql("fuel_receipt", _ENRICHED["fuel_receipt"]),
+    "x68_receipt_highlights": _enriched_sql("business_receipt", _ENRICHED["business_receipt"]),
+    "x69_invoice_highlights": _enriched_sql("tax_invoice", _ENRICHED["tax_invoice"]),
+}
