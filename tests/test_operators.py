@@ -89,8 +89,8 @@ def test_merge_against_a_plain_loop(spark):
     import random
 
     rng = random.Random(2)
-    boxes = [{"image_id": i, "ord": k, "x": rng.randrange(300), "y": rng.randrange(300), "width": rng.randrange(5, 90), "height": rng.randrange(5, 60), "confidence": 0.5} for i in range(20) for k in range(rng.randrange(1, 14))]
-    df = spark.createDataFrame(boxes, "image_id int, ord int, x int, y int, width int, height int, confidence double")
+    boxes = [{"image_id": i, "ord": k, "x": rng.randrange(300), "y": rng.randrange(300), "width": rng.randrange(5, 90), "height": rng.randrange(5, 60), "confidence": 0.5, "color": rng.choice(["blue", "pink"])} for i in range(20) for k in range(rng.randrange(1, 14))]
+    df = spark.createDataFrame(boxes, "image_id int, ord int, x int, y int, width int, height int, confidence double, color string")
     rows = spatial.merged(df).collect()
     for i in range(20):
         assert sorted((r.members, r.x, r.y, r.area) for r in rows if r.image_id == i) == greedy([b for b in boxes if b["image_id"] == i])
