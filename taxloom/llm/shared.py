@@ -48,7 +48,7 @@ def _shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-#: Rows of one batch of the Parquet reader, and bytes of a row group: texts and sets of shingles are long rows.
+#: Rows of one batch of the Parquet reader, and bytes of a row group: texts and sets of shingles are long rows, and hashes fill no dictionary.
 READ_ROWS, ROW_GROUP = 256, 16 << 20
 
 
@@ -62,7 +62,7 @@ def write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
     _read_few_rows_at_a_time(spark)
     with _shuffles_end_with_their_query(spark):
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
