@@ -21,6 +21,7 @@ CONTRACT = {
     "op6_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op7_near_duplicates": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
     "op8_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op11_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
     "op9_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
 }
 
@@ -54,6 +55,8 @@ def folder(spark, tmp_path_factory):
     wrong = lambda k, y, n, r: 1 - y if rem(k, n) == r else y
     spark.createDataFrame([(k, wrong(k, int(k % 4 != 2), 5, 0), wrong(k, int(k % 3 == 1), 4, 2)) for k in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item), (2, "nothing of it"), (None, item), (3, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(i, [float(rng.gauss(0, 1)) for _ in range(4)], i % 3) for i in range(200)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(c, t, "user", rng.choice("ab"), "clash") for c in range(30) for t in range(c % 7)], "conv_id long, turn long, role string, text string, depth string").write.parquet(f"{d}/conversations.parquet")
     return d, docs
 
 
@@ -165,8 +168,24 @@ def test_near_duplicates_and_tokens(results, folder):
     assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in results["op8_bpe"]), key=str) == sorted(want, key=str)
 
 
+def test_negatives_and_trie(spark, folder):
+    duckdb = pytest.importorskip("duckdb")
+    shape = {
+        "op12_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
+        "op13_prefix_trie": {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string"},
+    }
+    c = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder[0]}/{t}.parquet/*.parquet')")
+    for name, types in shape.items():
+        df = queries.QUERIES[name](spark, folder[0])
+        assert dict(df.dtypes) == types
+        got = sorted(map(tuple, df.select(*types).collect()), key=str)
+        assert got and got == sorted(c.execute(f"SELECT {', '.join(types)} FROM ({queries.ORACLES[name]}) t").fetchall(), key=str)
+
+
 def test_empty_tables(spark, folder, tmp_path):
-    for name in ("documents", "labels", "benchmark"):
+    for name in ("documents", "labels", "benchmark", "embeddings", "conversations"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name in queries.QUERIES:
         df = queries.QUERIES[name](spark, str(tmp_path))
