@@ -48,12 +48,12 @@ def bonus(color: Column, confidence: Column) -> Column:
 
 def transaction_rows(highlights: DataFrame, page_height: int = 1000) -> DataFrame:
     """Highlights with the shape and place of a transaction row."""
-    aspect = F.col("width") / F.col("height")
+    aspect = F.try_divide("width", "height")
     return highlights.filter((F.col("width") >= 200) & F.col("height").between(20, 100) & aspect.between(3, 25) & (F.col("y") >= 0.2 * page_height) & (F.col("confidence") >= 0.4))
 
 
 def statement_highlights(highlights: DataFrame) -> DataFrame:
-    return highlights.filter((F.col("width") / F.col("height")).between(1.5, 20))
+    return highlights.filter(F.try_divide("width", "height").between(1.5, 20))
 
 
 def _overlap() -> tuple[Column, Column]:

@@ -151,7 +151,7 @@ VIEWS = {
     "highlights": _HIGHLIGHTS,
     "ocr_boxes": _BOXES,
 }
-TABLES = ["customer", "supplier", "orders", "lineitem", "events"]
+TABLES = ["customer", "supplier", "orders", "lineitem", "events", "conversations"]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -300,3 +300,41 @@ VIEWS["statement_readings"] = "SELECT user_id AS statement_id, event_id AS ord,
 ) + " AS text FROM events"
 #: Highlights of statements: what a marker left of the orders of the same customer.
 VIEWS["statement_marks"] = "SELECT o_custkey AS statement_id, o_orderkey AS ord, " + _pick("(o_orderkey + o_custkey)", "'uber trip home'", "'Wilson Parking Flinders'", "'Telstra Phone'", "'bank'", "'Hotel bill Sydney'") + f" AS description, CAST(CAST(ROUND(o_totalprice * 100) AS BIGINT) AS STRING) AS amount, CASE WHEN o_orderkey % 3 = 0 THEN 'yellow' ELSE 'green' END AS color FROM orders"
+
+
+_MARK = "CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey"
+_ROW_Y = "CASE WHEN l_partkey % 11 = 0 THEN 120 ELSE 180 + 95 * l_linenumber END + l_suppkey % 10"
+#: Highlights of statement pages, some without a colour or confidence, and the words on them: rows of six and a few above.
+VIEWS["statement_marks"] = f"""
+SELECT l_orderkey AS image_id, {_MARK} AS ord, CAST(20 + l_partkey % 30 AS INT) AS x, CAST({_ROW_Y} AS INT) AS y,
+  CAST(CASE WHEN l_partkey % 9 = 0 THEN 150 ELSE 330 + l_partkey % 300 END AS INT) AS width, CAST(CASE WHEN l_suppkey % 8 = 0 THEN 12 ELSE 24 + l_suppkey % 50 END AS INT) AS height,
+  CASE l_partkey % 6 WHEN 0 THEN 'yellow' WHEN 1 THEN 'green' WHEN 2 THEN 'Pink' WHEN 3 THEN 'blue' WHEN 4 THEN 'orange' END AS color,
+  CASE WHEN l_suppkey % 13 <> 0 THEN CAST((l_partkey * 3 + l_suppkey) % 101 AS DOUBLE) / 100 END AS confidence
+FROM lineitem"""
+_WORDS_OF = _pick(
+    "k",
+    _pick("l_partkey", "LPAD(CAST(l_suppkey % 28 + 1 AS STRING), 2, '0') || '/03/2024'", "'7 Mar 2024'", "'12-05-24'", "'Date'", "' '"),
+    _pick("l_suppkey", "'Uber Trip'", "'BP Fuel Station'", "'Officeworks supplies'", "'Client lunch restaurant'", "'Hotel Sydney conference'", "'Salary payment'", "'Description'", "'Balance of account'"),
+    _pick("l_partkey + l_suppkey", "'$' || CAST(l_partkey % 900 + 10 AS STRING) || '.50'", "'1,234.00'", "'Amount'", "'$' || CAST(l_suppkey % 77 AS STRING)", "'45.95'", "'-'"),
+    _pick("l_partkey + 1", "'ref: R' || CAST(l_suppkey AS STRING)", "'Account: ' || LPAD(CAST(l_suppkey AS STRING), 8, '3')", "'balance $' || CAST(l_partkey % 5000 AS STRING) || '.10'", "'032-' || LPAD(CAST(l_partkey % 1000 AS STRING), 3, '0')", "'x'"),
+    _pick("l_linenumber", "'Statement of account'", "'BSB 732 ' || LPAD(CAST(l_suppkey % 1000 AS STRING), 3, '0')", "'Number ' || LPAD(CAST(l_partkey AS STRING), 9, '4')", "'John Citizen Smith'", "'Statement period March'", "'Page'", "'Mr Li'"),
+    _pick("l_suppkey + l_partkey", "'Period'", "'Amount due'", "'Description'", "'Posting date'", "'word' || CAST(l_partkey % 50 AS STRING)", "'Mary Anne Jones'"),
+)
+_X1 = "CASE k WHEN 4 THEN 40 + l_partkey % 200 WHEN 5 THEN 400 + l_suppkey % 300 ELSE 30 + k * 70 + l_partkey % 20 END"
+_Y1 = f"CASE k WHEN 4 THEN 15 + l_linenumber * 38 WHEN 5 THEN {_ROW_Y} - 40 ELSE {_ROW_Y} + 2 END"
+VIEWS["statement_words"] = f"""
+SELECT image_id, ord, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1, CAST(x1 + wide AS INT) AS x2, CAST(y1 + high AS INT) AS y2, text, confidence FROM (
+SELECT l_orderkey AS image_id, ({_MARK}) * 10 + k AS ord, {_X1} AS x1, {_Y1} AS y1, 50 + l_suppkey % 25 AS wide, 8 + l_partkey % 14 AS high, {_WORDS_OF} AS text, CAST((l_suppkey * 3 + l_partkey * 7 + k * 29) % 101 AS DOUBLE) / 100 AS confidence
+FROM lineitem CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k UNION ALL SELECT 4 AS k UNION ALL SELECT 5 AS k) s) w"""
+
+_ASKS = _pick("(conv_id + turn)", "'Extract all fields: '", "'Analyze this image. Requirements: extract the business name. Output format JSON. '", "'For Australian ATO compliance, process GST (10%) and ABN of the business. '", "'Give date as DD/MM/YYYY and ABN as XX XXX XXX XXX in a structure. '", "'tell me '", "'highlight the GST date abn. information: '")
+_TOPIC = _pick("(conv_id * 3 + turn)", "'fuel petrol diesel litres station '", "'Tax Invoice ABN GST supplier '", "'receipt business items total '", "'bank statement transaction balance '", "'restaurant food meal '", "'hotel booking '", "'travel flight '", "'parking vehicle '", "'professional services consulting legal '", "'equipment tools '", "''")
+#: Prompts whose names tell of a document type and whose texts are turns of conversations.
+VIEWS["prompts"] = f"""
+SELECT LPAD(CAST(conv_id AS STRING), 9, '0') || '_' || LPAD(CAST(turn AS STRING), 4, '0') || '_' || {_pick("(conv_id + turn * 2)", "'fuel'", "'TAX_INVOICE'", "'business'", "'bank'", "'meal'", "'accommodation'", "'travel'", "'toll'", "'professional'", "'supplies'", "'general'")} AS prompt_id,
+  CASE WHEN (conv_id + turn) % 17 = 0 THEN NULL WHEN (conv_id + turn) % 13 = 0 THEN 'short' ELSE {_ASKS} || {_TOPIC} || text END AS text
+FROM conversations"""
+#: Receipts with what a model answered about them, and how well they were read before.
+VIEWS["asked"] = "SELECT o_orderkey AS doc_id, " + _pick("o_orderkey", "'business_receipt'", "'fuel_receipt'", "'tax_invoice'", "'bank_statement'", "'meal_receipt'", "'other'") + " AS doc_type, " + _pick("(o_custkey + o_orderkey)", "'It is from Caltex, diesel'", "NULL", "'Bunnings shop'", "'Hilton hotel, 2 nights'", "'a Tax Invoice for consulting'", "'cafe lunch'", "'parking fee'", "'a laptop'", "'something'", "''") + """ AS response,
+  CASE o_custkey % 2 WHEN 0 THEN 'internvl3' ELSE 'llama32_vision' END AS model, o_custkey % 3 = 0 AS highlights, CAST((o_custkey * 37 + o_orderkey * 11) % 101 AS DOUBLE) / 100 AS quality, o_orderkey % 4 <> 0 AS prefer
+FROM orders"""
