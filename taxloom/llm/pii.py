@@ -1,17 +1,22 @@
 """Personal data by patterns, and terms that give it away by corpus statistics.
 
 Base spans (e-mail, IP, card and phone numbers) come from regular expressions
-whose possessive quantifiers keep them linear. All terms of a document that
-holds one are candidates: with p(e) the share of documents that hold an entity
-and p(e | t) its share among those that hold a term, a term reveals of the entity
-
-    PMI(t; e) / IC(e) = log(p(e | t) / p(e)) / -log p(e).
-
-p(e | t) is shrunk towards p(e) by PRIOR documents, so entities and terms of
-any number of documents are judged and a chance meeting weighs less. Terms that
-reveal `generalise` or more become a placeholder wherever they stand in
-documents with that entity; from `remove` on they go. Everything is DataFrame
-expressions.
+whose possessive quantifiers keep them linear. What is protected is an entity
+or a class of them: the value itself, an e-mail's domain and name, the network
+of an IP, the issuer of a card, the area of a phone number. All terms of a
+document that holds one are candidates. An entity's information is
+IC(e) = -log2 p(e), p(e) being the share of documents that hold it, and a term tells
+PMI(t; e) = log2(p(e | t) / p(e)) of it; what it leaves to be told are
+
+    IC(e) - PMI(t; e) = -log2 p(e | t)  bits,
+
+which does not depend on the corpus' size. p(e | t) is taken from the other
+documents that hold the term (leaving one out, with PRIOR documents of the
+corpus' average added), so a term of one document tells nothing, however rare.
+Terms that leave `generalise` bits or fewer, and tell at least GAIN, become a
+placeholder wherever they stand in documents with that entity; those that leave
+`remove` bits or fewer go. Copies are documents like others: a term that stands
+in them alone gives their entity away. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxloom.llm.shared import Scratch, by_bitmap, keep
+from taxloom.llm.shared import Scratch, by_bitmap, join_counted, keep
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Shares of an entity's information from which a term is generalised, and removed.
-GENERALISE, REMOVE = 0.9, 0.98
+#: Bits about an entity that a term may leave at most to be generalised, and to be removed; bits that it tells at least.
+GENERALISE, REMOVE, GAIN = 1.25, 0.35, 1.0
 #: Documents of the corpus' average that are added to those that hold a term.
-PRIOR = 1.0
+PRIOR = 0.25
+#: Copies of a text from which its terms may reach it by broadcast.
+MANY = 64
 #: Letters in a term at least.
 TERM = r"\p{L}{4,}+"
 #: Items that are handled by a growing array at a time.
@@ -132,8 +139,9 @@ def count_of(kind: str, base: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text (null is empty) and the key of the text."""
     own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return own.withColumn("key", F.xxhash64("id", "text"))
+    return own.withColumn("key", F.xxhash64("text"))
 
 
 def frequencies(texts: DataFrame) -> DataFrame:
@@ -143,50 +151,70 @@ def frequencies(texts: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _entities(held: DataFrame) -> DataFrame:
-    """key, id, copies, entity and df_e, a row for each entity of a document.
+def _classes(base: Column) -> Column:
+    """What base spans tell of: hashes of their values and of the classes that these belong to."""
+
+    def of(s: Column) -> Column:
+        kind, value, digits = s["kind"], F.lower(s["value"]), _digits(s["value"])
+        named = lambda level, v: F.xxhash64(kind, F.lit(level), v)
+        name = F.regexp_replace(F.substring_index(value, "@", 1), "[^a-z]", "")
+        pool = (
+            F.when(kind == "email", named("domain", F.substring_index(value, "@", -1)))
+            .when(kind == "ip", named("network", F.substring_index(value, ".", 2)))
+            .when(kind == "card", named("issuer", F.substring(digits, 1, 6)))
+            .otherwise(named("area", F.substring(digits, 1, 4)))
+        )
+        return F.array(named("value", value), pool, F.when((kind == "email") & (F.length(name) >= 3), named("name", name)))
+
+    return F.filter(F.array_distinct(F.flatten(F.transform(base, of))), lambda c: c.isNotNull())
+
 
-    Entities of one document only have the same statistics there and count as one.
+def _left(df_te: Column, df_t: Column, df_e: Column, total: float, prior: float) -> Column:
+    """Bits that a term leaves about an entity, from the other documents that hold the term."""
+    given = (df_te - 1 + prior * df_e / total) / (df_t - 1 + prior)
+    return -F.log2(given)
+
+
+def disclosures(held: DataFrame, texts: DataFrame, total: float, scratch: Scratch, generalise: float, prior: float = PRIOR, gain: float = GAIN) -> tuple[DataFrame, DataFrame]:
+    """(pairs, strong): key, entity, term of texts, and entity, term, df, df_e, df_te and `left` bits of those that reveal.
+
+    held has key, text, base and n (documents of that text) of each text with
+    base spans, `texts` every document, total their number. Only entities of two
+    documents or more can be revealed, and only by terms of two or more, and not
+    by terms of too many others.
     """
-    each = held.select("key", "id", "copies", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entity"))
-    df_e = each.groupBy("entity").agg(F.sum("copies").alias("df_e"))
-    named = each.join(df_e, "entity").withColumn("entity", F.when(F.col("df_e") == 1, F.col("key")).otherwise(F.col("entity")))
-    return named.groupBy("key", "id", "entity").agg(F.first("copies").alias("copies"), F.first("df_e").alias("df_e"))
-
-
-def revealing(found: DataFrame, texts: DataFrame, scratch: Scratch, generalise: float, remove: float, prior: float = PRIOR) -> DataFrame:
-    """key, id and `terms` (spans with what to do) of rows in which terms reveal an entity."""
-    n = float(max(1, found.count()))
-    total = F.lit(n)
-    held = scratch.cut(found.filter("size(base) > 0").groupBy("key", "id").agg(F.first("base").alias("base"), F.first("text").alias("text"), F.count("*").alias("copies")))
-    entities = scratch.cut(_entities(held))
-    df_e, bits = F.col("df_e"), F.log(total / F.col("df_e"))
-    # A term in more documents than this cannot reveal enough, even if all of the entity's hold it.
-    most = (df_e + prior * df_e / total) * F.exp((1 - generalise) * bits) - prior + 1e-6
-    reach = entities.filter(bits > 0).groupBy("key", "id").agg(F.max(most).alias("reach"))
+    each = scratch.cut(held.select("key", F.col("n").alias("copies"), F.explode(_classes(F.col("base"))).alias("entity")))
+    shared = scratch.cut(each.groupBy("entity").agg(F.count("*").alias("n"), F.sum("copies").alias("df_e")).filter("df_e > 1"))
+    entities = scratch.cut(join_counted(each, shared, "entity").drop("n"))
+    # A term in more documents than this leaves too much, even if all of the entity's hold it.
+    most = 1 - prior + (F.col("df_e") - 1 + prior * F.col("df_e") / total) * 2.0**generalise + 1e-6
+    reach = entities.groupBy("key").agg(F.max(most).alias("reach"))
     widest = reach.agg(F.max("reach")).first()[0]
-    few = frequencies(texts).filter(F.col("df") <= F.lit(widest).cast("double"))
+    few = frequencies(texts).filter((F.col("df") > 1) & (F.col("df") <= F.lit(widest).cast("double")))
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
-    terms = held.select("key", "id", F.explode(words).alias("term")).join(few, "term")
-    terms = _same(terms, reach).filter(F.col("df") <= F.col("reach")).drop("reach")
-    pairs = scratch.cut(_same(terms, entities).filter((bits > 0) & (F.col("df") <= most)))
-    counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("df_te"), F.first("df_e").alias("df_e"), F.first("df").alias("df"))
-    given = (F.col("df_te") + prior * df_e / total) / (F.greatest("df", "df_te") + prior)
-    strong = counted.withColumn("share", 1 + F.log(given) / bits).filter(F.col("share") >= generalise).select("entity", "term", "share")
-    hits = pairs.select("key", "id", "entity", "term").join(strong, ["entity", "term"]).groupBy("key", "id", "term").agg(F.max("share").alias("share"))
+    terms = held.select("key", "text").join(reach, "key").select("key", "reach", F.explode(words).alias("term")).join(few, "term").filter("df <= reach")
+    pairs = scratch.cut(terms.select("key", "term", "df").join(entities, "key").filter(F.col("df") <= most))
+    counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("df_te"), F.first("df_e").alias("df_e"), F.first("df").alias("df")).filter("df_te > 1")
+    bits = _left(F.col("df_te"), F.greatest("df", "df_te"), F.col("df_e"), total, prior)
+    strong = counted.withColumn("left", bits).filter((F.col("left") <= generalise) & (-F.log2(F.col("df_e") / total) - F.col("left") >= gain))
+    return pairs, scratch.cut(strong)
+
+
+def revealing(held: DataFrame, texts: DataFrame, total: float, scratch: Scratch, generalise: float, remove: float, prior: float = PRIOR) -> DataFrame:
+    """key, n (copies) and `terms` (spans with what to do) of texts in which terms reveal an entity."""
+    pairs, strong = disclosures(held, texts, total, scratch, generalise, prior)
+    hits = pairs.select("key", "entity", "term").join(strong.select("entity", "term", "left"), ["entity", "term"]).groupBy("key", "term").agg(F.min("left").alias("left"))
     hits = scratch.cut(hits)
-    scratch.drop(entities, pairs)
     # Where the terms stand: what lies between them, added up in order.
-    of = hits.select(F.col("key").alias("k1"), F.col("id").alias("k2")).distinct()
-    own = held.join(of, (held["key"] == of["k1"]) & held["id"].eqNullSafe(of["k2"]), "left_semi")
+    own = held.join(hits.select("key").distinct(), "key", "left_semi")
     pieces = F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("value"))
-    each = own.select("key", "id", F.posexplode(pieces).alias("k", "x")).filter(F.col("x.value").isNotNull())
-    each = each.select("key", "id", "k", F.length("x.gap").alias("gap"), F.length("x.value").alias("size"), F.xxhash64(F.lower("x.value")).alias("term"))
-    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("key", "id").orderBy("k")).cast("int")
-    placed = _same(each.withColumn("end", end), hits, "term")
-    span = F.struct((F.col("end") - F.col("size")).alias("start"), "end", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
-    rows = _same(placed.groupBy("key", "id").agg(F.sort_array(F.collect_list(span)).alias("terms")), held.select("key", "id", "base"))
-    return rows.select("key", "id", _apart(F.col("terms"), F.col("base")).alias("terms"))
+    each = own.select("key", F.posexplode(pieces).alias("k", "x")).filter(F.col("x.value").isNotNull())
+    each = each.select("key", "k", F.length("x.gap").alias("gap"), F.length("x.value").alias("size"), F.xxhash64(F.lower("x.value")).alias("term"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("key").orderBy("k")).cast("int")
+    placed = each.withColumn("end", end).join(hits, ["key", "term"])
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "end", F.when(F.col("left") <= remove, "remove").otherwise("generalise").alias("action"))
+    rows = placed.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("terms")).join(held.select("key", "base", "n"), "key")
+    return rows.select("key", "n", _apart(F.col("terms"), F.col("base")).alias("terms"))
 
 
 def _apart(terms: Column, base: Column) -> Column:
@@ -228,34 +256,29 @@ def _edited(text: Column, edits: Column) -> Column:
     return _let(_let(edits, pieces), joined)
 
 
-def _same(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
-    """left joined with right on key, id (null ids are equal) and `more`."""
-    names = ["key", "id", *more]
-    right = right.withColumnsRenamed({c: f"{c}_" for c in names})
-    on = left["id"].eqNullSafe(right["id_"])
-    for c in ("key", *more):
-        on = (left[c] == right[f"{c}_"]) & on
-    return left.join(right, on).drop(*[f"{c}_" for c in names])
-
-
 def spans(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, id, `base` and `terms` spans of every row of docs (offsets in code points, ends exclusive).
 
-    A null text is empty; rows count as documents each, also repeated ones;
-    null ids are ids of their own text. `terms` never overlap `base`.
+    A null text is empty; rows count as documents each, also repeated ones, and
+    rows of one text have the same spans. `terms` never overlap `base`.
     """
     with Scratch(docs.sparkSession) as scratch:
-        return keep(_found(docs, scratch, generalise, remove, prior, id_col, text_col))
+        found, held, known = _found(docs, scratch, generalise, remove, prior, id_col, text_col)
+        near, far = by_bitmap(found.select("key", "id", "base"), known, "key")
+        near = join_counted(near, known, "key", "left", MANY)
+        none = F.expr("cast(array() as array<struct<start:int,end:int,action:string>>)")
+        both = near.select("key", "id", "base", F.coalesce("terms", none).alias("terms")).unionByName(far.select("key", "id", "base", none.alias("terms")))
+        return keep(both)
 
 
-def _found(docs: DataFrame, scratch: Scratch, generalise: float, remove: float, prior: float, id_col: str, text_col: str) -> DataFrame:
+def _found(docs: DataFrame, scratch: Scratch, generalise: float, remove: float, prior: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables: key, id and base of all rows; key, base, text and n of the texts with base spans; key, n and terms of those with terms."""
     own = _keyed(docs, id_col, text_col)
     based = own.select("key", "id", "text", base_spans(F.col("text")).alias("base"))
     found = scratch.cut(based.select("key", "id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
-    known = revealing(found, own, scratch, generalise, remove, prior)
-    known = known.select(F.col("key").alias("k1"), F.col("id").alias("k2"), "terms")
-    both = found.select("key", "id", "base").join(known, (F.col("key") == F.col("k1")) & F.col("id").eqNullSafe(F.col("k2")), "left")
-    return both.select("key", "id", "base", F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,end:int,action:string>>)")).alias("terms"))
+    held = scratch.cut(found.filter("size(base) > 0").groupBy("key").agg(F.first("base").alias("base"), F.first("text").alias("text"), F.count("*").alias("n")))
+    known = revealing(held, own, float(max(1, found.count())), scratch, generalise, remove, prior)
+    return found, held, scratch.cut(known)
 
 
 def listed(base: Column, terms: Column | None = None) -> Column:
@@ -274,12 +297,13 @@ def sanitise(docs: DataFrame, *, generalise: float = GENERALISE, remove: float =
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("to")))
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("to")))
     with Scratch(docs.sparkSession) as scratch:
-        found = _found(docs, scratch, generalise, remove, prior, id_col, text_col).filter("size(base) + size(terms) > 0")
-        edits = keep(found.select(F.col("key").alias("k1"), F.col("id").alias("k2"), F.array_sort(F.concat(base, terms)).alias("edits")).dropDuplicates(["k1", "k2"]))
-    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    keyed = keyed.withColumn("key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
-    near, far = by_bitmap(keyed, edits.withColumnRenamed("k1", "key"), "key")
-    near = near.join(edits, (near["key"] == edits["k1"]) & near["id"].eqNullSafe(edits["k2"]), "left").select(*keyed.columns, "edits")
-    joined = near.unionByName(far, allowMissingColumns=True)
+        _, held, known = _found(docs, scratch, generalise, remove, prior, id_col, text_col)
+        both = held.select("key", "n", "base").join(known.select("key", "terms"), "key", "left")
+        both = both.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,end:int,action:string>>)")))
+        edits = keep(both.select("key", "n", F.array_sort(F.concat(base, terms)).alias("edits")))
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    keyed = keyed.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    near, far = by_bitmap(keyed, edits, "key")
+    joined = join_counted(near, edits, "key", "left", MANY).unionByName(far, allowMissingColumns=True)
     out = joined.withColumn("new", F.when(F.col("edits").isNull(), F.col("text")).otherwise(_edited(F.col("text"), F.col("edits"))))
     return out.select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -125,18 +125,19 @@ def keep(df: DataFrame) -> DataFrame:
 HOT_KEYS = 4096
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """left joined with right, which has one small row for each value of `on` and in `n` how many rows of left have it.
+def join_counted(left: DataFrame, right: DataFrame, on: str, how: str = "inner", rows: int = 0) -> DataFrame:
+    """left joined with right (inner or left), which has one small row for each value of `on` and in `n` how many rows of left have it.
 
     Values that hold more than a HOT_KEYS-th of all rows are no more than
     HOT_KEYS, so these go by broadcast, and rows of a hot value stay where they
-    are; the rest is shuffled. Both are read twice: they should be tables.
+    are; the rest is shuffled, as are values of `rows` rows or fewer. Both are
+    read twice: they should be tables.
     """
     total = right.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = right.filter(F.col("n") * HOT_KEYS > F.lit(total))
-    cold = right.filter(F.col("n") * HOT_KEYS <= F.lit(total))
+    is_hot = (F.col("n") * HOT_KEYS > F.lit(total)) & (F.col("n") > rows)
+    hot, cold = right.filter(is_hot), right.filter(~is_hot)
     rest = left.join(F.broadcast(hot.select(on)), on, "left_anti")
-    return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+    return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))
 
 
 def by_bitmap(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
