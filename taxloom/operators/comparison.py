@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxloom.functions import statistics as stats
+
 #: Weights of the ranks in the overall score.
 WEIGHTS = {"average_f1": 0.3, "average_precision": 0.2, "average_recall": 0.2, "production_ready_rate": 0.2, "processing_speed": 0.1}
 
@@ -92,3 +94,82 @@ def metric_winners(models: DataFrame, a: str, b: str) -> DataFrame:
 
 def production_grade(rate: Column) -> Column:
     return F.when(rate >= 0.9, "excellent").when(rate >= 0.7, "good").when(rate >= 0.5, "fair").otherwise("poor")
+
+
+#: What makes a comparison fair.
+FAIRNESS = {
+    "identical_pipeline": "Identical pipeline ensures fair comparison",
+    "standardized_prompts": "Standardized prompts eliminate prompt bias",
+    "same_confidence_thresholds": "Same thresholds ensure consistent evaluation",
+}
+
+
+def significance(results: DataFrame, metrics: list[str], alpha: float = 0.05, by: str = "model") -> DataFrame:
+    """Welch's test for each metric and every two models, the first name before the second.
+
+    Counts, means and variances merge, so a model's rows are never gathered;
+    what is joined has a row for each model and metric. Null figures don't count.
+    """
+    moments = []
+    for m in metrics:
+        moments.append(F.struct(F.lit(m).alias("metric"), F.count(m).alias("n"), F.avg(m).alias("mean"), F.var_samp(m).alias("var")))
+    each = results.groupBy(by).agg(F.array(*moments).alias("m")).select(F.col(by).alias("name"), F.explode("m").alias("m")).select("name", "m.*")
+    side = lambda k: each.select("metric", *[F.col(c).alias(f"{c}{k}") for c in ("name", "n", "mean", "var")])
+    pairs = side(1).join(side(2), "metric").filter("name1 < name2")
+    t, df = stats.welch(*[F.col(f"{c}{k}") for k in (1, 2) for c in ("n", "mean", "var")])
+    rows = pairs.withColumns({"t": t, "df": df}).withColumn("difference", F.col("mean1") - F.col("mean2"))
+    rows = rows.withColumns({"p_value": F.when(F.col("t").isNotNull(), stats.two_sided(F.col("t"), F.col("df"))), "reach": F.when(F.col("t").isNotNull(), stats.quantile(alpha, F.col("df")) * F.sqrt(F.col("var1") / F.col("n1") + F.col("var2") / F.col("n2")))})
+    pooled = F.sqrt(((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2")) / F.nullif(F.col("n1") + F.col("n2") - 2, F.lit(0)))
+    return rows.select(
+        "metric",
+        F.col("name1").alias("model1"),
+        F.col("name2").alias("model2"),
+        "n1",
+        "n2",
+        "difference",
+        "t",
+        "df",
+        "p_value",
+        F.coalesce(F.col("p_value") < alpha, F.lit(False)).alias("significant"),
+        (F.col("difference") - F.col("reach")).alias("low"),
+        (F.col("difference") + F.col("reach")).alias("high"),
+        (F.col("difference") / F.nullif(pooled, F.lit(0.0))).alias("effect"),
+    )
+
+
+def fairness(settings: DataFrame) -> DataFrame:
+    """settings (a row for each comparison, with FAIRNESS' flags) with score, bias_risk, issues and recommendation."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    score = sum((flag(c).cast("int") for c in FAIRNESS), F.lit(0)) / len(FAIRNESS)
+    issues = F.filter(F.array(*[F.when(~flag(c), f"Missing: {text}") for c, text in FAIRNESS.items()]), lambda x: x.isNotNull())
+    rows = settings.withColumns({"score": score, "issues": issues})
+    fair = F.size("issues") == 0
+    return rows.withColumns({"bias_risk": F.when(fair, "low").otherwise("medium"), "recommendation": F.when(fair, "Configuration ensures fair model comparison").otherwise("Enable all fairness settings for unbiased comparison")})
+
+
+def settings_of(readings: DataFrame, results: DataFrame) -> DataFrame:
+    """What models' outputs show of how they were run, for every two: the same fields read (pipeline), the same documents asked (prompts), the same confidence to be ready.
+
+    readings: model, doc_id, field; results: model, confidence_score, production_ready.
+    """
+    ids = F.struct(F.count_distinct("doc_id").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("mix"))
+    asked = readings.select("model", "doc_id").distinct().groupBy("model").agg(ids.alias("documents"))
+    fields = readings.select("model", "field").distinct().groupBy("model").agg(F.sort_array(F.collect_list("field")).alias("fields"))
+    ready = results.groupBy("model").agg(F.min(F.when(F.col("production_ready"), F.col("confidence_score"))).alias("threshold"))
+    each = asked.join(fields, "model").join(ready, "model", "left")
+    side = lambda k: each.select(*[F.col(c).alias(f"{c}{k}") for c in each.columns])
+    pairs = side(1).join(side(2), F.col("model1") < F.col("model2"))
+    return pairs.select("model1", "model2", (F.col("fields1") == F.col("fields2")).alias("identical_pipeline"), (F.col("documents1") == F.col("documents2")).alias("standardized_prompts"), F.col("threshold1").eqNullSafe(F.col("threshold2")).alias("same_confidence_thresholds"))
+
+
+def full_comparison(models: DataFrame, results: DataFrame, readings: DataFrame, metrics: list[str], alpha: float = 0.05) -> DataFrame:
+    """A row for each model: rank, deployment, in how many metrics it is significantly better or worse than others, and the lowest fairness of its comparisons."""
+    ranked = rankings(models)
+    tested = significance(results, metrics, alpha).filter("significant")
+    sides = [tested.select(F.col(f"model{k}").alias("model"), (F.col("difference") * sign > 0).alias("higher"), "metric") for k, sign in ((1, 1), (2, -1))]
+    less_is_better = F.col("metric") == "processing_time"
+    won = sides[0].unionByName(sides[1]).withColumn("better", F.col("higher") != less_is_better).groupBy("model").agg(F.count_if("better").alias("better"), F.count_if(~F.col("better")).alias("worse"))
+    fair = fairness(settings_of(readings, results))
+    fair = fair.select(F.col("model1").alias("model"), "score").unionByName(fair.select(F.col("model2").alias("model"), "score")).groupBy("model").agg(F.min("score").alias("fairness"))
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("better", "worse")}
+    return deployment(ranked).join(won, "model", "left").join(fair, "model", "left").withColumns(zero)
