@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from taxloom.functions.validators import digits
 
+#: What stands for an occurrence of a keyword (of two characters or more), and the pattern of one that is a word of its own.
+_MARK = "\x01"
+_WHOLE = r"(?<![\w\x01])\x01(?![\w\x01])"
 #: Most businesses that `read` takes: a registry is part of the plan.
 MOST = 20_000
 
@@ -142,11 +145,16 @@ def matches(text: Column, registry: tuple[Business, ...] | None = None) -> Colum
     names = literal([{"name": short_name(b), "industry": b.industry, "abn": b.abn} for b in known])
 
     def score(low: Column, t: Column) -> Column:
+        # One mark for each occurrence: what is left tells how many there are, and what stands beside a mark whether it is a word.
         word = t["word"]
-        times = (F.length(low) - F.length(F.replace(low, word, F.lit("")))) / F.length(word)
-        whole = F.when(F.rlike(low, F.concat(F.lit(r"\b\Q"), word, F.lit(r"\E\b"))), 0.15).otherwise(0.0)
-        sure = F.least(t["base"] + whole + F.when(times > 1, F.least(0.1 * (times - 1), F.lit(0.2))).otherwise(0.0), F.lit(1.0))
-        return F.struct(F.round(sure, 9).alias("confidence"), t["ord"].alias("ord"))
+
+        def of(marked: Column) -> Column:
+            times = (F.length(low) - F.length(marked)) / (F.length(word) - 1)
+            whole = F.when(marked.rlike(_WHOLE), 0.15).otherwise(0.0)
+            sure = F.least(t["base"] + whole + F.when(times > 1, F.least(0.1 * (times - 1), F.lit(0.2))).otherwise(0.0), F.lit(1.0))
+            return F.struct(F.round(sure, 9).alias("confidence"), t["ord"].alias("ord"))
+
+        return _let(F.replace(low, word, F.lit(_MARK)), of)
 
     def ranked(low: Column) -> Column:
         hits = F.filter(words, lambda t: low.contains(t["word"]))
@@ -160,6 +168,11 @@ def matches(text: Column, registry: tuple[Business, ...] | None = None) -> Colum
     return F.transform(_let(F.lower(text), ranked), named)
 
 
+def best_of(text: Column, registry: tuple[Business, ...] | None = None) -> Column:
+    """The surest business in an array of one, or an empty array: to be exploded, which computes it once."""
+    return F.slice(matches(text, registry), 1, 1)
+
+
 def best(text: Column, registry: tuple[Business, ...] | None = None) -> Column:
     return F.get(matches(text, registry), 0)
 

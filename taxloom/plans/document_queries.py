@@ -51,7 +51,7 @@ def compliance(spark, d):
 
 
 def recognition(spark, d):
-    rows = view(spark, d, "receipts").withColumn("m", reg.best(F.col("text"))).filter("m is not null")
+    rows = view(spark, d, "receipts").select("doc_id", F.explode(reg.best_of(F.col("text"))).alias("m"))
     return rows.select("doc_id", F.col("m.name").alias("name"), F.round("m.confidence", 6).alias("confidence"), reg.category(F.col("m.industry")).alias("category"))
 
 
@@ -84,12 +84,21 @@ def industry_words(spark, d):
 
 
 def alias_table(spark, d):
-    rows = [(k, j, a) for k, names in reg.aliases().items() for j, a in enumerate(names)]
-    return spark.createDataFrame(rows, "key string, nth int, alias string")
+    """Suppliers as models read them, by the aliases that their names hold."""
+    table = reg.literal([{"key": k, "nth": j, "alias": a} for k, names in reg.aliases().items() for j, a in enumerate(names)])
+    names = view(spark, d, "extractions").filter("field = 'supplier_name'").select(F.lower("value").alias("low"))
+    hits = names.select(F.explode(F.filter(table, lambda t: F.col("low").contains(F.lower(t["alias"])))).alias("t"))
+    return hits.groupBy("t.key", "t.nth", "t.alias").agg(F.count("*").alias("n"))
+
+
+def registry_statistics(spark, d):
+    """Supplier readings that name a registered business, by its industry, kind and states."""
+    named = view(spark, d, "extractions").filter("field = 'supplier_name'").select(F.explode(F.array_compact(F.array(reg.by_name(F.col("value"))["ord"]))).alias("ord"))
+    return reg.statistics(named.join(F.broadcast(reg.as_frame(spark)), "ord"))
 
 
 def primary_bank(spark, d):
-    rows = view(spark, d, "receipts").withColumn("b", tx.primary_bank(F.col("text"))).filter("b is not null")
+    rows = view(spark, d, "receipts").select("doc_id", F.explode(tx.primary_bank(F.col("text"))).alias("b"))
     return rows.select("doc_id", F.col("b.bank").alias("bank"), F.col("b.category").alias("category"), F.round("b.confidence", 6).alias("confidence"))
 
 
@@ -135,9 +144,11 @@ def pipeline(spark, d):
 
 
 def rule_stats(spark, d):
-    """The rule table itself, counted by field."""
-    rows = [(r.field, r.priority, len(r.types)) for r in ex.RULES]
-    return spark.createDataFrame(rows, "field string, priority int, types int").groupBy("field").agg(F.count("*").alias("rules"), F.max("priority").alias("highest"), F.count_if(F.col("priority") >= 9).alias("strong"))
+    """What the rules of each field found in receipts, beside how many rules there are and how strong."""
+    rules = spark.createDataFrame([(r.field, r.priority) for r in ex.RULES], "field string, priority int")
+    known = rules.groupBy("field").agg(F.count("*").alias("rules"), F.max("priority").alias("highest"), F.count_if(F.col("priority") >= 9).alias("strong"))
+    found = ex.long_form(ex.extract(view(spark, d, "receipts"))).groupBy("field").agg(F.count("*").alias("found"))
+    return found.join(F.broadcast(known), "field")
 
 
 def _sql(text: str) -> str:
@@ -211,7 +222,7 @@ QUERIES = {
     "j5_business_categories": business_categories,
     "s9_industry_words": industry_words,
     "s10_aliases": alias_table,
-    "g22_registry_statistics": lambda s, d: reg.statistics(reg.as_frame(s)),
+    "g22_registry_statistics": registry_statistics,
     "c12_primary_bank": primary_bank,
     "c17_prompt_routes": lambda s, d: view(s, d, "receipts").select("doc_id", "doc_type", tx.route(F.col("text"), F.col("doc_type")).alias("prompt")),
     "p21_cleaned_responses": cleaned_responses,
@@ -262,9 +273,10 @@ ORACLES = {
     "j4_abn_lookup": f"WITH {_REGISTRY}, {_ABN_ROWS}, k AS (SELECT REPLACE(abn, ' ', '') AS digits, MIN(biz) AS biz FROM known GROUP BY 1) SELECT r.id, r.abn, known.official AS registered_name, known.industry AS registered_industry FROM r LEFT JOIN k ON k.digits = REGEXP_REPLACE(r.abn, '[^0-9]', '', 'g') LEFT JOIN known ON known.biz = k.biz",
     "j5_business_categories": with_views("", "extractions").rstrip() + f", {_REGISTRY}, n AS (SELECT DISTINCT value FROM extractions WHERE field = 'supplier_name'), h AS (SELECT n.value, MIN(kw.biz) AS biz FROM n JOIN kw ON CONTAINS(LOWER(n.value), kw.word) GROUP BY n.value) SELECT n.value AS name, COALESCE(known.category, 'unknown') AS category, CASE WHEN known.biz IS NULL THEN 0.0E0 ELSE 0.9E0 END AS confidence, COALESCE(known.industry, '') AS industry FROM n LEFT JOIN h ON h.value = n.value LEFT JOIN known ON known.biz = h.biz",
     "s9_industry_words": with_views("", "receipts").rstrip() + ", w(industry, word) AS (VALUES " + ", ".join(f"('{i}', '{_sql(x)}')" for i, ws in reg.industry_words().items() for x in ws) + ") SELECT doc_type, industry, COUNT(*) AS n FROM receipts r JOIN w ON CONTAINS(LOWER(r.text), w.word) GROUP BY doc_type, industry",
-    "s10_aliases": "SELECT * FROM (VALUES " + ", ".join(f"('{_sql(k)}', {j}, '{_sql(x)}')" for k, xs in reg.aliases().items() for j, x in enumerate(xs)) + ") t(key, nth, alias)",
-    "g22_registry_statistics": "WITH b(industry, kind, states) AS (VALUES " + ", ".join(f"('{b.industry}', '{b.kind}', '{','.join(b.states)}')" for b in reg.default()) + """) SELECT 'industry' AS "by", industry AS value, COUNT(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'kind', kind, COUNT(*) FROM b GROUP BY 2 UNION ALL SELECT 'state', s, COUNT(*) FROM (SELECT UNNEST(STRING_SPLIT(states, ',')) AS s FROM b) t GROUP BY 2""",
-    "x10_rule_statistics": "SELECT field, COUNT(*) AS rules, MAX(priority) AS highest, COUNT(CASE WHEN priority >= 9 THEN 1 END) AS strong FROM (VALUES " + ", ".join(f"('{r.field}', {r.priority})" for r in ex.RULES) + ") t(field, priority) GROUP BY field",
+    "s10_aliases": with_views("", "extractions").rstrip() + ", t(key, nth, alias) AS (VALUES " + ", ".join(f"('{_sql(k)}', {j}, '{_sql(x)}')" for k, xs in reg.aliases().items() for j, x in enumerate(xs)) + ") SELECT key, nth, alias, COUNT(*) AS n FROM extractions e JOIN t ON CONTAINS(LOWER(e.value), LOWER(alias)) WHERE e.field = 'supplier_name' GROUP BY key, nth, alias",
+    "g22_registry_statistics": with_views("", "extractions").rstrip() + f", {_REGISTRY}, f AS (SELECT word, MIN(biz) AS biz FROM kw GROUP BY word), st(biz, states) AS (VALUES " + ", ".join(f"({k}, '{','.join(b.states)}')" for k, b in enumerate(reg.default())) + """), b AS (SELECT k.industry, k.kind, st.states FROM extractions e JOIN f ON f.word = LOWER(e.value) JOIN known k ON k.biz = f.biz JOIN st ON st.biz = f.biz WHERE e.field = 'supplier_name')
+ SELECT 'industry' AS "by", industry AS value, COUNT(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'kind', kind, COUNT(*) FROM b GROUP BY 2 UNION ALL SELECT 'state', s, COUNT(*) FROM (SELECT UNNEST(STRING_SPLIT(states, ',')) AS s FROM b WHERE states <> '') t GROUP BY 2""",
+    "x10_rule_statistics": _FIELDS + ", r AS (SELECT field, COUNT(*) AS rules, MAX(priority) AS highest, COUNT(CASE WHEN priority >= 9 THEN 1 END) AS strong FROM (VALUES " + ", ".join(f"('{r.field}', {r.priority})" for r in ex.RULES) + ") t(field, priority) GROUP BY field) SELECT k.field, rules, highest, strong, COUNT(*) AS found FROM kept k JOIN r ON r.field = k.field GROUP BY k.field, rules, highest, strong",
     "x3_rules_extract": _FIELDS + f"SELECT doc_id, doc_type, field, {_CLEAN} AS value, ROUND({_CONF}, 6) AS confidence FROM kept",
     "g10_field_coverage": _FIELDS + f"SELECT doc_type, field, COUNT(*) AS n, COUNT(DISTINCT {_CLEAN}) AS different FROM kept GROUP BY doc_type, field",
     "c2_classify_documents": _CLASS + "SELECT doc_id, predicted, ROUND(score, 6) AS score FROM predicted",

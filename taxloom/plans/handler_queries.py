@@ -72,9 +72,11 @@ def deduplicated(spark, d):
 
 
 def handler_summary(spark, d):
-    """What each handler asks for."""
+    """Papers by type, beside what their handlers ask for."""
     rows = [(k, len(r), len(o), k in h.PRIORITY, k in h.MORE) for k, (r, o) in h.FIELDS.items()]
-    return spark.createDataFrame(rows, "document_type string, required int, optional int, overrides_from_highlights boolean, closer_look boolean")
+    known = spark.createDataFrame(rows, "document_type string, required int, optional int, overrides_from_highlights boolean, closer_look boolean")
+    found = view(spark, d, "papers").groupBy(F.col("doc_type").alias("document_type")).agg(F.count("*").alias("papers"))
+    return found.join(F.broadcast(known), "document_type", "left")
 
 
 _COMMON = ["date", "total_amount", "gst_amount", "abn", "supplier_name", "business_name"]
@@ -267,7 +269,7 @@ ORACLES: dict[str, str] = {
     "b3_statement_work_expenses": with_views(f"SELECT doc_id, CAST(nth - 1 AS INT) AS nth, e.date AS date, e.description AS description, ROUND(e.amount, 6) AS amount, e.work_score AS work_score, e.expense_category AS expense_category, ROUND(e.confidence, 6) AS confidence FROM (SELECT doc_id, UNNEST(w) AS e, GENERATE_SUBSCRIPTS(w, 1) AS nth FROM (SELECT doc_id, {_WORK} AS w FROM papers WHERE doc_type = 'bank_statement') a) b", "papers"),
     "x44_receipt_items": with_views(f"SELECT doc_id, CAST(nth - 1 AS INT) AS nth, i.description AS description, ROUND(i.amount, 6) AS amount, {_CATEGORY} AS business_category, {_LIKELY} AS likelihood FROM (SELECT doc_id, UNNEST(w) AS i, GENERATE_SUBSCRIPTS(w, 1) AS nth FROM (SELECT doc_id, {_ITEMS} AS w FROM papers WHERE doc_type = 'business_receipt') a) b", "papers"),
     "x23_unique_transactions": with_views("", "bank_txns").rstrip() + ", l AS (SELECT statement_id AS doc_id, ord, date, description, ((cents % 5) + 5) % 5 * 1.5 AS amount, event_id % 3 = 0 AS highlighted FROM bank_txns), r AS (SELECT *, MIN(ord) OVER (PARTITION BY doc_id, date, amount) AS place, ROW_NUMBER() OVER (PARTITION BY doc_id, date, amount ORDER BY CASE WHEN highlighted THEN 0 ELSE 1 END, CASE WHEN highlighted THEN -ord ELSE ord END) AS nth FROM l) SELECT doc_id, place, ord, date, description, highlighted FROM r WHERE nth = 1",
-    "x77_handler_summary": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {len(r)}, {len(o)}, {k in h.PRIORITY}, {k in h.MORE})" for k, (r, o) in h.FIELDS.items()) + ") t(document_type, required, optional, overrides_from_highlights, closer_look)",
+    "x77_handler_summary": with_views("", "papers").rstrip() + ", t(document_type, required, optional, overrides_from_highlights, closer_look) AS (VALUES " + ", ".join(f"('{k}', {len(r)}, {len(o)}, {k in h.PRIORITY}, {k in h.MORE})" for k, (r, o) in h.FIELDS.items()) + ") SELECT p.*, required, optional, overrides_from_highlights, closer_look FROM (SELECT doc_type AS document_type, COUNT(*) AS papers FROM papers GROUP BY doc_type) p LEFT JOIN t ON t.document_type = p.document_type",
 }
 
 

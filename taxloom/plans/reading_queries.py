@@ -45,10 +45,10 @@ def roll_up(spark, d):
 
 
 def bank_names(spark, d):
-    """Names of banks as they are written, and what the tables of banks say of them."""
-    written = F.explode(F.array(*map(F.lit, _WRITTEN))).alias("name")
-    rows = view(spark, d, "bank_txns").filter("ord = 0").limit(1).select(written)
-    return rows.select("name", tx.bank_category(F.col("name")).alias("category"), tx.is_big_four(F.col("name")).alias("big_four"), tx.bank_ranges(F.col("name")).alias("ranges"))
+    """Banks as statements write them in their first line, and what the tables of banks say of them."""
+    written = F.substring_index("text", "\n", 1).alias("name")
+    rows = view(spark, d, "papers").filter("doc_type = 'bank_statement'").groupBy(written).agg(F.count("*").alias("papers"))
+    return rows.select("name", "papers", tx.bank_category(F.col("name")).alias("category"), tx.is_big_four(F.col("name")).alias("big_four"), tx.bank_ranges(F.col("name")).alias("ranges"))
 
 
 def _maps(spark, d):
@@ -144,8 +144,6 @@ def ordered_correlations(spark, d):
     return rows.select("image_id", "h_ord", F.row_number().over(w).alias("place"))
 
 
-_WRITTEN = ["ANZ Bank", "anz", "Commonwealth Bank of Australia", "CBA Sydney", "WBC", "Westpac Banking Corporation", "NAB", "National Australia Bank Ltd", "ING Direct", "Macquarie", "Bendigo", "suncorp", "BOQ", "Bank of Queensland", "HSBC", "Citi", "Citibank Australia", "Local Credit Union", "Bank"]
-
 QUERIES = {
     "c6_answer_types": answers(tx.classify_answer),
     "c7_plain_answer_types": answers(tx.classify_answer_plainly),
@@ -223,7 +221,7 @@ ORACLES = {
     "b13_account_texts": with_views(f"SELECT ord, {_VALID} AS valid, NULLIF(REGEXP_EXTRACT(text, {_q(tx.BSB_FORM)}, 0), '') AS bsb, {_LONGEST} AS account_number, LIST_FILTER(REGEXP_EXTRACT_ALL(text, {_q(tx.HOLDER_FORM)}), lambda n: LENGTH(n) BETWEEN 10 AND 50)[1] AS account_holder FROM statement_readings", "statement_readings"),
     "b14_read_transactions": with_views(f"SELECT ord, {_LAST} AS amount, CASE WHEN LEN({_AMOUNTS}) > 0 THEN ({_DAYS})[1] END AS date, CASE WHEN LEN({_AMOUNTS}) > 0 THEN {_LEFT} END AS description, " + ", ".join(f"{e} AS {k}" for k, e in _ACCOUNT.items()) + f" FROM statement_readings WHERE {_VALID}", "statement_readings"),
     "b16_statement_roll_up": with_views(f"SELECT statement_id, COUNT(*) AS texts, COUNT(amount) AS transactions, CAST(SUM(CAST(ROUND(amount * 100) AS BIGINT)) AS BIGINT) AS cents, " + ", ".join(f"ARG_MAX({k}, ord) FILTER ({k} IS NOT NULL) AS {k}" for k in _ACCOUNT) + f" FROM (SELECT statement_id, ord, {_LAST} AS amount, " + ", ".join(f"{e} AS {k}" for k, e in _ACCOUNT.items()) + f" FROM statement_readings WHERE {_VALID}) t GROUP BY statement_id", "statement_readings"),
-    "j17_bank_names": f"SELECT name, CASE " + " ".join(f"WHEN {_BANK_HIT[b]} THEN '{c}'" for b, c, _ in tx.BANKS) + " END AS category, " + " OR ".join(_BANK_HIT[b] for b, c, _ in tx.BANKS if c == "big_four") + " AS big_four, CASE " + " ".join(f"WHEN {_RANGE_HIT[b]} THEN '{r}'" for b, r in tx.NAMED_RANGES.items()) + " ELSE '' END AS ranges FROM (VALUES " + ", ".join(f"({_q(n)})" for n in _WRITTEN) + ") t(name)",
+    "j17_bank_names": with_views("", "papers").rstrip() + ", t AS (SELECT SPLIT_PART(text, CHR(10), 1) AS name, COUNT(*) AS papers FROM papers WHERE doc_type = 'bank_statement' GROUP BY 1) SELECT name, papers, CASE " + " ".join(f"WHEN {_BANK_HIT[b]} THEN '{c}'" for b, c, _ in tx.BANKS) + " END AS category, " + " OR ".join(_BANK_HIT[b] for b, c, _ in tx.BANKS if c == "big_four") + " AS big_four, CASE " + " ".join(f"WHEN {_RANGE_HIT[b]} THEN '{r}'" for b, r in tx.NAMED_RANGES.items()) + " ELSE '' END AS ranges FROM t",
     "v30_fallback_decisions": with_views("", "extractions").rstrip() + f""", f AS (SELECT model, doc_id, COUNT(CASE WHEN {_HELD} THEN 1 END) AS n,
  COUNT(CASE WHEN {_HELD} AND ((field = 'total_amount' AND COALESCE(TRY_CAST(TRIM(REGEXP_REPLACE(value, '[$,]', '', 'g')) AS DOUBLE) < 5, TRUE)) OR (field = 'supplier_name' AND LENGTH(TRIM(value)) <= 2) OR (field = 'date' AND (NOT REGEXP_MATCHES(value, '[0-9]') OR LENGTH(TRIM(value)) < 8))) THEN 1 END) AS bad,
  COUNT(CASE WHEN {_HELD} AND (LENGTH(TRIM(value)) <= 1 OR LOWER(TRIM(value)) IN ({', '.join(map(_q, fb.NOTHING))})) THEN 1 END) AS empty FROM extractions GROUP BY model, doc_id)

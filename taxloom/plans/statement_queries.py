@@ -13,11 +13,11 @@ from taxloom.sources.views import view, with_views
 
 
 def _marks(spark, d):
-    return sp.with_defaults(view(spark, d, "statement_marks"))
+    return sp.with_defaults(view(spark, d, "page_marks"))
 
 
 def _words(spark, d):
-    return view(spark, d, "statement_words")
+    return view(spark, d, "page_words")
 
 
 def _read(spark, d):
@@ -45,7 +45,7 @@ def layout(spark, d):
 
 
 def pages(spark, d):
-    out = sp.pages(view(spark, d, "statement_marks"), _words(spark, d))
+    out = sp.pages(view(spark, d, "page_marks"), _words(spark, d))
     return rounded(out, "balance", "best_work", "likelihood", "row_coverage", "head_coverage")
 
 
@@ -60,10 +60,10 @@ QUERIES = {
 _STRIPPED = "TRIM(text, ' ' || CHR(9) || CHR(10) || CHR(13) || CHR(11) || CHR(12))"
 _SURE = f"(confidence >= 0.5 AND {_STRIPPED} <> '')"
 _BASE = (
-    with_views("", "statement_marks", "statement_words").rstrip()
-    + f""", marks AS (SELECT image_id, ord AS h_ord, x, y, width, height, x + width AS hx2, y + height AS hy2, COALESCE(color, 'unknown') AS color, COALESCE(confidence, 0) AS h_confidence FROM statement_marks),
+    with_views("", "page_marks", "page_words").rstrip()
+    + f""", marks AS (SELECT image_id, ord AS h_ord, x, y, width, height, x + width AS hx2, y + height AS hy2, COALESCE(color, 'unknown') AS color, COALESCE(confidence, 0) AS h_confidence FROM page_marks),
  pairs AS (SELECT m.*, w.ord AS b_ord, x1, y1, x2, y2, text, confidence, NOT (hx2 < x1 OR x2 < x OR hy2 < y1 OR y2 < y) AS touch, GREATEST(LEAST(hx2, x2) - GREATEST(x, x1), 0) * GREATEST(LEAST(hy2, y2) - GREATEST(y, y1), 0) AS shared,
-  CAST(FLOOR((x1 + x2) / 2.0) AS BIGINT) AS cx, CAST(FLOOR((y1 + y2) / 2.0) AS BIGINT) AS cy, CAST(FLOOR(x + width / 2.0) AS BIGINT) AS hcx, CAST(FLOOR(y + height / 2.0) AS BIGINT) AS hcy FROM marks m JOIN statement_words w ON w.image_id = m.image_id),
+  CAST(FLOOR((x1 + x2) / 2.0) AS BIGINT) AS cx, CAST(FLOOR((y1 + y2) / 2.0) AS BIGINT) AS cy, CAST(FLOOR(x + width / 2.0) AS BIGINT) AS hcx, CAST(FLOOR(y + height / 2.0) AS BIGINT) AS hcy FROM marks m JOIN page_words w ON w.image_id = m.image_id),
  joined AS (SELECT image_id, h_ord, STRING_AGG({_STRIPPED}, ' ' ORDER BY y1, x1, b_ord) AS text, AVG(confidence) AS confidence FROM pairs WHERE CAST(width AS DOUBLE) / height BETWEEN 1.5 AND 20 AND touch AND shared > 0.5 * (x2 - x1) * (y2 - y1) AND {_SURE} GROUP BY image_id, h_ord),
  heard AS (SELECT m.*, j.text, j.confidence FROM marks m JOIN joined j ON j.image_id = m.image_id AND j.h_ord = m.h_ord WHERE {_VALID.replace("text", "j.text")}),
  shaped AS (SELECT * FROM heard WHERE width >= 200 AND height BETWEEN 20 AND 100 AND CAST(width AS DOUBLE) / height BETWEEN 3 AND 25 AND y >= 200 AND h_confidence >= 0.4),
@@ -88,7 +88,7 @@ _LAST = lambda value: f"ARG_MAX({value}, h_ord) FILTER ({value} IS NOT NULL)"  #
 _BALANCE = f"TRY_CAST(REPLACE({_TOLD(tx.READ_BALANCE)}, ',', '') AS DOUBLE)"
 
 ORACLES = {
-    "g32_readings": with_views(f"SELECT image_id, STRING_AGG({_STRIPPED}, ' ' ORDER BY y1, x1, ord) AS text, COUNT(*) AS words, ROUND(AVG(confidence), 12) AS confidence, ROUND(SUM(confidence * LENGTH(text)) / SUM(LENGTH(text)), 12) AS weighted_confidence FROM statement_words WHERE {_SURE} GROUP BY image_id", "statement_words"),
+    "g32_readings": with_views(f"SELECT image_id, STRING_AGG({_STRIPPED}, ' ' ORDER BY y1, x1, ord) AS text, COUNT(*) AS words, ROUND(AVG(confidence), 12) AS confidence, ROUND(SUM(confidence * LENGTH(text)) / SUM(LENGTH(text)), 12) AS weighted_confidence FROM page_words WHERE {_SURE} GROUP BY image_id", "page_words"),
     "e10_transactions": _BASE + "done AS (SELECT 1) SELECT image_id, h_ord, place, date, description, ROUND(amount, 6) AS amount, reference, type, ROUND(confidence, 6) AS confidence FROM moves",
     "r5_work_highlights": _BASE + _WORK + " SELECT image_id, h_ord, CAST(ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY score DESC, h_ord) AS INT) AS place, ROUND(score, 6) AS score, category, ARRAY_TO_STRING(found, ',') AS indicators, date, amount, described AS description, color FROM spent WHERE score >= 0.6",
     "b27_row_layout": _BASE + _ROWS + " SELECT image_id, h_ord, likelihood, mask, ROUND(BIT_COUNT(mask) / 3.0, 6) AS coverage FROM laid",
@@ -98,12 +98,12 @@ ORACLES = {
     + _ROWS
     + f""", counted AS (SELECT image_id, COUNT(*) AS highlights, COUNT(CASE WHEN width >= 200 AND height BETWEEN 20 AND 100 AND CAST(width AS DOUBLE) / height BETWEEN 3 AND 20 AND y >= 200 AND h_confidence >= 0.4 THEN 1 END) AS rows FROM marks GROUP BY image_id),
  summed AS (SELECT image_id, COUNT(*) AS transactions, CAST(SUM(CAST(ROUND(amount * 100) AS BIGINT)) AS BIGINT) AS cents, ARG_MAX(description, place) AS lowest FROM moves GROUP BY image_id),
- tops AS (SELECT image_id, STRING_AGG({_STRIPPED}, ' ' ORDER BY y1, x1, ord) AS text FROM statement_words WHERE y1 < 300 AND {_STRIPPED} <> '' GROUP BY image_id),
+ tops AS (SELECT image_id, STRING_AGG({_STRIPPED}, ' ' ORDER BY y1, x1, ord) AS text FROM page_words WHERE y1 < 300 AND {_STRIPPED} <> '' GROUP BY image_id),
  held AS (SELECT image_id, NULLIF(REGEXP_EXTRACT(text, {_q(tx.BSB_FORM)}, 0), '') AS bsb, {_LONGEST} AS account_number, {_TOP} AS account_holder FROM tops),
  later AS (SELECT image_id, {_LAST(_TOLD(tx.READ_BSB))} AS bsb, {_LAST(_TOLD(tx.READ_ACCOUNT))} AS account_number, {_LAST(_BALANCE)} AS balance FROM shaped GROUP BY image_id),
  works AS (SELECT image_id, COUNT(*) AS work, COUNT(CASE WHEN score >= 0.6 THEN 1 END) AS sure_work, FIRST(described ORDER BY score DESC, h_ord) AS first_work, MAX(score) AS best_work FROM spent GROUP BY image_id),
  rowed AS (SELECT image_id, AVG(likelihood) AS likelihood, BIT_OR(mask) AS mask FROM laid GROUP BY image_id),
- heads AS (SELECT image_id, BIT_OR({_NAMES("text", sp.LAYOUT["header"]["fields"])}) AS mask FROM statement_words WHERE y1 < 200 GROUP BY image_id)
+ heads AS (SELECT image_id, BIT_OR({_NAMES("text", sp.LAYOUT["header"]["fields"])}) AS mask FROM page_words WHERE y1 < 200 GROUP BY image_id)
  SELECT c.image_id, highlights, rows, COALESCE(transactions, 0) AS transactions, COALESCE(cents, 0) AS cents, lowest, COALESCE(l.bsb, h.bsb) AS bsb, COALESCE(l.account_number, h.account_number) AS account_number, account_holder, ROUND(balance, 6) AS balance,
   COALESCE(work, 0) AS work, COALESCE(sure_work, 0) AS sure_work, first_work, ROUND(best_work, 6) AS best_work, ROUND(likelihood, 6) AS likelihood, ROUND(BIT_COUNT(r.mask) / 3.0, 6) AS row_coverage, r.mask = 7 AS row_complete, ROUND(BIT_COUNT(COALESCE(e.mask, 0)) / 3.0, 6) AS head_coverage, COALESCE(e.mask, 0) = 7 AS head_complete
  FROM counted c LEFT JOIN summed s ON s.image_id = c.image_id LEFT JOIN held h ON h.image_id = c.image_id LEFT JOIN later l ON l.image_id = c.image_id LEFT JOIN works w ON w.image_id = c.image_id LEFT JOIN rowed r ON r.image_id = c.image_id LEFT JOIN heads e ON e.image_id = c.image_id""",

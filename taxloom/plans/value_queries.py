@@ -38,10 +38,14 @@ def big_four(spark, d):
 
 
 def bank_ranges(spark, d):
-    """The dimension itself: banks by category, in the order tried."""
-    rows = [(k, *r) for k, r in enumerate(v.BANK_RANGES)]
-    dim = spark.createDataFrame(rows, "ord int, bank string, category string, lo int, hi int")
-    return dim.groupBy("category", "bank").agg(F.min("ord").cast("long").alias("ord"), F.count("*").alias("ranges"))
+    """Banks by category, in the order tried, with how many of the BSBs lie in their ranges."""
+    dim = spark.createDataFrame([(k, *r) for k, r in enumerate(v.BANK_RANGES)], "ord int, bank string, category string, lo int, hi int")
+    # There are a thousand prefixes at most, so what meets the ranges is small whatever the table's size.
+    prefixes = view(spark, d, "bsb_inputs").groupBy(v.bsb_prefix(F.col("bsb")).alias("prefix")).agg(F.count("*").alias("n"))
+    first = prefixes.join(F.broadcast(dim), F.col("prefix").between(F.col("lo"), F.col("hi"))).groupBy("prefix", "n").agg(F.min("ord").alias("ord"))
+    found = first.join(F.broadcast(dim.select("ord", "bank")), "ord").groupBy("bank").agg(F.sum("n").alias("n"))
+    banks = dim.groupBy("category", "bank").agg(F.min("ord").cast("long").alias("ord"), F.count("*").alias("ranges"))
+    return banks.join(found, "bank").select("category", "bank", "ord", "ranges", "n")
 
 
 def date_validate(spark, d):
@@ -147,7 +151,7 @@ ORACLES = {
  SELECT id, issues = '' AS valid, CASE WHEN LENGTH(s) = 6 THEN SUBSTR(s, 1, 3) || '-' || SUBSTR(s, 4, 3) ELSE s END AS formatted, bank, category, issues FROM i""",
     "j8_bsb_nearest": _BSB + f", near AS ({_NEAR}) SELECT id, bank AS nearest FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY distance, ord) AS k FROM near WHERE distance <= 20) t WHERE k = 1",
     "v7_big_four": _BSB + "SELECT COALESCE(bank, 'none') AS bank, COUNT(*) AS n, COUNT(CASE WHEN category = 'big_four' THEN 1 END) AS big_four FROM known GROUP BY 1",
-    "v8_banks_by_category": "SELECT category, bank, CAST(MIN(ord) AS BIGINT) AS ord, COUNT(*) AS ranges FROM (VALUES " + ", ".join(f"({k}, '{b}', '{c}')" for k, (b, c, _, _) in enumerate(v.BANK_RANGES)) + ") t(ord, bank, category) GROUP BY category, bank",
+    "v8_banks_by_category": _BSB + ", dim AS (SELECT bank, CAST(MIN(ord) AS BIGINT) AS ord, COUNT(*) AS ranges FROM (VALUES " + ", ".join(f"({k}, '{b}')" for k, (b, _, _, _) in enumerate(v.BANK_RANGES)) + ") t(ord, bank) GROUP BY bank) SELECT category, k.bank, ord, ranges, COUNT(*) AS n FROM known k JOIN dim ON dim.bank = k.bank GROUP BY category, k.bank, ord, ranges",
     "v9_date_validate": with_views("", "date_inputs").rstrip()
     + f""", t AS (SELECT id, TRIM(text) AS t FROM date_inputs),
  q AS (SELECT id, CASE WHEN REGEXP_MATCHES(t, '^[0-9]{{1,2}}[/. -][0-9]{{1,2}}[/. -][0-9]{{4}}$') THEN REGEXP_REPLACE(t, '[. -]', '/', 'g') WHEN {_MONTH} IS NOT NULL THEN REGEXP_EXTRACT(t, '^([0-9]+)', 1) || '/' || CAST({_MONTH} AS VARCHAR) || '/' || REGEXP_EXTRACT(t, '([0-9]{{4}})$', 1) END AS s FROM t),
