@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from taxloom.functions import validators as v
+from taxloom.operators import batch_run as br
 from taxloom.operators import classification as cl
 from taxloom.operators import compliance as co
 from taxloom.operators import confidence as cf
 from taxloom.operators import extraction as ex
 from taxloom.operators import registry as reg
 from taxloom.plans import document_queries as dq
+from taxloom.sources.views import VIEWS, with_views
 
-_NAMES = {f: dq._RENAMED.get(f, f) for f in ex.FIELDS}
+_NAMES = {f: br.RENAMED.get(f, f) for f in ex.FIELDS}
 _PIVOT = ", ".join(f"COALESCE(MAX(CASE WHEN field = '{f}' THEN {dq._CLEAN} END), '') AS f_{n}" for f, n in _NAMES.items())
 
 
@@ -72,7 +74,7 @@ ASSESSED = (
 _ADVICE = f"CASE WHEN passed THEN '' ELSE CONCAT_WS(',', CASE WHEN ROUND(compliance_score, 9) < 0.3 THEN 'significant manual review' WHEN ROUND(compliance_score, 9) < 0.6 THEN 'additional validation' END, CASE WHEN {_has('abn')} AND NOT ({_ABN_GOOD}) THEN 'verify the ABN' END, CASE WHEN tax < 0.5 THEN 'check the GST sums' END, CASE WHEN seen IS NULL THEN 'verify the supplier' END) END"
 COMPLIANCE = ASSESSED + "SELECT doc_id, " + ", ".join(f"ROUND({n}, 6) AS {n}" for n in [*co.WEIGHTS, "compliance_score"]) + f", n_issues, passed, {_ADVICE} AS advice FROM graded"
 
-_KEPT = list(dq._RENAMED.values())
+_KEPT = list(br.RENAMED.values())
 _FULL = "(" + " + ".join(f"CASE WHEN f_{n} <> '' THEN 1 ELSE 0 END" for n in _KEPT) + ")"
 _KINDS = "(" + " + ".join(f"CASE WHEN f_{n} <> '' THEN 1.0E0 ELSE 0.0E0 END" for n in cf.KEY_FIELDS if n in _KEPT) + " + CASE WHEN f_gst_amount <> '' THEN 0.5E0 ELSE 0.0E0 END)"
 _QUALITY = f"LEAST(LEAST({_FULL} / 6.0E0, 1.0E0) * 0.6E0 + {_KINDS} / 5.0E0 * 0.4E0, 1.0E0)"
@@ -100,3 +102,17 @@ PIPELINE = (
  SELECT doc_id, predicted, ROUND(extraction, 6) AS extraction, ROUND(business, 6) AS business, ROUND(compliance_score, 6) AS compliance_score, ROUND(overall, 6) AS overall, CASE WHEN final >= 0.9 THEN 'excellent' WHEN final >= 0.7 THEN 'good' WHEN final >= 0.5 THEN 'fair' WHEN final >= 0.3 THEN 'poor' ELSE 'very_poor' END AS grade, final >= {cf.PRODUCTION} AS production_ready, {_FLAGS} AS flags, {_TOLD} AS advice FROM z"""
 )
 ORACLES = {"a1_compliance": COMPLIANCE, "e1_document_pipeline": PIPELINE}
+
+#: A batch: which papers fail, where and why, and the grades of all others.
+_TRIMMED = "TRIM(text, ' ' || CHR(9) || CHR(10) || CHR(13))"
+_LABELLED = lambda pattern: f"REGEXP_EXTRACT_ALL(text, '{dq._sql(pattern)}', 1)"
+_BAD_NUMBER = f"LIST_FILTER({_LABELLED(br.AMOUNTS)}, lambda x: TRY_CAST(REGEXP_REPLACE(x, '[$,]', '', 'g') AS DOUBLE) IS NULL)[1]"
+_DAY = "TRY_STRPTIME(x, ['%d/%m/%Y', '%d-%m-%Y'])"
+_BAD_DAY = f"LIST_FILTER({_LABELLED(br.DAYS)}, lambda x: {_DAY} IS NULL OR YEAR({_DAY}) NOT BETWEEN 1950 AND {dq.THIS_YEAR + 2})[1]"
+_STAGED = with_views("", "broken_receipts").rstrip() + f""", staged AS (SELECT *, CASE WHEN text IS NULL THEN 'load|TypeError: no text' WHEN {_TRIMMED} = '' THEN 'load|ValueError: empty text' WHEN doc_type NOT IN ({", ".join(f"'{t}'" for t in ex.TYPES)}) THEN 'type|ValueError: unknown document type ' || doc_type
+  WHEN {_BAD_NUMBER} IS NOT NULL THEN 'amounts|NumberError: ' || {_BAD_NUMBER} WHEN {_BAD_DAY} IS NOT NULL THEN 'dates|DateError: ' || {_BAD_DAY} END AS failure FROM broken_receipts),
+ split AS (SELECT *, SPLIT_PART(failure, '|', 1) AS failed_stage, SPLIT_PART(failure, '|', 2) AS error FROM staged)"""
+_WELL = PIPELINE.replace(VIEWS["receipts"], f"SELECT doc_id, COALESCE(doc_type, 'other') AS doc_type, 0 AS compliance_score, highlights_detected, text FROM ({_STAGED} SELECT * FROM split WHERE failure IS NULL) ok")
+ORACLES["e2_batch"] = f"""SELECT doc_id, NULL AS failed_stage, NULL AS error, predicted, extraction, business, compliance_score, overall, grade, production_ready, flags, advice FROM ({_WELL}) w
+ UNION ALL SELECT doc_id, failed_stage, error, 'error', 0, 0, 0, 0, 'very_poor', FALSE, '{br.FLAG}', '{br.ADVICE}' FROM ({_STAGED} SELECT * FROM split WHERE failure IS NOT NULL) f"""
+ORACLES["e2_failures"] = _STAGED + " SELECT failed_stage, SPLIT_PART(error, ':', 1) AS error_type, COUNT(*) AS n FROM split WHERE failure IS NOT NULL GROUP BY 1, 2"

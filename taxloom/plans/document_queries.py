@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taxloom.operators import batch_run as br
 from taxloom.operators import classification as cl
 from taxloom.operators import compliance as co
-from taxloom.operators import confidence as cf
 from taxloom.operators import extraction as ex
 from taxloom.operators import registry as reg
 from taxloom.operators import texts as tx
@@ -15,8 +15,6 @@ from taxloom.sources.views import view, with_views
 
 #: The year against which dates are checked.
 THIS_YEAR = 2024
-#: Names of rule fields in the confidence model.
-_RENAMED = {"date": "date", "total": "total_amount", "supplier": "supplier_name", "gst": "gst_amount", "abn": "abn", "invoice_number": "invoice_number"}
 
 
 def rules_extract(spark, d):
@@ -36,16 +34,8 @@ def confusion(spark, d):
     return cl.classify(view(spark, d, "receipts")).groupBy("doc_type", "predicted").agg(F.count("*").alias("n"))
 
 
-def _fields(spark, d):
-    """Texts with what the rules read, as a map under the names that later steps use."""
-    rows = ex.extract(view(spark, d, "receipts"))
-    names = {f: _RENAMED.get(f, f) for f in ex.FIELDS}
-    both = F.map_from_arrays(F.array(*map(F.lit, names.values())), F.array(*[F.coalesce(F.col(f"{f}.value"), F.lit("")) for f in names]))
-    return rows.select("doc_id", "doc_type", "text", "highlights_detected", both.alias("fields"))
-
-
 def compliance(spark, d):
-    out = co.assess(_fields(spark, d), THIS_YEAR)
+    out = co.assess(br.with_fields(view(spark, d, "receipts")), THIS_YEAR)
     names = [*co.WEIGHTS, "compliance_score"]
     return rounded(out.select("doc_id", *names, "n_issues", "passed", F.array_join("advice", ",").alias("advice")), *names)
 
@@ -134,13 +124,21 @@ def work_scores(spark, d):
 
 def pipeline(spark, d):
     """Text to fields to compliance to grade, as one chain without a shuffle."""
-    rows = cl.classify(co.assess(_fields(spark, d), THIS_YEAR).withColumnRenamed("advice", "compliance_advice"))
-    fields = F.map_filter("fields", lambda k, _: k.isin(*_RENAMED.values()))
-    rows = rows.withColumn("fields", fields)
-    rows = rows.withColumns({"extraction": cf.extraction_quality(F.col("fields")), "business": cf.business_recognition(F.col("text"), F.col("fields"), F.col("highlights_detected"))})
-    out = cf.assess(F.col("score"), F.col("extraction"), F.col("compliance_score"), F.col("passed"), F.col("business"), F.col("fields"))
-    flat = {k: F.array_join(c, ",") if k in ("flags", "advice") else c for k, c in out.items()}
-    return rounded(rows.select("doc_id", "predicted", "extraction", "business", "compliance_score", *[c.alias(k) for k, c in flat.items()]), "extraction", "business", "overall", "compliance_score")
+    return _flat(br.graded(view(spark, d, "receipts"), THIS_YEAR))
+
+
+def _flat(graded):
+    flat = graded.withColumns({k: F.array_join(k, ",") for k in ("flags", "advice")})
+    return rounded(flat, "extraction", "business", "overall", "compliance_score")
+
+
+def batch_with_errors(spark, d):
+    """Papers of which some are broken, each with its grade or its error."""
+    return _flat(br.run(view(spark, d, "broken_receipts"), THIS_YEAR))
+
+
+def batch_failures(spark, d):
+    return br.failures(br.isolated(view(spark, d, "broken_receipts"), br.stages(THIS_YEAR)))
 
 
 def rule_stats(spark, d):
@@ -231,6 +229,8 @@ QUERIES = {
     "b5_work_scores": work_scores,
     "a1_compliance": compliance,
     "e1_document_pipeline": pipeline,
+    "e2_batch": batch_with_errors,
+    "e2_failures": batch_failures,
 }
 
 

@@ -155,7 +155,7 @@ TABLES = ["customer", "supplier", "orders", "lineitem", "events", "conversations
 
 
 #: Views whose texts cost far more to read than to move; their tables are dealt to all cores first.
-COSTLY = {"receipts", "papers", "paper_highlights"}
+COSTLY = {"receipts", "papers", "paper_highlights", "broken_receipts"}
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -207,6 +207,12 @@ SELECT o_orderkey AS doc_id,
   'TOTAL: $' || {_money(_CENTS)} AS text
 FROM orders"""
 
+#: Receipts of which some have no text, an odd type, or numbers and dates that are none.
+VIEWS["broken_receipts"] = f"""
+SELECT doc_id, CASE WHEN doc_id % 37 = 2 THEN 'poster' ELSE doc_type END AS doc_type, highlights_detected,
+  CASE WHEN doc_id % 29 = 3 THEN NULL WHEN doc_id % 29 = 4 THEN '  ' WHEN doc_id % 29 = 5 THEN REPLACE(text, 'TOTAL: $', 'TOTAL: $1.2.') WHEN doc_id % 29 = 6 THEN REPLACE(text, 'TAX: ', 'TAX: ?') WHEN doc_id % 29 = 7 THEN REPLACE(text, '/', '/3') ELSE text END AS text
+FROM ({VIEWS["receipts"]}) r"""
+
 
 def _pick(by: str, *values: str) -> str:
     """One of the SQL values, by a number."""
