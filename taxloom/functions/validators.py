@@ -27,6 +27,8 @@ BANK_RANGES = [
     ("HSBC", "international", 342, 342),
     ("Citibank", "international", 243, 243),
 ]
+#: Categories of banks that only the fuller check knows.
+LATER = ["international"]
 #: Date shapes: what the text must match, and how the rest is read.
 _DATE_SHAPES = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
@@ -107,6 +109,48 @@ def bsb_issues(value: Column) -> Column:
     return F.when(blank(value), F.array(F.lit("BSB is required"))).when(n == 0, F.array(F.lit("BSB contains no digits"))).otherwise(F.filter(found, lambda x: x.isNotNull()))
 
 
+def bsb_well_formed(value: Column) -> Column:
+    """Whether a BSB has six digits, whatever stands between them."""
+    return F.coalesce(F.length(digits(value)) == 6, F.lit(False))
+
+
+def bsb_suggestions(value: Column) -> Column:
+    """What to do about what bsb_issues finds, as an array; empty for a valid BSB."""
+    d = digits(value)
+    n = F.length(d)
+    six = F.substring(d, 1, 6)
+    unknown = (n >= 3) & bank_of(bsb_prefix(value)).isNull()
+    found = F.array(
+        F.when((n > 0) & (n < 6), F.concat(F.lit("Add "), (6 - n).cast("string"), F.lit(" more digits to complete BSB"))),
+        F.when(n > 6, "Remove extra digits - BSB should be exactly 6 digits"),
+        F.when(unknown, "Verify BSB with your bank"),
+        F.when(unknown, "Check for typos in the BSB number"),
+        F.when(unknown, "Ensure BSB belongs to an Australian bank"),
+        F.when(six == "000000", "Use your bank's actual BSB number"),
+        F.when(six == "123456", "Replace with your bank's actual BSB number"),
+    )
+    return F.when(blank(value), F.array(F.lit("Please provide a 6-digit BSB number"))).when(n == 0, F.array(F.lit("BSB should be 6 digits (e.g., 123-456)"))).otherwise(F.filter(found, lambda x: x.isNotNull()))
+
+
+def bsb_checked(value: Column) -> Column:
+    """The plainer check of compliance: exactly six digits and one of nine banks, as valid, formatted, issue and bank."""
+    d = digits(value)
+    short = F.when(blank(value), "BSB is required").when(F.length(d) != 6, F.concat(F.lit("BSB must be 6 digits, got "), F.length(d).cast("string")))
+    prefix = F.substring(d, 1, 3).cast("int")
+    bank = F.lit(None).cast("string")
+    for name, category, lo, hi in reversed(BANK_RANGES):
+        if category not in LATER:
+            bank = F.when(prefix.between(lo, hi), name).otherwise(bank)
+
+    def told(x: Column) -> Column:
+        issue = F.when(x["short"].isNotNull(), x["short"]).when(x["bank"].isNull(), "BSB not recognized as valid Australian bank")
+        shown = F.when(blank(x["value"]), "").when(F.length(x["d"]) == 6, bsb_format(x["d"])).otherwise(x["d"])
+        return F.struct(issue.isNull().alias("valid"), F.coalesce(shown, F.lit("")).alias("formatted"), issue.alias("issue"), F.when(x["short"].isNull(), x["bank"]).alias("bank"))
+
+    both = F.struct(value.alias("value"), d.alias("d"), short.alias("short"), F.when(F.length(d) == 6, bank).alias("bank"))
+    return F.element_at(F.transform(F.array(both), told), 1)
+
+
 def bsb_nearest(value: Column, within: int = 20) -> Column:
     """The bank whose range is nearest to an unknown six-digit BSB's prefix, at most `within` away; the first listed on a tie."""
     prefix = bsb_prefix(value)

@@ -147,6 +147,12 @@ def correlation_report(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("n"), F.count_if(c > 0.7).alias("high"), F.count_if((c <= 0.7) & (c >= 0.4)).alias("medium"), F.count_if(c < 0.4).alias("low"), F.avg(c).alias("average"), F.count_if(F.col("text").isNotNull()).alias("with_text"))
 
 
+def best_correlations(scores: DataFrame, n: int = 5) -> DataFrame:
+    """The n highlights that go best with their text, with their rank: no more than these leave a task."""
+    top = scores.withColumn("correlation", F.round("correlation", 9)).orderBy(F.desc("correlation"), "image_id", "h_ord").limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("correlation"), "image_id", "h_ord")))
+
+
 def summary(highlights: DataFrame) -> DataFrame:
     """Counts by colour and in all, from one pass of grouping sets."""
     return highlights.groupingSets([[], [F.col("color")]], "color").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= 0.6).alias("confident"), F.avg("confidence").alias("average_confidence"))

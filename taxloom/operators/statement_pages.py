@@ -107,6 +107,12 @@ def work_highlights(read: DataFrame, least: float | None = None) -> DataFrame:
     return rows.select("image_id", "h_ord", place.alias("place"), "score", "w.category", "w.indicators", "t.date", "t.amount", "t.description", "color")
 
 
+def work_summary(work: DataFrame) -> DataFrame:
+    """Highlighted transactions in all, by category and by colour: how many, sure work expenses among them, and their mean score."""
+    rows = work.withColumn("category", F.coalesce("category", F.lit("other")))
+    return rows.groupingSets([[], [F.col("category")], [F.col("color")]], "category", "color").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= WORK).alias("work_expenses"), F.avg("score").alias("average_score"))
+
+
 def _fields(text: Column, fields: list[str]) -> Column:
     """Which fields a text names, as bits."""
     low = F.lower(text)

@@ -33,11 +33,13 @@ def transaction_patterns(spark, d):
 
 
 def statement_lines(spark, d):
-    """Statements are built from the transactions as text and read back line by line."""
+    """Statements of a user's month are built from the transactions as text and read back line by line."""
     cents = F.abs("cents")
     money = F.concat(F.when(F.col("cents") < 0, "-").otherwise("+"), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
     line = F.concat_ws("  ", "date", "description", money)
-    texts = _txns(spark, d).groupBy((F.col("event_id") % 1000).alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    month = F.concat_ws("-", F.substring("date", 7, 4), F.substring("date", 4, 2))
+    of = F.concat_ws("/", F.col("statement_id").cast("string"), month).alias("id")
+    texts = _txns(spark, d).groupBy(of).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
     return b.statement_lines(texts).select("id", F.col("line").cast("long").alias("line"), "date", "description", "amount")
 
 
@@ -63,5 +65,5 @@ ORACLES = {
     "r4_expense_dedup": _EXP + "SELECT statement_id, event_id, date, description, amount FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY statement_id, date, SUBSTR(description, 1, 20), ABS(amount) ORDER BY ord) AS copy FROM expenses) u WHERE copy = 1",
     "g19_expense_summary": _EXP + "SELECT NULL AS category, NULL AS ato_category, COUNT(*) AS n, CAST(SUM(-cents) AS DOUBLE) / 100 AS total_amount, ROUND(AVG(confidence), 6) AS average_confidence FROM expenses UNION ALL SELECT category, NULL, COUNT(*), CAST(SUM(-cents) AS DOUBLE) / 100, ROUND(AVG(confidence), 6) FROM expenses GROUP BY category UNION ALL SELECT NULL, ato_category, COUNT(*), CAST(SUM(-cents) AS DOUBLE) / 100, ROUND(AVG(confidence), 6) FROM expenses GROUP BY ato_category",
     "g21_transaction_patterns": _TX + f", w AS (SELECT *, REGEXP_MATCHES(d, '{'|'.join(b.PATTERN_WORDS)}') AS work FROM t) SELECT statement_id, COUNT(*) AS total, COUNT(CASE WHEN cents < 0 THEN 1 END) AS debits, COUNT(CASE WHEN cents >= 0 THEN 1 END) AS credits, CAST(COALESCE(SUM(CASE WHEN cents < 0 THEN -cents END), 0) AS DOUBLE) / 100 AS debit_amount, CAST(COALESCE(SUM(CASE WHEN cents >= 0 THEN cents END), 0) AS DOUBLE) / 100 AS credit_amount, ROUND(AVG(confidence), 6) AS average_confidence, MIN(confidence) AS min_confidence, MAX(confidence) AS max_confidence, COUNT(CASE WHEN work THEN 1 END) AS work_count, ROUND(100.0E0 * COUNT(CASE WHEN work THEN 1 END) / COUNT(*), 6) AS work_percentage FROM w GROUP BY statement_id",
-    "x20_statement_lines": _TX + ", n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id % 1000 ORDER BY event_id) - 1 AS line FROM t) SELECT event_id % 1000 AS id, line, date, description, amount FROM n",
+    "x20_statement_lines": _TX + ", m AS (SELECT *, CAST(statement_id AS VARCHAR) || '/' || SUBSTR(date, 7, 4) || '-' || SUBSTR(date, 4, 2) AS id FROM t) SELECT id, ROW_NUMBER() OVER (PARTITION BY id ORDER BY event_id) - 1 AS line, date, description, amount FROM m",
 }

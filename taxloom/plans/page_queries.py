@@ -36,6 +36,11 @@ def report(spark, d):
     return rounded(sp.correlation_report(sp.correlations(*_page(spark, d))), "average")
 
 
+def best(spark, d):
+    out = sp.best_correlations(sp.correlations(*_page(spark, d)))
+    return rounded(out.select("rank", "image_id", "h_ord", "text", "regions", "correlation"), "correlation")
+
+
 _AREA = "CAST(width * height AS DOUBLE)"
 _SCORE = f"(CASE WHEN width * height < 1000 THEN {_AREA} / 1000 ELSE GREATEST(0.0E0, 1.0E0 - ({_AREA} - 1000) / 49000) END) * 0.3E0 + (CASE WHEN CAST(width AS DOUBLE) / height BETWEEN 0.2 AND 5.0 THEN 1.0E0 WHEN CAST(width AS DOUBLE) / height BETWEEN 0.1 AND 10.0 THEN 0.5E0 ELSE 0.1E0 END) * 0.2E0 + confidence * 0.3E0 + (CASE WHEN CAST(x AS DOUBLE) / 1000 BETWEEN 0.1 AND 0.8 AND CAST(y AS DOUBLE) / 1000 BETWEEN 0.2 AND 0.8 THEN 1.0E0 ELSE 0.5E0 END) * 0.2E0"
 _PAIRS = with_views("", "highlights", "ocr_boxes").rstrip() + """, pairs AS (SELECT h.image_id, h.ord AS h_ord, b.ord AS b_ord, x, y, width, height, x + width AS hx2, y + height AS hy2, x1, y1, x2, y2, b.text, b.confidence AS bc,
@@ -70,11 +75,13 @@ QUERIES = {
     "p23_context": context,
     "b28_correlations": correlations,
     "g26_correlation_report": report,
+    "g26_best_correlations": best,
     "g20_highlight_summary": lambda s, d: rounded(sp.summary(view(s, d, "highlights")), "average_confidence", places=4),
     "b19_merged_regions": lambda s, d: rounded(sp.merged(view(s, d, "highlights")), "confidence"),
 }
 
 ORACLES = {
+    "g26_best_correlations": _PAIRS + "SELECT CAST(ROW_NUMBER() OVER (ORDER BY ROUND(correlation, 9) DESC, image_id, h_ord) AS INT) AS rank, image_id, h_ord, text, regions, ROUND(correlation, 6) AS correlation FROM scores ORDER BY 1 LIMIT 5",
     "b19_merged_regions": _MERGED,
     "b22_highlight_scores": with_views(f"SELECT image_id, ord, ROUND(score, 6) AS score, ROUND(bonus, 6) AS bonus FROM (SELECT image_id, ord, LEAST(GREATEST({_SCORE}, 0), 1) AS score, (CASE color WHEN 'yellow' THEN 0.2E0 WHEN 'green' THEN 0.15E0 WHEN 'pink' THEN 0.1E0 WHEN 'blue' THEN 0.05E0 ELSE 0 END) + (CASE WHEN confidence > 0.8 THEN 0.1E0 WHEN confidence > 0.6 THEN 0.05E0 ELSE 0 END) AS bonus FROM highlights) t WHERE ROUND(score, 9) >= 0.4", "highlights"),
     "b17_transaction_rows": with_views("SELECT image_id, ord, x, y, width, height FROM highlights WHERE width >= 200 AND height BETWEEN 20 AND 100 AND CAST(width AS DOUBLE) / height BETWEEN 3 AND 25 AND y >= 200 AND confidence >= 0.4", "highlights"),

@@ -10,6 +10,7 @@ from taxloom.operators import classification as cl
 from taxloom.operators import comparison as cmp
 from taxloom.operators import evaluation as ev
 from taxloom.operators import fallback as fb
+from taxloom.operators import ordering
 from taxloom.operators import texts as tx
 from taxloom.plans.bank_queries import _EXP
 from taxloom.plans.document_queries import _CLASS
@@ -78,7 +79,7 @@ def benchmark_summary(spark, d):
 def ranked_with_benchmark(spark, d):
     """The model ranking beside each model's benchmark figures."""
     rank = view(spark, d, "results").groupBy("model").agg(F.avg("confidence_score").alias("confidence"))
-    bench = ev.benchmark_overall(view(spark, d, "results")).filter("success_rate > 0.91").select("model", "average_f1", "success_rate")
+    bench = ev.benchmark_overall(view(spark, d, "results")).select("model", "average_f1", "success_rate")
     return rounded(rank.join(bench, "model", "left"), "confidence", "average_f1", "success_rate")
 
 
@@ -125,8 +126,7 @@ def ordered_expenses(spark, d):
 
 def submission_order(spark, d):
     """Results with the place at which they were asked for, among those of their model."""
-    w = Window.partitionBy("model").orderBy("position")
-    return view(spark, d, "results").select("model", "doc_id", "success", F.row_number().over(w).alias("place"))
+    return ordering.places(view(spark, d, "results").select("model", "doc_id", "success", "position"), "model", "position").drop("position")
 
 
 def rows_from_the_top(spark, d):
@@ -235,7 +235,7 @@ ORACLES = {
  SELECT model, doc_id, CAST(SUM(checks) AS INT) AS checks, ROUND(CASE WHEN SUM(checks) > 0 THEN SUM(points) / SUM(checks) ELSE 0 END, 6) AS ato_score FROM p GROUP BY model, doc_id""",
     "g17_benchmark_overall": with_views("SELECT model, ROUND(COALESCE(AVG(CASE WHEN success THEN f1_score END), 0), 6) AS average_f1, ROUND(AVG(CASE WHEN success THEN 1.0E0 ELSE 0.0E0 END), 6) AS success_rate, COUNT(*) AS total_documents, COUNT(CASE WHEN success THEN 1 END) AS successful_documents, ROUND(AVG(CASE WHEN success THEN processing_time END), 6) AS avg_processing_time, MIN(CASE WHEN success THEN processing_time END) AS min_processing_time, MAX(CASE WHEN success THEN processing_time END) AS max_processing_time, ROUND(SUM(CASE WHEN success THEN processing_time END), 6) AS total_processing_time FROM results GROUP BY model", "results"),
     "r2_benchmark_summary": with_views("SELECT COUNT(*) AS num_models, ROUND(MAX(f), 6) AS best_f1_score, ROUND(MIN(f), 6) AS worst_f1_score, ROUND(AVG(f), 6) AS average_f1_score, ROUND(MIN(t), 6) AS fastest_avg_time, ROUND(MAX(t), 6) AS slowest_avg_time FROM (SELECT model, AVG(CASE WHEN success THEN f1_score END) AS f, AVG(CASE WHEN success THEN processing_time END) AS t FROM results GROUP BY model) m", "results"),
-    "j15_ranking_with_benchmark": with_views("SELECT model, ROUND(c, 6) AS confidence, ROUND(CASE WHEN s > 0.91 THEN f END, 6) AS average_f1, ROUND(CASE WHEN s > 0.91 THEN s END, 6) AS success_rate FROM (SELECT model, AVG(confidence_score) AS c, AVG(CASE WHEN success THEN f1_score END) AS f, AVG(CASE WHEN success THEN 1.0E0 ELSE 0.0E0 END) AS s FROM results GROUP BY model) m", "results"),
+    "j15_ranking_with_benchmark": with_views("SELECT model, ROUND(c, 6) AS confidence, ROUND(COALESCE(f, 0), 6) AS average_f1, ROUND(s, 6) AS success_rate FROM (SELECT model, AVG(confidence_score) AS c, AVG(CASE WHEN success THEN f1_score END) AS f, AVG(CASE WHEN success THEN 1.0E0 ELSE 0.0E0 END) AS s FROM results GROUP BY model) m", "results"),
 }
 
 _TOP3 = "CASE predicted " + " ".join(f"WHEN '{k}' THEN ARRAY_TO_STRING(LIST_TRANSFORM(LIST_SORT(LIST_FILTER([" + ", ".join(f"{{'w': {-cl.keyword_weight(w)}, 'k': {j}, 't': {_q(w)}}}" for j, w in enumerate(ws)) + "], lambda t: CONTAINS(low, t.t)))[1:3], lambda t: t.t), ', ')" for k, ws in cl.KEYWORDS.items() if ws) + " ELSE '' END"

@@ -40,6 +40,10 @@ def work(spark, d):
     return rounded(out.withColumn("indicators", F.array_join("indicators", ",")), "score")
 
 
+def work_summary(spark, d):
+    return rounded(sp.work_summary(sp.work_highlights(_read(spark, d))), "average_score")
+
+
 def layout(spark, d):
     return rounded(sp.row_layout(_marks(spark, d), _words(spark, d)), "coverage")
 
@@ -53,6 +57,7 @@ QUERIES = {
     "g32_readings": readings,
     "e10_transactions": transactions,
     "r5_work_highlights": work,
+    "g20_work_summary": work_summary,
     "b27_row_layout": layout,
     "e10_statement_pages": pages,
 }
@@ -91,6 +96,7 @@ ORACLES = {
     "g32_readings": with_views(f"SELECT image_id, STRING_AGG({_STRIPPED}, ' ' ORDER BY y1, x1, ord) AS text, COUNT(*) AS words, ROUND(AVG(confidence), 12) AS confidence, ROUND(SUM(confidence * LENGTH(text)) / SUM(LENGTH(text)), 12) AS weighted_confidence FROM page_words WHERE {_SURE} GROUP BY image_id", "page_words"),
     "e10_transactions": _BASE + "done AS (SELECT 1) SELECT image_id, h_ord, place, date, description, ROUND(amount, 6) AS amount, reference, type, ROUND(confidence, 6) AS confidence FROM moves",
     "r5_work_highlights": _BASE + _WORK + " SELECT image_id, h_ord, CAST(ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY score DESC, h_ord) AS INT) AS place, ROUND(score, 6) AS score, category, ARRAY_TO_STRING(found, ',') AS indicators, date, amount, described AS description, color FROM spent WHERE score >= 0.6",
+    "g20_work_summary": _BASE + _WORK + ", w AS (SELECT COALESCE(category, 'other') AS category, color, score FROM spent) SELECT category, color, COUNT(*) AS n, COUNT(CASE WHEN score >= 0.6 THEN 1 END) AS work_expenses, ROUND(AVG(score), 6) AS average_score FROM w GROUP BY GROUPING SETS ((), (category), (color))",
     "b27_row_layout": _BASE + _ROWS + " SELECT image_id, h_ord, likelihood, mask, ROUND(BIT_COUNT(mask) / 3.0, 6) AS coverage FROM laid",
     "e10_statement_pages": _BASE
     + _WORK

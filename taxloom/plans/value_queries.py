@@ -48,6 +48,16 @@ def bank_ranges(spark, d):
     return banks.join(found, "bank").select("category", "bank", "ord", "ranges", "n")
 
 
+def bsb_checked(spark, d):
+    """BSBs by the plainer check, and whether they are well formed at all."""
+    rows = view(spark, d, "bsb_inputs").withColumns({"c": v.bsb_checked(F.col("bsb")), "well_formed": v.bsb_well_formed(F.col("bsb"))})
+    return rows.select("id", "well_formed", "c.*")
+
+
+def bsb_suggestions(spark, d):
+    return view(spark, d, "bsb_inputs").select("id", F.array_join(v.bsb_suggestions(F.col("bsb")), "; ").alias("suggestions"))
+
+
 def date_validate(spark, d):
     c = F.col("text")
     day = v.parse_date(c)
@@ -86,7 +96,7 @@ def confidence_correlation(spark, d):
 
 
 def sroie_fields(spark, d):
-    return rounded(ev.sroie_fields(ev.sroie_scores(*_read(spark, d))), "f1")
+    return rounded(ev.sroie_fields(ev.sroie_scores(*_read(spark, d))), "precision", "recall", "f1")
 
 
 def sroie_leaderboard(spark, d):
@@ -125,6 +135,8 @@ _ORDER = " ".join(f"WHEN '{a}' THEN {k}" for many in ALIASES.values() for k, a i
 QUERIES = {
     "v1_abn_validate": abn_validate,
     "v4_bsb_validate": bsb_validate,
+    "v3_bsb_checked": bsb_checked,
+    "v4_bsb_suggestions": bsb_suggestions,
     "j8_bsb_nearest": bsb_nearest,
     "v7_big_four": big_four,
     "v8_banks_by_category": bank_ranges,
@@ -172,7 +184,14 @@ ORACLES = {
     "g6_field_accuracy": _PAIRS + 'SELECT model, field, COUNT(CASE WHEN a = b THEN 1 END) AS "right", COUNT(*) AS n, ROUND(AVG(CASE WHEN COALESCE(a = b, FALSE) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pairs GROUP BY model, field',
     "g8_confidence_correlation": _PAIRS + ", c AS (SELECT model, field, confidence AS x, CASE WHEN same THEN 1.0E0 ELSE 0.0E0 END AS y FROM judged WHERE confidence IS NOT NULL), s AS (SELECT model, field, COUNT(*) AS n, SUM(x) AS sx, SUM(y) AS sy, SUM(x * x) AS sxx, SUM(y * y) AS syy, SUM(x * y) AS sxy FROM c GROUP BY model, field) SELECT model, field, n, ROUND(CASE WHEN n < 2 OR n * sxx - sx * sx <= 1e-9 OR n * syy - sy * sy <= 1e-9 THEN 0 ELSE (n * sxy - sx * sy) / SQRT((n * sxx - sx * sx) * (n * syy - sy * sy)) END, 6) AS correlation FROM s",
     "j1_missing_truth": with_views("SELECT DISTINCT doc_id FROM extractions WHERE doc_id NOT IN (SELECT doc_id FROM ground_truth)", "extractions", "ground_truth"),
-    "g16_sroie_fields": _SROIE + "SELECT model, name, ROUND(f1, 6) AS f1, sample_count FROM fields",
+    "g16_sroie_fields": _SROIE + "SELECT model, name, ROUND(f1, 6) AS precision, ROUND(f1, 6) AS recall, ROUND(f1, 6) AS f1, sample_count FROM fields",
     "r2_sroie_leaderboard": _SROIE + "SELECT 'overall' AS name, model, ROUND(f1, 6) AS f1, ROW_NUMBER() OVER (ORDER BY f1 DESC, model) AS place FROM (SELECT model, AVG(f1) AS f1 FROM scores GROUP BY model) t UNION ALL SELECT name, model, ROUND(f1, 6) AS f1, ROW_NUMBER() OVER (PARTITION BY name ORDER BY f1 DESC, model) AS place FROM fields",
     "p7_standardized_fields": with_views(f"SELECT model, doc_id, name, value FROM (SELECT model, doc_id, name, value, ROW_NUMBER() OVER (PARTITION BY model, doc_id, name ORDER BY k, value) AS place FROM (SELECT model, doc_id, value, CASE field {_ALIAS} END AS name, CASE field {_ORDER} END AS k FROM extractions WHERE value <> '') t WHERE name IS NOT NULL) u WHERE place = 1", "extractions"),
 }
+
+_NINE = " ".join(f"WHEN CAST(SUBSTR(dg, 1, 3) AS INTEGER) BETWEEN {lo} AND {hi} THEN '{bank}'" for bank, kind, lo, hi in v.BANK_RANGES if kind not in v.LATER)
+_UNKNOWN = "CASE WHEN n >= 3 AND bank IS NULL THEN '{}' END"
+ORACLES["v3_bsb_checked"] = with_views("", "bsb_inputs").rstrip() + f""", d AS (SELECT id, bsb, {_DIGITS.format("bsb")} AS dg FROM bsb_inputs), e AS (SELECT *, CASE WHEN LENGTH(dg) = 6 THEN CASE {_NINE} END END AS bank FROM d),
+ i AS (SELECT *, CASE WHEN TRIM(bsb) = '' THEN 'BSB is required' WHEN LENGTH(dg) <> 6 THEN 'BSB must be 6 digits, got ' || CAST(LENGTH(dg) AS VARCHAR) WHEN bank IS NULL THEN 'BSB not recognized as valid Australian bank' END AS issue FROM e)
+ SELECT id, LENGTH(dg) = 6 AS well_formed, issue IS NULL AS valid, CASE WHEN TRIM(bsb) = '' THEN '' WHEN LENGTH(dg) = 6 THEN SUBSTR(dg, 1, 3) || '-' || SUBSTR(dg, 4, 3) ELSE dg END AS formatted, issue, bank FROM i"""
+ORACLES["v4_bsb_suggestions"] = _BSB + """SELECT id, CASE WHEN TRIM(bsb) = '' THEN 'Please provide a 6-digit BSB number' WHEN n = 0 THEN 'BSB should be 6 digits (e.g., 123-456)' ELSE CONCAT_WS('; ', CASE WHEN n < 6 THEN 'Add ' || CAST(6 - n AS VARCHAR) || ' more digits to complete BSB' END, CASE WHEN n > 6 THEN 'Remove extra digits - BSB should be exactly 6 digits' END, """ + ", ".join(_UNKNOWN.format(t) for t in ("Verify BSB with your bank", "Check for typos in the BSB number", "Ensure BSB belongs to an Australian bank")) + """, CASE WHEN s = '000000' THEN 'Use your bank''s actual BSB number' END, CASE WHEN s = '123456' THEN 'Replace with your bank''s actual BSB number' END) END AS suggestions FROM known"""
