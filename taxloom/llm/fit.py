@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxloom.llm.textvec import U
 
 _SLOT_BITS = 20
-#: Pieces that stand for a text that is too long for a training sample.
-PIECES = 8
 NO_SLOTS = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
 
 
@@ -28,23 +26,21 @@ def labelled_ids(labels: DataFrame, label: str, keep: Column | None, id_col: str
     return own.groupBy("id").agg(F.max("y").alias("y"))
 
 
-def labelled_texts(texts: DataFrame, ids: DataFrame, per_class: int) -> DataFrame:
-    """id, y and text of at most per_class ids of each class, fixed by a hash of the id.
+def labelled_texts(texts: DataFrame, ids: DataFrame, per_class: int, budget: int | None = None) -> DataFrame:
+    """id, y and text of at most per_class ids of each class, fixed by a hash of the id, with `budget` characters in a class at most.
 
     What is broadcast is bounded by 2 * per_class ids, and so is what comes
-    out: of the rows of one id the smallest text stands for all.
+    out: of the rows of one id the smallest text stands for all. Texts are
+    whole; those that alone take over a quarter of the budget are left out, as
+    is what comes after it has run out.
     """
     each = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    return texts.join(F.broadcast(each[0].unionByName(each[1])), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-
-
-def _pieces(text: Column, max_chars: int) -> Column:
-    size = max_chars // PIECES - 1
-    if size < 1:
-        return F.substring(text, 1, max_chars)
-    at = [F.floor((F.length(text) - size) * k / (PIECES - 1)).cast("int") + 1 for k in range(PIECES)]
-    some = F.concat_ws(" ", *[F.substring(text, i, F.lit(size)) for i in at])
-    return F.when(F.length(text) <= max_chars, text).otherwise(F.when(text.isNotNull(), some))
+    chosen = F.broadcast(each[0].unionByName(each[1]))
+    if budget is not None:
+        sizes = texts.join(chosen, "id").groupBy("id", "y").agg(F.min(F.struct("text", F.length("text").alias("n")))["n"].alias("n")).filter(F.col("n") <= budget // 4)
+        upto = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))  # per_class short rows
+        chosen = F.broadcast(sizes.withColumn("upto", upto).filter(F.col("upto") <= budget).select("id", "y"))
+    return texts.join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def share_only(totals: dict[int, int]) -> float:
@@ -52,16 +48,15 @@ def share_only(totals: dict[int, int]) -> float:
     return float(np.log((totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5))) if sum(totals.values()) else -4.0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """At most per_class texts of each class, and how many labels of each class there are.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: int, budget: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """At most per_class whole texts of each class, of `budget` characters in all at most, and how many labels of each class there are.
 
-    Of a text over max_chars there are PIECES pieces, spread from its start to its end, max_chars in all at most.
     Rows of one id count as one, whose text is the smallest.
     """
     ids = labelled_ids(labels, label, keep, id_col)
     totals = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
-    texts = docs.select(docs[id_col].alias("id"), _pieces(docs[text_col], max_chars).alias("text")).filter("text is not null")
-    rows = labelled_texts(texts, ids, per_class).collect()
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("text is not null")
+    rows = labelled_texts(texts, ids, per_class, budget).collect()
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: r.id)], totals
 
 

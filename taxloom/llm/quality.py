@@ -20,8 +20,8 @@ from taxloom.llm.fit import NO_SLOTS, choose, class_weights, index_of, labelled_
 from taxloom.llm.shared import batched
 from taxloom.llm.textvec import SPACED, U, Words, chunks, mix, words_of
 
-#: Bounds of the training sample: texts of a class and characters of a text, of which longer ones give pieces.
-PER_CLASS, MAX_CHARS = 2000, 20_000
+#: Bounds of the training sample: whole texts of a class, and their characters in all.
+PER_CLASS, BUDGET = 2000, 6_000_000
 FEATURES = 12_000
 TEXTS_AT_ONCE = 256
 
@@ -161,9 +161,9 @@ def score_texts(model: NbSvm, texts: list[bytes]) -> np.ndarray:
     return sigmoid(margins(model, texts) * model.scale[0] + model.scale[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column | None, *, label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> NbSvm:
+def fit(docs: DataFrame, labels: DataFrame, keep: Column | None, *, label: str = "quality", per_class: int = PER_CLASS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> NbSvm:
     """Trains on a bounded sample of the labelled rows that `keep` (a condition on `id`) admits."""
-    return train(*labelled_sample(docs, labels, label, keep, per_class, max_chars, id_col, text_col))
+    return train(*labelled_sample(docs, labels, label, keep, per_class, budget, id_col, text_col))
 
 
 def score(docs: DataFrame, model: NbSvm, text_col: str = "text") -> DataFrame:

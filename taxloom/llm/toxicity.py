@@ -22,8 +22,10 @@ from taxloom.llm.fit import NO_SLOTS, choose, class_weights, index_of, labelled_
 from taxloom.llm.shared import batched
 from taxloom.llm.textvec import ALNUM, U, Words, chunks, mix, words_of
 
-#: Bounds of the training sample: texts of a class and characters of a text, of which longer ones give pieces.
-PER_CLASS, MAX_CHARS = 1200, 5_000
+#: Bounds of the training sample: whole texts of a class, and their characters in all.
+PER_CLASS, BUDGET = 1200, 3_000_000
+#: Tokens of a stretch of a text that advances in lockstep with others.
+BLOCK = 512
 #: Features of a token: the word, its first and its last bytes.
 PARTS = [0, 4, 5, 6, 7, 8, -4, -6]
 FEATURES = 20_000
@@ -53,30 +55,88 @@ def _each_feature(words: Words) -> Iterator[np.ndarray]:
         yield mix(words.parts([size])[0] + U(k + 1))
 
 
+def _edges(e: np.ndarray, lo: np.ndarray, hi: np.ndarray, begins: np.ndarray, ends: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each block from the block before it, and what its last token gets from the block after it.
+
+    A step of either recursion maps a ratio r to (a r + b) / (c r + d), so a
+    block is one such map. These are multiplied up side by side for all blocks,
+    and only the maps, one for each block, are then followed along a text.
+    """
+    n = len(lo)
+    one, zero = np.ones(n), np.zeros(n)
+    f, g = [one, zero, zero, one], [one.copy(), zero.copy(), zero.copy(), one.copy()]
+    for j in range(int((hi - lo).max(initial=0))):
+        on = lo + j < hi
+        x = e[np.where(on, lo + j, lo)]
+        first = begins & (j == 0)
+        m = [np.where(first, 0, x * t[1, 1]), np.where(first, x, x * t[0, 1]), np.where(first, 0, t[1, 0]), np.where(first, 1, t[0, 0])]
+        new = [m[0] * f[0] + m[1] * f[2], m[0] * f[1] + m[1] * f[3], m[2] * f[0] + m[3] * f[2], m[2] * f[1] + m[3] * f[3]]
+        size = np.maximum.reduce(new)
+        f = [np.where(on, y / size, z) for y, z in zip(new, f, strict=True)]
+        if j:
+            m = [x * t[1, 1], t[1, 0], x * t[0, 1], t[0, 0]]
+            new = [g[0] * m[0] + g[1] * m[2], g[0] * m[1] + g[1] * m[3], g[2] * m[0] + g[3] * m[2], g[2] * m[1] + g[3] * m[3]]
+            size = np.maximum.reduce(new)
+            g = [np.where(on, y / size, z) for y, z in zip(new, g, strict=True)]
+    clip = lambda r: min(1e12, max(1e-12, r))
+    enters, leaves = np.ones(n), np.ones(n)
+    r = 1.0
+    for i, (a, b, c, d) in enumerate(zip(*(x.tolist() for x in f), strict=True)):
+        enters[i] = r
+        r = clip((a * r + b) / (c * r + d))
+    first_of = e[lo].tolist()
+    q = 1.0
+    (t00, t01), (t10, t11) = t.tolist()
+    last = ends.tolist()
+    maps = [x.tolist() for x in g]
+    for i in range(n - 1, -1, -1):
+        if last[i]:
+            at_end = 1.0
+        else:
+            x = first_of[i + 1] * q
+            at_end = clip((t10 + t11 * x) / (t00 + t01 * x))
+        leaves[i] = at_end
+        q = clip((maps[0][i] * at_end + maps[1][i]) / (maps[2][i] * at_end + maps[3][i]))
+    return enters, leaves
+
+
 def forward_backward(s: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ratios toxic : clean of the forward and of the backward messages at every token.
 
-    s is the toxic state's log potential; texts advance in lockstep, the
-    longest first, so a step handles all texts that still have tokens.
+    s is the toxic state's log potential. Texts advance in lockstep, those over
+    BLOCK tokens as several blocks, so a long text costs no more steps than a
+    block has: the messages between its blocks are known beforehand.
     """
     t = np.exp(trans)
     e = np.exp(np.clip(s, -30, 30))
     n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    at, n = first[:-1][order], n[order]
+    blocks = -(-n // BLOCK)
+    k = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    lo = np.repeat(first[:-1], blocks) + k * BLOCK
+    hi = np.minimum(lo + BLOCK, np.repeat(first[1:], blocks))
+    begins, ends = k == 0, k == np.repeat(blocks, blocks) - 1
+    enters, leaves = np.ones(len(k)), np.ones(len(k))
+    if (long := np.repeat(blocks > 1, blocks)).any():
+        enters[long], leaves[long] = _edges(e, lo[long], hi[long], begins[long], ends[long], t)
+    order = np.argsort(lo - hi, kind="stable")
+    at, n = lo[order], (hi - lo)[order]
+    begins, enters, leaves = begins[order], enters[order], leaves[order]
     alpha, beta = np.empty(len(s)), np.empty(len(s))
     active = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), "left")
     r = np.empty(0)
-    for k, m in enumerate(active.tolist()):
-        i = at[:m] + k
-        r = e[i] if k == 0 else e[i] * ((t[0, 1] + t[1, 1] * r[:m]) / (t[0, 0] + t[1, 0] * r[:m]))
+    for j, m in enumerate(active.tolist()):
+        i = at[:m] + j
+        if j == 0:
+            r = np.where(begins, e[i], e[i] * ((t[0, 1] + t[1, 1] * enters) / (t[0, 0] + t[1, 0] * enters)))
+        else:
+            r = e[i] * ((t[0, 1] + t[1, 1] * r[:m]) / (t[0, 0] + t[1, 0] * r[:m]))
         r = np.clip(r, 1e-12, 1e12)
         alpha[i] = r
-    q = np.ones(len(n))
+    q = leaves.copy()
     end = at + n - 1
-    for k, m in enumerate(active.tolist()):
-        i = end[:m] - k
-        if k:
+    for j, m in enumerate(active.tolist()):
+        i = end[:m] - j
+        if j:
             x = e[i + 1] * q[:m]
             q[:m] = np.clip((t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), 1e-12, 1e12)
         beta[i] = q[:m]
@@ -198,9 +258,9 @@ def score_texts(crf: Crf, texts: list[bytes]) -> tuple[np.ndarray, list[list[dic
     return scores, runs
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column | None, *, label: str = "toxic", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, keep: Column | None, *, label: str = "toxic", per_class: int = PER_CLASS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> Crf:
     """Trains on a bounded sample of the labelled rows that `keep` (a condition on `id`) admits."""
-    return train(*labelled_sample(docs, labels, label, keep, per_class, max_chars, id_col, text_col))
+    return train(*labelled_sample(docs, labels, label, keep, per_class, budget, id_col, text_col))
 
 
 def score(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:

@@ -70,7 +70,8 @@ def test_sample_is_bounded(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
     sample, totals = labelled_sample(docs, labels, "toxic", None, 5, 1000)
     assert len(sample) == 10 and totals == {0: 25, 1: 25}
-    assert all(len(t) <= 8 for t, _ in labelled_sample(docs, labels, "toxic", None, 50, 8)[0])
+    some = labelled_sample(docs, labels, "toxic", None, 50, 100)[0]
+    assert {len(t) for t, _ in some} <= set(range(1, 26)) and all(0 < sum(len(t) for t, c in some if c == y) <= 100 for y in (0, 1))  # whole ones, each a quarter at most
 
 
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
@@ -79,7 +80,7 @@ def test_long_texts_are_learned_from(spark, module, label):
     clean = lambda n: [f"wort{rng.randrange(300)}" for _ in range(n)]
     mark = lambda w: [x if i % 12 else "vile" for i, x in enumerate(w)]
     rows = [(k, " ".join(mark(clean(4000)) if k % 3 == 0 else clean(40)), int(k % 3 == 0)) for k in range(120)]
-    assert all(len(t) > module.MAX_CHARS for _, t, y in rows if y)
+    assert all(len(t) > 20_000 for _, t, y in rows if y)
     docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(k, y, y) for k, _, y in rows if k < 90], "doc_id long, toxic int, quality int")
     got = {r.row.doc_id: r.score for r in module.score(docs, module.fit(docs, labels, None)).collect()}
@@ -150,3 +151,43 @@ def test_chain_gradient_reaches_the_likelihoods_top():
     best = likelihood(crf.theta, crf.bias, crf.trans)
     for _ in range(60):
         assert likelihood(crf.theta + rng.normal(size=3) * 0.1, crf.bias + rng.normal() * 0.1, crf.trans + rng.normal(size=(2, 2)) * 0.1) <= best + 1e-2
+
+
+def plain_messages(s, trans):
+    """Ratios of the forward and the backward messages of one text, token by token."""
+    t, e = np.exp(trans), np.exp(np.clip(s, -30, 30))
+    clip = lambda r: min(1e12, max(1e-12, r))
+    a, b = [], []
+    for k in range(len(s)):
+        r = e[k] if k == 0 else e[k] * (t[0, 1] + t[1, 1] * a[-1]) / (t[0, 0] + t[1, 0] * a[-1])
+        a.append(clip(r))
+    q = 1.0
+    for k in range(len(s) - 1, -1, -1):
+        if k < len(s) - 1:
+            q = clip((t[1, 0] + t[1, 1] * e[k + 1] * q) / (t[0, 0] + t[0, 1] * e[k + 1] * q))
+        b.append(q)
+    return np.array(a), np.array(b[::-1])
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 512])
+def test_blocks_of_long_texts_change_nothing(monkeypatch, block):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    for trans in (np.array([[1.5, -2.0], [-1.0, 2.5]]), np.zeros((2, 2)), np.array([[-3.0, 4.0], [3.5, -2.0]])):
+        sizes = [0, 1, 5, 0, 40, 7, 14, 3, 130, 1]
+        s = rng.normal(-1, 4, sum(sizes))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        a, b = toxicity.forward_backward(s, first, trans)
+        for lo, hi in zip(first[:-1], first[1:], strict=True):
+            x, y = plain_messages(s[lo:hi], trans)
+            assert np.allclose(a[lo:hi], x, rtol=1e-9) and np.allclose(b[lo:hi], y, rtol=1e-9)
+
+
+def test_one_very_long_text_takes_seconds():
+    import time
+
+    rng = np.random.default_rng(1)
+    n = 1_500_000  # about 10 MB of text
+    began = time.time()
+    p = toxicity.marginals(rng.normal(-2, 2, n), np.array([0, n]), np.array([[1.0, -1.0], [-1.0, 1.0]]))
+    assert len(p) == n and time.time() - began < 20
