@@ -293,22 +293,27 @@ BANK_NAMES = {
     "HSBC Bank Australia": ["HSBC"],
     "Citibank Australia": ["Citi", "Citibank"],
 }
-#: Prefix ranges by bank, as text.
+#: Prefix ranges by official name. Validation has a table of its own (functions.validators), which differs in names, order and one bank.
 NAMED_RANGES = {
-    "ANZ Bank": "10-19,70-79,550-559",
-    "Commonwealth Bank of Australia": "60-69,730-739",
-    "Westpac Banking Corporation": "30-39,340-349,730-789",
-    "NAB Bank": "80-89,300-319",
-    "ING Australia": "923-923",
-    "Macquarie Bank": "182-182",
-    "Bendigo and Adelaide Bank": "630-639",
-    "Suncorp Bank": "484-484,640-649",
-    "Bank of Queensland": "140-149",
-    "HSBC Bank Australia": "342-342",
-    "Citibank Australia": "243-243",
+    "ANZ Bank": [(10, 19), (70, 79), (550, 559)],
+    "Commonwealth Bank of Australia": [(60, 69), (730, 739)],
+    "Westpac Banking Corporation": [(30, 39), (340, 349), (730, 789)],
+    "NAB Bank": [(80, 89), (300, 319)],
+    "ING Australia": [(923, 923)],
+    "Macquarie Bank": [(182, 182)],
+    "Bendigo and Adelaide Bank": [(630, 639)],
+    "Suncorp Bank": [(484, 484), (640, 649)],
+    "Bank of Queensland": [(140, 149)],
+    "HSBC Bank Australia": [(342, 342)],
+    "Citibank Australia": [(243, 243)],
 }
 
 
+def _ranges(bank: str) -> str:
+    """The ranges of a bank as text."""
+    return ",".join(f"{lo}-{hi}" for lo, hi in NAMED_RANGES[bank])
+
+
 def bank_category(name: Column) -> Column:
     """Category of the first bank whose own name this is, or one of whose names it holds."""
     low, out = F.lower(name), None
@@ -330,9 +335,9 @@ def is_big_four(name: Column) -> Column:
 def bank_ranges(name: Column) -> Column:
     """Prefix ranges of the first bank whose own name holds this one, or one of whose names is in it."""
     low, out = F.lower(name), None
-    for bank, ranges in NAMED_RANGES.items():
+    for bank in NAMED_RANGES:
         hit = F.lit(bank.lower()).contains(low) | _any(low, [n.lower() for n in BANK_NAMES[bank]])
-        out = F.when(hit, ranges) if out is None else out.when(hit, ranges)
+        out = F.when(hit, _ranges(bank)) if out is None else out.when(hit, _ranges(bank))
     return out.otherwise("")
 
 

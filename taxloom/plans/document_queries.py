@@ -54,7 +54,7 @@ def keyword_lookup(spark, d):
 def abn_lookup(spark, d):
     """Registered names of the suppliers' ABNs, and of ABNs that are registered, in several forms."""
     own, known = view(spark, d, "abn_inputs"), reg.as_frame(spark)
-    shaped = own.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).join(F.broadcast(known.select("ord", F.col("abn").alias("plain"))), F.col("id") % known.count() == F.col("ord"))
+    shaped = own.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).join(F.broadcast(known.select("ord", F.col("abn").alias("plain"))), F.col("id") % len(reg.default()) == F.col("ord"))
     form = F.when(F.col("s") == 0, F.replace("plain", F.lit(" "), F.lit(""))).otherwise(F.concat(F.lit("ABN "), F.replace("plain", F.lit(" "), F.lit("-"))))
     rows = own.select("id", "abn").unionByName(shaped.select((1000000 + F.col("id") * 2 + F.col("s")).alias("id"), form.alias("abn")))
     return reg.by_abn(rows, known).select("id", "abn", "registered_name", "registered_industry")

@@ -17,6 +17,7 @@ from taxloom.plans.document_queries import _CLASS
 from taxloom.plans.handler_queries import _q
 from taxloom.plans.page_queries import _PAIRS
 from taxloom.plans.result_queries import rounded
+from taxloom.sources import documents, models
 from taxloom.sources.views import view, with_views
 
 
@@ -144,7 +145,21 @@ def ordered_correlations(spark, d):
     return rows.select("image_id", "h_ord", F.row_number().over(w).alias("place"))
 
 
+def model_answers(spark, d):
+    """What a placeholder model answers to receipts, an error for those without a text."""
+    out = models.asked(view(spark, d, "broken_receipts").select("doc_id", "text"), lambda: models.placeholder)
+    return rounded(out.select("doc_id", "text", "confidence", "error"), "confidence")
+
+
+def result_texts(spark, d):
+    """Each reading of a document as lines of its fields."""
+    rows = view(spark, d, "extractions").groupBy("model", "doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("extracted_fields"))
+    return documents.result_text(rows, F.concat_ws("/", "model", F.col("doc_id").cast("string")))
+
+
 QUERIES = {
+    "u2_model_answers": model_answers,
+    "k4_result_texts": result_texts,
     "c6_answer_types": answers(tx.classify_answer),
     "c7_plain_answer_types": answers(tx.classify_answer_plainly),
     "b11_line_transactions": line_transactions,
@@ -215,13 +230,15 @@ _HELD = "(value IS NOT NULL AND TRIM(value) <> '')"
 _NUMBER = "TRY_CAST(REGEXP_REPLACE({}, '[$,\\s]', '', 'g') AS DOUBLE)"
 
 ORACLES = {
+    "u2_model_answers": with_views("SELECT doc_id, CASE WHEN text <> '' THEN SPLIT_PART(text, CHR(10), 1) END AS text, CASE WHEN text <> '' THEN ROUND(LEAST(CAST(LENGTH(text) AS DOUBLE) / 1000, 1), 6) END AS confidence, CASE WHEN COALESCE(text, '') = '' THEN 'ValueError: no text' END AS error FROM broken_receipts", "broken_receipts"),
+    "k4_result_texts": with_views("SELECT model || '/' || CAST(doc_id AS VARCHAR) AS name, COALESCE(STRING_AGG(CASE WHEN value <> '' THEN field || ': ' || value END, CHR(10) ORDER BY field), '') AS text FROM extractions GROUP BY model, doc_id", "extractions"),
     "c6_answer_types": _answers(_FULL),
     "c7_plain_answer_types": _answers(_PLAIN),
     "b11_line_transactions": with_views(f"SELECT ord, {_DAY} AS date, CASE WHEN {_REST} = '' THEN 'Transaction' ELSE {_REST} END AS description, ROUND(ABS({_LARGEST}), 6) AS amount, {_REF} AS reference, CASE WHEN {_LARGEST} < 0 THEN 'debit' ELSE 'credit' END AS type FROM statement_readings WHERE {_LARGEST} IS NOT NULL", "statement_readings"),
     "b13_account_texts": with_views(f"SELECT ord, {_VALID} AS valid, NULLIF(REGEXP_EXTRACT(text, {_q(tx.BSB_FORM)}, 0), '') AS bsb, {_LONGEST} AS account_number, LIST_FILTER(REGEXP_EXTRACT_ALL(text, {_q(tx.HOLDER_FORM)}), lambda n: LENGTH(n) BETWEEN 10 AND 50)[1] AS account_holder FROM statement_readings", "statement_readings"),
     "b14_read_transactions": with_views(f"SELECT ord, {_LAST} AS amount, CASE WHEN LEN({_AMOUNTS}) > 0 THEN ({_DAYS})[1] END AS date, CASE WHEN LEN({_AMOUNTS}) > 0 THEN {_LEFT} END AS description, " + ", ".join(f"{e} AS {k}" for k, e in _ACCOUNT.items()) + f" FROM statement_readings WHERE {_VALID}", "statement_readings"),
     "b16_statement_roll_up": with_views(f"SELECT statement_id, COUNT(*) AS texts, COUNT(amount) AS transactions, CAST(SUM(CAST(ROUND(amount * 100) AS BIGINT)) AS BIGINT) AS cents, " + ", ".join(f"ARG_MAX({k}, ord) FILTER ({k} IS NOT NULL) AS {k}" for k in _ACCOUNT) + f" FROM (SELECT statement_id, ord, {_LAST} AS amount, " + ", ".join(f"{e} AS {k}" for k, e in _ACCOUNT.items()) + f" FROM statement_readings WHERE {_VALID}) t GROUP BY statement_id", "statement_readings"),
-    "j17_bank_names": with_views("", "papers").rstrip() + ", t AS (SELECT SPLIT_PART(text, CHR(10), 1) AS name, COUNT(*) AS papers FROM papers WHERE doc_type = 'bank_statement' GROUP BY 1) SELECT name, papers, CASE " + " ".join(f"WHEN {_BANK_HIT[b]} THEN '{c}'" for b, c, _ in tx.BANKS) + " END AS category, " + " OR ".join(_BANK_HIT[b] for b, c, _ in tx.BANKS if c == "big_four") + " AS big_four, CASE " + " ".join(f"WHEN {_RANGE_HIT[b]} THEN '{r}'" for b, r in tx.NAMED_RANGES.items()) + " ELSE '' END AS ranges FROM t",
+    "j17_bank_names": with_views("", "papers").rstrip() + ", t AS (SELECT SPLIT_PART(text, CHR(10), 1) AS name, COUNT(*) AS papers FROM papers WHERE doc_type = 'bank_statement' GROUP BY 1) SELECT name, papers, CASE " + " ".join(f"WHEN {_BANK_HIT[b]} THEN '{c}'" for b, c, _ in tx.BANKS) + " END AS category, " + " OR ".join(_BANK_HIT[b] for b, c, _ in tx.BANKS if c == "big_four") + " AS big_four, CASE " + " ".join(f"WHEN {_RANGE_HIT[b]} THEN '{','.join(f'{lo}-{hi}' for lo, hi in r)}'" for b, r in tx.NAMED_RANGES.items()) + " ELSE '' END AS ranges FROM t",
     "v30_fallback_decisions": with_views("", "extractions").rstrip() + f""", f AS (SELECT model, doc_id, COUNT(CASE WHEN {_HELD} THEN 1 END) AS n,
  COUNT(CASE WHEN {_HELD} AND ((field = 'total_amount' AND COALESCE(TRY_CAST(TRIM(REGEXP_REPLACE(value, '[$,]', '', 'g')) AS DOUBLE) < 5, TRUE)) OR (field = 'supplier_name' AND LENGTH(TRIM(value)) <= 2) OR (field = 'date' AND (NOT REGEXP_MATCHES(value, '[0-9]') OR LENGTH(TRIM(value)) < 8))) THEN 1 END) AS bad,
  COUNT(CASE WHEN {_HELD} AND (LENGTH(TRIM(value)) <= 1 OR LOWER(TRIM(value)) IN ({', '.join(map(_q, fb.NOTHING))})) THEN 1 END) AS empty FROM extractions GROUP BY model, doc_id)
