@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from taxloom.operators import batch_run as br
 from taxloom.operators import classification as cl
 from taxloom.operators import compliance as co
+from taxloom.operators import document_types as dt
 from taxloom.operators import extraction as ex
+from taxloom.operators import handlers as hd
 from taxloom.operators import registry as reg
 from taxloom.operators import texts as tx
 from taxloom.plans.result_queries import rounded
@@ -141,6 +143,20 @@ def batch_failures(spark, d):
     return br.failures(br.isolated(view(spark, d, "broken_receipts"), br.stages(THIS_YEAR)))
 
 
+def described_papers(spark, d):
+    """Receipts as models read them, with what is known of their type and which of its fields the readings lack."""
+    read = view(spark, d, "extractions").filter("value <> ''").groupBy("model", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    docs = view(spark, d, "asked").select("doc_id", "doc_type")
+    out = dt.described(docs.join(read, "doc_id"), F.col("fields"))
+    return out.select("model", "doc_id", "doc_type", "ato_category", "requires_gst", "is_expense", F.array_join("lacking", ",").alias("lacking"))
+
+
+def contained_names(spark, d):
+    """Well-known names in receipts of meals and other papers, as they are written there."""
+    rows = view(spark, d, "receipts").filter("doc_type = 'meal_receipt'").drop("doc_type")
+    return hd.read(rows, "meal_receipt").select("doc_id", "restaurant_name", "total_amount")
+
+
 def rule_stats(spark, d):
     """What the rules of each field found in receipts, beside how many rules there are and how strong."""
     rules = spark.createDataFrame([(r.field, r.priority) for r in ex.RULES], "field string, priority int")
@@ -230,6 +246,8 @@ QUERIES = {
     "a1_compliance": compliance,
     "e1_document_pipeline": pipeline,
     "e2_batch": batch_with_errors,
+    "c9_described_types": described_papers,
+    "x54_meal_names": contained_names,
     "e2_failures": batch_failures,
 }
 
@@ -282,3 +300,11 @@ ORACLES = {
     "c2_classify_documents": _CLASS + "SELECT doc_id, predicted, ROUND(score, 6) AS score FROM predicted",
     "c2_confusion": _CLASS + "SELECT doc_type, predicted, COUNT(*) AS n FROM predicted GROUP BY doc_type, predicted",
 }
+
+_TYPES = ", ".join(f"('{k}', '{v[1]}', [{', '.join(f'{chr(39)}{f}{chr(39)}' for f in v[2])}]::VARCHAR[], {v[3]})" for k, v in dt.METADATA.items())
+_NAME = "COALESCE(" + ", ".join(f"NULLIF(REGEXP_EXTRACT(text, '(?i){_sql(n)}', 0), '')" for n in hd.NAMES) + ")"
+_TOTALED = "COALESCE(" + ", ".join(f"NULLIF(TRIM(REGEXP_EXTRACT(text, '(?i){_sql(p)}', 1)), '')" for p in hd.TOTALS) + ")"
+ORACLES |= {
+    "c9_described_types": with_views("", "extractions", "asked").rstrip() + f", t(doc_type, ato_category, fields, requires_gst) AS (VALUES {_TYPES}), r AS (SELECT model, doc_id, LIST(field) AS had FROM extractions WHERE value <> '' GROUP BY model, doc_id) SELECT r.model, a.doc_id, a.doc_type, ato_category, requires_gst, a.doc_type NOT IN ('unknown', 'bank_statement') AS is_expense, ARRAY_TO_STRING(LIST_FILTER(fields, lambda f: NOT LIST_CONTAINS(had, f)), ',') AS lacking FROM asked a JOIN r ON r.doc_id = a.doc_id LEFT JOIN t ON t.doc_type = a.doc_type",
+    "x54_meal_names": with_views("", "receipts").rstrip() + f" SELECT doc_id, {_NAME} AS restaurant_name, TRY_CAST(REPLACE({_TOTALED}, ',', '') AS DOUBLE) AS total_amount FROM receipts WHERE doc_type = 'meal_receipt'",
+}
