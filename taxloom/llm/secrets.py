@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.shared import batched, streamed
+from taxloom.llm.shared import Scratch, batched, streamed
 from taxloom.llm.textvec import U, chunks, words_of
 
 #: Kinds of base spans as listed, and the kind that compression adds.
@@ -85,8 +85,19 @@ def identifier_counts(texts: DataFrame) -> DataFrame:
 
 def dictionary(docs: DataFrame, *, size: int = DICTIONARY, text_col: str = "text") -> bytes:
     """The corpus' most frequent identifiers, equal counts by name, as many as `size` bytes hold; the most frequent stand last."""
-    counts = identifier_counts(docs.select(docs[text_col].alias("text")))
-    top = counts.orderBy(F.desc("n"), "word").limit(size // 5).collect()
+    most = size // 5
+    level = F.floor(F.log2("n") * 16).cast("int")
+    with Scratch(docs.sparkSession) as scratch:
+        counts = scratch.cut(identifier_counts(docs.select(docs[text_col].alias("text"))))
+        # A histogram of the counts' logarithms tells which words are in for sure, and on which level the rest are.
+        left, last = most, None
+        for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+            if r["count"] > left:
+                last = r.level
+                break
+            left -= r["count"]
+        top = counts.collect() if last is None else counts.filter(level > last).collect() + counts.filter(level == last).orderBy(F.desc("n"), "word").limit(left).collect()
+    top.sort(key=lambda r: (-r.n, r.word))
     out, used = [], 0
     for r in top:
         used += len(r.word) + 1
