@@ -36,7 +36,7 @@ def test_a_row_for_each_row(spark, folder, name):
     if name == "op10_substring_dedup":
         text = dict(docs)
         assert by_id[51].text is None and by_id[52].text == "" and by_id[0].text == text[0]
-        assert all("second one that follows" not in by_id[k].text for k in range(5, 40, 5)) and by_id[60].n_removed == 0
+        assert all("second one that follows" not in by_id[k].text for k in range(5, 40, 5)) and by_id[60].n_removed > 0  # the notice of 50
         assert all(by_id[k].text == text[k] for k in range(40) if k % 5)
         want = spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), longest=spans.LONGEST)
         assert sorted(map(str, want.collect())) == sorted(map(str, rows))
