@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
     item = text(15)
     docs, toxic = [], set()
     for k in range(300):
-        t = text(40)
+        t = text(40) + (" mail" if k % 4 == 0 else "")  # not of those with an address alone, who would be known by it
         if k % 3 == 1:
             toxic.add(k)
             t += " vile grub scorn vile"
