@@ -94,3 +94,9 @@ def test_merge_against_a_plain_loop(spark):
     rows = spatial.merged(df).collect()
     for i in range(20):
         assert sorted((r.members, r.x, r.y, r.area) for r in rows if r.image_id == i) == greedy([b for b in boxes if b["image_id"] == i])
+
+
+def test_the_best_model_of_a_tie_is_the_first_name_whatever_the_last_bits(spark):
+    rows = [("b", 0.1 + 0.2), ("a", 0.3), ("c", 0.2999999)]
+    got = comparison.best_by_f1(spark.createDataFrame(rows, "model string, average_f1 double")).collect()
+    assert [(r.model, r.average_f1) for r in got] == [("a", 0.3)]
