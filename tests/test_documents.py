@@ -68,3 +68,11 @@ def test_texts(spark):
     assert [(i.description, i.quantity, i.unit_price, i.line_total) for i in items] == [("Widget blue", 2.0, 10.5, 21.0)]
     assert one(spark, "1,234.50 then $99", texts.last_amount(F.col("text")))[0] == 99.0
     assert one(spark, "hilton room", texts.route(F.col("text"), F.lit("tax_invoice")))[0] == "accommodation_extraction_prompt"
+
+
+def test_stages_of_long_texts_are_left_to_methods_that_java_compiles(spark):
+    from taxloom.sources import views
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    views.view(spark, "/root/testdata/sf0.001", "page_words")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
