@@ -43,7 +43,8 @@ def asked(docs: DataFrame, load: Callable[[], Model], *, batch_size: int = 16, i
     """RESPONSE for each row of docs: the model's answer or its error, and the time of its batch, shared evenly.
 
     `load` is called once in each task and gives the model; if it fails, every
-    row of the task carries that error. Only `batch_size` requests are held at a time.
+    row of the task carries that error. The model gets `batch_size` requests at a time;
+    frames, which Arrow's batches bound, come and go as a whole.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,17 +54,17 @@ def asked(docs: DataFrame, load: Callable[[], Model], *, batch_size: int = 16, i
         except Exception as e:
             broken = e
         for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
+            requests, rows = frame.to_dict("records"), []
+            for at in range(0, len(requests), batch_size):
+                part = requests[at : at + batch_size]
                 began = time.perf_counter()
-                requests = part.to_dict("records")
-                answers = [broken] * len(part) if broken else _answers(model, requests)
+                answers = [broken] * len(part) if broken else _answers(model, part)
                 took = (time.perf_counter() - began) / len(part)
-                rows = []
-                for k, (key, a) in enumerate(zip(part[id_col], answers, strict=True)):
+                for k, (r, a) in enumerate(zip(part, answers, strict=True)):
+                    key = r[id_col]
                     text, sure, error = (None, None, _told(a)) if isinstance(a, BaseException) else (*a, None)
                     rows.append((None if pd.isna(key) else int(key), text, sure, error, len(part), k, took))
-                yield pd.DataFrame(rows, columns=["doc_id", "text", "confidence", "error", "batch_size", "batch_place", "seconds"]).astype({"doc_id": "Int64", "confidence": "float64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "confidence", "error", "batch_size", "batch_place", "seconds"]).astype({"doc_id": "Int64", "confidence": "float64"})
 
     return docs.mapInPandas(run, RESPONSE)
 

@@ -92,3 +92,12 @@ def test_lists_documents_and_comparisons(spark, tmp_path):
     for n in ("b.png", "a.png", "z.jpg", "c.jpg", "x.txt"):
         (tmp_path / n).write_bytes(b"x")
     assert [x.stem for x in files.simple_images(spark, str(tmp_path), 3).collect()] == ["c", "z", "a"]
+
+
+def test_a_frame_of_model_answers_comes_as_one():
+    import inspect
+
+    from taxloom.sources import models
+
+    body = inspect.getsource(models.asked)
+    assert body.count('to_dict("records")') == 1 and "iloc" not in body
