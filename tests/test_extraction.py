@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from taxloom.operators import extraction as ex
+from taxloom.sources.views import view
 
 
 def test_needed_words_are_in_what_a_pattern_matches():
@@ -27,3 +28,9 @@ def test_lower_rules_read_where_higher_ones_find_nothing(spark):
     texts = [("other", "ONE:p two:a"), ("other", "one:  two:a"), ("other", "two:z"), ("unknown", "two:z"), ("other", "six:q"), ("other", None)]
     got = [r.v for r in ex.extract(spark.createDataFrame(texts, "doc_type string, text string").coalesce(1), rules).select(F.col("x.value").alias("v")).collect()]
     assert got == ["p", "a", "z", None, "q", None]
+
+
+def test_receipts_run_in_methods_that_java_compiles(spark):
+    view(spark, "/root/testdata/sf0.001", "receipts")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
